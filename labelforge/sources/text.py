@@ -60,7 +60,7 @@ def parse_url_lines(lines: DataFrame, header_lines: int = 1, width: int = 6):
     failed: non-blank lines not starting with ``http``."""
     body = _after_header(lines, header_lines).filter(~is_blank("value")).withColumn("url", strip_ws("value"))
     valid = starts_with_http("url")
-    last = F.element_at(F.split("url", "/", -1), -1)
+    last = F.try_element_at(F.split("url", "/", -1), F.lit(-1))
     rows = body.filter(valid).select(
         "pos",
         F.when(last.endswith(".jpg"), last).otherwise(positional_name("pos", width)).alias("filename"),
@@ -78,8 +78,8 @@ def parse_gt_tokens(lines: DataFrame) -> DataFrame:
     URL and the last exact TRUE / FALSE token the label; rows need both."""
     v = strip_ws("value")
     tokens = F.filter(F.split(v, r"\s+", -1), lambda t: t != "")
-    url = F.element_at(F.filter(tokens, lambda t: t.contains("http")), -1)
-    label_tok = F.element_at(F.filter(tokens, lambda t: t.isin("TRUE", "FALSE")), -1)
+    url = F.try_element_at(F.filter(tokens, lambda t: t.contains("http")), F.lit(-1))
+    label_tok = F.try_element_at(F.filter(tokens, lambda t: t.isin("TRUE", "FALSE")), F.lit(-1))
     header = F.col("value").contains("is_conifer") & F.col("value").contains("downloadUrl")
     return (lines.filter(~header & ~is_blank("value"))
             .select("seq", url.alias("url"), label_from_text(label_tok, "verdict").alias("gt_label"))
@@ -124,6 +124,5 @@ def read_tsv(spark: SparkSession, path: str, schema=None, drop_last: int = 0) ->
     if drop_last <= 0:
         return df
     numbered = with_line_position(df, "__row")
-    last = numbered.agg(F.max("__row").alias("__max"))
-    return (numbered.join(F.broadcast(last), F.col("__row") <= F.col("__max") - F.lit(drop_last))
-            .drop("__row", "__max"))
+    keep = numbered.count() - drop_last  # one count action; rows are numbered 0..n-1
+    return numbered.filter(F.col("__row") < F.lit(keep)).drop("__row")
