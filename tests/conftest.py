@@ -3,7 +3,13 @@ import sys
 
 import pytest
 
-sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+_HERE = os.path.dirname(os.path.abspath(__file__))
+_ROOT = os.path.dirname(_HERE)
+sys.path.insert(0, _ROOT)
+# Python workers import test-module callables by name: put both folders on
+# their path before the JVM (and so the workers) start.
+os.environ["PYTHONPATH"] = os.pathsep.join(
+    [_ROOT, _HERE] + [p for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p])
 
 from labelforge.session import local_session  # noqa: E402
 
