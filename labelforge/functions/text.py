@@ -9,17 +9,22 @@ from pyspark.sql import Column, functions as F
 
 from labelforge.functions._util import as_col
 
-# Characters Python's ``str.strip()`` removes (``str.isspace``), written as a
-# Java regex class; plain ``trim`` only removes spaces.
+# Characters Python's ``str.strip()`` removes (``str.isspace``); plain ``trim``
+# only removes spaces.
+WHITESPACE_CHARS = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680"
+    + "".join(chr(c) for c in range(0x2000, 0x200B))
+    + "\u2028\u2029\u202f\u205f\u3000"
+)
 WHITESPACE_CLASS = (
     r"[\t\n\x0B\f\r\x1C-\x20\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000]"
 )
-_EDGE_WS = rf"^{WHITESPACE_CLASS}+|{WHITESPACE_CLASS}+$"
 
 
 def strip_ws(col) -> Column:
-    """Remove whitespace on both ends, like Python ``str.strip()``."""
-    return F.regexp_replace(as_col(col), _EDGE_WS, "")
+    """Remove whitespace on both ends, like Python ``str.strip()`` (a native
+    trim with an explicit character set, no regex)."""
+    return F.btrim(as_col(col), F.lit(WHITESPACE_CHARS))
 
 
 def normalise_key(col) -> Column:

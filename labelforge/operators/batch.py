@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from labelforge.functions.labels import sigmoid, uncertainty_band
 from labelforge.functions.text import path_basename
 from labelforge.functions.verdict import (
-    coerce_class_id, fetch_error_verdict, fill_confidence, label_text, parse_verdict,
+    coerce_class_id, fetch_error_verdict, fill_confidence, label_text, with_verdict,
 )
 from labelforge.operators.joins import pending
 
@@ -171,12 +171,12 @@ def annotate(urls: DataFrame, annotator, fetcher, done: DataFrame | None = None,
         F.lit(False).alias("parsed"),
     )
     ok = fetched.filter(F.col("status") == "ok").drop("status")
-    answered = call_annotator(ok, annotator, batch_size)
-    verdict = parse_verdict("model_text")
+    answered = with_verdict(call_annotator(ok, annotator, batch_size), "model_text", "__lf_pred", "__lf_parsed")
+    inferred = F.col("error").isNull()
     annotated = answered.select(
         F.col(key).alias("url"), "error",
-        F.when(F.col("error").isNull(), verdict["prediction"]).otherwise(fetch_error_verdict()).alias("prediction"),
-        F.when(F.col("error").isNull(), verdict["parsed"]).otherwise(F.lit(False)).alias("parsed"),
+        F.when(inferred, F.col("__lf_pred")).otherwise(fetch_error_verdict()).alias("prediction"),
+        F.when(inferred, F.col("__lf_parsed")).otherwise(F.lit(False)).alias("parsed"),
     )
     out = failed.unionByName(annotated)
     out = out.select(
@@ -202,13 +202,13 @@ def validate_annotator(gt: DataFrame, annotator, fetcher, key: str = "url",
         fetch_error_verdict().alias("prediction"),
         F.lit(False).alias("parsed"), F.lit(True).alias("written"),
     )
-    answered = call_annotator(fetched.filter(F.col("status") == "ok").drop("status"), annotator, batch_size)
-    verdict = parse_verdict("model_text")
+    answered = with_verdict(call_annotator(fetched.filter(F.col("status") == "ok").drop("status"), annotator,
+                                           batch_size), "model_text", "__lf_pred", "__lf_parsed")
     inferred = F.col("error").isNull()
     annotated = answered.select(
         F.col(key).alias("url"), "gt_label", "error",
-        F.when(inferred, verdict["prediction"]).otherwise(fetch_error_verdict()).alias("prediction"),
-        F.when(inferred, verdict["parsed"]).otherwise(F.lit(False)).alias("parsed"),
+        F.when(inferred, F.col("__lf_pred")).otherwise(fetch_error_verdict()).alias("prediction"),
+        F.when(inferred, F.col("__lf_parsed")).otherwise(F.lit(False)).alias("parsed"),
         inferred.alias("written"),
     )
     out = _typed(failed.unionByName(annotated))

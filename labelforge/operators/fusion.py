@@ -4,6 +4,15 @@ Rule: a crowd label of 1 is kept as 1 (the model is ignored); crowd 0 and
 model 0 give 0; crowd 0 and model 1 is dropped as a risk.  Any other
 combination (a label outside 0/1) is dropped too.  Keys are compared as
 stripped text; a null key never matches (SQL semantics).
+
+Plan: each source is first aggregated to ``(filename, label) -> count``
+(map-side partial aggregation), and only these small tables are joined.  A
+key repeated across a third of the input therefore reaches the join as at
+most a handful of rows (one per distinct label), not as a hot partition whose
+rows would all be paired with each other.  The reference's inner merge
+multiplies duplicate keys; the sizes keep that semantics as sums of
+``n_crowd * n_model``, and ``fuse_labels`` re-expands the rows only at the
+output.
 """
 
 from __future__ import annotations
@@ -21,53 +30,69 @@ def _prepare(df: DataFrame, key: str, label: str, out_label: str) -> DataFrame:
     )
 
 
+def _counted(df: DataFrame, key: str, label: str, out_label: str, out_count: str) -> DataFrame:
+    return (_prepare(df, key, label, out_label)
+            .groupBy("filename", out_label).agg(F.count(F.lit(1)).alias(out_count)))
+
+
 def merge_sources(crowd: DataFrame, model: DataFrame, key: str = "filename",
                   crowd_label: str = "label", model_label: str = "label") -> DataFrame:
-    """Inner join of the two label sources with the rule applied.
+    """The merged label pairs with the rule applied, one row per distinct
+    ``(filename, label_crowd, label_model)`` and its multiplicity ``n``
+    (= rows of that pair in the reference's inner merge).
 
-    Columns: filename, label_crowd, label_model, final_label (null = dropped).
-    One shuffle join on the key; AQE broadcasts a side only after measuring
-    it, and splits a skewed key's partition."""
-    c = _prepare(crowd, key, crowd_label, "label_crowd")
-    m = _prepare(model, key, model_label, "label_model")
+    Columns: filename, label_crowd, label_model, n, final_label (null =
+    dropped)."""
+    c = _counted(crowd, key, crowd_label, "label_crowd", "n_crowd")
+    m = _counted(model, key, model_label, "label_model", "n_model")
     merged = c.join(m, "filename", "inner")
     final = (F.when(F.col("label_crowd") == 1, F.lit(1))
              .when((F.col("label_crowd") == 0) & (F.col("label_model") == 0), F.lit(0)))
-    return merged.withColumn("final_label", final)
+    return merged.select("filename", "label_crowd", "label_model",
+                         (F.col("n_crowd") * F.col("n_model")).alias("n"), final.alias("final_label"))
 
 
 def fuse_labels(crowd: DataFrame, model: DataFrame, key: str = "filename",
                 crowd_label: str = "label", model_label: str = "label") -> DataFrame:
-    """The clean training set ``(filename, final_label)``."""
+    """The clean training set ``(filename, final_label)``; a duplicated
+    key yields as many rows as the reference's merge does."""
     merged = merge_sources(crowd, model, key, crowd_label, model_label)
-    return merged.filter(F.col("final_label").isNotNull()).select("filename", "final_label")
+    kept = merged.filter(F.col("final_label").isNotNull())
+    single = kept.filter(F.col("n") == 1).select("filename", "final_label")
+    repeated = (kept.filter(F.col("n") > 1)
+                .select("filename", F.explode(F.array_repeat("final_label", F.col("n").cast("int")))
+                        .alias("final_label")))
+    return single.unionByName(repeated)
 
 
 def fusion_stats(crowd: DataFrame, model: DataFrame, key: str = "filename",
                  crowd_label: str = "label", model_label: str = "label") -> DataFrame:
     """One row of sizes, computed in a single aggregation over a tagged
     union (source sizes and the merged outcome together, no cross join)."""
-    c = _prepare(crowd, key, crowd_label, "label_crowd")
-    m = _prepare(model, key, model_label, "label_model")
     merged = merge_sources(crowd, model, key, crowd_label, model_label)
-    src = F.col("src")
+    none = F.lit(None).cast("long")
     tagged = (
-        c.select(F.lit("crowd").alias("src"), F.lit(None).cast("int").alias("label_crowd"),
-                 F.lit(None).cast("int").alias("label_model"), F.lit(None).cast("int").alias("final_label"))
-        .unionByName(m.select(F.lit("model").alias("src"), F.lit(None).cast("int").alias("label_crowd"),
-                              F.lit(None).cast("int").alias("label_model"),
-                              F.lit(None).cast("int").alias("final_label")))
-        .unionByName(merged.select(F.lit("merged").alias("src"), "label_crowd", "label_model", "final_label"))
+        crowd.select(F.lit("crowd").alias("src"), F.lit(1).cast("long").alias("n"),
+                     none.alias("label_crowd"), none.alias("label_model"), none.alias("final_label"))
+        .unionByName(model.select(F.lit("model").alias("src"), F.lit(1).cast("long").alias("n"),
+                                  none.alias("label_crowd"), none.alias("label_model"), none.alias("final_label")))
+        .unionByName(merged.select(F.lit("merged").alias("src"), "n", "label_crowd", "label_model",
+                                   "final_label"))
     )
+    src, n = F.col("src"), F.col("n")
     is_merged = src == "merged"
+
+    def total(cond):
+        return F.coalesce(F.sum(F.when(cond, n)), F.lit(0)).cast("long")
+
     out = tagged.agg(
-        F.count_if(src == "crowd").alias("crowd"),
-        F.count_if(src == "model").alias("model"),
-        F.count_if(is_merged).alias("merged"),
-        F.count_if(is_merged & F.col("final_label").isNotNull()).alias("final"),
-        F.count_if(is_merged & (F.col("final_label") == 1)).alias("positives"),
-        F.count_if(is_merged & (F.col("final_label") == 0)).alias("negatives"),
-        F.count_if(is_merged & (F.col("label_crowd") == 0) & (F.col("label_model") == 1)).alias("risk"),
+        total(src == "crowd").alias("crowd"),
+        total(src == "model").alias("model"),
+        total(is_merged).alias("merged"),
+        total(is_merged & F.col("final_label").isNotNull()).alias("final"),
+        total(is_merged & (F.col("final_label") == 1)).alias("positives"),
+        total(is_merged & (F.col("final_label") == 0)).alias("negatives"),
+        total(is_merged & (F.col("label_crowd") == 0) & (F.col("label_model") == 1)).alias("risk"),
     )
     return out.select("crowd", "model", "merged", "final", "positives", "negatives",
                       (F.col("merged") - F.col("final")).alias("discarded"), "risk")

@@ -37,6 +37,24 @@ def _bounded_broadcast(small: DataFrame, n_rows: int, max_rows: int = OFFSETS_BR
     return F.broadcast(small) if n_rows <= max_rows else small
 
 
+def _max_splits(scan: DataFrame) -> int:
+    """Upper bound of the offsets table's rows: input partitions times the
+    most splits one partition can pack (each costs at least openCostInBytes
+    of the maxPartitionBytes budget).  Planning only, no job."""
+    conf = scan.sparkSession.conf
+    max_bytes = _bytes(conf.get("spark.sql.files.maxPartitionBytes", "128m"))
+    open_cost = max(1, _bytes(conf.get("spark.sql.files.openCostInBytes", "4m")))
+    return scan.rdd.getNumPartitions() * (max_bytes // open_cost + 1)
+
+
+def _bytes(text: str) -> int:
+    text = str(text).strip().lower().rstrip("b")
+    units = {"k": 1 << 10, "m": 1 << 20, "g": 1 << 30, "t": 1 << 40}
+    if text and text[-1] in units:
+        return int(float(text[:-1]) * units[text[-1]])
+    return int(text)
+
+
 def with_line_position(scan: DataFrame, position_col: str = "seq") -> DataFrame:
     """Attach the 0-based position of each row in file order.
 
@@ -59,8 +77,7 @@ def with_line_position(scan: DataFrame, position_col: str = "seq") -> DataFrame:
         _PID, _FILE, _BLOCK, "__lf_base",
         F.coalesce(F.sum("__lf_n").over(order), F.lit(0)).alias("__lf_offset"),
     )
-    n_splits = scan.rdd.getNumPartitions() * 64  # generous bound: splits per partition are few
-    joined = tagged.join(_bounded_broadcast(offsets, n_splits), [_PID, _FILE, _BLOCK])
+    joined = tagged.join(_bounded_broadcast(offsets, _max_splits(scan)), [_PID, _FILE, _BLOCK])
     return joined.select(
         *[F.col(c) for c in scan.columns],
         (F.col("__lf_offset") + F.col(_MID) - F.col("__lf_base")).alias(position_col),

@@ -13,6 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from labelforge.operators.ordering import with_rank
+from labelforge.session import materialize
 
 # Largest fill handled by TakeOrderedAndProject (rows merged in one task).
 TOPK_MAX = 200_000
@@ -48,8 +49,11 @@ def quota_fill(records: DataFrame, target: int = 3000, bad: str = "is_bad",
 
     Adds ``bucket`` (``bad`` / ``candidate``) and ``cand_rank`` (0-based rank
     of a selected candidate, null for bad rows).  Output order: bad rows in
-    file order, then candidates by rank (``orderBy('bucket_order', ...)`` when
-    writing)."""
+    file order, then candidates by rank (``selection_order`` when writing).
+    The input is checkpointed to the shared folder first, so the upstream
+    parse runs once and a lost executor cannot change what was counted."""
+    # land the (parsed) input once: the count and both branches read it back
+    records = materialize(records)
     bad_rows = records.filter(F.col(bad))
     candidates = records.filter(~F.col(bad))
     n_bad = bad_rows.count()

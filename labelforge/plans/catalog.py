@@ -17,12 +17,13 @@ from labelforge.operators.calibrate import calibration_report, fit_platt
 from labelforge.operators.fusion import fuse_labels, fusion_stats
 from labelforge.operators.head import train_head
 from labelforge.operators.ingest import ingest_plan, ingest_summary
+from labelforge.operators.partitioning import spread_scan
 from labelforge.operators.joins import pending, resume_summary
 from labelforge.operators.select import quota_fill
 from labelforge.operators.split import EVAL_FRACTIONS, restrict_to_split, stratified_split
 from labelforge.plans import derived as D
 from labelforge.sources.annotations import parse_annotation_lines, processed_urls_from_lines
-from labelforge.functions.verdict import coerce_class_id, fill_confidence, is_bad, label_text, parse_verdict
+from labelforge.functions.verdict import coerce_class_id, fill_confidence, is_bad, label_text, with_verdict
 
 THRESHOLD = 0.25
 SEED = 42
@@ -311,14 +312,13 @@ _SQL_TYPED = """
 
 
 def _parsed_verdicts(spark: SparkSession, sf: str) -> DataFrame:
-    v = D.verdict_texts(spark, sf)
-    parsed = v.select("seq", "url", parse_verdict("model_text").alias("v"))
-    return parsed.select(
-        "seq", "url", F.col("v.parsed").alias("parsed"),
-        coerce_class_id("v.prediction").alias("class_id"),
-        label_text("v.prediction").alias("label"),
-        fill_confidence("v.prediction").alias("confidence"),
-        is_bad("v.prediction").alias("is_bad"),
+    v = with_verdict(D.verdict_texts(spark, sf), "model_text")
+    return v.select(
+        "seq", "url", "parsed",
+        coerce_class_id("prediction").alias("class_id"),
+        label_text("prediction").alias("label"),
+        fill_confidence("prediction").alias("confidence"),
+        is_bad("prediction").alias("is_bad"),
     )
 
 
@@ -571,7 +571,7 @@ def q_batch_score(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _annotate(spark: SparkSession, sf: str) -> DataFrame:
-    pages = D.table(spark, sf, "pages").select("url", "html")
+    pages = spread_scan(D.table(spark, sf, "pages")).select("url", "html")
     done = processed_urls_from_lines(D.processed_lines(spark, sf))
     return batch.annotate(pages, _content_annotator, _html_fetcher, done=done, content_type="string")
 

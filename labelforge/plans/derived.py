@@ -26,6 +26,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from labelforge.operators.partitioning import spread_scan
+
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
           "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
@@ -81,7 +83,7 @@ def _verdict_parts(events: DataFrame) -> DataFrame:
 
 def verdict_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``seq, url, model_text``: what the stub annotator answered per event."""
-    ev = _verdict_parts(table(spark, sf_dir, "events"))
+    ev = _verdict_parts(spread_scan(table(spark, sf_dir, "events")))
     m = F.col("event_id") % 17
     text = (F.when(m == 0, F.concat(F.lit("The main tree looks "), F.col("label_txt")))
             .when(m == 1, F.concat(F.col("verdict_json"), F.lit(" I am fairly sure.")))
@@ -94,7 +96,7 @@ def verdict_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def annotation_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``seq, value``: the annotation JSONL of the stub run, one line per event."""
-    ev = _verdict_parts(table(spark, sf_dir, "events"))
+    ev = _verdict_parts(spread_scan(table(spark, sf_dir, "events")))
     url = F.concat(F.lit("https://img.example.org/"), F.col("event_id").cast("string"), F.lit(".jpg"))
     pred = F.when(F.col("event_id") % 17 == 0, F.lit('{"class_id": 3, "label": "bad_parse"}')) \
         .otherwise(F.col("verdict_json"))
@@ -154,7 +156,7 @@ def stub_annotator(pdf: pd.DataFrame) -> list[str]:
 
 def gt_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``url, html, gt_label``: labelled URLs for validation (https -> 1)."""
-    pages = table(spark, sf_dir, "pages")
+    pages = spread_scan(table(spark, sf_dir, "pages"))
     return pages.select("url", "html",
                         F.when(F.col("url").startswith("https"), F.lit(1)).otherwise(F.lit(2)).alias("gt_label"))
 

@@ -31,3 +31,12 @@ def test_fusion_on_driver_table(spark):
     model = labels.selectExpr("doc_id as filename", "toxic as label")
     s = fusion_stats(crowd, model).first()
     assert (s.merged, s.positives, s.negatives, s.risk) == (399, 341, 49, 9)
+
+
+def test_duplicate_keys_multiply_like_an_inner_merge(spark):
+    crowd = spark.createDataFrame([("a", 1), ("a", 1), ("b", 0), ("b", 0)], "filename string, label int")
+    model = spark.createDataFrame([("a", 0), ("a", 1), ("b", 0), ("b", 1), ("b", 1)], "filename string, label int")
+    rows = sorted(tuple(r) for r in fuse_labels(crowd, model).collect())
+    assert rows == [("a", 1)] * 4 + [("b", 0)] * 2
+    s = fusion_stats(crowd, model).first()
+    assert (s.merged, s.final, s.positives, s.negatives, s.risk, s.discarded) == (10, 6, 4, 2, 4, 4)
