@@ -45,8 +45,7 @@ def _strict_object(text):
         return None
 
 
-@F.pandas_udf(T.StringType())
-def strict_json_object(texts: pd.Series) -> pd.Series:
+def _strict_json_object(texts: pd.Series) -> pd.Series:
     """Normalised JSON text of a strictly valid JSON *object*, else null.
 
     Strict means: the whole text is one value (no trailing text), it is an
@@ -55,6 +54,12 @@ def strict_json_object(texts: pd.Series) -> pd.Series:
     return texts.map(_strict_object)
 
 
+# Marked non-deterministic only so the optimizer never copies the call into a
+# pushed-down filter (which would run the Python stage twice); the function
+# itself is pure.
+strict_json_object = F.pandas_udf(_strict_json_object, T.StringType()).asNondeterministic()
+
+
 def parse_strict(text) -> Column:
     """VARIANT of a strictly valid JSON object, else SQL null."""
     return F.try_parse_json(strict_json_object(as_col(text)))
