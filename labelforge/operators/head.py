@@ -11,9 +11,10 @@ accuracy reported.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, functions as F
 
 from labelforge.operators.metrics import accuracy_at, best_epoch
@@ -33,10 +34,17 @@ def pos_weight(df: DataFrame, label: str = "label") -> DataFrame:
 
 def train_head(df: DataFrame, key: str = "filename", features: str = "embedding", label: str = "label",
                epochs: Sequence[int] = EPOCHS, seed: int = 42, reg_param: float = 0.0,
-               weighted: bool = False) -> DataFrame:
+               weighted: bool = False, parallelism: int = 4) -> DataFrame:
     """One row per candidate: ``epoch, val_accuracy, is_best, test_accuracy``
-    (test accuracy only on the best row)."""
-    data = df.select(key, array_to_vector(F.col(features).cast("array<double>")).alias("__lf_x"),
+    (test accuracy only on the best row).
+
+    The candidates are fitted concurrently (``fitMultiple`` on a small thread
+    pool, as Spark's own tuning estimators do); all of them are then scored
+    on the validation and test rows in one aggregation pass, with the
+    logistic score as a native dot product of the feature array and the
+    (small) coefficient vector."""
+    x = F.col(features).cast("array<double>")
+    data = df.select(key, x.alias("__lf_arr"), array_to_vector(x).alias("__lf_x"),
                      F.col(label).cast("double").alias("__lf_y"))
     split = stratified_split(data, key=key, label="__lf_y", fractions=TRAIN_FRACTIONS, seed=seed)
     split = split.cache()
@@ -44,25 +52,32 @@ def train_head(df: DataFrame, key: str = "filename", features: str = "embedding"
     if weighted:
         w = pos_weight(train.withColumn("label", F.col("__lf_y").cast("int"))).first()["pos_weight"]
         train = train.withColumn("__lf_w", F.when(F.col("__lf_y") == 1, F.lit(float(w))).otherwise(F.lit(1.0)))
-    val = split.filter(F.col("split") == "val")
-    test = split.filter(F.col("split") == "test")
-    rows = []
-    models = {}
-    for e in epochs:
-        lr = LogisticRegression(featuresCol="__lf_x", labelCol="__lf_y", maxIter=int(e), regParam=reg_param,
-                                **({"weightCol": "__lf_w"} if weighted else {}))
-        model = lr.fit(train)
-        models[e] = model
-        scored = model.transform(val).select(vector_to_array("probability")[1].alias("p"), "__lf_y")
-        acc = scored.agg(accuracy_at("p", "__lf_y").alias("a")).first()["a"]
-        rows.append((int(e), float(acc) if acc is not None else 0.0, 0.0))
+    lr = LogisticRegression(featuresCol="__lf_x", labelCol="__lf_y", regParam=reg_param,
+                            **({"weightCol": "__lf_w"} if weighted else {}))
+    param_maps = [{lr.maxIter: int(e)} for e in epochs]
+    models: dict[int, object] = {}
+    with ThreadPoolExecutor(max_workers=max(1, min(parallelism, len(param_maps)))) as pool:
+        fitted = lr.fitMultiple(train, param_maps)
+        for index, model in pool.map(lambda _: next(fitted), range(len(param_maps))):
+            models[int(epochs[index])] = model
+
+    held_out = split.filter(F.col("split").isin("val", "test"))
+    aggs = []
+    for e, model in models.items():
+        coef = F.array(*[F.lit(float(c)) for c in model.coefficients.toArray()])
+        z = F.aggregate(F.zip_with("__lf_arr", coef, lambda a, b: a * b), F.lit(float(model.intercept)),
+                        lambda acc, v: acc + v)
+        p = F.lit(1.0) / (F.lit(1.0) + F.exp(-z))
+        for part in ("val", "test"):
+            aggs.append(accuracy_at(F.when(F.col("split") == part, p), F.when(F.col("split") == part,
+                                                                                F.col("__lf_y")))
+                        .alias(f"{part}_{e}"))
+    scores = held_out.agg(*aggs).first()
+    split.unpersist()
     spark = df.sparkSession
-    table = spark.createDataFrame(rows, "epoch int, accuracy double, mean_loss double")
+    table = spark.createDataFrame([(e, float(scores[f"val_{e}"] or 0.0), 0.0) for e in models],
+                                  "epoch int, accuracy double, mean_loss double")
     best = best_epoch(table).first()["best_epoch"]
-    test_acc = None
-    if best is not None:
-        scored = models[best].transform(test).select(vector_to_array("probability")[1].alias("p"), "__lf_y")
-        test_acc = scored.agg(accuracy_at("p", "__lf_y").alias("a")).first()["a"]
-    split.unpersist()
-    out = [(e, a, e == best, test_acc if e == best else None) for e, a, _ in rows]
+    out = [(e, float(scores[f"val_{e}"] or 0.0), e == best, scores[f"test_{e}"] if e == best else None)
+           for e in sorted(models)]
     return spark.createDataFrame(out, "epoch int, val_accuracy double, is_best boolean, test_accuracy double")
