@@ -21,6 +21,16 @@ def _f1(p, r):
     return F.when((p + r) > 0, F.lit(2.0) * p * r / (p + r)).otherwise(F.lit(0.0))
 
 
+def confident_only(df: DataFrame, prediction: str = "prediction", out: str = "pred_num") -> DataFrame:
+    """C4: rows whose prediction maps to 1 / 0 (B10), with that number."""
+    return df.withColumn(out, prediction_to_num(prediction)).filter(F.col(out).isNotNull())
+
+
+def uncertain_only(df: DataFrame, prediction: str = "prediction") -> DataFrame:
+    """The ``?`` rows."""
+    return df.filter(F.col(prediction) == BAND_UNSURE)
+
+
 def confusion_binary(df: DataFrame, pred_num: str = "pred_num", label: str = "label") -> DataFrame:
     """TP, FP, FN, TN over confident rows (``pred_num`` not null)."""
     p, y = F.col(pred_num), F.col(label)

@@ -19,10 +19,13 @@ from labelforge.operators.head import train_head
 from labelforge.operators.ingest import ingest_plan, ingest_summary
 from labelforge.operators.partitioning import spread_scan
 from labelforge.operators.joins import pending, resume_summary
-from labelforge.operators.select import quota_fill
+from labelforge.operators.head import pos_weight
+from labelforge.operators.metrics import confident_only, uncertain_only
+from labelforge.operators.select import bounded_error_log, quota_fill
 from labelforge.operators.split import EVAL_FRACTIONS, restrict_to_split, stratified_split
 from labelforge.plans import derived as D
 from labelforge.sources.annotations import parse_annotation_lines, processed_urls_from_lines
+from labelforge.sources.text import parse_gt_tokens, parse_http_lines, parse_labelled_lines
 from labelforge.functions.verdict import coerce_class_id, fill_confidence, is_bad, label_text, with_verdict
 
 THRESHOLD = 0.25
@@ -753,6 +756,121 @@ def q_incremental_annotate(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("url", "error", "parsed", "class_id", "label", "confidence")
 
 
+# ------------------------------------------------------- text-line readers
+
+
+def q_labelled_urls(spark: SparkSession, sf: str) -> DataFrame:
+    rows, _ = parse_labelled_lines(D.labelled_lines(spark, sf), header_lines=0)
+    return rows.select("pos", "filename", "label", "url")
+
+
+def q_labelled_rejects(spark: SparkSession, sf: str) -> DataFrame:
+    _, rejects = parse_labelled_lines(D.labelled_lines(spark, sf), header_lines=0)
+    return rejects
+
+
+_SQL_LABELLED = """
+WITH l AS (
+  SELECT page_id AS seq,
+         CASE WHEN url LIKE '%/fr/%' THEN lower(CASE WHEN url LIKE 'https%' THEN 'TRUE' ELSE 'FALSE' END)
+              ELSE CASE WHEN url LIKE 'https%' THEN 'TRUE' ELSE 'FALSE' END END
+         || CASE WHEN url LIKE '%#top' THEN ' ' ELSE chr(9) END || url AS value
+  FROM pages),
+p AS (SELECT seq AS pos, value, string_split(trim(value), chr(9)) AS parts FROM l WHERE trim(value) <> '')
+"""
+
+SQL_LABELLED_URLS = _SQL_LABELLED + """
+SELECT pos, printf('%03d.jpg', pos) AS filename, CASE WHEN parts[1] = 'TRUE' THEN 1 ELSE 0 END AS label,
+       parts[2] AS url
+FROM p WHERE len(parts) = 2
+"""
+
+SQL_LABELLED_REJECTS = _SQL_LABELLED + """
+SELECT pos, value, 'malformed: expected 2 TAB parts' AS reason FROM p WHERE len(parts) <> 2
+"""
+
+
+def q_gt_tokens(spark: SparkSession, sf: str) -> DataFrame:
+    return parse_gt_tokens(D.gt_token_lines(spark, sf))
+
+
+SQL_GT_TOKENS = """
+WITH l AS (
+  SELECT page_id AS seq,
+         CASE WHEN url LIKE '%/en/%' THEN (CASE WHEN url LIKE 'https%' THEN 'TRUE' ELSE 'FALSE' END) || '  ' || url
+              WHEN url LIKE '%/fr/%' THEN url || ' ' || (CASE WHEN url LIKE 'https%' THEN 'TRUE' ELSE 'FALSE' END)
+              WHEN url LIKE '%/de/%' THEN url
+              ELSE 'FALSE ' || url || ' ' || (CASE WHEN url LIKE 'https%' THEN 'TRUE' ELSE 'FALSE' END) END AS value
+  FROM pages),
+t AS (SELECT seq, list_filter(string_split_regex(trim(value), '\s+'), lambda x: x <> '') AS tokens FROM l),
+u AS (
+  SELECT seq, list_filter(tokens, lambda x: contains(x, 'http'))[-1] AS url,
+         list_filter(tokens, lambda x: x IN ('TRUE', 'FALSE'))[-1] AS lt
+  FROM t)
+SELECT seq, url, CASE lt WHEN 'TRUE' THEN 1 WHEN 'FALSE' THEN 2 END AS gt_label
+FROM u WHERE url IS NOT NULL AND lt IS NOT NULL
+"""
+
+
+def q_http_lines(spark: SparkSession, sf: str) -> DataFrame:
+    return parse_http_lines(D.http_lines(spark, sf))
+
+
+SQL_HTTP_LINES = """
+WITH l AS (
+  SELECT page_id AS seq,
+         CASE WHEN url LIKE '%#top' THEN 'no link here' WHEN url LIKE '%/de/%' THEN ''
+              ELSE '  ' || url || ' ' END AS value
+  FROM pages)
+SELECT seq, trim(value) AS url FROM l WHERE trim(value) <> '' AND contains(trim(value), 'http')
+"""
+
+# ------------------------------------------------------ filters and weights
+
+
+def q_uncertain_predictions(spark: SparkSession, sf: str) -> DataFrame:
+    unsure = uncertain_only(_banded(spark, sf))
+    return unsure.select("filename", "prediction", _r("probability").alias("probability"),
+                         _r("logit").alias("logit"))
+
+
+SQL_UNCERTAIN_PREDICTIONS = _SQL_S + """
+SELECT filename, prediction, round(probability, 6) AS probability, round(logit, 6) AS logit
+FROM b WHERE prediction = '?'
+"""
+
+
+def q_confident_predictions(spark: SparkSession, sf: str) -> DataFrame:
+    j = _banded(spark, sf).join(D.truth(spark, sf), "filename")
+    return confident_only(j).select("filename", "pred_num", "label")
+
+
+SQL_CONFIDENT_PREDICTIONS = _SQL_S + """
+SELECT b.filename, CASE WHEN prediction = 'TRUE' THEN 1 ELSE 0 END AS pred_num, label
+FROM b JOIN t ON b.filename = t.filename WHERE prediction IN ('TRUE', 'FALSE')
+"""
+
+
+def q_pos_weight(spark: SparkSession, sf: str) -> DataFrame:
+    return _round_all(pos_weight(D.truth(spark, sf)), ("pos_weight",))
+
+
+SQL_POS_WEIGHT = _SQL_S + """
+SELECT round(count(*) FILTER (WHERE label = 0) / count(*) FILTER (WHERE label = 1), 6) AS pos_weight FROM t
+"""
+
+
+def q_fetch_error_log(spark: SparkSession, sf: str) -> DataFrame:
+    failures = _ingest(spark, sf).filter(F.col("status").startswith("error"))
+    first, _ = bounded_error_log(failures, 10, "pos")
+    return first.select("pos", "url", "status")
+
+
+SQL_FETCH_ERROR_LOG = _SQL_INGEST + """
+SELECT pos, url, status FROM st WHERE status LIKE 'error%' ORDER BY pos LIMIT 10
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "label_fusion": q_label_fusion,
     "fusion_stats": q_fusion_stats,
@@ -786,6 +904,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "platt_calibration": q_platt_calibration,
     "train_head": q_train_head,
     "incremental_annotate": q_incremental_annotate,
+    "labelled_urls": q_labelled_urls,
+    "labelled_rejects": q_labelled_rejects,
+    "gt_tokens": q_gt_tokens,
+    "http_lines": q_http_lines,
+    "uncertain_predictions": q_uncertain_predictions,
+    "confident_predictions": q_confident_predictions,
+    "pos_weight": q_pos_weight,
+    "fetch_error_log": q_fetch_error_log,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -819,4 +945,12 @@ ORACLE_SQL: dict[str, str] = {
     "label_encoding": SQL_LABEL_ENCODING,
     "url_names": SQL_URL_NAMES,
     "incremental_annotate": _sql_batch_annotate(),
+    "labelled_urls": SQL_LABELLED_URLS,
+    "labelled_rejects": SQL_LABELLED_REJECTS,
+    "gt_tokens": SQL_GT_TOKENS,
+    "http_lines": SQL_HTTP_LINES,
+    "uncertain_predictions": SQL_UNCERTAIN_PREDICTIONS,
+    "confident_predictions": SQL_CONFIDENT_PREDICTIONS,
+    "pos_weight": SQL_POS_WEIGHT,
+    "fetch_error_log": SQL_FETCH_ERROR_LOG,
 }

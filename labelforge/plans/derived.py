@@ -173,3 +173,41 @@ def scored_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("value").alias("loss"),
         (F.col("event_type") != "error").alias("correct"),
     )
+
+
+# ---------------------------------------------------- text lines from pages
+
+def _page_label_text() -> Column:
+    text = F.when(F.col("url").startswith("https"), F.lit("TRUE")).otherwise(F.lit("FALSE"))
+    return F.when(F.col("url").contains("/fr/"), F.lower(text)).otherwise(text)
+
+
+def labelled_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``seq, value``: a labelled URL list (label TAB url); French pages write
+    the label in lower case, ``#top`` pages lose the TAB (malformed)."""
+    pages = table(spark, sf_dir, "pages")
+    sep = F.when(F.col("url").endswith("#top"), F.lit(" ")).otherwise(F.lit("\t"))
+    return pages.select(F.col("page_id").alias("seq"), F.concat(_page_label_text(), sep, F.col("url")).alias("value"))
+
+
+def gt_token_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``seq, value``: free-form truth lines; English pages put the label
+    first, French pages last, German pages have none, the rest carry two
+    label tokens (the last one counts)."""
+    pages = table(spark, sf_dir, "pages")
+    label = F.when(F.col("url").startswith("https"), F.lit("TRUE")).otherwise(F.lit("FALSE"))
+    value = (F.when(F.col("url").contains("/en/"), F.concat(label, F.lit("  "), F.col("url")))
+             .when(F.col("url").contains("/fr/"), F.concat(F.col("url"), F.lit(" "), label))
+             .when(F.col("url").contains("/de/"), F.col("url"))
+             .otherwise(F.concat(F.lit("FALSE "), F.col("url"), F.lit(" "), label)))
+    return pages.select(F.col("page_id").alias("seq"), value.alias("value"))
+
+
+def http_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``seq, value``: a URL file with padding, blank lines (German pages)
+    and prose without a link (``#top`` pages)."""
+    pages = table(spark, sf_dir, "pages")
+    value = (F.when(F.col("url").endswith("#top"), F.lit("no link here"))
+             .when(F.col("url").contains("/de/"), F.lit(""))
+             .otherwise(F.concat(F.lit("  "), F.col("url"), F.lit(" "))))
+    return pages.select(F.col("page_id").alias("seq"), value.alias("value"))
