@@ -114,3 +114,13 @@ def test_vector_channel_stats(spark):
     df = spark.createDataFrame([([1.0, 3.0],), ([2.0, 2.0],)], "v array<double>")
     r = vector_channel_stats(df, "v").first()
     assert (r.n, r.mean, r.std) == (2, 2.0, 0.5)
+
+
+def test_attach_images(spark, image_dir):
+    from labelforge.operators.joins import attach_images
+    labels = spark.createDataFrame([("red.png", 1), ("gone.jpg", 0)], "filename string, label int")
+    images = list_images(spark, image_dir).select("path")
+    got = {r.filename: r.error for r in attach_images(labels, images).collect()}
+    assert got["red.png"] is None and got["gone.jpg"] == "image not found: gone.jpg"
+    with pytest.raises(Exception):
+        attach_images(labels, images, strict=True).collect()
