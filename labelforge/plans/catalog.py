@@ -802,7 +802,7 @@ WITH l AS (
               WHEN url LIKE '%/de/%' THEN url
               ELSE 'FALSE ' || url || ' ' || (CASE WHEN url LIKE 'https%' THEN 'TRUE' ELSE 'FALSE' END) END AS value
   FROM pages),
-t AS (SELECT seq, list_filter(string_split_regex(trim(value), '\s+'), lambda x: x <> '') AS tokens FROM l),
+t AS (SELECT seq, list_filter(string_split_regex(trim(value), '\\s+'), lambda x: x <> '') AS tokens FROM l),
 u AS (
   SELECT seq, list_filter(tokens, lambda x: contains(x, 'http'))[-1] AS url,
          list_filter(tokens, lambda x: x IN ('TRUE', 'FALSE'))[-1] AS lt

@@ -38,9 +38,31 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)
+    ship_package(spark)
     return spark
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Make ``labelforge`` importable on every executor's Python workers
+    (the ``--py-files`` mechanism): zip the package once per session and add
+    it with ``SparkContext.addPyFile``, which serves it to the executors."""
+    marker = "spark.labelforge.shipped"
+    if spark.conf.get(marker, "false") == "true":
+        return
+    import zipfile
+
+    pkg_dir = os.path.dirname(os.path.abspath(__file__))
+    target = os.path.join(tempfile.mkdtemp(prefix="labelforge-pyfiles-"), "labelforge.zip")
+    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as zf:
+        for root, _dirs, files in os.walk(pkg_dir):
+            for name in files:
+                if name.endswith(".py"):
+                    full = os.path.join(root, name)
+                    zf.write(full, os.path.relpath(full, os.path.dirname(pkg_dir)))
+    spark.sparkContext.addPyFile(target)
+    spark.conf.set(marker, "true")
+
+
 def checkpoint_dir(spark: SparkSession) -> str | None:
     """The shared checkpoint folder of this session, if one is configured."""
     configured = spark.sparkContext.getCheckpointDir()
