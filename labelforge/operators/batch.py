@@ -120,25 +120,35 @@ def fetch(df: DataFrame, fetcher: Callable[[pd.DataFrame], pd.DataFrame], concur
 
 
 def call_annotator(df: DataFrame, annotator: Callable[[pd.DataFrame], object],
-                   batch_size: int = ANNOTATE_BATCH) -> DataFrame:
+                   batch_size: int = ANNOTATE_BATCH, status: str | None = None) -> DataFrame:
     """Add ``model_text`` and ``error`` by calling ``annotator`` per micro-batch
-    of ``batch_size`` rows; a failing batch marks its rows with the error."""
+    of ``batch_size`` rows; a failing batch marks its rows with the error.
+
+    With ``status`` (the fetch status column), only ``ok`` rows are given to
+    the annotator; the others pass through with the fetch error, so routing
+    needs no second branch over the fetched rows (which would fetch twice)."""
     out_schema = _append_field(df.schema, T.StructField("model_text", T.StringType()),
                                T.StructField("error", T.StringType()))
     cols = [f.name for f in df.schema.fields]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for part in _chunks(pdf, batch_size):
-                part = part[cols].copy()
+            pdf = pdf[cols].copy()
+            pdf["model_text"] = None
+            pdf["error"] = None
+            if status is not None:
+                failed = pdf[status] != "ok"
+                pdf.loc[failed, "error"] = pdf.loc[failed, status].str.replace(r"^error: ", "", regex=True)
+                todo = pdf[~failed]
+            else:
+                todo = pdf
+            for part in _chunks(todo, batch_size):
                 try:
-                    texts = list(annotator(part))
-                    part["model_text"] = texts
-                    part["error"] = None
+                    texts = list(annotator(part[cols]))
+                    pdf.loc[part.index, "model_text"] = pd.Series(texts, index=part.index, dtype="object")
                 except Exception as exc:  # noqa: BLE001
-                    part["model_text"] = None
-                    part["error"] = f"inference: {exc}"
-                yield part
+                    pdf.loc[part.index, "error"] = f"inference: {exc}"
+            yield pdf
 
     return df.mapInPandas(run, out_schema)
 
@@ -164,26 +174,16 @@ def annotate(urls: DataFrame, annotator, fetcher, done: DataFrame | None = None,
     not retried (pass a ``done`` without error rows to retry them)."""
     todo = urls if done is None else pending(urls, done, key)
     fetched = fetch(todo, fetcher, concurrency, content_type)
-    failed = fetched.filter(F.col("status") != "ok").select(
+    answered = call_annotator(fetched, annotator, batch_size, status="status")
+    answered = with_verdict(answered, "model_text", "__lf_pred", "__lf_parsed")
+    annotated_ok = (F.col("status") == "ok") & F.col("error").isNull()
+    out = answered.select(
         F.col(key).alias("url"),
-        F.regexp_replace("status", "^error: ", "").alias("error"),
-        fetch_error_verdict().alias("prediction"),
-        F.lit(False).alias("parsed"),
-    )
-    ok = fetched.filter(F.col("status") == "ok").drop("status")
-    answered = with_verdict(call_annotator(ok, annotator, batch_size), "model_text", "__lf_pred", "__lf_parsed")
-    inferred = F.col("error").isNull()
-    annotated = answered.select(
-        F.col(key).alias("url"), "error",
-        F.when(inferred, F.col("__lf_pred")).otherwise(fetch_error_verdict()).alias("prediction"),
-        F.when(inferred, F.col("__lf_parsed")).otherwise(F.lit(False)).alias("parsed"),
-    )
-    out = failed.unionByName(annotated)
-    out = out.select(
-        "url",
         F.unix_micros(F.current_timestamp()).cast("double").__truediv__(1e6).alias("timestamp"),
         F.lit(model_id).alias("model"),
-        "error", "prediction", "parsed",
+        "error",
+        F.when(annotated_ok, F.col("__lf_pred")).otherwise(fetch_error_verdict()).alias("prediction"),
+        F.when(annotated_ok, F.col("__lf_parsed")).otherwise(F.lit(False)).alias("parsed"),
     )
     return _typed(out)
 
@@ -196,22 +196,17 @@ def validate_annotator(gt: DataFrame, annotator, fetcher, key: str = "url",
     is false for rows whose inference failed: they count in the metrics but
     the reference writes no record for them."""
     fetched = fetch(gt, fetcher, content_type=content_type)
-    failed = fetched.filter(F.col("status") != "ok").select(
-        F.col(key).alias("url"), "gt_label",
-        F.regexp_replace("status", "^error: ", "").alias("error"),
-        fetch_error_verdict().alias("prediction"),
-        F.lit(False).alias("parsed"), F.lit(True).alias("written"),
-    )
-    answered = with_verdict(call_annotator(fetched.filter(F.col("status") == "ok").drop("status"), annotator,
-                                           batch_size), "model_text", "__lf_pred", "__lf_parsed")
-    inferred = F.col("error").isNull()
-    annotated = answered.select(
+    answered = call_annotator(fetched, annotator, batch_size, status="status")
+    answered = with_verdict(answered, "model_text", "__lf_pred", "__lf_parsed")
+    fetched_ok = F.col("status") == "ok"
+    inferred = fetched_ok & F.col("error").isNull()
+    out = _typed(answered.select(
         F.col(key).alias("url"), "gt_label", "error",
         F.when(inferred, F.col("__lf_pred")).otherwise(fetch_error_verdict()).alias("prediction"),
         F.when(inferred, F.col("__lf_parsed")).otherwise(F.lit(False)).alias("parsed"),
-        inferred.alias("written"),
-    )
-    out = _typed(failed.unionByName(annotated))
+        # a fetch failure is written; an inference failure counts but is not
+        (~fetched_ok | inferred).alias("written"),
+    ))
     # validation reads the class as int(class_id) of the parsed verdict
     return out.withColumn("pred_class", F.when(F.col("written"), F.col("class_id")).otherwise(F.lit(3)))
 

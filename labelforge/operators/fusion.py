@@ -58,11 +58,8 @@ def fuse_labels(crowd: DataFrame, model: DataFrame, key: str = "filename",
     key yields as many rows as the reference's merge does."""
     merged = merge_sources(crowd, model, key, crowd_label, model_label)
     kept = merged.filter(F.col("final_label").isNotNull())
-    single = kept.filter(F.col("n") == 1).select("filename", "final_label")
-    repeated = (kept.filter(F.col("n") > 1)
-                .select("filename", F.explode(F.array_repeat("final_label", F.col("n").cast("int")))
-                        .alias("final_label")))
-    return single.unionByName(repeated)
+    return kept.select("filename", F.explode(F.array_repeat("final_label", F.col("n").cast("int")))
+                       .alias("final_label"))
 
 
 def fusion_stats(crowd: DataFrame, model: DataFrame, key: str = "filename",

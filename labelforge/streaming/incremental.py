@@ -3,9 +3,10 @@ URL list files.
 
 New files are picked up by ``readStream.text``; each micro-batch is handled
 in ``foreachBatch``: the batch's URLs are anti-joined against the output
-already written (the output stays the source of truth, so a replayed batch
-after a failure skips what was written), annotated, and appended.  The
-stream's checkpoint lives in the shared checkpoint folder.
+already written (the output stays the source of truth), annotated, and
+written to ``<output>/batch_id=<id>`` with overwrite, so a micro-batch
+replayed after a failure rewrites its own folder instead of appending twice.
+The stream's checkpoint lives in the shared checkpoint folder.
 ``trigger(availableNow=True)`` processes what is there and stops.
 """
 
@@ -38,10 +39,20 @@ def annotate_incremental(spark: SparkSession, url_dir: str, output: str, annotat
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         src = enrich(batch) if enrich is not None else batch
-        sources = [p for p in (*seed_outputs, output) if path_exists(spark, p)]
-        done = processed_urls_from_lines(spark.read.text(sources)) if sources else None
+        parts = [spark.read.text(p).select("value") for p in seed_outputs if path_exists(spark, p)]
+        if path_exists(spark, output):
+            # everything written so far except this batch's own folder (a replay rewrites it)
+            parts.append(spark.read.text(output).filter(F.col("batch_id") != batch_id).select("value"))
+        done = None
+        if parts:
+            lines = parts[0]
+            for more in parts[1:]:
+                lines = lines.unionByName(more)
+            done = processed_urls_from_lines(lines)
         out = annotate(src, annotator, fetcher, done=done, model_id=model_id, content_type=content_type)
-        write_jsonl(out.select("url", "timestamp", "model", "error", "prediction"), output, mode="append")
+        # one folder per micro-batch, overwritten on replay: exactly-once output
+        write_jsonl(out.select("url", "timestamp", "model", "error", "prediction"),
+                    os.path.join(output, f"batch_id={batch_id}"), mode="overwrite")
 
     writer = urls.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint)
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="30 seconds")

@@ -106,3 +106,22 @@ def test_incremental_stream_resumes(spark, tmp_dir):
     assert got == ["http://x/1", "http://x/2", "http://x/3"]
     records, rejects = read_annotations(spark, out)
     assert records.count() == 3 and rejects.count() == 0
+
+
+def test_each_url_is_fetched_and_annotated_once(spark):
+    fetch_calls = spark.sparkContext.accumulator(0)
+    model_calls = spark.sparkContext.accumulator(0)
+
+    def counting_fetcher(pdf):
+        fetch_calls.add(len(pdf))
+        return fetcher(pdf)
+
+    def counting_annotator(pdf):
+        model_calls.add(len(pdf))
+        return annotator(pdf)
+
+    urls = spark.createDataFrame([(f"http://x/{i}",) for i in range(40)] + [("http://x/dead",)], "url string")
+    out = annotate(urls, counting_annotator, counting_fetcher, content_type="string").collect()
+    assert len(out) == 41
+    assert fetch_calls.value == 41  # no second branch re-fetches the rows
+    assert model_calls.value == 40  # the failed fetch never reaches the annotator
