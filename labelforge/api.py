@@ -126,7 +126,7 @@ def infer(spark: SparkSession, input_dir: str, output_csv: str, scorer, uncertai
                         "error")
     results = materialize(scored.unionByName(bad))
     write_csv(results.orderBy("filename"), output_csv, PREDICTION_COLUMNS)
-    write_uncertain(results, os.path.join(os.path.dirname(output_csv.rstrip("/")), "toloka_uncertain.csv"))
+    write_uncertain(results, os.path.join(os.path.dirname(output_csv.rstrip("/")), "uncertain.csv"))
     return prediction_summary(results)
 
 

@@ -114,7 +114,7 @@ def test_infer_and_image_jobs(spark, tmp_dir):
     assert summary.total == 3 and summary.n_uncertain == 1
     preds = {r.filename: r.prediction for r in spark.read.option("header", True).csv(out_csv).collect()}
     assert preds == {"a.png": "TRUE", "b.png": "FALSE", "c.jpg": "?"}
-    assert os.path.exists(os.path.join(tmp_dir, "pred", "toloka_uncertain.csv"))
+    assert os.path.exists(os.path.join(tmp_dir, "pred", "uncertain.csv"))
     stats = api.image_statistics(spark, d, img_size=8).first()
     assert stats.n_images == 2 and stats.mean_r == 0.5
     fails = api.upscale_directory(spark, d, os.path.join(tmp_dir, "up"))
