@@ -871,6 +871,32 @@ SELECT pos, url, status FROM st WHERE status LIKE 'error%' ORDER BY pos LIMIT 10
 """
 
 
+# Platt scaling by Newton's method in SQL: L2 (C = 1) on the slope, free
+# intercept - the objective Spark ML minimises with regParam = 1/n.
+SQL_PLATT_CALIBRATION = _SQL_S + """
+, d AS (SELECT s.logit AS x, CAST(t.label AS DOUBLE) AS y FROM s JOIN t ON s.filename = t.filename),
+fit AS (SELECT * FROM (
+  WITH RECURSIVE r(k, a, b) AS (
+    SELECT 0, CAST(0.0 AS DOUBLE), CAST(0.0 AS DOUBLE)
+    UNION ALL
+    SELECT k + 1,
+           a - (h11 * g0 - h01 * g1) / (h00 * h11 - h01 * h01),
+           b - (h00 * g1 - h01 * g0) / (h00 * h11 - h01 * h01)
+    FROM r, LATERAL (
+      SELECT sum((p - y) * x) + r.a AS g0, sum(p - y) AS g1,
+             sum(p * (1 - p) * x * x) + 1 AS h00, sum(p * (1 - p) * x) AS h01, sum(p * (1 - p)) AS h11
+      FROM (SELECT x, y, 1.0 / (1.0 + exp(-(r.a * x + r.b))) AS p FROM d))
+    WHERE k < 40)
+  SELECT a, b FROM r ORDER BY k DESC LIMIT 1)),
+sc AS (SELECT y, 1.0 / (1.0 + exp(-x)) AS p_raw, 1.0 / (1.0 + exp(-(a * x + b))) AS p_cal FROM d, fit)
+SELECT count(*) AS n, round(any_value(a), 6) AS slope, round(any_value(b), 6) AS intercept,
+       round(avg(power(p_raw - y, 2)), 6) AS brier_raw, round(avg(power(p_cal - y, 2)), 6) AS brier_cal,
+       round(avg(CASE WHEN (CASE WHEN p_raw > 0.5 THEN 1 ELSE 0 END) = y THEN 1.0 ELSE 0.0 END), 6) AS acc_raw,
+       round(avg(CASE WHEN (CASE WHEN p_cal > 0.5 THEN 1 ELSE 0 END) = y THEN 1.0 ELSE 0.0 END), 6) AS acc_cal
+FROM sc, fit
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "label_fusion": q_label_fusion,
     "fusion_stats": q_fusion_stats,
@@ -953,4 +979,5 @@ ORACLE_SQL: dict[str, str] = {
     "confident_predictions": SQL_CONFIDENT_PREDICTIONS,
     "pos_weight": SQL_POS_WEIGHT,
     "fetch_error_log": SQL_FETCH_ERROR_LOG,
+    "platt_calibration": SQL_PLATT_CALIBRATION,
 }

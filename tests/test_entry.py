@@ -10,4 +10,4 @@ def test_entry_runs(spark):
 def test_every_oracle_has_a_query():
     assert set(E.oracle_sql()) <= set(E.queries())
     rows_only = set(E.queries()) - set(E.oracle_sql())
-    assert rows_only == {"platt_calibration", "train_head"}
+    assert rows_only == {"train_head"}
