@@ -32,7 +32,9 @@ def ingest_failures(lines: DataFrame, header_lines: int = 1, labelled: bool = Fa
 def ingest_summary(lines: DataFrame, outcome: DataFrame, header_lines: int = 1) -> DataFrame:
     """``total`` (every line after the header, blanks included),
     ``downloaded`` (status ok), ``skipped`` (exists) and ``failed`` (invalid
-    lines plus fetch errors).  ``outcome`` is the plan after fetching."""
+    lines plus fetch errors), and ``kept`` (rows whose image is present after
+    the run: what labelled mode reports and writes).  ``outcome`` is the plan
+    after fetching."""
     body = lines.filter(F.col("seq") >= header_lines)
     invalid = ingest_failures(lines, header_lines)
     s = F.col("status")
@@ -44,6 +46,7 @@ def ingest_summary(lines: DataFrame, outcome: DataFrame, header_lines: int = 1)
         F.count_if(s == "ok").alias("downloaded"),
         F.count_if(s == "exists").alias("skipped"),
         F.count_if((s == "failed") | s.startswith("error")).alias("failed"),
+        F.count_if(s.isin("ok", "exists")).alias("kept"),
     )
 
 

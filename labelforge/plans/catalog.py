@@ -560,7 +560,8 @@ SQL_INGEST_SUMMARY = _SQL_INGEST + """
 SELECT (SELECT count(*) FROM pages) AS total,
        count(*) FILTER (WHERE status = 'ok') AS downloaded,
        count(*) FILTER (WHERE status = 'exists') AS skipped,
-       count(*) FILTER (WHERE status = 'failed' OR status LIKE 'error%') AS failed
+       count(*) FILTER (WHERE status = 'failed' OR status LIKE 'error%') AS failed,
+       count(*) FILTER (WHERE status IN ('ok', 'exists')) AS kept
 FROM st
 """
 
