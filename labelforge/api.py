@@ -77,7 +77,7 @@ def ingest(spark: SparkSession, input_path: str, image_store: str, fetcher, type
     outcome = plan.filter(F.col("status") != "fetch").unionByName(fetched.drop("content"))
     if labelled and labels_path:
         write_csv(labels_output(outcome), labels_path, ["filename", "label"])
-    return ingest_summary(lines, outcome)
+    return ingest_summary(lines, outcome, labelled=labelled)
 
 
 # ------------------------------------------------------------- evaluation

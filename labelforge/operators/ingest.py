@@ -29,14 +29,15 @@ def ingest_failures(lines: DataFrame, header_lines: int = 1, labelled: bool = Fa
     return bad
 
 
-def ingest_summary(lines: DataFrame, outcome: DataFrame, header_lines: int = 1) -> DataFrame:
+def ingest_summary(lines: DataFrame, outcome: DataFrame, header_lines: int = 1,
+                   labelled: bool = False) -> DataFrame:
     """``total`` (every line after the header, blanks included),
     ``downloaded`` (status ok), ``skipped`` (exists) and ``failed`` (invalid
     lines plus fetch errors), and ``kept`` (rows whose image is present after
     the run: what labelled mode reports and writes).  ``outcome`` is the plan
     after fetching."""
     body = lines.filter(F.col("seq") >= header_lines)
-    invalid = ingest_failures(lines, header_lines)
+    invalid = ingest_failures(lines, header_lines, labelled)
     s = F.col("status")
     tagged = (body.select(F.lit("line").alias("status"))
               .unionByName(invalid.select(F.lit("failed").alias("status")))

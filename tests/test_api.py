@@ -91,9 +91,11 @@ def test_ingest_no_markup_and_markup(spark, tmp_dir):
     assert (s.total, s.downloaded, s.skipped, s.failed) == (4, 2, 0, 1)
     s = api.ingest(spark, inp, store, fetch_ok, type="no_markup").first()
     assert (s.downloaded, s.skipped) == (0, 2)
-    tsv = _write(os.path.join(tmp_dir, "m.tsv"), "is_conifer\tdownloadUrl\nTRUE\thttp://x/1\nFALSE\thttp://x/2\n")
+    tsv = _write(os.path.join(tmp_dir, "m.tsv"),
+                 "is_conifer\tdownloadUrl\nTRUE\thttp://x/1\nFALSE\thttp://x/2\nTRUE http://x/3\n")
     labels = os.path.join(tmp_dir, "labels")
-    api.ingest(spark, tsv, os.path.join(tmp_dir, "store2"), fetch_ok, type="markup", labels_path=labels)
+    s = api.ingest(spark, tsv, os.path.join(tmp_dir, "store2"), fetch_ok, type="markup", labels_path=labels).first()
+    assert (s.total, s.downloaded, s.failed, s.kept) == (3, 2, 1, 2)
     got = sorted(tuple(r) for r in spark.read.option("header", True).csv(labels).collect())
     assert got == [("000.jpg", "1"), ("001.jpg", "0")]
 
