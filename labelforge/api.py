@@ -12,9 +12,9 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from labelforge.errors import path_exists
+from labelforge.errors import path_exists, require_rows
 from labelforge.functions.labels import uncertainty_band
 from labelforge.functions.verdict import is_object
 from labelforge.operators import batch as B
@@ -51,9 +51,6 @@ def fuse(spark: SparkSession, crowd_path: str, model_path: str, output_path: str
 
 # ----------------------------------------------------------------- ingest
 
-_IMAGE_STORE = T.StructType([T.StructField("filename", T.StringType()), T.StructField("content", T.BinaryType())])
-
-
 def ingest(spark: SparkSession, input_path: str, image_store: str, fetcher, type: str = "markup",  # noqa: A002
            labels_path: str | None = None, overwrite: bool = False, concurrency: int = 8) -> DataFrame:
     """Fetch the images of a URL list into an image table.
@@ -115,6 +112,7 @@ def infer(spark: SparkSession, input_dir: str, output_csv: str, scorer, uncertai
     undecodable image is banded ``?`` with its error (never scored black)."""
     # the reference scans *.jpg and *.png (case-sensitive): a filter, no join
     rgb = I.load_images(spark, input_dir).filter(F.col("path").rlike(r"\.(jpg|png)$"))
+    require_rows(rgb.select("path"), f"image folder {input_dir}")  # A11: no images -> typed error
     pixels = I.normalise_pixels(rgb.filter(F.col("error").isNull()), size=img_size)
     failed = rgb.filter(F.col("error").isNotNull()).select("path", "error")
     calibrator = load_calibrator(calibrator_path) if use_calibrated and calibrator_path else None

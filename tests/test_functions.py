@@ -1,7 +1,6 @@
 import math
 
 import pytest
-from pyspark.sql import functions as F
 
 from labelforge.functions.labels import (
     class_name, label_from_text, percent_of_total, prediction_to_num, safe_ratio, sigmoid, to_int_label,

@@ -1,5 +1,4 @@
 import pytest
-from pyspark.sql import functions as F
 
 from labelforge.operators.metrics import (
     accuracy_at, best_epoch, binary_report, brier_score, classification_report, confusion_matrix,

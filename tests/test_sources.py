@@ -1,7 +1,6 @@
 import os
 
 import pytest
-from pyspark.sql import functions as F
 
 from labelforge.errors import MissingInputError
 from labelforge.operators.joins import pending, resume_summary
