@@ -6,6 +6,9 @@ in ``foreachBatch``: the batch's URLs are anti-joined against the output
 already written (the output stays the source of truth), annotated, and
 written to ``<output>/batch_id=<id>`` with overwrite, so a micro-batch
 replayed after a failure rewrites its own folder instead of appending twice.
+The URLs each batch wrote are indexed as Parquet (read back from the
+written output), so a later batch reads one column instead of re-parsing
+the whole history.
 The stream's checkpoint lives in the shared checkpoint folder.
 ``trigger(availableNow=True)`` processes what is there and stops.
 """
@@ -23,6 +26,10 @@ from labelforge.session import scratch_path
 from labelforge.sinks.files import write_jsonl
 from labelforge.sources.annotations import parse_annotation_lines, processed_urls_from_lines
 
+# Per-batch index of written URLs; a leading underscore keeps it out of
+# Spark's listing of the output folder.
+DONE_INDEX = "_done_urls"
+
 
 def annotate_incremental(spark: SparkSession, url_dir: str, output: str, annotator, fetcher,
                          checkpoint: str | None = None, enrich=None, model_id: str = "stub",
@@ -37,22 +44,29 @@ def annotate_incremental(spark: SparkSession, url_dir: str, output: str, annotat
     lines = spark.readStream.text(url_dir)
     urls = lines.select(strip_ws("value").alias("url")).filter((F.col("url") != "") & contains_http("url"))
 
+    index_dir = os.path.join(output, DONE_INDEX)
+
     def handle(batch: DataFrame, batch_id: int) -> None:
         src = enrich(batch) if enrich is not None else batch
-        parts = [spark.read.text(p).select("value") for p in seed_outputs if path_exists(spark, p)]
-        if path_exists(spark, output):
-            # everything written so far except this batch's own folder (a replay rewrites it)
-            parts.append(spark.read.text(output).filter(F.col("batch_id") != batch_id).select("value"))
+        done_parts = []
+        seeds = [p for p in seed_outputs if path_exists(spark, p)]
+        if seeds:
+            done_parts.append(processed_urls_from_lines(spark.read.text(seeds)))
+        if path_exists(spark, index_dir):
+            # URLs of every earlier micro-batch: one Parquet column, not a re-parse of the output
+            done_parts.append(spark.read.parquet(index_dir).filter(F.col("batch_id") != batch_id).select("url"))
         done = None
-        if parts:
-            lines = parts[0]
-            for more in parts[1:]:
-                lines = lines.unionByName(more)
-            done = processed_urls_from_lines(lines)
+        if done_parts:
+            done = done_parts[0]
+            for more in done_parts[1:]:
+                done = done.unionByName(more)
         out = annotate(src, annotator, fetcher, done=done, model_id=model_id, content_type=content_type)
         # one folder per micro-batch, overwritten on replay: exactly-once output
-        write_jsonl(out.select("url", "timestamp", "model", "error", "prediction"),
-                    os.path.join(output, f"batch_id={batch_id}"), mode="overwrite")
+        batch_out = os.path.join(output, f"batch_id={batch_id}")
+        write_jsonl(out.select("url", "timestamp", "model", "error", "prediction"), batch_out, mode="overwrite")
+        # the index is read back from what was written (the annotator is not called again)
+        (processed_urls_from_lines(spark.read.text(batch_out)).write.mode("overwrite")
+         .parquet(os.path.join(index_dir, f"batch_id={batch_id}")))
 
     writer = urls.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint)
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="30 seconds")
