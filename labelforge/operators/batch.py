@@ -12,7 +12,7 @@ routing, parsing, banding, metrics) with native expressions.
 
 A batch function that raises marks its rows (``error``) instead of failing
 the task.  Because an annotator may be non-deterministic, the job writes its
-output once and reads it back (``run_annotation``), so a retried task or a
+output once and reads it back (``labelforge.api.annotate``), so a retried task or a
 second action never calls the model again for the same rows.
 """
 
