@@ -68,3 +68,19 @@ def test_train_head_on_embeddings(spark):
     assert len(out) == 2 and sum(r.is_best for r in out) == 1
     best = [r for r in out if r.is_best][0]
     assert best.test_accuracy is not None and 0.0 <= best.test_accuracy <= 1.0
+
+
+def test_train_head_separable_fixture(spark):
+    rng = np.random.default_rng(1)
+    rows = []
+    for i in range(400):
+        y = i % 2
+        v = rng.normal(0, 0.1, 4)
+        v[0] += 3.0 if y else -3.0
+        rows.append((f"k{i}", [float(x) for x in v], y))
+    df = spark.createDataFrame(rows, "filename string, embedding array<double>, label int")
+    out = {r.epoch: r for r in train_head(df, epochs=(1, 5, 20)).collect()}
+    best = [r for r in out.values() if r.is_best]
+    assert len(best) == 1 and best[0].val_accuracy == 1.0 and best[0].test_accuracy == 1.0
+    # earliest epoch wins a tie
+    assert best[0].epoch == min(e for e, r in out.items() if r.val_accuracy == 1.0)
