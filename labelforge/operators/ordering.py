@@ -93,10 +93,12 @@ def with_rank(df: DataFrame, order_by: Sequence, group_by: Sequence[str] = (),
     expressions over existing columns."""
     group_by = list(group_by)
     sort_keys = [F.col(g) for g in group_by] + [F.col(c) if isinstance(c, str) else c for c in order_by]
-    spark = df.sparkSession
-    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # without an explicit count AQE may coalesce adjacent range partitions
+    # (small inputs); ranges stay contiguous and ordered, so ranks stay exact
+    ranged = (df.repartitionByRange(num_partitions, *sort_keys) if num_partitions
+              else df.repartitionByRange(*sort_keys))
     numbered = (
-        df.repartitionByRange(n, *sort_keys)
+        ranged
         .sortWithinPartitions(*sort_keys)
         .withColumn(_PID, F.spark_partition_id())
         .withColumn(_MID, F.monotonically_increasing_id())

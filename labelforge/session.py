@@ -42,12 +42,15 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
     return spark
 
 
+_SHIPPED: set[str] = set()
+
+
 def ship_package(spark: SparkSession) -> None:
     """Make ``labelforge`` importable on every executor's Python workers
-    (the ``--py-files`` mechanism): zip the package once per session and add
-    it with ``SparkContext.addPyFile``, which serves it to the executors."""
-    marker = "spark.labelforge.shipped"
-    if spark.conf.get(marker, "false") == "true":
+    (the ``--py-files`` mechanism): zip the package once per application and
+    add it with ``SparkContext.addPyFile``, which serves it to the executors."""
+    sc = spark.sparkContext
+    if sc.applicationId in _SHIPPED:
         return
     import zipfile
 
@@ -59,8 +62,8 @@ def ship_package(spark: SparkSession) -> None:
                 if name.endswith(".py"):
                     full = os.path.join(root, name)
                     zf.write(full, os.path.relpath(full, os.path.dirname(pkg_dir)))
-    spark.sparkContext.addPyFile(target)
-    spark.conf.set(marker, "true")
+    sc.addPyFile(target)
+    _SHIPPED.add(sc.applicationId)
 
 
 def checkpoint_dir(spark: SparkSession) -> str | None:
@@ -68,21 +71,27 @@ def checkpoint_dir(spark: SparkSession) -> str | None:
     configured = spark.sparkContext.getCheckpointDir()
     if configured:
         return configured
-    return spark.conf.get("spark.checkpoint.dir", None) or None
+    return _configured_dir(spark)
+
+
+def _configured_dir(spark: SparkSession) -> str | None:
+    try:
+        wanted = spark.conf.get("spark.checkpoint.dir", None)
+    except Exception:  # noqa: BLE001 - not a runtime SQL conf on this version
+        wanted = None
+    return wanted or spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or None
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Use the cluster's ``spark.checkpoint.dir``; only when it is unset
     (local tests) fall back to a fresh folder under the system temp dir."""
-    configured = spark.sparkContext.getCheckpointDir()
+    sc = spark.sparkContext
+    configured = sc.getCheckpointDir()
     if configured:
         return configured
-    wanted = spark.conf.get("spark.checkpoint.dir", None)
-    if not wanted:
-        wanted = tempfile.mkdtemp(prefix="labelforge-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", wanted)
-    spark.sparkContext.setCheckpointDir(wanted)
-    return spark.sparkContext.getCheckpointDir() or wanted
+    wanted = _configured_dir(spark) or tempfile.mkdtemp(prefix="labelforge-ckpt-")
+    sc.setCheckpointDir(wanted)
+    return sc.getCheckpointDir() or wanted
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
