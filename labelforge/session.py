@@ -26,6 +26,27 @@ DEFAULT_CONF = {
 }
 
 
+def scale_conf(input_bytes: int, total_cores: int, target_partition_bytes: int = 128 << 20) -> dict[str, str]:
+    """Settings to pass at submit time for an input of ``input_bytes`` on a
+    cluster with ``total_cores`` task slots.
+
+    Shuffle partitions are sized so one partition holds about
+    ``target_partition_bytes`` of the largest input (a 100 TB scan gives
+    ~800k partitions at 128 MB), and never fewer than three waves of tasks;
+    AQE then coalesces small partitions toward the advisory size and splits
+    skewed ones (a partition is skewed at 5x the median and above 256 MB)."""
+    partitions = max(3 * total_cores, -(-int(input_bytes) // int(target_partition_bytes)))
+    return {
+        **DEFAULT_CONF,
+        "spark.sql.shuffle.partitions": str(partitions),
+        "spark.sql.files.maxPartitionBytes": str(int(target_partition_bytes)),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(int(target_partition_bytes)),
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "5",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(256 << 20),
+        "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false",
+    }
+
+
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
                   app_name: str = "labelforge", memory: str | None = None) -> SparkSession:
     """A local session for tests and the bench (never used on a cluster)."""

@@ -52,3 +52,11 @@ def test_lineage_and_names(spark):
     df = spark.createDataFrame([("/a/b/c.jpg", 2)], "path string, g int")
     out = with_lineage(image_names(df), model_id="m", gt_label="g").first()
     assert out.filename == "c.jpg" and out.model == "m" and out.gt_label == 2 and out.timestamp > 1.6e9
+
+
+def test_scale_conf():
+    from labelforge.session import scale_conf
+    conf = scale_conf(100 * (1 << 40), 8000)
+    assert int(conf["spark.sql.shuffle.partitions"]) == 819200
+    assert conf["spark.sql.adaptive.enabled"] == "true"
+    assert int(scale_conf(1 << 20, 64)["spark.sql.shuffle.partitions"]) == 192
