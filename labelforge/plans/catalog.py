@@ -593,17 +593,19 @@ def q_batch_annotate(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("url", "error", "parsed", "class_id", "label", "confidence")
 
 
+# the stub annotator's verdict JSON (null = it answered in prose), as column j0
 _SQL_ANNOTATE_CORE = """
   CASE WHEN length(html) % 7 = 0 THEN NULL
        ELSE '{"class_id": ' || CAST(length(html) % 3 + 1 AS VARCHAR) || ', "label": "'
             || CASE length(html) % 3 WHEN 0 THEN 'coniferous' WHEN 1 THEN 'deciduous' ELSE 'bad' END
-            || '", "confidence": ' || printf('%.2f', (length(html) % 100) / 100.0) || '}' END AS j
+            || '", "confidence": ' || printf('%.2f', (length(html) % 100) / 100.0) || '}' END AS j0
 """
 
+
 def _sql_batch_annotate() -> str:
     return _SQL_DONE + """
 , todo AS (SELECT url, html FROM pages WHERE NOT EXISTS (SELECT 1 FROM done WHERE done.url = pages.url)),
-a0 AS (SELECT url, html, """ + _SQL_ANNOTATE_CORE.replace("AS j", "AS j0") + """ FROM todo),
+a0 AS (SELECT url, html, """ + _SQL_ANNOTATE_CORE + """ FROM todo),
 b AS (
   SELECT url,
          CASE WHEN url LIKE '%#top' THEN 'unreachable' END AS error,
@@ -624,7 +626,7 @@ def q_validate_annotator(spark: SparkSession, sf: str) -> DataFrame:
 def _sql_validate_annotator() -> str:
     return """
 WITH g AS (SELECT url, html, CASE WHEN url LIKE 'https%' THEN 1 ELSE 2 END AS gt_label FROM pages),
-a0 AS (SELECT url, html, gt_label, """ + _SQL_ANNOTATE_CORE.replace("AS j", "AS j0") + """ FROM g),
+a0 AS (SELECT url, html, gt_label, """ + _SQL_ANNOTATE_CORE + """ FROM g),
 b AS (
   SELECT url, gt_label,
          (url NOT LIKE '%#top' AND j0 IS NOT NULL) AS parsed,
