@@ -214,7 +214,7 @@ def normalise_pixels(rgb_images: DataFrame, size: int = IMG_SIZE, mean: Sequence
                     continue
                 arr = np.frombuffer(row["data"], dtype=np.uint8).reshape(int(row["height"]), int(row["width"]), 3)
                 x = (resize_array(arr, size, size) / 255.0 - m) / s
-                out.append((row["path"], x.astype(np.float32).ravel().tolist(), None))
+                out.append((row["path"], x.astype(np.float32).ravel(), None))
             yield pd.DataFrame(out, columns=["path", "pixels", "error"])
 
     return rgb_images.mapInPandas(run, schema)
