@@ -35,7 +35,10 @@ from labelforge.sources.annotations import read_annotations, read_processed_urls
 from labelforge.sources.tables import read_labels, read_predictions
 from labelforge.sources.text import read_gt_tokens, read_http_lines, read_lines
 
-SELECT_TARGET = 3000
+from labelforge.fixed import (
+    FETCH_CONCURRENCY, IMG_SIZE, SCORE_BATCH, SEED, SELECT_TARGET, UNCERTAINTY_THRESHOLD, UPSCALE_FACTOR,
+    UPSCALE_METHODS,
+)
 
 
 # ----------------------------------------------------------------- fusion
@@ -52,7 +55,8 @@ def fuse(spark: SparkSession, crowd_path: str, model_path: str, output_path: str
 # ----------------------------------------------------------------- ingest
 
 def ingest(spark: SparkSession, input_path: str, image_store: str, fetcher, type: str = "markup",  # noqa: A002
-           labels_path: str | None = None, overwrite: bool = False, concurrency: int = 8) -> DataFrame:
+           labels_path: str | None = None, overwrite: bool = False,
+           concurrency: int = FETCH_CONCURRENCY) -> DataFrame:
     """Fetch the images of a URL list into an image table.
 
     ``type`` is ``markup`` (TSV of label + URL, names ``%03d.jpg``) or
@@ -79,7 +83,8 @@ def ingest(spark: SparkSession, input_path: str, image_store: str, fetcher, type
 
 # ------------------------------------------------------------- evaluation
 
-def evaluate(spark: SparkSession, predictions: str, labels: str, subset: str = "all", seed: int = 42) -> DataFrame:
+def evaluate(spark: SparkSession, predictions: str, labels: str, subset: str = "all",
+             seed: int = SEED) -> DataFrame:
     """Evaluate a predictions CSV against a labels CSV (D1, H1/H2, E3).  The
     split is computed on the whole labels table before the join."""
     preds = read_predictions(spark, predictions)
@@ -103,9 +108,9 @@ def calibrate(spark: SparkSession, predictions: str, labels: str, output: str) -
 
 # -------------------------------------------------------------- inference
 
-def infer(spark: SparkSession, input_dir: str, output_csv: str, scorer, uncertainty_threshold: float = 0.25,
-          use_calibrated: bool = False, calibrator_path: str | None = None, batch_size: int = 32,
-          img_size: int = 128) -> DataFrame:
+def infer(spark: SparkSession, input_dir: str, output_csv: str, scorer,
+          uncertainty_threshold: float = UNCERTAINTY_THRESHOLD, use_calibrated: bool = False,
+          calibrator_path: str | None = None, batch_size: int = SCORE_BATCH, img_size: int = IMG_SIZE) -> DataFrame:
     """Score the images of a folder and band them (A9, A10, B20, I1, I5, B9,
     K1, K3, E8).  ``scorer`` receives batches with a ``pixels`` column (flat
     normalised H x W x 3 floats) and returns one logit per row.  An
@@ -128,7 +133,7 @@ def infer(spark: SparkSession, input_dir: str, output_csv: str, scorer, uncertai
     return prediction_summary(results)
 
 
-def band(df: DataFrame, uncertainty_threshold: float = 0.25, prob: str = "probability") -> DataFrame:
+def band(df: DataFrame, uncertainty_threshold: float = UNCERTAINTY_THRESHOLD, prob: str = "probability") -> DataFrame:
     """B9 on an existing predictions frame."""
     return df.withColumn("prediction", uncertainty_band(prob, uncertainty_threshold))
 
@@ -194,13 +199,13 @@ def select(spark: SparkSession, input: str, output: str, target: int = SELECT_TA
 
 # ------------------------------------------------------------------ images
 
-def image_statistics(spark: SparkSession, folder: str, img_size: int = 128) -> DataFrame:
+def image_statistics(spark: SparkSession, folder: str, img_size: int = IMG_SIZE) -> DataFrame:
     """Channel mean / std of a folder of images."""
     return I.channel_stats(I.image_channel_stats(I.load_images(spark, folder), img_size))
 
 
-def upscale_directory(spark: SparkSession, input_dir: str, output_dir: str, scale: int = 2,
-                      methods=("bilinear", "lanczos")) -> DataFrame:
+def upscale_directory(spark: SparkSession, input_dir: str, output_dir: str, scale: int = UPSCALE_FACTOR,
+                      methods=UPSCALE_METHODS) -> DataFrame:
     """Upscale every image with every method into a table partitioned by
     method (I8, K4); returns the failures (reported, skipped)."""
     up = materialize(I.upscale(I.load_images(spark, input_dir), scale, methods))

@@ -10,14 +10,9 @@ from pyspark.sql import Column, functions as F
 
 from labelforge.functions._util import as_col
 
-# Fixed values that must match the reference for equal results:
-# band texts, verdict class ids and their display names.
-BAND_TRUE = "TRUE"
-BAND_FALSE = "FALSE"
-BAND_UNSURE = "?"
-CLASS_NAMES = {1: "Coniferous", 2: "Deciduous", 3: "Bad"}
-TRUE_TEXTS = ("TRUE", "True")
-FALSE_TEXTS = ("FALSE", "False")
+from labelforge.fixed import (  # noqa: F401 - re-exported
+    BAND_FALSE, BAND_TRUE, BAND_UNSURE, CLASS_NAMES, FALSE_TEXTS, TRUE_TEXTS, UNCERTAINTY_THRESHOLD,
+)
 
 
 def label_from_text(col, scheme: str = "binary") -> Column:
@@ -25,9 +20,9 @@ def label_from_text(col, scheme: str = "binary") -> Column:
     ``verdict``: ``TRUE`` -> 1, ``FALSE`` -> 2, anything else null."""
     c = as_col(col)
     if scheme == "binary":
-        return F.when(c == F.lit("TRUE"), F.lit(1)).otherwise(F.lit(0))
+        return F.when(c == F.lit(BAND_TRUE), F.lit(1)).otherwise(F.lit(0))
     if scheme == "verdict":
-        return F.when(c == F.lit("TRUE"), F.lit(1)).when(c == F.lit("FALSE"), F.lit(2))
+        return F.when(c == F.lit(BAND_TRUE), F.lit(1)).when(c == F.lit(BAND_FALSE), F.lit(2))
     raise ValueError(f"unknown label scheme: {scheme!r}")
 
 
@@ -45,7 +40,7 @@ def sigmoid(col) -> Column:
     return F.lit(1.0) / (F.lit(1.0) + F.exp(-as_col(col)))
 
 
-def uncertainty_band(prob, threshold: float = 0.25) -> Column:
+def uncertainty_band(prob, threshold: float = UNCERTAINTY_THRESHOLD) -> Column:
     """``p < t`` -> FALSE, else ``p > 1 - t`` -> TRUE, else ``?``.
     The FALSE test comes first, so for ``t > 0.5`` it wins; a null stays null."""
     p = as_col(prob)

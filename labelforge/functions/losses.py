@@ -6,9 +6,7 @@ from pyspark.sql import Column, functions as F
 
 from labelforge.functions._util import as_col
 
-# Fixed focal-loss defaults of the reference training code.
-FOCAL_ALPHA = 0.67
-FOCAL_GAMMA = 2.0
+from labelforge.fixed import FOCAL_ALPHA, FOCAL_GAMMA
 
 
 def bce_with_logits(logit, label) -> Column:

@@ -19,12 +19,7 @@ from pyspark.sql import Column, functions as F, types as T
 from labelforge.functions._util import as_col
 from labelforge.functions.text import strip_ws
 
-# Fixed values of the verdict contract (class ids and fallback labels).
-BAD_CLASS = 3
-BAD_PARSE_LABEL = "bad_parse"
-BAD_FETCH_LABEL = "bad"
-FENCE_JSON = "```json"
-FENCE = "```"
+from labelforge.fixed import BAD_CLASS, BAD_FETCH_LABEL, BAD_PARSE_LABEL, FENCE, FENCE_JSON
 
 _NUMERIC_TYPES = ("BIGINT", "INT", "SMALLINT", "TINYINT", "DOUBLE", "FLOAT")
 
@@ -82,7 +77,8 @@ def fallback_verdict(raw_text) -> Column:
 
 def fetch_error_verdict() -> Column:
     """``{class_id: 3, label: bad}`` written for a failed fetch."""
-    return F.parse_json(F.lit('{"class_id":3,"label":"bad"}'))
+    return F.parse_json(F.to_json(F.struct(F.lit(BAD_CLASS).alias("class_id"),
+                                           F.lit(BAD_FETCH_LABEL).alias("label"))))
 
 
 def with_verdict(df, text: str, prediction: str = "prediction", parsed: str = "parsed"):

@@ -30,9 +30,7 @@ from labelforge.functions.verdict import (
 )
 from labelforge.operators.joins import pending
 
-# Fixed batch sizes of the reference jobs.
-SCORE_BATCH = 32
-ANNOTATE_BATCH = 8
+from labelforge.fixed import ANNOTATE_BATCH, SCORE_BATCH, UNCERTAINTY_THRESHOLD
 
 
 def _chunks(pdf: pd.DataFrame, size: int):
@@ -68,7 +66,7 @@ def score_logits(df: DataFrame, scorer: Callable[[pd.DataFrame], object],
 
 
 def batch_score(df: DataFrame, scorer, input_cols: list[str], key: str = "filename",
-                threshold: float = 0.25, batch_size: int = SCORE_BATCH,
+                threshold: float = UNCERTAINTY_THRESHOLD, batch_size: int = SCORE_BATCH,
                 calibrator=None) -> DataFrame:
     """``filename, prediction, probability, logit`` (+ ``error``).
 

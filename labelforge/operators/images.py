@@ -19,15 +19,12 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from labelforge.errors import require_path
 from labelforge.functions.text import has_image_extension, path_basename
 
-# Fixed normalisation defaults of the reference (128 px RGB, /255).
-NORM_MEAN = (0.273, 0.337, 0.274)
-NORM_STD = (0.131, 0.124, 0.108)
-IMG_SIZE = 128
+from labelforge.fixed import IMAGE_EXTENSIONS, IMG_SIZE, NORM_MEAN, NORM_STD, UPSCALE_FACTOR, UPSCALE_METHODS
 
 
 # ---------------------------------------------------------------- listing
 
-def list_images(spark: SparkSession, folder: str, extensions: Sequence[str] = ("jpg", "jpeg", "png"),
+def list_images(spark: SparkSession, folder: str, extensions: Sequence[str] = IMAGE_EXTENSIONS,
                 case_sensitive: bool = False, recursive: bool = False) -> DataFrame:
     """``path, filename, length`` of image files (content never read)."""
     require_path(spark, folder)
@@ -229,7 +226,8 @@ _UPSCALED = T.StructType([
 ])
 
 
-def upscale(rgb_images: DataFrame, scale: int = 2, methods: Sequence[str] = ("bilinear", "lanczos")) -> DataFrame:
+def upscale(rgb_images: DataFrame, scale: int = UPSCALE_FACTOR,
+            methods: Sequence[str] = UPSCALE_METHODS) -> DataFrame:
     """I8: every readable image resized by ``scale`` with every method.
     An unknown method fails at once; a failing image/method pair is a row
     with ``error`` (reported and skipped by the writer)."""

@@ -12,6 +12,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from labelforge.fixed import SELECT_TARGET
 from labelforge.operators.ordering import with_rank
 from labelforge.session import materialize
 
@@ -42,7 +43,7 @@ def lowest_k(df: DataFrame, k: int, order_by, rank_col: str | None = None) -> Da
     return ranked if rank_col else ranked.drop("__lf_rank")
 
 
-def quota_fill(records: DataFrame, target: int = 3000, bad: str = "is_bad",
+def quota_fill(records: DataFrame, target: int = SELECT_TARGET, bad: str = "is_bad",
                confidence: str = "confidence", seq: str = "seq") -> DataFrame:
     """all bad rows (even past the target) plus the ``target - n_bad``
     lowest-confidence candidates (all of them when too few).

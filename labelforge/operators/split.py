@@ -24,9 +24,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from labelforge.operators.ordering import with_rank
 
-# Fixed presets: evaluation (70/15/15) and training (80/18/2) splits.
-EVAL_FRACTIONS = (("train", 0.70), ("val", 0.15), ("test", 0.15))
-TRAIN_FRACTIONS = (("train", 0.80), ("val", 0.18), ("test", 0.02))
+from labelforge.fixed import EVAL_FRACTIONS, SEED, TRAIN_FRACTIONS  # noqa: F401 - re-exported
+
 PPM = 1_000_000
 
 
@@ -42,13 +41,13 @@ def _cumulative_ppm(fractions: Sequence[tuple[str, float]]) -> list[tuple[str, i
     return out
 
 
-def split_hash(key, seed: int = 42) -> F.Column:
+def split_hash(key, seed: int = SEED) -> F.Column:
     """md5 of ``'<seed>|<key>'`` as hex text: the ranking key of a row."""
     return F.md5(F.concat(F.lit(f"{int(seed)}|"), F.col(key).cast("string")))
 
 
 def stratified_split(df: DataFrame, key: str = "filename", label: str = "label",
-                     fractions: Sequence[tuple[str, float]] = EVAL_FRACTIONS, seed: int = 42,
+                     fractions: Sequence[tuple[str, float]] = EVAL_FRACTIONS, seed: int = SEED,
                      exact: bool = True, split_col: str = "split") -> DataFrame:
     """H1: add ``split_col`` naming the part of each row."""
     cum = _cumulative_ppm(fractions)

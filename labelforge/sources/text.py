@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from labelforge.errors import require_path
+from labelforge.fixed import HEADER_MARKERS, LABELLED_NAME_WIDTH, URL_NAME_WIDTH
 from labelforge.functions.labels import label_from_text
 from labelforge.functions.text import contains_http, is_blank, positional_name, starts_with_http, strip_ws
 from labelforge.operators.ordering import with_line_position
@@ -30,7 +31,7 @@ def _after_header(lines: DataFrame, header_lines: int) -> DataFrame:
             .withColumn("pos", F.col("seq") - F.lit(header_lines)))
 
 
-def parse_labelled_lines(lines: DataFrame, header_lines: int = 1, width: int = 3):
+def parse_labelled_lines(lines: DataFrame, header_lines: int = 1, width: int = LABELLED_NAME_WIDTH):
     """A1 on ``(seq, value)``: returns ``(rows, rejects)``.
 
     rows: ``pos, filename, label, url, label_text`` for lines that split into
@@ -52,7 +53,7 @@ def parse_labelled_lines(lines: DataFrame, header_lines: int = 1, width: int = 3
     return rows, rejects
 
 
-def parse_url_lines(lines: DataFrame, header_lines: int = 1, width: int = 6):
+def parse_url_lines(lines: DataFrame, header_lines: int = 1, width: int = URL_NAME_WIDTH):
     """A2 on ``(seq, value)``: returns ``(rows, failed)``.
 
     rows: ``pos, filename, url`` - the name is the last ``/`` segment when it
@@ -80,7 +81,7 @@ def parse_gt_tokens(lines: DataFrame) -> DataFrame:
     tokens = F.filter(F.split(v, r"\s+", -1), lambda t: t != "")
     url = F.try_element_at(F.filter(tokens, lambda t: t.contains("http")), F.lit(-1))
     label_tok = F.try_element_at(F.filter(tokens, lambda t: t.isin("TRUE", "FALSE")), F.lit(-1))
-    header = F.col("value").contains("is_conifer") & F.col("value").contains("downloadUrl")
+    header = F.col("value").contains(HEADER_MARKERS[0]) & F.col("value").contains(HEADER_MARKERS[1])
     return (lines.filter(~header & ~is_blank("value"))
             .select("seq", url.alias("url"), label_from_text(label_tok, "verdict").alias("gt_label"))
             .filter(F.col("url").isNotNull() & F.col("gt_label").isNotNull()))
