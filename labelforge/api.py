@@ -70,7 +70,9 @@ def ingest(spark: SparkSession, input_path: str, image_store: str, fetcher, type
     lines = read_lines(spark, input_path)
     files = (spark.read.parquet(image_store).select("filename") if path_exists(spark, image_store)
              else spark.createDataFrame([], "filename string"))
-    plan = ingest_plan(lines, files, overwrite=overwrite, labelled=labelled)
+    # landed before anything is appended to the store, so the existing-file
+    # test can never see this run's own downloads
+    plan = materialize(ingest_plan(lines, files, overwrite=overwrite, labelled=labelled))
     to_fetch = plan.filter(F.col("status") == "fetch").drop("status")
     fetched = materialize(B.fetch(to_fetch, fetcher, concurrency=concurrency, content_type="binary"))
     fetched.filter(F.col("status") == "ok").select("filename", "content") \

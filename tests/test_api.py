@@ -91,6 +91,10 @@ def test_ingest_no_markup_and_markup(spark, tmp_dir):
     assert (s.total, s.downloaded, s.skipped, s.failed) == (4, 2, 0, 1)
     s = api.ingest(spark, inp, store, fetch_ok, type="no_markup").first()
     assert (s.downloaded, s.skipped) == (0, 2)
+    more = _write(os.path.join(tmp_dir, "list2.txt"), "url\nhttp://x/a.jpg\nhttp://x/new.jpg\n")
+    s = api.ingest(spark, more, store, fetch_ok, type="no_markup").first()
+    assert (s.total, s.downloaded, s.skipped, s.failed) == (2, 1, 1, 0)
+    assert spark.read.parquet(store).count() == 3
     tsv = _write(os.path.join(tmp_dir, "m.tsv"),
                  "is_conifer\tdownloadUrl\nTRUE\thttp://x/1\nFALSE\thttp://x/2\nTRUE http://x/3\n")
     labels = os.path.join(tmp_dir, "labels")
