@@ -144,6 +144,7 @@ def _class_counts(df: DataFrame, truth: str, pred: str, labels: Sequence[int]) -
         for b in labels:
             aggs.append(F.count_if((t == a) & (p == b)).alias(f"c_{a}_{b}"))
         aggs.append(F.count_if(t == a).alias(f"support_{a}"))
+        aggs.append(F.count_if((t == a) & (~p.isin(*labels) | p.isNull())).alias(f"out_{a}"))
         aggs.append(F.count_if(p == a).alias(f"predicted_{a}"))
     in_list_t = t.isin(*labels)
     in_list_p = p.isin(*labels)
@@ -156,12 +157,13 @@ def confusion_matrix(df: DataFrame, truth: str = "truth", pred: str = "pred",
                      labels: Sequence[int] = (1, 2, 3)) -> DataFrame:
     """rows = truth class (all listed, zero rows kept), one count column
     ``pred_<c>`` per listed class; pairs with a class outside the list are
-    ignored.  One aggregation pass, then the one-row result is unpivoted."""
+    ignored by the matrix and counted per truth row in ``n_out_of_range``.
+    One aggregation pass, then the one-row result is unpivoted."""
     counts = _class_counts(df, truth, pred, labels)
     rows = F.array(*[
         F.struct(F.lit(a).alias("truth"),
                  *[F.col(f"c_{a}_{b}").alias(f"pred_{b}") for b in labels],
-                 F.col("n_out_of_range").alias("n_out_of_range"))
+                 F.col(f"out_{a}").alias("n_out_of_range"))
         for a in labels
     ])
     return counts.select(F.inline(rows))

@@ -365,7 +365,7 @@ SELECT cls.c AS truth,
        (SELECT count(*) FROM m WHERE m.truth = cls.c AND m.pred = 1) AS pred_1,
        (SELECT count(*) FROM m WHERE m.truth = cls.c AND m.pred = 2) AS pred_2,
        (SELECT count(*) FROM m WHERE m.truth = cls.c AND m.pred = 3) AS pred_3,
-       (SELECT count(*) FROM m WHERE m.truth IN (1, 2, 3) AND (m.pred NOT IN (1, 2, 3) OR m.pred IS NULL))
+       (SELECT count(*) FROM m WHERE m.truth = cls.c AND (m.pred NOT IN (1, 2, 3) OR m.pred IS NULL))
          AS n_out_of_range
 FROM cls
 """
@@ -652,7 +652,7 @@ SELECT cls.c AS truth,
        (SELECT count(*) FROM vr WHERE gt_label = cls.c AND pred_class = 1) AS pred_1,
        (SELECT count(*) FROM vr WHERE gt_label = cls.c AND pred_class = 2) AS pred_2,
        (SELECT count(*) FROM vr WHERE gt_label = cls.c AND pred_class = 3) AS pred_3,
-       (SELECT count(*) FROM vr WHERE gt_label IN (1, 2, 3) AND (pred_class NOT IN (1, 2, 3) OR pred_class IS NULL))
+       (SELECT count(*) FROM vr WHERE gt_label = cls.c AND (pred_class NOT IN (1, 2, 3) OR pred_class IS NULL))
          AS n_out_of_range
 FROM cls
 """
