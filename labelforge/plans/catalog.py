@@ -16,13 +16,13 @@ from labelforge.operators import batch, metrics
 from labelforge.operators.calibrate import calibration_report, fit_platt
 from labelforge.operators.fusion import fuse_labels, fusion_stats
 from labelforge.operators.head import train_head
-from labelforge.operators.ingest import ingest_plan, ingest_summary
+from labelforge.operators.ingest import ingest_plan, ingest_summary, labels_output
 from labelforge.operators.partitioning import spread_scan
 from labelforge.operators.joins import pending, resume_summary
 from labelforge.operators.head import pos_weight
 from labelforge.operators.metrics import confident_only, uncertain_only
 from labelforge.operators.select import bounded_error_log, quota_fill
-from labelforge.operators.split import EVAL_FRACTIONS, restrict_to_split, stratified_split
+from labelforge.operators.split import EVAL_FRACTIONS, TRAIN_FRACTIONS, restrict_to_split, stratified_split
 from labelforge.plans import derived as D
 from labelforge.sources.annotations import parse_annotation_lines, processed_urls_from_lines
 from labelforge.sources.text import parse_gt_tokens, parse_http_lines, parse_labelled_lines
@@ -900,6 +900,48 @@ FROM sc, fit
 """
 
 
+def q_train_split_sizes(spark: SparkSession, sf: str) -> DataFrame:
+    split = stratified_split(D.truth(spark, sf), key="filename", label="label", fractions=TRAIN_FRACTIONS, seed=SEED)
+    return metrics.split_sizes(split)
+
+
+SQL_TRAIN_SPLIT_SIZES = _SQL_S + """
+, ranked AS (
+  SELECT filename, label,
+         row_number() OVER (PARTITION BY label ORDER BY md5('42|' || filename), filename) - 1 AS rk,
+         count(*) OVER (PARTITION BY label) AS n
+  FROM t),
+sp AS (
+  SELECT label,
+         CASE WHEN rk < (n * 800000 + 500000) // 1000000 THEN 'train'
+              WHEN rk < (n * 980000 + 500000) // 1000000 THEN 'val'
+              ELSE 'test' END AS split
+  FROM ranked)
+SELECT split, count(*) AS n_rows, count(*) FILTER (WHERE label = 1) AS n_positive FROM sp GROUP BY split
+"""
+
+
+def q_labelled_ingest(spark: SparkSession, sf: str) -> DataFrame:
+    from pyspark.sql import types as T
+    pages = D.table(spark, sf, "pages").select(F.col("page_id").alias("pos"), "html")
+    files = D.table(spark, sf, "pages").filter(F.col("url").contains("/en/")) \
+        .select(F.format_string("%03d.jpg", F.col("page_id")).alias("filename"))
+    plan = ingest_plan(D.labelled_lines(spark, sf), files, header_lines=0, labelled=True)
+    to_fetch = plan.filter(F.col("status") == "fetch").drop("status").join(pages, "pos")
+    fetched = batch.fetch(to_fetch, D.stub_fetcher, content_type=T.StringType()).drop("content", "html")
+    outcome = plan.filter(F.col("status") != "fetch").unionByName(fetched, allowMissingColumns=True)
+    return labels_output(outcome.select("filename", "label", "status"))
+
+
+SQL_LABELLED_INGEST = _SQL_LABELLED + """
+, ok AS (SELECT pos, printf('%03d.jpg', pos) AS filename, CASE WHEN parts[1] = 'TRUE' THEN 1 ELSE 0 END AS label,
+                parts[2] AS url
+         FROM p WHERE len(parts) = 2)
+SELECT filename, label FROM ok
+WHERE filename IN (SELECT printf('%03d.jpg', page_id) FROM pages WHERE url LIKE '%/en/%') OR url NOT LIKE '%#top'
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "label_fusion": q_label_fusion,
     "fusion_stats": q_fusion_stats,
@@ -941,6 +983,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "confident_predictions": q_confident_predictions,
     "pos_weight": q_pos_weight,
     "fetch_error_log": q_fetch_error_log,
+    "train_split_sizes": q_train_split_sizes,
+    "labelled_ingest": q_labelled_ingest,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -983,4 +1027,6 @@ ORACLE_SQL: dict[str, str] = {
     "pos_weight": SQL_POS_WEIGHT,
     "fetch_error_log": SQL_FETCH_ERROR_LOG,
     "platt_calibration": SQL_PLATT_CALIBRATION,
+    "train_split_sizes": SQL_TRAIN_SPLIT_SIZES,
+    "labelled_ingest": SQL_LABELLED_INGEST,
 }
