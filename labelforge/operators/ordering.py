@@ -112,8 +112,9 @@ def with_rank(df: DataFrame, order_by: Sequence, group_by: Sequence[str] = (),
         *keys, "__lf_base",
         F.coalesce(F.sum("__lf_n").over(window), F.lit(0)).alias("__lf_offset"),
     )
-    offsets = materialize(offsets.select(*[F.col(k).alias(f"__lf_o{i}") for i, k in enumerate(keys)],
-                                         F.col("__lf_base").alias("__lf_obase"), "__lf_offset"))
+    # derived from the checkpointed rows: recomputing it is deterministic and cheap
+    offsets = offsets.select(*[F.col(k).alias(f"__lf_o{i}") for i, k in enumerate(keys)],
+                             F.col("__lf_base").alias("__lf_obase"), "__lf_offset")
     n_blocks = offsets.count()
     # null-safe equality so a null group key still finds its own offsets
     cond = [F.col(k).eqNullSafe(F.col(f"__lf_o{i}")) for i, k in enumerate(keys)]
