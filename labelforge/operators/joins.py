@@ -24,15 +24,21 @@ def pending(urls: DataFrame, done: DataFrame, key: str = "url") -> DataFrame:
 
 def resume_summary(urls: DataFrame, done: DataFrame, key: str = "url") -> DataFrame:
     """Total input rows, processed keys (the distinct output set), and
-    rows still to do - one tagged aggregation, no cross join."""
-    todo = pending(urls, done, key)
-    tagged = (urls.select(F.lit("total").alias("t"))
-              .unionByName(done.select(key).distinct().select(F.lit("processed").alias("t")))
-              .unionByName(todo.select(F.lit("todo").alias("t"))))
-    t = F.col("t")
-    return tagged.agg(F.count_if(t == "total").alias("total"),
-                      F.count_if(t == "processed").alias("processed"),
-                      F.count_if(t == "todo").alias("to_do"))
+    rows still to do.
+
+    One tagged union grouped by key (map-side combined, so a URL repeated in
+    a third of the list arrives as one partial row per task), then one
+    global aggregate: the done set is read once and no anti join is needed."""
+    tagged = (urls.select(F.col(key), F.lit(1).alias("n_in"), F.lit(0).alias("in_done"))
+              .unionByName(done.select(F.col(key), F.lit(0).alias("n_in"), F.lit(1).alias("in_done"))))
+    per_key = tagged.groupBy(key).agg(F.sum("n_in").alias("n_in"), F.max("in_done").alias("in_done"))
+    # a null key never matches the output, as in the anti join
+    is_done = (F.col("in_done") == 1) & F.col(key).isNotNull()
+    return per_key.agg(
+        F.coalesce(F.sum("n_in"), F.lit(0)).cast("long").alias("total"),
+        F.count_if(is_done).alias("processed"),
+        F.coalesce(F.sum(F.when(~is_done, F.col("n_in"))), F.lit(0)).cast("long").alias("to_do"),
+    )
 
 
 def skip_existing(targets: DataFrame, files: DataFrame, key: str = "filename",
