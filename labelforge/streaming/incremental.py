@@ -29,6 +29,7 @@ from labelforge.sources.annotations import parse_annotation_lines, processed_url
 # Per-batch index of written URLs; a leading underscore keeps it out of
 # Spark's listing of the output folder.
 DONE_INDEX = "_done_urls"
+SEED_BATCH = -1  # index partition of the seed outputs
 
 
 def annotate_incremental(spark: SparkSession, url_dir: str, output: str, annotator, fetcher,
@@ -45,21 +46,18 @@ def annotate_incremental(spark: SparkSession, url_dir: str, output: str, annotat
     urls = lines.select(strip_ws("value").alias("url")).filter((F.col("url") != "") & contains_http("url"))
 
     index_dir = os.path.join(output, DONE_INDEX)
+    seed_index = os.path.join(index_dir, f"batch_id={SEED_BATCH}")
+    seeds = [p for p in seed_outputs if path_exists(spark, p)]
+    if seeds and not path_exists(spark, seed_index):
+        # earlier outputs are parsed once, into the same index the batches use
+        processed_urls_from_lines(spark.read.text(seeds)).write.mode("overwrite").parquet(seed_index)
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         src = enrich(batch) if enrich is not None else batch
-        done_parts = []
-        seeds = [p for p in seed_outputs if path_exists(spark, p)]
-        if seeds:
-            done_parts.append(processed_urls_from_lines(spark.read.text(seeds)))
-        if path_exists(spark, index_dir):
-            # URLs of every earlier micro-batch: one Parquet column, not a re-parse of the output
-            done_parts.append(spark.read.parquet(index_dir).filter(F.col("batch_id") != batch_id).select("url"))
         done = None
-        if done_parts:
-            done = done_parts[0]
-            for more in done_parts[1:]:
-                done = done.unionByName(more)
+        if path_exists(spark, index_dir):
+            # URLs of the seeds and of every earlier micro-batch: one Parquet column
+            done = spark.read.parquet(index_dir).filter(F.col("batch_id") != batch_id).select("url")
         out = annotate(src, annotator, fetcher, done=done, model_id=model_id, content_type=content_type)
         # one folder per micro-batch, overwritten on replay: exactly-once output
         batch_out = os.path.join(output, f"batch_id={batch_id}")
