@@ -127,3 +127,24 @@ def test_infer_and_image_jobs(spark, tmp_dir):
     assert fails.count() == 0
     with pytest.raises(ValueError):
         api.ingest(spark, out_csv, tmp_dir, fetch_ok, type="other")
+
+
+def test_infer_with_calibrator(spark, tmp_dir):
+    from labelforge.operators.calibrate import fit_platt, save_calibrator
+    d = os.path.join(tmp_dir, "imgs2")
+    os.makedirs(d)
+    _png(os.path.join(d, "a.png"), np.full((8, 8, 3), 255, np.uint8))
+    _png(os.path.join(d, "b.png"), np.zeros((8, 8, 3), np.uint8))
+    # a calibrator that flips the sign of the logit
+    rows = [(float(x), int(x < 0)) for x in np.linspace(-5, 5, 101)]
+    model = fit_platt(spark.createDataFrame(rows, "logit double, label int"))
+    path = os.path.join(tmp_dir, "cal")
+    save_calibrator(model, path)
+    out_csv = os.path.join(tmp_dir, "pred2", "predictions.csv")
+    api.infer(spark, d, out_csv, scorer, img_size=8, use_calibrated=True, calibrator_path=path)
+    preds = {r.filename: r.prediction for r in spark.read.option("header", True).csv(out_csv).collect()}
+    assert preds == {"a.png": "FALSE", "b.png": "TRUE"}
+    # a missing calibrator falls back to the raw sigmoid with a warning
+    with pytest.warns(UserWarning):
+        api.infer(spark, d, os.path.join(tmp_dir, "pred3", "p.csv"), scorer, img_size=8, use_calibrated=True,
+                  calibrator_path=os.path.join(tmp_dir, "nope"))
