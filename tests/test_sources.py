@@ -98,3 +98,16 @@ def test_annotations_reader(spark, tmp_dir):
     got = {r.url: (r.class_id, r.confidence, r.is_bad) for r in records.collect()}
     assert got == {"a": (1, 0.2, False), "b": (3, 0.0, False), "c": (3, 0.0, True)}
     assert sorted(r.seq for r in rejects.collect()) == [2, 5]
+
+
+def test_tsv_drop_last_across_splits(spark, tmp_dir):
+    p = os.path.join(tmp_dir, "big.tsv")
+    with open(p, "w") as f:
+        f.write("a\tb\n" + "".join(f"{i}\tv{i}\n" for i in range(5000)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "8k")
+    try:
+        df = read_tsv(spark, p, drop_last=3)
+        got = sorted(int(r.a) for r in df.collect())
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert got == list(range(4997))
