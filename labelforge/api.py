@@ -36,7 +36,8 @@ from labelforge.sources.tables import read_labels, read_predictions
 from labelforge.sources.text import read_gt_tokens, read_http_lines, read_lines
 
 from labelforge.fixed import (
-    FETCH_CONCURRENCY, IMG_SIZE, SCORE_BATCH, SEED, SELECT_TARGET, UNCERTAINTY_THRESHOLD, UPSCALE_FACTOR,
+    FETCH_CONCURRENCY, IMG_SIZE, INGEST_TIMEOUT, SCORE_BATCH, SEED, SELECT_TARGET, UNCERTAINTY_THRESHOLD,
+    UPSCALE_FACTOR,
     UPSCALE_METHODS,
 )
 
@@ -56,7 +57,7 @@ def fuse(spark: SparkSession, crowd_path: str, model_path: str, output_path: str
 
 def ingest(spark: SparkSession, input_path: str, image_store: str, fetcher, type: str = "markup",  # noqa: A002
            labels_path: str | None = None, overwrite: bool = False,
-           concurrency: int = FETCH_CONCURRENCY) -> DataFrame:
+           concurrency: int = FETCH_CONCURRENCY, timeout: float = INGEST_TIMEOUT) -> DataFrame:
     """Fetch the images of a URL list into an image table.
 
     ``type`` is ``markup`` (TSV of label + URL, names ``%03d.jpg``) or
@@ -74,7 +75,8 @@ def ingest(spark: SparkSession, input_path: str, image_store: str, fetcher, type
     # test can never see this run's own downloads
     plan = materialize(ingest_plan(lines, files, overwrite=overwrite, labelled=labelled))
     to_fetch = plan.filter(F.col("status") == "fetch").drop("status")
-    fetched = materialize(B.fetch(to_fetch, fetcher, concurrency=concurrency, content_type="binary"))
+    fetched = materialize(B.fetch(to_fetch, fetcher, concurrency=concurrency, content_type="binary",
+                                  timeout=timeout))
     fetched.filter(F.col("status") == "ok").select("filename", "content") \
         .write.mode("append").parquet(image_store)
     outcome = plan.filter(F.col("status") != "fetch").unionByName(fetched.drop("content"))

@@ -34,6 +34,11 @@ IMG_SIZE = 128
 NORM_MEAN = (0.273, 0.337, 0.274)
 NORM_STD = (0.131, 0.124, 0.108)
 
+# Fetch timeouts in seconds: ingest, annotate / validate, folder download.
+INGEST_TIMEOUT = 30
+ANNOTATE_TIMEOUT = 5
+DOWNLOAD_TIMEOUT = 10
+
 # Batch sizes, fetch concurrency and the selection quota.
 SCORE_BATCH = 32
 ANNOTATE_BATCH = 8

@@ -18,6 +18,7 @@ second action never calls the model again for the same rows.
 
 from __future__ import annotations
 
+import inspect
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -30,7 +31,7 @@ from labelforge.functions.verdict import (
 )
 from labelforge.operators.joins import pending
 
-from labelforge.fixed import ANNOTATE_BATCH, SCORE_BATCH, UNCERTAINTY_THRESHOLD
+from labelforge.fixed import ANNOTATE_BATCH, ANNOTATE_TIMEOUT, SCORE_BATCH, UNCERTAINTY_THRESHOLD
 
 
 def _chunks(pdf: pd.DataFrame, size: int):
@@ -86,12 +87,24 @@ def batch_score(df: DataFrame, scorer, input_cols: list[str], key: str = "filena
                          F.col("score_error").alias("error"))
 
 
+def _accepts_timeout(fn) -> bool:
+    try:
+        params = inspect.signature(fn).parameters
+    except (TypeError, ValueError):
+        return False
+    return "timeout" in params or any(p.kind == p.VAR_KEYWORD for p in params.values())
+
+
 def fetch(df: DataFrame, fetcher: Callable[[pd.DataFrame], pd.DataFrame], concurrency: int | None = None,
-          content_type: T.DataType | str = "binary") -> DataFrame:
+          content_type: T.DataType | str = "binary", timeout: float | None = None) -> DataFrame:
     """Add ``content`` and ``status`` (``ok`` or ``error: ...``).
 
     ``concurrency`` bounds the number of simultaneous fetch tasks by
-    repartitioning to that many partitions (round robin, no key skew)."""
+    repartitioning to that many partitions (round robin, no key skew).
+    ``timeout`` (seconds) is passed to a fetcher that takes a ``timeout``
+    keyword; there is no retry (a failure is the row's status)."""
+    call = (lambda pdf: fetcher(pdf, timeout=timeout)) if timeout is not None and _accepts_timeout(fetcher) \
+        else fetcher
     if isinstance(content_type, str):
         content_type = {"binary": T.BinaryType(), "string": T.StringType()}[content_type]
     src = df.repartition(concurrency) if concurrency else df
@@ -102,7 +115,7 @@ def fetch(df: DataFrame, fetcher: Callable[[pd.DataFrame], pd.DataFrame], concur
         for pdf in batches:
             out = pdf.copy()
             try:
-                got = fetcher(pdf)
+                got = call(pdf)
                 content = list(got["content"])
                 errors = list(got["error"])
             except Exception as exc:  # noqa: BLE001
@@ -162,7 +175,8 @@ def _typed(records: DataFrame) -> DataFrame:
 
 def annotate(urls: DataFrame, annotator, fetcher, done: DataFrame | None = None,
              key: str = "url", model_id: str = "stub", batch_size: int = ANNOTATE_BATCH,
-             concurrency: int | None = None, content_type: str = "binary") -> DataFrame:
+             concurrency: int | None = None, content_type: str = "binary",
+             timeout: float | None = ANNOTATE_TIMEOUT) -> DataFrame:
     """I2 (lazy): pending rows (D3) -> fetch (I3) -> error routing (B16) ->
     annotator -> strict parse (B12) -> lineage (B15).
 
@@ -171,7 +185,7 @@ def annotate(urls: DataFrame, annotator, fetcher, done: DataFrame | None = None,
     URL set (A8); a URL whose fetch failed before is in it too, so it is
     not retried (pass a ``done`` without error rows to retry them)."""
     todo = urls if done is None else pending(urls, done, key)
-    fetched = fetch(todo, fetcher, concurrency, content_type)
+    fetched = fetch(todo, fetcher, concurrency, content_type, timeout)
     answered = call_annotator(fetched, annotator, batch_size, status="status")
     answered = with_verdict(answered, "model_text", "__lf_pred", "__lf_parsed")
     annotated_ok = (F.col("status") == "ok") & F.col("error").isNull()
@@ -187,13 +201,14 @@ def annotate(urls: DataFrame, annotator, fetcher, done: DataFrame | None = None,
 
 
 def validate_annotator(gt: DataFrame, annotator, fetcher, key: str = "url",
-                       batch_size: int = ANNOTATE_BATCH, content_type: str = "string") -> DataFrame:
+                       batch_size: int = ANNOTATE_BATCH, content_type: str = "string",
+                       timeout: float | None = ANNOTATE_TIMEOUT) -> DataFrame:
     """I4: annotate labelled URLs (no resume), carrying ``gt_label``.
 
     Fetch, inference and parse failures all count as class 3.  ``written``
     is false for rows whose inference failed: they count in the metrics but
     the reference writes no record for them."""
-    fetched = fetch(gt, fetcher, content_type=content_type)
+    fetched = fetch(gt, fetcher, content_type=content_type, timeout=timeout)
     answered = call_annotator(fetched, annotator, batch_size, status="status")
     answered = with_verdict(answered, "model_text", "__lf_pred", "__lf_parsed")
     fetched_ok = F.col("status") == "ok"

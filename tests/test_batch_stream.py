@@ -125,3 +125,17 @@ def test_each_url_is_fetched_and_annotated_once(spark):
     assert len(out) == 41
     assert fetch_calls.value == 41  # no second branch re-fetches the rows
     assert model_calls.value == 40  # the failed fetch never reaches the annotator
+
+
+def test_fetch_passes_timeout_when_accepted(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def timed_fetcher(pdf, timeout):
+        seen.add(int(timeout))
+        return fetcher(pdf)
+
+    urls = spark.createDataFrame([("http://x/a",)], "url string")
+    assert fetch(urls, timed_fetcher, timeout=7, content_type="string").count() == 1
+    assert seen.value == 7
+    # a fetcher without the keyword is called as is
+    assert fetch(urls, fetcher, timeout=7, content_type="string").filter("status = 'ok'").count() == 1
