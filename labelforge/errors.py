@@ -18,10 +18,18 @@ class EmptyInputError(LabelforgeError):
 
 
 def _fs_exists(spark: SparkSession, path: str) -> bool:
-    jvm = spark.sparkContext._jvm  # noqa: SLF001 - Hadoop FileSystem is the public way to test a path
-    hpath = jvm.org.apache.hadoop.fs.Path(path)
-    fs = hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())  # noqa: SLF001
-    return bool(fs.exists(hpath)) or len(fs.globStatus(hpath) or []) > 0
+    """Whether ``path`` (a file, folder or glob) exists, through the public
+    reader: resolving a file source lists the path and raises PATH_NOT_FOUND
+    when it is absent; no file content is read."""
+    from pyspark.errors import AnalysisException
+
+    try:
+        spark.read.format("binaryFile").load(path)
+    except AnalysisException as exc:
+        if "PATH_NOT_FOUND" in str(exc) or "Path does not exist" in str(exc):
+            return False
+        raise
+    return True
 
 
 def require_path(spark: SparkSession, path: str) -> str:
