@@ -430,7 +430,9 @@ def _annotation_records(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _select(spark: SparkSession, sf: str, target: int) -> DataFrame:
-    sel = quota_fill(_annotation_records(spark, sf), target=target)
+    # only the reported columns are landed by quota_fill's checkpoint
+    records = _annotation_records(spark, sf).select("seq", "url", "is_bad", "class_id", "confidence")
+    sel = quota_fill(records, target=target)
     return sel.select("seq", "url", "bucket", "cand_rank", "is_bad", "class_id", "confidence")
 
 
