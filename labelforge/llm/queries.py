@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, decontaminate, licenses, quality, substring_dedup, token_counts, warc
+from . import byte_bpe, decontaminate, jaccard_join, licenses, quality, substring_dedup, token_counts, warc
 from .common import table
 
 
@@ -39,6 +39,11 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
         "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of documents linked by a Jaccard similarity of 0.85 or more."""
+    return jaccard_join.similar_groups(table(spark, sf_dir, "documents")).drop("node")
+
+
 def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Licence phrases and notices of every document."""
     found = licenses.scan(table(spark, sf_dir, "documents"))
@@ -67,6 +72,7 @@ QUERIES = {
     "op4_token_counts": op4_token_counts,
     "op5_byte_bpe": op5_byte_bpe,
     "op6_warc": op6_warc,
+    "op7_jaccard_join": op7_jaccard_join,
     "op8_licenses": op8_licenses,
     "op9_quality": op9_quality,
     "op10_substring_dedup": op10_substring_dedup,
