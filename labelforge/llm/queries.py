@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, decontaminate, jaccard_join, licenses, quality, substring_dedup, token_counts, warc
+from . import byte_bpe, decontaminate, jaccard_join, licenses, line_dedup, quality, substring_dedup, token_counts, url_templates, warc
 from .common import table
 
 
@@ -18,6 +18,26 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
+def page_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(page_id, bad): the label of the document whose number ends the page's
+    path; toxic or of low quality is bad."""
+    number = F.regexp_extract(url_templates.path_of(F.col("url")), r"/([0-9]{1,18})[^/0-9]*/?$", 1)
+    shown = table(spark, sf_dir, "pages").select("page_id", F.when(number != "", number).cast("bigint").alias("doc_id"))
+    bad = F.greatest(F.col("toxic"), 1 - F.col("quality")).alias("bad")
+    return shown.join(table(spark, sf_dir, "labels").select("doc_id", bad), "doc_id").select("page_id", "bad")
+
+
+def op2_url_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdicts on every page's url."""
+    return url_templates.judge_urls(table(spark, sf_dir, "pages"), page_labels(spark, sf_dir)).drop("bad_share")
+
+
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents without the lines that recur in others."""
+    out = line_dedup.drop_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("text_sha256"))
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of every document by byte_bpe_50k.json."""
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
@@ -69,6 +89,8 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
+    "op2_url_templates": op2_url_templates,
+    "op3_line_dedup": op3_line_dedup,
     "op4_token_counts": op4_token_counts,
     "op5_byte_bpe": op5_byte_bpe,
     "op6_warc": op6_warc,
