@@ -194,7 +194,7 @@ def fit_mcd(stats: DataFrame, floors: tuple[float, ...] = FLOORS, share: float =
     """(__group, m*, p*) from the table (__group, STATS) of all rows to fit."""
     k = range(len(STATS))
     big = "decimal(38,0)"
-    middle = stats.groupBy("__group").agg(*[F.percentile(s, 0.5).alias(f"m{i}") for i, s in enumerate(STATS)])
+    middle = land(stats.groupBy("__group").agg(*[F.percentile(s, 0.5).alias(f"m{i}") for i, s in enumerate(STATS)]), "mcd-medians")
     away = (stats.join(middle, "__group")
             .groupBy("__group").agg(*[F.first(f"m{i}").alias(f"m{i}") for i in k],
                                     *[F.percentile(F.abs(F.col(s) - F.col(f"m{i}")), 0.5).alias(f"w{i}") for i, s in enumerate(STATS)]))
@@ -223,6 +223,16 @@ def fit_mcd(stats: DataFrame, floors: tuple[float, ...] = FLOORS, share: float =
 CONSISTENCY = 1.5
 
 
+def fit(counts: DataFrame, by: tuple[str, ...], min_group: int = MIN_GROUP) -> DataFrame:
+    """(by columns, m*, p*): the estimate that the rows of each pair of values
+    are judged by, from a table of counts."""
+    passed = counts.where(~F.col("base_failed"))
+    groups = land(_groups(passed, by, min_group), "quality-groups")
+    on = [F.col(f"c.{b}").eqNullSafe(F.col(f"g.{b}")) for b in by]
+    fitted = passed.alias("c").join(groups.alias("g"), on).select("g.__group", *_statistics())
+    return land(groups.join(fit_mcd(land(fitted, "quality-statistics")), "__group").drop("__group"), "quality-model")
+
+
 def judge(df: DataFrame, keep: tuple[str, ...] = ("doc_id",), by: tuple[str, ...] = ("lang", "source"),
           text_col: str = "text", cutoff: float = CUTOFF, min_group: int = MIN_GROUP) -> DataFrame:
     """The ``keep`` columns, all counts, ``base_failed``, ``distance`` (squared,
@@ -230,20 +240,20 @@ def judge(df: DataFrame, keep: tuple[str, ...] = ("doc_id",), by: tuple[str, ...
 
     Null and empty texts have no words and fail the base rules; null languages
     and sources form groups of their own; repeated rows are judged alike; an
-    empty table gives an empty result.
+    empty table gives an empty result.  Where the text itself is kept, texts
+    are counted a second time and not written.
     """
-    inner = [F.col(b).alias(f"__by{i}") for i, b in enumerate(by)]
     bys = tuple(f"__by{i}" for i in range(len(by)))
-    source = df.select(*[F.col(c) for c in keep], *inner, F.col(text_col).alias("__t"))
-    counts = land(count_rules(source, (*keep, *bys), "__t"), "quality-counts")
-    passed = counts.where(~F.col("base_failed"))
-    groups = land(_groups(passed, bys, min_group), "quality-groups")
+    source = df.select(*[F.col(c) for c in keep], *[F.col(b).alias(f"__by{i}") for i, b in enumerate(by)], F.col(text_col).alias("__t"))
+    if text_col in keep:
+        counts = count_rules(source, (*keep, *bys), "__t")
+        model = fit(land(count_rules(source, bys, "__t"), "quality-counts"), bys, min_group)
+    else:
+        counts = land(count_rules(source, (*keep, *bys), "__t"), "quality-counts")
+        model = fit(counts, bys, min_group)
     on = [F.col(f"c.{b}").eqNullSafe(F.col(f"g.{b}")) for b in bys]
-    grouped = counts.alias("c").join(groups.alias("g"), on, "left").select("c.*", "g.__group")
-    fitted = (grouped.where(~F.col("base_failed")).select("__group", *_statistics()))
-    params = fit_mcd(fitted)
-    judged = grouped.join(params, "__group", "left")
-    distance = F.when(~F.col("base_failed"), _distance([s for s in _statistics()]))
-    names = [F.col(c) for c in (*keep, *COUNTS, "base_failed")]
+    judged = counts.alias("c").join(model.alias("g"), on, "left")
+    distance = F.when(~F.col("base_failed"), _distance(_statistics()))
+    names = [F.col(f"c.{c}") for c in (*keep, *COUNTS, "base_failed")]
     return (judged.select(*names, distance.alias("distance"))
             .withColumn("kept", ~F.col("base_failed") & (F.coalesce("distance", F.lit(0.0)) <= cutoff)))
