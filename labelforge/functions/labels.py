@@ -42,18 +42,25 @@ def sigmoid(col) -> Column:
 
 def uncertainty_band(prob, threshold: float = UNCERTAINTY_THRESHOLD) -> Column:
     """``p < t`` -> FALSE, else ``p > 1 - t`` -> TRUE, else ``?``.
-    The FALSE test comes first, so for ``t > 0.5`` it wins; a null stays null."""
+    The FALSE test comes first, so for ``t > 0.5`` it wins; a null stays null.
+    NaN is ``?`` (Spark orders it above all numbers, so it is asked for first)."""
     p = as_col(prob)
     t = float(threshold)
-    return (F.when(p < F.lit(t), F.lit(BAND_FALSE))
+    return (F.when(F.isnan(p), F.lit(BAND_UNSURE))
+            .when(p < F.lit(t), F.lit(BAND_FALSE))
             .when(p > F.lit(1.0 - t), F.lit(BAND_TRUE))
             .when(p.isNotNull(), F.lit(BAND_UNSURE)))
 
 
-def prediction_to_num(col, boolean: bool = False) -> Column:
+def prediction_to_num(col, boolean: bool = False, numeric: bool = False) -> Column:
     """TRUE/True -> 1, FALSE/False -> 0, anything else null.
-    With ``boolean=True`` the column holds booleans (true -> 1, false -> 0)."""
+    With ``boolean=True`` the column holds booleans (true -> 1, false -> 0).
+    With ``numeric=True`` it holds numbers, or their texts in a file whose
+    predictions are all numbers: 1 and 1.0 -> 1, 0 and 0.0 -> 0."""
     c = as_col(col)
+    if numeric:
+        number = c.try_cast("double")
+        return F.when(number == 1, F.lit(1)).when(number == 0, F.lit(0))
     if boolean:
         return F.when(c, F.lit(1)).when(~c, F.lit(0))
     return (F.when(c.isin(*TRUE_TEXTS), F.lit(1))

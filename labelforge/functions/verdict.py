@@ -12,6 +12,7 @@ test after that is a native expression on the VARIANT, where the *type* of
 from __future__ import annotations
 
 import json
+import math
 
 import pandas as pd
 from pyspark.sql import Column, functions as F, types as T
@@ -24,18 +25,24 @@ from labelforge.fixed import BAD_CLASS, BAD_FETCH_LABEL, BAD_PARSE_LABEL, FENCE,
 _NUMERIC_TYPES = ("BIGINT", "INT", "SMALLINT", "TINYINT", "DOUBLE", "FLOAT")
 
 
+def _finite(text):
+    """A JSON number; one beyond the doubles becomes the text of an infinity."""
+    value = float(text)
+    return value if math.isfinite(value) else ("Infinity" if value > 0 else "-Infinity")
+
+
 def _strict_object(text):
     if text is None:
         return None
     try:
-        value = json.loads(text)
-    except (ValueError, RecursionError):
-        return None
-    if not isinstance(value, dict):
-        return None
-    try:
-        # NaN / Infinity cannot live in a VARIANT: treated as a parse failure.
-        return json.dumps(value, ensure_ascii=False, allow_nan=False)
+        # NaN and infinities cannot live in a VARIANT: they become their text,
+        # which reads as no class and, as a double, as NaN or an infinity
+        value = json.loads(text, parse_constant=str, parse_float=_finite)
+        if not isinstance(value, dict):
+            return None
+        # a lone surrogate has no UTF-8 form and is written as U+FFFD
+        return json.dumps(value, ensure_ascii=False, allow_nan=False).encode("utf-8", "surrogatepass").decode(
+            "utf-8", "replace")
     except (ValueError, RecursionError):
         return None
 
@@ -43,9 +50,9 @@ def _strict_object(text):
 def _strict_json_object(texts: pd.Series) -> pd.Series:
     """Normalised JSON text of a strictly valid JSON *object*, else null.
 
-    Strict means: the whole text is one value (no trailing text), it is an
-    object, and it holds no NaN / Infinity.  Duplicate keys keep the last one,
-    as the reference's parser does."""
+    Strict means: the whole text is one value (no trailing text) and it is an
+    object.  NaN and infinities are accepted, as by the reference's parser, and
+    duplicate keys keep the last one."""
     return texts.map(_strict_object)
 
 
@@ -121,8 +128,8 @@ def coerce_class_id(prediction, default: int = BAD_CLASS) -> Column:
     with any failure mapped to 3.
 
     number -> truncated toward zero; boolean -> 1/0; text -> integer text only
-    (``"2"`` -> 2, ``"1.9"`` -> 3); absent, null, list, object -> 3.  A number
-    outside the INT range gives null (an out-of-range class)."""
+    (``"2"`` -> 2, ``"1.9"`` -> 3); absent, null, list, object -> 3.  A number or
+    an integer text outside the INT range gives null (an out-of-range class)."""
     v = _field(prediction, "class_id")
     t = F.schema_of_variant(v)
     as_double = F.try_variant_get(v, "$", "double")
@@ -135,7 +142,7 @@ def coerce_class_id(prediction, default: int = BAD_CLASS) -> Column:
         .when(_is_numeric_type(t),
               F.when(F.abs(as_double) < F.lit(2147483648.0),
                      (F.signum(as_double) * F.floor(F.abs(as_double))).cast("int")))
-        .when((t == "STRING") & integer_text, F.coalesce(text_value, F.lit(default)))
+        .when((t == "STRING") & integer_text, text_value)
         .otherwise(F.lit(default))
     )
 

@@ -52,44 +52,53 @@ def merge_sources(crowd: DataFrame, model: DataFrame, key: str = "filename",
                          (F.col("n_crowd") * F.col("n_model")).alias("n"), final.alias("final_label"))
 
 
+#: Copies of one pair that a row expands to; more are split into chunks that
+#: are dealt out before they are written.
+EXPAND_ROWS = 65_536
+
+
 def fuse_labels(crowd: DataFrame, model: DataFrame, key: str = "filename",
                 crowd_label: str = "label", model_label: str = "label") -> DataFrame:
     """The clean training set ``(filename, final_label)``; a duplicated
     key yields as many rows as the reference's merge does."""
     merged = merge_sources(crowd, model, key, crowd_label, model_label)
     kept = merged.filter(F.col("final_label").isNotNull())
-    return kept.select("filename", F.explode(F.array_repeat("final_label", F.col("n").cast("int")))
-                       .alias("final_label"))
+    step = F.lit(EXPAND_ROWS).cast("long")
+    last = F.expr(f"(n - 1) div {EXPAND_ROWS}")
+    chunks = kept.select("filename", "label_crowd", "label_model", "final_label", "n",
+                         F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("chunk"))
+    size = F.least(step, F.col("n") - F.col("chunk") * step).cast("int")
+    dealt = chunks.select("filename", "final_label", "chunk", size.alias("size")).repartition("filename", "chunk")
+    return dealt.select("filename", F.explode(F.array_repeat("final_label", F.col("size"))).alias("final_label"))
+
+
+def _per_key(df: DataFrame, key: str, label: str, name: str) -> DataFrame:
+    """Rows of each key: all, with label 1 and with label 0."""
+    y = F.col(name)
+    return (_prepare(df, key, label, name).groupBy("filename")
+            .agg(F.count(F.lit(1)).alias(f"{name}_n"), F.count_if(y == 1).alias(f"{name}_1"), F.count_if(y == 0).alias(f"{name}_0")))
 
 
 def fusion_stats(crowd: DataFrame, model: DataFrame, key: str = "filename",
                  crowd_label: str = "label", model_label: str = "label") -> DataFrame:
-    """One row of sizes, computed in a single aggregation over a tagged
-    union (source sizes and the merged outcome together, no cross join)."""
-    merged = merge_sources(crowd, model, key, crowd_label, model_label)
-    none = F.lit(None).cast("long")
-    tagged = (
-        crowd.select(F.lit("crowd").alias("src"), F.lit(1).cast("long").alias("n"),
-                     none.alias("label_crowd"), none.alias("label_model"), none.alias("final_label"))
-        .unionByName(model.select(F.lit("model").alias("src"), F.lit(1).cast("long").alias("n"),
-                                  none.alias("label_crowd"), none.alias("label_model"), none.alias("final_label")))
-        .unionByName(merged.select(F.lit("merged").alias("src"), "n", "label_crowd", "label_model",
-                                   "final_label"))
-    )
-    src, n = F.col("src"), F.col("n")
-    is_merged = src == "merged"
-
-    def total(cond):
-        return F.coalesce(F.sum(F.when(cond, n)), F.lit(0)).cast("long")
-
-    out = tagged.agg(
-        total(src == "crowd").alias("crowd"),
-        total(src == "model").alias("model"),
-        total(is_merged).alias("merged"),
-        total(is_merged & F.col("final_label").isNotNull()).alias("final"),
-        total(is_merged & (F.col("final_label") == 1)).alias("positives"),
-        total(is_merged & (F.col("final_label") == 0)).alias("negatives"),
-        total(is_merged & (F.col("label_crowd") == 0) & (F.col("label_model") == 1)).alias("risk"),
+    """One row of sizes.  Each source is read once and summed per key; a
+    full outer join of the two small tables holds every size."""
+    both = (_per_key(crowd, key, crowd_label, "c").join(_per_key(model, key, model_label, "m"), "filename", "full_outer")
+            .na.fill(0, ["c_n", "c_1", "c_0", "m_n", "m_1", "m_0"]))
+
+    def total(value):
+        return F.coalesce(F.sum(value), F.lit(0)).cast("long")
+
+    c, m = (lambda x: F.col(f"c_{x}")), (lambda x: F.col(f"m_{x}"))
+    out = both.agg(
+        total(c("n")).alias("crowd"),
+        total(m("n")).alias("model"),
+        total(c("n") * m("n")).alias("merged"),
+        total(c("1") * m("n")).alias("positives"),
+        total(c("0") * m("0")).alias("negatives"),
+        total(c("0") * m("1")).alias("risk"),
+        total(F.when(F.col("filename").isNull(), c("n") + m("n"))).alias("null_keys"),
     )
-    return out.select("crowd", "model", "merged", "final", "positives", "negatives",
-                      (F.col("merged") - F.col("final")).alias("discarded"), "risk")
+    final = F.col("positives") + F.col("negatives")
+    return out.select("crowd", "model", "merged", final.alias("final"), "positives", "negatives",
+                      (F.col("merged") - final).alias("discarded"), "risk", "null_keys")

@@ -16,6 +16,17 @@ def join_truth(predictions: DataFrame, labels: DataFrame, key: str = "filename")
     return predictions.join(labels, key, "inner")
 
 
+def counted_truth(predictions: DataFrame, labels: DataFrame, key: str = "filename",
+                  prediction: str | list[str] = "prediction", label: str = "label") -> DataFrame:
+    """D1 for reports: distinct (key, prediction) and (key, label) joined on
+    the key, with ``n_rows``, the rows that the pair has in the plain join.
+    A key repeated on both sides is summed before the join."""
+    cols = [prediction] if isinstance(prediction, str) else list(prediction)
+    p = predictions.groupBy(key, *cols).agg(F.count(F.lit(1)).alias("__lf_np"))
+    y = labels.groupBy(key, label).agg(F.count(F.lit(1)).alias("__lf_ny"))
+    return join_truth(p, y, key).withColumn("n_rows", F.col("__lf_np") * F.col("__lf_ny")).drop("__lf_np", "__lf_ny")
+
+
 def pending(urls: DataFrame, done: DataFrame, key: str = "url") -> DataFrame:
     """D3: input rows whose key is not yet in the output (left anti join).
     Duplicate pending rows are kept."""

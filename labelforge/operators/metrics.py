@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, functions as F
 from labelforge.functions.labels import (
     BAND_FALSE, BAND_TRUE, BAND_UNSURE, CLASS_NAMES, percent_of_total, prediction_to_num, safe_ratio,
 )
+from labelforge.operators.joins import counted_truth
 from labelforge.functions.losses import FOCAL_ALPHA, FOCAL_GAMMA, bce_with_logits, focal_loss
 
 
@@ -43,20 +44,27 @@ def confusion_binary(df: DataFrame, pred_num: str = "pred_num", label: str = "la
 
 
 def binary_report_from_joined(joined: DataFrame, prediction: str = "prediction", label: str = "label",
-                              boolean_prediction: bool = False) -> DataFrame:
+                              boolean_prediction: bool = False, numeric_prediction: bool = False,
+                              weight: str | None = None) -> DataFrame:
     """E3 over an already joined frame: one row with total, confident_total,
     uncertain_count, accuracy, precision, recall, f1, coverage, tp, fp, fn, tn.
-    An empty input gives one row of zeros."""
-    num = prediction_to_num(prediction, boolean=boolean_prediction)
-    y = F.col(label)
-    counts = joined.select(num.alias("pred_num"), y.alias("label")).agg(
-        F.count(F.lit(1)).alias("total"),
-        F.count_if(F.col("pred_num").isNotNull()).alias("confident_total"),
-        F.count_if(F.col("pred_num") == F.col("label")).alias("correct"),
-        F.count_if((F.col("pred_num") == 1) & (F.col("label") == 1)).alias("tp"),
-        F.count_if((F.col("pred_num") == 1) & (F.col("label") == 0)).alias("fp"),
-        F.count_if((F.col("pred_num") == 0) & (F.col("label") == 1)).alias("fn"),
-        F.count_if((F.col("pred_num") == 0) & (F.col("label") == 0)).alias("tn"),
+    An empty input gives one row of zeros.  ``weight`` names a column that says
+    how many joined rows a row stands for."""
+    num = prediction_to_num(prediction, boolean=boolean_prediction, numeric=numeric_prediction)
+    rows = F.lit(1) if weight is None else F.col(weight)
+    pred, truth = F.col("pred_num"), F.col("label")
+
+    def total(cond):
+        return F.coalesce(F.sum(F.when(cond, F.col("n"))), F.lit(0)).cast("long")
+
+    counts = joined.select(num.alias("pred_num"), F.col(label).alias("label"), rows.alias("n")).agg(
+        total(F.lit(True)).alias("total"),
+        total(pred.isNotNull()).alias("confident_total"),
+        total(pred == truth).alias("correct"),
+        total((pred == 1) & (truth == 1)).alias("tp"),
+        total((pred == 1) & (truth == 0)).alias("fp"),
+        total((pred == 0) & (truth == 1)).alias("fn"),
+        total((pred == 0) & (truth == 0)).alias("tn"),
     )
     precision = safe_ratio(F.col("tp"), F.col("tp") + F.col("fp"))
     recall = safe_ratio(F.col("tp"), F.col("tp") + F.col("fn"))
@@ -74,11 +82,12 @@ def binary_report_from_joined(joined: DataFrame, prediction: str = "prediction",
 
 def binary_report(predictions: DataFrame, labels: DataFrame, key: str = "filename",
                   prediction: str = "prediction", label: str = "label",
-                  boolean_prediction: bool = False) -> DataFrame:
+                  boolean_prediction: bool = False, numeric_prediction: bool = False) -> DataFrame:
     """Join predictions to truth on ``key`` (D1, inner, duplicates
-    multiply) and report."""
-    joined = predictions.select(key, prediction).join(labels.select(key, label), key, "inner")
-    return binary_report_from_joined(joined, prediction, label, boolean_prediction)
+    multiply) and report.  Both sides are counted per key first, so a key of n
+    and m rows is not paired n times m."""
+    joined = counted_truth(predictions, labels, key, prediction, label)
+    return binary_report_from_joined(joined, prediction, label, boolean_prediction, numeric_prediction, "n_rows")
 
 
 def prediction_summary(predictions: DataFrame, prediction: str = "prediction") -> DataFrame:
@@ -98,31 +107,46 @@ def prediction_summary(predictions: DataFrame, prediction: str = "prediction") -
     )
 
 
-def brier_score(prob, label) -> F.Column:
+def _mean(value, weight: str | None) -> F.Column:
+    """Mean of a column; with ``weight``, of as many rows as that says."""
+    if weight is None:
+        return F.avg(value)
+    counted = F.when(value.isNotNull(), F.col(weight))
+    return F.try_divide(F.sum(value * F.col(weight)), F.sum(counted).cast("double"))
+
+
+def brier_score(prob, label, weight: str | None = None) -> F.Column:
     """E6 aggregate: mean squared error of the probability."""
     p = F.col(prob) if isinstance(prob, str) else prob
     y = F.col(label) if isinstance(label, str) else label
-    return F.avg(F.pow(p - y.cast("double"), F.lit(2.0)))
+    return _mean(F.pow(p - y.cast("double"), F.lit(2.0)), weight)
 
 
-def accuracy_at(prob, label, threshold: float = 0.5) -> F.Column:
-    """E7 aggregate: mean of ``(p > t) == y`` (strict)."""
+def _agrees(prob, label, threshold: float) -> F.Column:
     p = F.col(prob) if isinstance(prob, str) else prob
     y = F.col(label) if isinstance(label, str) else label
-    return F.avg(((p > F.lit(float(threshold))).cast("int") == y.cast("int")).cast("double"))
+    above = (p > F.lit(float(threshold))) & ~F.isnan(p)
+    return (above.cast("int") == y.cast("int")).cast("double")
+
+
+def accuracy_at(prob, label, threshold: float = 0.5, weight: str | None = None) -> F.Column:
+    """E7 aggregate: mean of ``(p > t) == y`` (strict; NaN is not above t)."""
+    return _mean(_agrees(prob, label, threshold), weight)
 
 
 def loss_summary(df: DataFrame, logit: str = "logit", label: str = "label",
-                 alpha: float = FOCAL_ALPHA, gamma: float = FOCAL_GAMMA) -> DataFrame:
-    """Per-row losses reduced by mean and by sum."""
+                 alpha: float = FOCAL_ALPHA, gamma: float = FOCAL_GAMMA, weight: str | None = None) -> DataFrame:
+    """Per-row losses reduced by mean and by sum.  ``weight``
+    names a column that says how many rows a row stands for."""
     bce = bce_with_logits(logit, label)
     focal = focal_loss(logit, label, alpha, gamma)
+    w = F.lit(1) if weight is None else F.col(weight)
     return df.agg(
-        F.count(F.lit(1)).alias("n"),
-        F.avg(bce).alias("mean_bce"),
-        F.sum(bce).alias("sum_bce"),
-        F.avg(focal).alias("mean_focal"),
-        F.sum(focal).alias("sum_focal"),
+        F.coalesce(F.sum(w), F.lit(0)).cast("long").alias("n"),
+        _mean(bce, weight).alias("mean_bce"),
+        F.sum(bce * w).alias("sum_bce"),
+        _mean(focal, weight).alias("mean_focal"),
+        F.sum(focal * w).alias("sum_focal"),
     )
 
 
@@ -239,9 +263,9 @@ def epoch_metrics(scored: DataFrame, epoch: str = "epoch", batch: str = "batch",
 def best_epoch(metrics: DataFrame, epoch: str = "epoch", accuracy: str = "accuracy",
                loss: str = "mean_loss") -> DataFrame:
     """Highest accuracy; the earliest epoch wins ties (a later epoch
-    must be strictly better); an accuracy of 0 never wins.  One row, nulls
+    must be strictly better); an accuracy of 0 or NaN never wins.  One row, nulls
     when no epoch qualifies."""
-    best = (metrics.filter(F.col(accuracy) > 0)
+    best = (metrics.filter((F.col(accuracy) > 0) & ~F.isnan(accuracy))
             .agg(F.max_by(F.struct(F.col(epoch).alias("e"), F.col(accuracy).alias("a"), F.col(loss).alias("l")),
                           F.struct(F.col(accuracy), -F.col(epoch))).alias("b")))
     return best.select(F.col("b.e").alias("best_epoch"), F.col("b.a").alias("best_accuracy"),

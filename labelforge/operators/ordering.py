@@ -23,9 +23,11 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from labelforge.session import materialize
 
-# Above this many rows the offsets table is joined with a shuffle instead of
-# being broadcast.
-OFFSETS_BROADCAST_MAX_ROWS = 2_000_000
+# An offsets table is broadcast while its counted rows fit this many bytes
+# (numbers only, under 64 bytes a row: four million splits, 500 TB of input at
+# 128 MB each); beyond that it is joined with a shuffle.
+OFFSETS_BROADCAST_BYTES = 256 << 20
+OFFSETS_ROW_BYTES = 64
 
 _PID = "__lf_pid"
 _MID = "__lf_mid"
@@ -33,26 +35,8 @@ _FILE = "__lf_file"
 _BLOCK = "__lf_block"
 
 
-def _bounded_broadcast(small: DataFrame, n_rows: int, max_rows: int = OFFSETS_BROADCAST_MAX_ROWS) -> DataFrame:
-    return F.broadcast(small) if n_rows <= max_rows else small
-
-
-def _max_splits(scan: DataFrame) -> int:
-    """Upper bound of the offsets table's rows: input partitions times the
-    most splits one partition can pack (each costs at least openCostInBytes
-    of the maxPartitionBytes budget).  Planning only, no job."""
-    conf = scan.sparkSession.conf
-    max_bytes = _bytes(conf.get("spark.sql.files.maxPartitionBytes", "128m"))
-    open_cost = max(1, _bytes(conf.get("spark.sql.files.openCostInBytes", "4m")))
-    return scan.rdd.getNumPartitions() * (max_bytes // open_cost + 1)
-
-
-def _bytes(text: str) -> int:
-    text = str(text).strip().lower().rstrip("b")
-    units = {"k": 1 << 10, "m": 1 << 20, "g": 1 << 30, "t": 1 << 40}
-    if text and text[-1] in units:
-        return int(float(text[:-1]) * units[text[-1]])
-    return int(text)
+def _bounded_broadcast(small: DataFrame, n_rows: int) -> DataFrame:
+    return F.broadcast(small) if n_rows * OFFSETS_ROW_BYTES <= OFFSETS_BROADCAST_BYTES else small
 
 
 def with_line_position(scan: DataFrame, position_col: str = "seq") -> DataFrame:
@@ -64,20 +48,23 @@ def with_line_position(scan: DataFrame, position_col: str = "seq") -> DataFrame:
     ordered by path."""
     tagged = scan.select(
         "*",
-        F.col("_metadata.file_path").alias(_FILE),
+        F.col("_metadata.file_path").alias("__lf_path"),
+        F.xxhash64("_metadata.file_path").alias(_FILE),
         F.col("_metadata.file_block_start").alias(_BLOCK),
         F.spark_partition_id().alias(_PID),
         F.monotonically_increasing_id().alias(_MID),
     )
+    # the split's number tells it apart already, the file's hash is the check
     splits = tagged.groupBy(_PID, _FILE, _BLOCK).agg(
-        F.count(F.lit(1)).alias("__lf_n"), F.min(_MID).alias("__lf_base"))
-    order = Window.orderBy(_FILE, _BLOCK).rowsBetween(Window.unboundedPreceding, -1)
+        F.count(F.lit(1)).alias("__lf_n"), F.min(_MID).alias("__lf_base"), F.min("__lf_path").alias("__lf_path"))
+    order = Window.orderBy("__lf_path", _BLOCK).rowsBetween(Window.unboundedPreceding, -1)
     # one row per input split: a small table, ranked in one task on purpose
     offsets = splits.select(
         _PID, _FILE, _BLOCK, "__lf_base",
         F.coalesce(F.sum("__lf_n").over(order), F.lit(0)).alias("__lf_offset"),
     )
-    joined = tagged.join(_bounded_broadcast(offsets, _max_splits(scan)), [_PID, _FILE, _BLOCK])
+    offsets = materialize(offsets)
+    joined = tagged.join(_bounded_broadcast(offsets, offsets.count()), [_PID, _FILE, _BLOCK])
     return joined.select(
         *[F.col(c) for c in scan.columns],
         (F.col("__lf_offset") + F.col(_MID) - F.col("__lf_base")).alias(position_col),

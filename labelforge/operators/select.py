@@ -2,10 +2,8 @@
 
 ``quota_fill`` keeps every bad record and fills up to the target with the
 least-confident candidates (ties keep file order).  The fill size needs one
-count action (LIMIT takes a constant).  A small fill plans as
-TakeOrderedAndProject (per-partition top-k, then a k-row merge); a fill above
-``TOPK_MAX`` uses the exact distributed rank instead, so no task ever holds
-more than its own share of rows.
+count action; the candidates are cut by their exact distributed rank, so no
+task ever holds more than its own share of rows.
 """
 
 from __future__ import annotations
@@ -16,10 +14,6 @@ from labelforge.fixed import SELECT_TARGET
 from labelforge.operators.ordering import with_rank
 from labelforge.session import materialize
 
-# Largest fill handled by TakeOrderedAndProject (rows merged in one task).
-TOPK_MAX = 200_000
-
-
 def sort_by_confidence(df: DataFrame, confidence: str = "confidence", seq: str = "seq") -> DataFrame:
     """ascending confidence, stable (file position breaks ties)."""
     return df.orderBy(F.col(confidence).asc(), F.col(seq).asc())
@@ -27,20 +21,14 @@ def sort_by_confidence(df: DataFrame, confidence: str = "confidence", seq: str =
 
 def lowest_k(df: DataFrame, k: int, order_by, rank_col: str | None = None) -> DataFrame:
     """The ``k`` first rows by a total order ``order_by`` (list of column
-    names / sort expressions), optionally with their 0-based rank."""
+    names / sort expressions), optionally with their 0-based rank.  One plan
+    for every ``k``: the exact distributed rank."""
+    name = rank_col or "__lf_rank"
     if k <= 0:
-        out = df.limit(0)
-        return out.withColumn(rank_col, F.lit(None).cast("long")) if rank_col else out
-    if k <= TOPK_MAX:
-        top = df.orderBy(*order_by).limit(k)
-        if rank_col:
-            # k rows at most: a window over them is one small task by design
-            from pyspark.sql import Window
-            top = top.withColumn(rank_col, F.row_number().over(Window.orderBy(*order_by)) - 1)
-        return top
-    ranked = with_rank(df, order_by, rank_col=rank_col or "__lf_rank")
-    ranked = ranked.filter(F.col(rank_col or "__lf_rank") < k)
-    return ranked if rank_col else ranked.drop("__lf_rank")
+        out = df.limit(0).withColumn(name, F.lit(None).cast("long"))
+    else:
+        out = with_rank(df, order_by, rank_col=name).filter(F.col(name) < k)
+    return out if rank_col else out.drop(name)
 
 
 def quota_fill(records: DataFrame, target: int = SELECT_TARGET, bad: str = "is_bad",

@@ -1,16 +1,16 @@
 """Stratified splitting (H1) and choosing a split (H2).
 
-Exact mode: inside each stratum, rows are ranked by ``md5('<seed>|<key>')``
-(then the key), and cumulative quotas cut the ranking.  With cumulative
-fractions ``F_k`` given in parts per million, part ``k`` ends at rank
-``floor((n * F_k + 500000) / 1000000)`` - integer arithmetic, so every engine
-gets the same sizes; each part is within one row of ``fraction * n`` and the
-parts always add up to ``n``.  100 + 100 rows give 140/30/30 at 70/15/15 and
-160/36/4 at 80/18/2.
+Exact mode has the sizes of a two-stage split.  The held-out share of all n
+rows is rounded up to a whole number, and so is the last part's share of the
+held-out rows.  In each stage a stratum gets its proportional share rounded
+down, and the rows still missing go to the strata with the largest remainders
+(ties: in the order of the labels).  Inside a stratum, rows are ranked by
+``md5('<seed>|<key>')`` (then the key) and the sizes cut the ranking.
 
 The rank is computed with ``ordering.with_rank`` (range shuffle, no
 single-partition window), so a stratum holding most of the rows is still
-spread over all tasks.  The per-stratum counts are one small aggregate.
+spread over all tasks, and so is a key that repeats.  The sizes are computed
+on one row for each stratum.
 
 Hash mode (``exact=False``): each row's part comes from where its hash falls
 in ``[0, 1)``; no ranking, no second pass, sizes exact in expectation only.
@@ -22,7 +22,9 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
+from labelforge.operators.joins import restrict_to_keys
 from labelforge.operators.ordering import with_rank
+from labelforge.session import materialize
 
 from labelforge.fixed import EVAL_FRACTIONS, SEED, TRAIN_FRACTIONS  # noqa: F401 - re-exported
 
@@ -61,25 +63,50 @@ def stratified_split(df: DataFrame, key: str = "filename", label: str = "label",
             expr = F.when(cond, F.lit(name)) if expr is None else expr.when(cond, F.lit(name))
         return df.withColumn(split_col, expr)
 
-    ranked = with_rank(df.withColumn("__lf_h", h), ["__lf_h", key], group_by=[label], rank_col="__lf_rank")
-    sizes = df.groupBy(label).agg(F.count(F.lit(1)).alias("__lf_n"))
-    # one row per stratum: joined back by the key the ranking is grouped on
-    ranked = ranked.join(F.broadcast(sizes) if _few_strata(sizes) else sizes,
-                         ranked[label].eqNullSafe(sizes[label])).drop(sizes[label])
-    expr = None
-    for name, bound in cum:
-        scaled = F.col("__lf_n") * F.lit(bound) + F.lit(PPM // 2)
-        end = (scaled - scaled % F.lit(PPM)) / F.lit(PPM)  # exact integer division
-        cond = F.col("__lf_rank") < end
-        expr = F.when(cond, F.lit(name)) if expr is None else expr.when(cond, F.lit(name))
-    return ranked.withColumn(split_col, expr).drop("__lf_h", "__lf_rank", "__lf_n")
-
-
-_STRATA_BROADCAST_MAX = 1_000_000
-
-
-def _few_strata(sizes: DataFrame) -> bool:
-    return sizes.limit(_STRATA_BROADCAST_MAX + 1).count() <= _STRATA_BROADCAST_MAX
+    sizes = materialize(_part_sizes(df.groupBy(label).agg(F.count(F.lit(1)).alias("__lf_n")), label, fractions))
+    # rows of one key are told apart by a number, so that a range can cut them
+    salted = df.withColumn("__lf_h", h).withColumn("__lf_row", F.monotonically_increasing_id())
+    ranked = with_rank(salted, ["__lf_h", key, "__lf_row"], group_by=[label], rank_col="__lf_rank")
+    names = [name for name, _ in fractions]
+    part = sizes.select(F.col(label).alias("__lf_label"), *[f"__lf_to{i}" for i in range(len(names))])
+    placed = ranked.join(part, ranked[label].eqNullSafe(part["__lf_label"]))
+    expr = F.lit(names[-1])
+    for i, name in reversed(list(enumerate(names[:-1]))):
+        expr = F.when(F.col("__lf_rank") < F.col(f"__lf_to{i}"), F.lit(name)).otherwise(expr)
+    return placed.withColumn(split_col, expr).select(*df.columns, split_col)
+
+
+def _share_up(n: int, share: float) -> int:
+    """``share`` of ``n`` rounded up to whole rows (free of float noise)."""
+    return min(n, -(-(n * int(round(share * PPM))) // PPM))
+
+
+def _proportional(sizes: DataFrame, label: str, rows: str, draw: int, out: str) -> DataFrame:
+    """Add ``out``: ``draw`` rows dealt to the strata in proportion to ``rows``,
+    by largest remainder."""
+    whole = sizes.agg(F.coalesce(F.sum(rows), F.lit(0))).first()[0]
+    scaled = F.col(rows).cast("decimal(38,0)") * F.lit(draw)
+    total = F.lit(max(1, whole))
+    floor = F.floor((scaled - scaled % total) / total).cast("long")
+    based = sizes.withColumn(out, floor).withColumn("__lf_rest", (scaled % total).cast("decimal(38,0)"))
+    missing = draw - based.agg(F.coalesce(F.sum(out), F.lit(0))).first()[0]
+    ranked = with_rank(based, [F.col("__lf_rest").desc(), F.col(label).asc_nulls_first()], rank_col="__lf_turn")
+    return ranked.withColumn(out, F.col(out) + (F.col("__lf_turn") < missing).cast("long")).drop("__lf_rest", "__lf_turn")
+
+
+def _part_sizes(sizes: DataFrame, label: str, fractions: Sequence[tuple[str, float]]) -> DataFrame:
+    """Cumulative part sizes ``__lf_to<i>`` of every stratum."""
+    sizes = materialize(sizes)
+    left, begun = "__lf_n", F.lit(0).cast("long")
+    n = sizes.agg(F.coalesce(F.sum(left), F.lit(0))).first()[0]
+    weight = sum(f for _, f in fractions)
+    for i, (_, f) in enumerate(fractions[:-1]):
+        held_out = _share_up(n, 1 - f / weight)
+        sizes = _proportional(sizes, label, left, n - held_out, f"__lf_part{i}")
+        begun = begun + F.col(f"__lf_part{i}")
+        sizes = sizes.withColumn(f"__lf_left{i}", F.col(left) - F.col(f"__lf_part{i}")).withColumn(f"__lf_to{i}", begun)
+        left, n, weight = f"__lf_left{i}", held_out, weight - f
+    return sizes.withColumn(f"__lf_to{len(fractions) - 1}", F.col("__lf_n"))
 
 
 def restrict_to_split(df: DataFrame, split_df: DataFrame, subset: str = "all",
@@ -90,5 +117,4 @@ def restrict_to_split(df: DataFrame, split_df: DataFrame, subset: str = "all",
         return df
     if subset not in {"train", "val", "test"}:
         raise ValueError(f"unknown subset: {subset!r}")
-    chosen = split_df.filter(F.col(split_col) == subset).select(key)
-    return df.join(chosen, key, "left_semi")
+    return restrict_to_keys(df, split_df.filter(F.col(split_col) == subset), key)

@@ -18,20 +18,19 @@ from labelforge.operators.fusion import fuse_labels, fusion_stats
 from labelforge.operators.head import train_head
 from labelforge.operators.ingest import ingest_plan, ingest_summary, labels_output
 from labelforge.operators.partitioning import spread_scan
-from labelforge.operators.joins import pending, resume_summary
+from labelforge.operators.joins import counted_truth, join_truth, pending, resume_summary
 from labelforge.operators.head import pos_weight
 from labelforge.operators.metrics import confident_only, uncertain_only
 from labelforge.operators.select import bounded_error_log, quota_fill
 from labelforge.operators.split import EVAL_FRACTIONS, TRAIN_FRACTIONS, restrict_to_split, stratified_split
 from labelforge.plans import derived as D
+from labelforge.session import materialize
 from labelforge.sources.annotations import parse_annotation_lines, processed_urls_from_lines
 from labelforge.sources.text import parse_gt_tokens, parse_http_lines, parse_labelled_lines
 from labelforge.functions.verdict import coerce_class_id, fill_confidence, is_bad, label_text, with_verdict
 
 THRESHOLD = 0.25
 SEED = 42
-SELECT_TARGET = 6000
-SELECT_TARGET_OVERFLOW = 4000
 
 
 def _r(col, digits: int = 6):
@@ -75,7 +74,8 @@ SELECT (SELECT count(*) FROM c) AS crowd, (SELECT count(*) FROM m) AS model,
        count(*) FILTER (WHERE final_label = 1) AS positives,
        count(*) FILTER (WHERE final_label = 0) AS negatives,
        count(*) - count(final_label) AS discarded,
-       count(*) FILTER (WHERE label_crowd = 0 AND label_model = 1) AS risk
+       count(*) FILTER (WHERE label_crowd = 0 AND label_model = 1) AS risk,
+       (SELECT count(*) FROM c WHERE filename IS NULL) + (SELECT count(*) FROM m WHERE filename IS NULL) AS null_keys
 FROM j
 """
 
@@ -84,7 +84,8 @@ FROM j
 _SQL_S = """
 WITH s AS (
   SELECT CAST(vec_id AS VARCHAR) AS filename,
-         8.0 * (CAST(embedding[1] AS DOUBLE) - CAST(embedding[2] AS DOUBLE)) AS logit
+         list_sum(list_transform(embedding, lambda x, i: CAST(x AS DOUBLE)
+                  * CASE WHEN i % 2 = 1 THEN 8.0 ELSE -8.0 END / ((i + 1) // 2))) AS logit
   FROM embeddings),
 p AS (
   SELECT filename, logit, 1.0 / (1.0 + exp(-logit)) AS probability FROM s),
@@ -168,8 +169,7 @@ SQL_BINARY_REPORT = _SQL_S + """, j AS (SELECT b.prediction, t.label FROM b JOIN
 
 
 def q_confusion_binary(spark: SparkSession, sf: str) -> DataFrame:
-    rep = metrics.binary_report(_banded(spark, sf), D.truth(spark, sf))
-    return rep.select("tp", "fp", "fn", "tn")
+    return metrics.confusion_binary(confident_only(join_truth(_banded(spark, sf), D.truth(spark, sf))))
 
 
 SQL_CONFUSION_BINARY = _SQL_S + """
@@ -182,21 +182,37 @@ FROM b JOIN t ON b.filename = t.filename
 
 # ------------------------------------------------------------- splitting
 
-_SQL_SPLIT = """
-, ranked AS (
+def _sql_split(rows: str, held: str, last: str) -> str:
+    """Stratified split of ``rows`` (filename, label): ``held`` of all rows (a
+    fraction "a/b") are held out and ``last`` of those are the test part, both
+    rounded up; strata by largest remainder, ties in the order of the labels."""
+    up = lambda n, f: f"(({n} * {f.split('/')[0]} + {f.split('/')[1]} - 1) // {f.split('/')[1]})"
+    return f"""
+, cnt AS (SELECT label, CAST(count(*) AS HUGEINT) AS n FROM {rows} GROUP BY label),
+whole AS (SELECT sum(n) AS n_all, {up('sum(n)', held)} AS n_held FROM cnt),
+cut AS (SELECT n_all, n_held, n_all - n_held AS n_train, n_held - {up('n_held', last)} AS n_val FROM whole),
+s1 AS (SELECT label, n, n * n_train // n_all AS low,
+              row_number() OVER (ORDER BY (n * n_train) % n_all DESC, label) AS turn,
+              n_train - sum(n * n_train // n_all) OVER () AS missing FROM cnt, cut),
+p1 AS (SELECT label, n, low + CASE WHEN turn <= missing THEN 1 ELSE 0 END AS train FROM s1),
+s2 AS (SELECT label, n, train, (n - train) * n_val // n_held AS low,
+              row_number() OVER (ORDER BY ((n - train) * n_val) % n_held DESC, label) AS turn,
+              n_val - sum((n - train) * n_val // n_held) OVER () AS missing FROM p1, cut),
+p2 AS (SELECT label, train, low + CASE WHEN turn <= missing THEN 1 ELSE 0 END AS val FROM s2),
+ranked AS (
   SELECT filename, label,
-         row_number() OVER (PARTITION BY label ORDER BY md5('42|' || filename), filename) - 1 AS rk,
-         count(*) OVER (PARTITION BY label) AS n
-  FROM t),
+         row_number() OVER (PARTITION BY label ORDER BY md5('42|' || filename), filename) - 1 AS rk
+  FROM {rows}),
 sp AS (
-  SELECT filename, label,
-         CASE WHEN rk < (n * 700000 + 500000) // 1000000 THEN 'train'
-              WHEN rk < (n * 850000 + 500000) // 1000000 THEN 'val'
-              ELSE 'test' END AS split
-  FROM ranked)
+  SELECT filename, ranked.label,
+         CASE WHEN rk < train THEN 'train' WHEN rk < train + val THEN 'val' ELSE 'test' END AS split
+  FROM ranked JOIN p2 ON ranked.label = p2.label)
 """
 
 
+_SQL_SPLIT = _sql_split("t", "3/10", "1/2")
+
+
 def _split_truth(spark: SparkSession, sf: str) -> DataFrame:
     return stratified_split(D.truth(spark, sf), key="filename", label="label",
                             fractions=EVAL_FRACTIONS, seed=SEED)
@@ -227,9 +243,9 @@ SQL_EVALUATE_SPLIT = _SQL_S + _SQL_SPLIT + """
 
 
 def q_brier_and_accuracy(spark: SparkSession, sf: str) -> DataFrame:
-    j = _banded(spark, sf).join(D.truth(spark, sf), "filename")
-    out = j.agg(F.count(F.lit(1)).alias("n"), metrics.brier_score("probability", "label").alias("brier"),
-                metrics.accuracy_at("probability", "label").alias("accuracy"))
+    j = counted_truth(_banded(spark, sf), D.truth(spark, sf), prediction="probability")
+    out = j.agg(F.sum("n_rows").alias("n"), metrics.brier_score("probability", "label", "n_rows").alias("brier"),
+                metrics.accuracy_at("probability", "label", weight="n_rows").alias("accuracy"))
     return _round_all(out, ("brier", "accuracy"))
 
 
@@ -242,8 +258,8 @@ FROM b JOIN t ON b.filename = t.filename
 
 
 def q_loss_summary(spark: SparkSession, sf: str) -> DataFrame:
-    j = D.scores(spark, sf).join(D.truth(spark, sf), "filename")
-    out = metrics.loss_summary(j, "logit", "label")
+    j = counted_truth(D.scores(spark, sf), D.truth(spark, sf), prediction="logit")
+    out = metrics.loss_summary(j, "logit", "label", weight="n_rows")
     return _round_all(out, ("mean_bce", "sum_bce", "mean_focal", "sum_focal"))
 
 
@@ -429,19 +445,22 @@ def _annotation_records(spark: SparkSession, sf: str) -> DataFrame:
     return records
 
 
-def _select(spark: SparkSession, sf: str, target: int) -> DataFrame:
-    # only the reported columns are landed by quota_fill's checkpoint
-    records = _annotation_records(spark, sf).select("seq", "url", "is_bad", "class_id", "confidence")
-    sel = quota_fill(records, target=target)
+def _select(spark: SparkSession, sf: str, overflow: bool) -> DataFrame:
+    """The target follows the table: all bad rows and a third of the
+    candidates, or (overflow) half of the bad rows."""
+    # only the reported columns are landed; quota_fill reads them back
+    records = materialize(_annotation_records(spark, sf).select("seq", "url", "is_bad", "class_id", "confidence"))
+    n, n_bad = records.agg(F.count(F.lit(1)), F.count_if("is_bad")).first()
+    sel = quota_fill(records, target=n_bad // 2 if overflow else n_bad + (n - n_bad) // 3)
     return sel.select("seq", "url", "bucket", "cand_rank", "is_bad", "class_id", "confidence")
 
 
 def q_select_uncertain(spark: SparkSession, sf: str) -> DataFrame:
-    return _select(spark, sf, SELECT_TARGET)
+    return _select(spark, sf, False)
 
 
 def q_select_uncertain_overflow(spark: SparkSession, sf: str) -> DataFrame:
-    return _select(spark, sf, SELECT_TARGET_OVERFLOW)
+    return _select(spark, sf, True)
 
 
 def q_annotation_rejects(spark: SparkSession, sf: str) -> DataFrame:
@@ -468,16 +487,16 @@ typed AS (SELECT seq, url, """ + _SQL_TYPED + """ FROM rec)
 """
 
 
-def _sql_select(target: int) -> str:
+def _sql_select(target: str) -> str:
     return _SQL_RECORDS + f"""
-, nb AS (SELECT count(*) AS n_bad FROM typed WHERE is_bad),
+, nb AS (SELECT count(*) FILTER (WHERE is_bad) AS n_bad, count(*) AS n FROM typed),
 cand AS (
   SELECT *, row_number() OVER (ORDER BY confidence, seq) - 1 AS cand_rank FROM typed WHERE NOT is_bad)
 SELECT seq, url, 'bad' AS bucket, CAST(NULL AS BIGINT) AS cand_rank, is_bad, class_id, confidence
 FROM typed WHERE is_bad
 UNION ALL
 SELECT seq, url, 'candidate', cand_rank, is_bad, class_id, confidence
-FROM cand, nb WHERE cand_rank < greatest(0, {int(target)} - n_bad)
+FROM cand, nb WHERE cand_rank < greatest(0, {target} - n_bad)
 """
 
 
@@ -597,10 +616,12 @@ def q_batch_annotate(spark: SparkSession, sf: str) -> DataFrame:
 
 # the stub annotator's verdict JSON (null = it answered in prose), as column j0
 _SQL_ANNOTATE_CORE = """
-  CASE WHEN length(html) % 7 = 0 THEN NULL
-       ELSE '{"class_id": ' || CAST(length(html) % 3 + 1 AS VARCHAR) || ', "label": "'
-            || CASE length(html) % 3 WHEN 0 THEN 'coniferous' WHEN 1 THEN 'deciduous' ELSE 'bad' END
-            || '", "confidence": ' || printf('%.2f', (length(html) % 100) / 100.0) || '}' END AS j0
+  CASE WHEN (2 * length(html) - length(replace(html, 'e', ''))) % 7 = 0 THEN NULL
+       ELSE '{"class_id": ' || CAST((2 * length(html) - length(replace(html, 'e', ''))) % 3 + 1 AS VARCHAR) || ', "label": "'
+            || CASE (2 * length(html) - length(replace(html, 'e', ''))) % 3
+                    WHEN 0 THEN 'coniferous' WHEN 1 THEN 'deciduous' ELSE 'bad' END
+            || '", "confidence": ' || printf('%.2f', ((2 * length(html) - length(replace(html, 'e', ''))) % 100) / 100.0)
+            || '}' END AS j0
 """
 
 
@@ -867,12 +888,13 @@ SELECT round(count(*) FILTER (WHERE label = 0) / count(*) FILTER (WHERE label =
 
 def q_fetch_error_log(spark: SparkSession, sf: str) -> DataFrame:
     failures = _ingest(spark, sf).filter(F.col("status").startswith("error"))
-    first, _ = bounded_error_log(failures, 10, "pos")
-    return first.select("pos", "url", "status")
+    first, rest = bounded_error_log(materialize(failures), 10, "pos")
+    return first.select("pos", "url", "status", F.lit(rest.first()["suppressed"]).cast("long").alias("suppressed"))
 
 
 SQL_FETCH_ERROR_LOG = _SQL_INGEST + """
-SELECT pos, url, status FROM st WHERE status LIKE 'error%' ORDER BY pos LIMIT 10
+SELECT pos, url, status, (SELECT greatest(count(*) - 10, 0) FROM st WHERE status LIKE 'error%') AS suppressed
+FROM st WHERE status LIKE 'error%' ORDER BY pos LIMIT 10
 """
 
 
@@ -907,22 +929,141 @@ def q_train_split_sizes(spark: SparkSession, sf: str) -> DataFrame:
     return metrics.split_sizes(split)
 
 
-SQL_TRAIN_SPLIT_SIZES = _SQL_S + """
-, ranked AS (
-  SELECT filename, label,
-         row_number() OVER (PARTITION BY label ORDER BY md5('42|' || filename), filename) - 1 AS rk,
-         count(*) OVER (PARTITION BY label) AS n
-  FROM t),
-sp AS (
-  SELECT label,
-         CASE WHEN rk < (n * 800000 + 500000) // 1000000 THEN 'train'
-              WHEN rk < (n * 980000 + 500000) // 1000000 THEN 'val'
-              ELSE 'test' END AS split
-  FROM ranked)
+SQL_TRAIN_SPLIT_SIZES = _SQL_S + _sql_split("t", "1/5", "1/10") + """
 SELECT split, count(*) AS n_rows, count(*) FILTER (WHERE label = 1) AS n_positive FROM sp GROUP BY split
 """
 
 
+def _event_split(spark: SparkSession, sf: str) -> DataFrame:
+    events = D.table(spark, sf, "events").select(F.col("event_id").cast("string").alias("filename"),
+                                                 F.col("event_type").alias("label"))
+    return stratified_split(events, key="filename", label="label", fractions=EVAL_FRACTIONS, seed=SEED)
+
+
+def q_event_split(spark: SparkSession, sf: str) -> DataFrame:
+    """H1 over strata of odd sizes, row by row."""
+    return _event_split(spark, sf).select("filename", "label", "split")
+
+
+SQL_EVENT_SPLIT = """
+WITH t AS (SELECT CAST(event_id AS VARCHAR) AS filename, event_type AS label FROM events)
+""" + _sql_split("t", "3/10", "1/2") + "SELECT filename, label, split FROM sp"
+
+
+def q_label_split_sizes(spark: SparkSession, sf: str) -> DataFrame:
+    """H1 on the labels table, stratified by both labels together."""
+    rows = D.table(spark, sf, "labels").select(F.col("doc_id").cast("string").alias("filename"),
+                                               (2 * F.col("quality") + F.col("toxic")).alias("label"))
+    split = stratified_split(rows, key="filename", label="label", fractions=TRAIN_FRACTIONS, seed=SEED)
+    return split.groupBy("split", "label").agg(F.count(F.lit(1)).alias("n_rows"))
+
+
+SQL_LABEL_SPLIT_SIZES = """
+WITH t AS (SELECT CAST(doc_id AS VARCHAR) AS filename, 2 * quality + toxic AS label FROM labels)
+""" + _sql_split("t", "1/5", "1/10") + "SELECT split, label, count(*) AS n_rows FROM sp GROUP BY split, label"
+
+
+# ------------------------------------------------------------- hard values
+
+
+def q_band_edge_cases(spark: SparkSession, sf: str) -> DataFrame:
+    """B9, E7, E14 with NaN: every seventh probability is NaN."""
+    b = _banded(spark, sf).withColumn("probability", F.when(F.col("filename").cast("long") % 7 == 0, F.lit(float("nan")))
+                                      .otherwise(F.col("probability")))
+    j = b.withColumn("prediction", uncertainty_band("probability", THRESHOLD)).join(D.truth(spark, sf), "filename")
+    out = j.groupBy("prediction").agg(F.count(F.lit(1)).alias("n"), metrics.accuracy_at("probability", "label").alias("accuracy"))
+    return _round_all(out, ("accuracy",))
+
+
+SQL_BAND_EDGE_CASES = _SQL_S + """
+, e AS (SELECT b.filename, CASE WHEN CAST(b.filename AS BIGINT) % 7 = 0 THEN NULL ELSE probability END AS p, label
+        FROM b JOIN t ON b.filename = t.filename)
+SELECT CASE WHEN p < 0.25 THEN 'FALSE' WHEN p > 0.75 THEN 'TRUE' ELSE '?' END AS prediction, count(*) AS n,
+       round(avg(CASE WHEN (CASE WHEN p > 0.5 THEN 1 ELSE 0 END) = label THEN 1.0 ELSE 0.0 END), 6) AS accuracy
+FROM e GROUP BY 1
+"""
+
+
+def q_parse_verdicts_edge(spark: SparkSession, sf: str) -> DataFrame:
+    """B11-B14 on NaN, cut emoji, huge class ids and trailing text."""
+    n = F.col("event_id") % 8
+    text = (F.when(n == 0, F.lit('{"class_id": NaN, "label": "ok"}'))
+            .when(n == 1, F.lit('{"class_id": 1, "label": "\\ud83d"}'))
+            .when(n == 2, F.lit('{"class_id": 99999999999, "label": "far"}'))
+            .when(n == 3, F.lit('{"class_id": "99999999999", "label": "far"}'))
+            .when(n == 4, F.lit('{"class_id": 2, "confidence": NaN}'))
+            .when(n == 5, F.lit('{"class_id": Infinity, "label": "x"}'))
+            .when(n == 6, F.lit('{"class_id": 1e999, "confidence": -Infinity}'))
+            .otherwise(F.concat(F.lit('{"class_id": '), (F.col("event_id") % 3 + 1).cast("string"), F.lit("} and more"))))
+    ev = spread_scan(D.table(spark, sf, "events")).select("event_id", text.alias("model_text"))
+    v = with_verdict(ev, "model_text")
+    confidence = fill_confidence("prediction")
+    return v.select("event_id", "parsed", coerce_class_id("prediction").alias("class_id"),
+                    F.isnan(confidence).alias("nan_confidence"), is_bad("prediction").alias("is_bad"))
+
+
+SQL_PARSE_VERDICTS_EDGE = """
+SELECT event_id, event_id % 8 <> 7 AS parsed,
+       CAST(CASE event_id % 8 WHEN 0 THEN 3 WHEN 1 THEN 1 WHEN 2 THEN NULL WHEN 3 THEN NULL WHEN 4 THEN 2
+                              WHEN 5 THEN 3 WHEN 6 THEN 3 ELSE 3 END AS INTEGER) AS class_id,
+       event_id % 8 = 4 AS nan_confidence, event_id % 8 = 7 AS is_bad
+FROM events
+"""
+
+
+def q_numeric_predictions(spark: SparkSession, sf: str) -> DataFrame:
+    """B10 on a predictions column of numbers, written as text."""
+    rows = D.table(spark, sf, "labels").select(F.col("doc_id").alias("filename"), F.col("quality").alias("label"),
+                                               F.when(F.col("doc_id") % 2 == 0, F.col("toxic").cast("string"))
+                                               .otherwise(F.col("toxic").cast("double").cast("string")).alias("prediction"))
+    rep = metrics.binary_report(rows, rows, numeric_prediction=True)
+    return _round_all(rep, _REPORT_RATIOS)
+
+
+SQL_NUMERIC_PREDICTIONS = """
+WITH j AS (SELECT CASE WHEN p.toxic = 1 THEN 'TRUE' ELSE 'FALSE' END AS prediction, y.quality AS label
+           FROM labels p JOIN labels y ON p.doc_id = y.doc_id)
+""" + _SQL_REPORT_FROM_J
+
+
+def q_hot_key_report(spark: SparkSession, sf: str) -> DataFrame:
+    """D1, E3 and E1 on a key of four values: sums without n x m rows."""
+    ev = D.table(spark, sf, "events")
+    preds = ev.select(F.col("event_type").alias("filename"),
+                      F.when(F.col("event_id") % 3 == 0, "TRUE").when(F.col("event_id") % 3 == 1, "FALSE").otherwise("?").alias("prediction"))
+    truth = ev.select(F.col("event_type").alias("filename"), (F.col("user_id") % 2).cast("int").alias("label"))
+    return _round_all(metrics.binary_report(preds, truth), _REPORT_RATIOS)
+
+
+SQL_HOT_KEY_REPORT = """
+WITH p AS (SELECT event_type AS k, CASE event_id % 3 WHEN 0 THEN 'TRUE' WHEN 1 THEN 'FALSE' ELSE '?' END AS prediction,
+                  CAST(count(*) AS BIGINT) AS np FROM events GROUP BY ALL),
+y AS (SELECT event_type AS k, user_id % 2 AS label, CAST(count(*) AS BIGINT) AS ny FROM events GROUP BY ALL),
+w AS (SELECT CASE prediction WHEN 'TRUE' THEN 1 WHEN 'FALSE' THEN 0 END AS pred_num, label, np * ny AS n
+      FROM p JOIN y ON p.k = y.k),
+c AS (
+  SELECT CAST(sum(n) AS BIGINT) AS total, CAST(sum(n) FILTER (WHERE pred_num IS NOT NULL) AS BIGINT) AS confident_total,
+         CAST(sum(n) FILTER (WHERE pred_num = label) AS BIGINT) AS correct,
+         CAST(sum(n) FILTER (WHERE pred_num = 1 AND label = 1) AS BIGINT) AS tp,
+         CAST(sum(n) FILTER (WHERE pred_num = 1 AND label = 0) AS BIGINT) AS fp,
+         CAST(sum(n) FILTER (WHERE pred_num = 0 AND label = 1) AS BIGINT) AS fn,
+         CAST(sum(n) FILTER (WHERE pred_num = 0 AND label = 0) AS BIGINT) AS tn
+  FROM w),
+r AS (
+  SELECT *, CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0.0 END AS precision,
+            CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0.0 END AS recall
+  FROM c)
+SELECT total, confident_total, total - confident_total AS uncertain_count,
+       round(CASE WHEN confident_total > 0 THEN correct / confident_total ELSE 0.0 END, 6) AS accuracy,
+       round(precision, 6) AS precision, round(recall, 6) AS recall,
+       round(CASE WHEN precision + recall > 0 THEN 2 * precision * recall / (precision + recall)
+                  ELSE 0.0 END, 6) AS f1,
+       round(CASE WHEN total > 0 THEN confident_total / total ELSE 0.0 END, 6) AS coverage,
+       tp, fp, fn, tn
+FROM r
+"""
+
+
 def q_labelled_ingest(spark: SparkSession, sf: str) -> DataFrame:
     from pyspark.sql import types as T
     pages = D.table(spark, sf, "pages").select(F.col("page_id").alias("pos"), "html")
@@ -987,6 +1128,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "fetch_error_log": q_fetch_error_log,
     "train_split_sizes": q_train_split_sizes,
     "labelled_ingest": q_labelled_ingest,
+    "event_split": q_event_split,
+    "label_split_sizes": q_label_split_sizes,
+    "band_edge_cases": q_band_edge_cases,
+    "parse_verdicts_edge": q_parse_verdicts_edge,
+    "numeric_predictions": q_numeric_predictions,
+    "hot_key_report": q_hot_key_report,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -1003,8 +1150,8 @@ ORACLE_SQL: dict[str, str] = {
     "parse_verdicts": SQL_PARSE_VERDICTS,
     "confusion_matrix": SQL_CONFUSION_MATRIX,
     "classification_report": SQL_CLASSIFICATION_REPORT,
-    "select_uncertain": _sql_select(SELECT_TARGET),
-    "select_uncertain_overflow": _sql_select(SELECT_TARGET_OVERFLOW),
+    "select_uncertain": _sql_select("(n_bad + (n - n_bad) // 3)"),
+    "select_uncertain_overflow": _sql_select("(n_bad // 2)"),
     "annotation_rejects": SQL_ANNOTATION_REJECTS,
     "pending_urls": SQL_PENDING_URLS,
     "resume_summary": SQL_RESUME_SUMMARY,
@@ -1031,4 +1178,10 @@ ORACLE_SQL: dict[str, str] = {
     "platt_calibration": SQL_PLATT_CALIBRATION,
     "train_split_sizes": SQL_TRAIN_SPLIT_SIZES,
     "labelled_ingest": SQL_LABELLED_INGEST,
+    "event_split": SQL_EVENT_SPLIT,
+    "label_split_sizes": SQL_LABEL_SPLIT_SIZES,
+    "band_edge_cases": SQL_BAND_EDGE_CASES,
+    "parse_verdicts_edge": SQL_PARSE_VERDICTS_EDGE,
+    "numeric_predictions": SQL_NUMERIC_PREDICTIONS,
+    "hot_key_report": SQL_HOT_KEY_REPORT,
 }

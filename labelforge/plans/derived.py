@@ -4,8 +4,9 @@ The driver's tables hold no predictions, verdicts or URL lists, so the query
 catalogue derives them deterministically (every row of the source table is
 used; the derivations grow with the tables):
 
-* **S** (scores) from ``embeddings``: ``logit = 8 * (e[1] - e[2])`` (1-based,
-  each element cast to double), truth ``label < 5``.
+* **S** (scores) from ``embeddings``: the dot product of all elements with
+  the weights 8, -8, 4, -4, 8/3, -8/3, ... (each element cast to double), truth
+  ``label < 5``.
 * **V** (verdicts) from ``events``: the model text of a stub annotator whose
   verdict comes from ``props.k``: ``class_id = k % 3 + 1``, confidence
   ``k / 100``; the JSON type of ``class_id`` depends on ``event_type`` (text
@@ -39,8 +40,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 # ---------------------------------------------------------------- S (scores)
 
 def score_logit(embedding: str = "embedding") -> Column:
-    e = F.col(embedding)
-    return F.lit(8.0) * (F.element_at(e, 1).cast("double") - F.element_at(e, 2).cast("double"))
+    """Element i (from 0) weighs 8 / (i div 2 + 1), every second one negative."""
+    def term(v, i):
+        size = F.lit(8.0) / F.floor(i / 2 + 1).cast("double")
+        return v.cast("double") * F.when(i % 2 == 0, size).otherwise(-size)
+    return F.aggregate(F.transform(embedding, term), F.lit(0.0), lambda acc, v: acc + v)
 
 
 def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,9 +62,9 @@ def truth(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stub_scorer(pdf: pd.DataFrame) -> np.ndarray:
     """Batch scorer used by the catalogue: the S logit, computed in numpy."""
-    first = np.array([float(np.float32(v[0])) for v in pdf["embedding"]], dtype="float64")
-    second = np.array([float(np.float32(v[1])) for v in pdf["embedding"]], dtype="float64")
-    return 8.0 * (first - second)
+    x = np.stack(pdf["embedding"].to_numpy()).astype("float32").astype("float64")
+    i = np.arange(x.shape[1])
+    return x @ (np.where(i % 2 == 0, 8.0, -8.0) / (i // 2 + 1))
 
 
 # -------------------------------------------------------------- V (verdicts)
@@ -139,11 +143,11 @@ def stub_fetcher(pdf: pd.DataFrame) -> pd.DataFrame:
 
 
 def stub_annotator(pdf: pd.DataFrame) -> list[str]:
-    """Batch annotator used by the catalogue: a verdict from the content
-    length (every 7th length answers in prose)."""
+    """Batch annotator used by the catalogue: a verdict from the characters of
+    the content and its letters e (every 7th number answers in prose)."""
     out = []
     for text in pdf["content"]:
-        n = len(text or "")
+        n = len(text or "") + (text or "").count("e")
         cls = n % 3 + 1
         label = {1: "coniferous", 2: "deciduous", 3: "bad"}[cls]
         if n % 7 == 0:

@@ -8,6 +8,7 @@ shared checkpoint folder a cluster names in ``spark.checkpoint.dir``.
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -106,13 +107,17 @@ def _configured_dir(spark: SparkSession) -> str | None:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Use the cluster's ``spark.checkpoint.dir``; only when it is unset
-    (local tests) fall back to a fresh folder under the system temp dir."""
+    """Use the cluster's ``spark.checkpoint.dir``; only where it is unset and
+    the master is local (tests) a fresh folder under the system temp dir."""
     sc = spark.sparkContext
     configured = sc.getCheckpointDir()
     if configured:
         return configured
-    wanted = _configured_dir(spark) or tempfile.mkdtemp(prefix="labelforge-ckpt-")
+    wanted = _configured_dir(spark)
+    if not wanted:
+        if not re.match(r"local(\[|$)", sc.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        wanted = tempfile.mkdtemp(prefix="labelforge-ckpt-")
     sc.setCheckpointDir(wanted)
     return sc.getCheckpointDir() or wanted
 
