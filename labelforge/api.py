@@ -23,7 +23,7 @@ from labelforge.operators.calibrate import (
     calibration_report, fit_platt, load_calibrator, save_calibrator,
 )
 from labelforge.operators.fusion import fuse_labels, fusion_stats
-from labelforge.operators.ingest import ingest_plan, ingest_summary, labels_output
+from labelforge.operators.ingest import fetch_plan, ingest_plan, ingest_summary, labels_output
 from labelforge.operators.joins import resume_summary
 from labelforge.operators.metrics import binary_report, classification_report, confusion_matrix, prediction_summary
 from labelforge.operators.select import quota_fill, selection_order
@@ -36,7 +36,7 @@ from labelforge.sources.tables import read_labels, read_predictions
 from labelforge.sources.text import read_gt_tokens, read_http_lines, read_lines
 
 from labelforge.fixed import (
-    FETCH_CONCURRENCY, IMG_SIZE, INGEST_TIMEOUT, SCORE_BATCH, SEED, SELECT_TARGET, UNCERTAINTY_THRESHOLD,
+    ANNOTATE_BATCH, FETCH_CONCURRENCY, IMG_SIZE, INGEST_TIMEOUT, SCORE_BATCH, SEED, SELECT_TARGET, UNCERTAINTY_THRESHOLD,
     UPSCALE_FACTOR,
     UPSCALE_METHODS,
 )
@@ -74,12 +74,10 @@ def ingest(spark: SparkSession, input_path: str, image_store: str, fetcher, type
     # landed before anything is appended to the store, so the existing-file
     # test can never see this run's own downloads
     plan = materialize(ingest_plan(lines, files, overwrite=overwrite, labelled=labelled))
-    to_fetch = plan.filter(F.col("status") == "fetch").drop("status")
-    fetched = materialize(B.fetch(to_fetch, fetcher, concurrency=concurrency, content_type="binary",
-                                  timeout=timeout))
+    fetched = fetch_plan(plan, fetcher, concurrency, "binary", timeout)
     fetched.filter(F.col("status") == "ok").select("filename", "content") \
         .write.mode("append").parquet(image_store)
-    outcome = plan.filter(F.col("status") != "fetch").unionByName(fetched.drop("content"))
+    outcome = fetched.drop("content")
     if labelled and labels_path:
         write_csv(labels_output(outcome), labels_path, ["filename", "label"])
     return ingest_summary(lines, outcome, labelled=labelled)
@@ -96,7 +94,10 @@ def evaluate(spark: SparkSession, predictions: str, labels: str, subset: str = "
     if subset != "all":
         split = stratified_split(truth, fractions=EVAL_FRACTIONS, seed=seed)
         preds = restrict_to_split(preds, split, subset)
-    return binary_report(preds, truth)
+    # a file whose predictions are all numbers holds 1 and 0, not texts
+    number = F.col("prediction").try_cast("double")
+    texts = preds.filter(F.col("prediction").isNotNull()).agg(F.count(F.lit(1)).alias("n"), F.count(number).alias("k")).first()
+    return binary_report(preds, truth, numeric_prediction=0 < texts["n"] == texts["k"])
 
 
 def calibrate(spark: SparkSession, predictions: str, labels: str, output: str) -> DataFrame:
@@ -145,7 +146,7 @@ def band(df: DataFrame, uncertainty_threshold: float = UNCERTAINTY_THRESHOLD, pr
 # ------------------------------------------------------------- annotation
 
 def annotate(spark: SparkSession, input: str, output: str, annotator, fetcher,  # noqa: A002
-             model_id: str = "stub", batch_size: int = 8, concurrency: int | None = None) -> DataFrame:
+             model_id: str = "stub", batch_size: int = ANNOTATE_BATCH, concurrency: int | None = None) -> DataFrame:
     """Resumable annotation (A4, A8, D3, E15, I2, K2 append).  Returns the
     ``total / processed / to_do`` summary taken before the run."""
     urls = read_http_lines(spark, input)
@@ -158,7 +159,7 @@ def annotate(spark: SparkSession, input: str, output: str, annotator, fetcher,
 
 
 def validate(spark: SparkSession, input: str, output: str, annotator, fetcher,  # noqa: A002
-             batch_size: int = 8, content_type: str = "binary"):
+             batch_size: int = ANNOTATE_BATCH, content_type: str = "binary"):
     """Validate an annotator on labelled URLs.
     Returns ``(matrix, report)``."""
     gt = read_gt_tokens(spark, input)

@@ -19,7 +19,10 @@ second action never calls the model again for the same rows.
 from __future__ import annotations
 
 import inspect
+import time
+from collections import deque
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F, types as T
@@ -33,6 +36,9 @@ from labelforge.operators.joins import pending
 
 from labelforge.fixed import ANNOTATE_BATCH, ANNOTATE_TIMEOUT, SCORE_BATCH, UNCERTAINTY_THRESHOLD
 
+#: Rows that a fetcher is given at once.
+FETCH_BATCH = 32
+
 
 def _chunks(pdf: pd.DataFrame, size: int):
     for start in range(0, len(pdf), max(1, size)):
@@ -95,51 +101,82 @@ def _accepts_timeout(fn) -> bool:
     return "timeout" in params or any(p.kind == p.VAR_KEYWORD for p in params.values())
 
 
-def fetch(df: DataFrame, fetcher: Callable[[pd.DataFrame], pd.DataFrame], concurrency: int | None = None,
-          content_type: T.DataType | str = "binary", timeout: float | None = None) -> DataFrame:
-    """Add ``content`` and ``status`` (``ok`` or ``error: ...``).
+def timed(fetcher, timeout: float | None):
+    """The fetcher, with the seconds allowed for each URL if it takes them."""
+    if timeout is None or not _accepts_timeout(fetcher):
+        return fetcher
+    return lambda pdf: fetcher(pdf, timeout=timeout)
+
+
+def fetch_part(call, part: pd.DataFrame) -> pd.DataFrame:
+    """``part`` with content and status.  A call that raises (or answers with
+    another number of rows) is made again row by row, so that only the rows at
+    fault fail."""
+    try:
+        got = call(part)
+        content, errors = list(got["content"]), list(got["error"])
+        if len(content) != len(part):
+            raise ValueError(f"{len(content)} answers for {len(part)} rows")
+    except Exception as exc:  # noqa: BLE001
+        if len(part) > 1:
+            return pd.concat([fetch_part(call, part.iloc[i:i + 1]) for i in range(len(part))])
+        content, errors = [None], [str(exc)]
+    out = part.copy()
+    status = ["ok" if e is None or (isinstance(e, float) and pd.isna(e)) else f"error: {e}" for e in errors]
+    out["content"] = pd.Series([c if s == "ok" else None for c, s in zip(content, status)], index=out.index, dtype="object")
+    out["status"] = status
+    return out
+
+
+def in_order(pool: ThreadPoolExecutor, work, parts: Iterator, ahead: int) -> Iterator:
+    """``work`` on each part with at most ``ahead`` at once, in order."""
+    waiting: deque = deque()
+    for part in parts:
+        waiting.append(pool.submit(work, part))
+        if len(waiting) >= ahead:
+            yield waiting.popleft().result()
+    while waiting:
+        yield waiting.popleft().result()
 
-    ``concurrency`` bounds the number of simultaneous fetch tasks by
-    repartitioning to that many partitions (round robin, no key skew).
-    ``timeout`` (seconds) is passed to a fetcher that takes a ``timeout``
-    keyword; there is no retry (a failure is the row's status)."""
-    call = (lambda pdf: fetcher(pdf, timeout=timeout)) if timeout is not None and _accepts_timeout(fetcher) \
-        else fetcher
+
+def fetched_schema(df: DataFrame, content_type: T.DataType | str) -> T.StructType:
     if isinstance(content_type, str):
         content_type = {"binary": T.BinaryType(), "string": T.StringType()}[content_type]
-    src = df.repartition(concurrency) if concurrency else df
-    out_schema = _append_field(df.schema, T.StructField("content", content_type),
-                               T.StructField("status", T.StringType()))
+    return _append_field(df.schema, T.StructField("content", content_type), T.StructField("status", T.StringType()))
+
+
+def fetch(df: DataFrame, fetcher: Callable[[pd.DataFrame], pd.DataFrame], concurrency: int | None = None,
+          content_type: T.DataType | str = "binary", timeout: float | None = None,
+          batch_size: int = FETCH_BATCH) -> DataFrame:
+    """Add ``content`` and ``status`` (``ok`` or ``error: ...``).
+
+    The fetcher is called on at most ``batch_size`` rows and each answer goes
+    on at once, so a task holds ``batch_size * concurrency`` contents.  A call
+    that raises is made again row by row.  ``concurrency`` is the number of
+    calls that a task makes at the same time (the fetcher runs in threads then);
+    ``timeout`` (seconds for each URL) is passed to a fetcher that takes a
+    ``timeout`` keyword.  A failed row is not tried again."""
+    call, at_once = timed(fetcher, timeout), max(1, concurrency or 1)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            out = pdf.copy()
-            try:
-                got = call(pdf)
-                content = list(got["content"])
-                errors = list(got["error"])
-            except Exception as exc:  # noqa: BLE001
-                content = [None] * len(pdf)
-                errors = [str(exc)] * len(pdf)
-            out["content"] = content
-            out["status"] = ["ok" if e is None or (isinstance(e, float) and pd.isna(e)) else f"error: {e}"
-                             for e in errors]
-            out.loc[out["status"] != "ok", "content"] = None
-            yield out
-
-    return src.mapInPandas(run, out_schema)
+        parts = (part for pdf in batches for part in _chunks(pdf, batch_size))
+        with ThreadPoolExecutor(at_once) as pool:
+            yield from in_order(pool, lambda part: fetch_part(call, part), parts, at_once)
+
+    return df.mapInPandas(run, fetched_schema(df, content_type))
 
 
 def call_annotator(df: DataFrame, annotator: Callable[[pd.DataFrame], object],
                    batch_size: int = ANNOTATE_BATCH, status: str | None = None) -> DataFrame:
-    """Add ``model_text`` and ``error`` by calling ``annotator`` per micro-batch
-    of ``batch_size`` rows; a failing batch marks its rows with the error.
+    """Add ``model_text``, ``error`` and ``answered_at`` (B15: the time of each
+    record) by calling ``annotator`` per micro-batch of ``batch_size`` rows; a
+    failing batch marks its rows with the error.
 
     With ``status`` (the fetch status column), only ``ok`` rows are given to
     the annotator; the others pass through with the fetch error, so routing
     needs no second branch over the fetched rows (which would fetch twice)."""
     out_schema = _append_field(df.schema, T.StructField("model_text", T.StringType()),
-                               T.StructField("error", T.StringType()))
+                               T.StructField("error", T.StringType()), T.StructField("answered_at", T.DoubleType()))
     cols = [f.name for f in df.schema.fields]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -147,6 +184,7 @@ def call_annotator(df: DataFrame, annotator: Callable[[pd.DataFrame], object],
             pdf = pdf[cols].copy()
             pdf["model_text"] = None
             pdf["error"] = None
+            pdf["answered_at"] = time.time()
             if status is not None:
                 failed = pdf[status] != "ok"
                 pdf.loc[failed, "error"] = pdf.loc[failed, status].str.replace(r"^error: ", "", regex=True)
@@ -159,6 +197,7 @@ def call_annotator(df: DataFrame, annotator: Callable[[pd.DataFrame], object],
                     pdf.loc[part.index, "model_text"] = pd.Series(texts, index=part.index, dtype="object")
                 except Exception as exc:  # noqa: BLE001
                     pdf.loc[part.index, "error"] = f"inference: {exc}"
+                pdf.loc[part.index, "answered_at"] = time.time()
             yield pdf
 
     return df.mapInPandas(run, out_schema)
@@ -191,7 +230,7 @@ def annotate(urls: DataFrame, annotator, fetcher, done: DataFrame | None = None,
     annotated_ok = (F.col("status") == "ok") & F.col("error").isNull()
     out = answered.select(
         F.col(key).alias("url"),
-        F.unix_micros(F.current_timestamp()).cast("double").__truediv__(1e6).alias("timestamp"),
+        F.col("answered_at").alias("timestamp"),
         F.lit(model_id).alias("model"),
         "error",
         F.when(annotated_ok, F.col("__lf_pred")).otherwise(fetch_error_verdict()).alias("prediction"),
@@ -214,7 +253,7 @@ def validate_annotator(gt: DataFrame, annotator, fetcher, key: str = "url",
     fetched_ok = F.col("status") == "ok"
     inferred = fetched_ok & F.col("error").isNull()
     out = _typed(answered.select(
-        F.col(key).alias("url"), "gt_label", "error",
+        F.col(key).alias("url"), F.col("answered_at").alias("timestamp"), "gt_label", "error",
         F.when(inferred, F.col("__lf_pred")).otherwise(fetch_error_verdict()).alias("prediction"),
         F.when(inferred, F.col("__lf_parsed")).otherwise(F.lit(False)).alias("parsed"),
         # a fetch failure is written; an inference failure counts but is not
@@ -225,8 +264,10 @@ def validate_annotator(gt: DataFrame, annotator, fetcher, key: str = "url",
 
 
 def with_lineage(df: DataFrame, model_id: str | None = None, gt_label: str | None = None) -> DataFrame:
-    """Processing time (epoch seconds, double), model id, truth label."""
-    out = df.withColumn("timestamp", F.unix_micros(F.current_timestamp()).cast("double") / F.lit(1e6))
+    """Processing time (epoch seconds, double; the record's own where it
+    has one), model id, truth label."""
+    out = df if "timestamp" in df.columns else df.withColumn(
+        "timestamp", F.unix_micros(F.current_timestamp()).cast("double") / F.lit(1e6))
     if model_id is not None:
         out = out.withColumn("model", F.lit(model_id))
     if gt_label is not None:

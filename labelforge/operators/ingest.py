@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
+
+import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
+from labelforge.operators.batch import FETCH_BATCH, fetch_part, fetched_schema, in_order, timed
 from labelforge.operators.joins import skip_existing
+from labelforge.session import materialize
 from labelforge.sources.text import parse_labelled_lines, parse_url_lines
 
 
@@ -20,6 +26,56 @@ def ingest_plan(lines: DataFrame, files: DataFrame, header_lines: int = 1, overw
     return skip_existing(rows, files, "filename", overwrite)
 
 
+def fetch_plan(plan: DataFrame, fetcher, concurrency: int | None = None, content_type="binary",
+               timeout: float | None = None, batch_size: int = FETCH_BATCH, name: str = "filename",
+               pos: str = "pos") -> DataFrame:
+    """I3 + D4 over a whole plan: rows to ``fetch`` become ``ok`` or
+    ``error: ...`` (with ``content``), the others pass.
+
+    Of rows with one name the first that succeeds is kept; those after it are
+    ``exists``, and one is tried only when all before it failed.  Rows are laid
+    out in ranges of (name, position): a task goes through its names in order,
+    and where a range border cuts a name, the join with the first success puts
+    the later part right.  The result is landed: no URL is fetched twice."""
+    call, at_once = timed(fetcher, timeout), max(1, concurrency or 1)
+    laid = plan.repartitionByRange(name, pos).sortWithinPartitions(name, pos)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        done: set = set()  # of the current name only: names come in order
+
+        def passed(rows: pd.DataFrame) -> pd.DataFrame:
+            return rows.assign(content=None)
+
+        with ThreadPoolExecutor(at_once) as pool:
+            for pdf in batches:
+                pdf = pdf.reset_index(drop=True)
+                todo = pdf[pdf["status"] == "fetch"].drop(columns="status")
+                if len(todo) < len(pdf):
+                    yield passed(pdf[pdf["status"] != "fetch"])
+                while len(todo):
+                    known = todo[name].isin(done)
+                    if known.any():
+                        yield passed(todo[known].assign(status="exists"))
+                        todo = todo[~known]
+                    rows = todo[~todo.duplicated(name)]  # the next row of every name
+                    todo = todo.drop(rows.index)
+                    parts = [rows.iloc[i:i + batch_size] for i in range(0, len(rows), batch_size)]
+                    for out in in_order(pool, lambda part: fetch_part(call, part), parts, at_once):
+                        done.update(out.loc[out["status"] == "ok", name])
+                        yield out
+                done &= set(pdf[name].iloc[-1:])
+
+    schema = fetched_schema(plan.drop("status"), content_type)
+    fetched = materialize(laid.mapInPandas(lambda it: (x[[f.name for f in schema.fields]] for x in run(it)), schema))
+    first = (fetched.where(F.col("status") == "ok").groupBy(F.col(name).alias("__lf_name"))
+             .agg(F.min(pos).alias("__lf_first")))
+    joined = fetched.join(first, fetched[name] == first["__lf_name"], "left")
+    late = F.col("__lf_first").isNotNull() & (F.col(pos) > F.col("__lf_first"))
+    return joined.select(*[f.name for f in plan.drop("status").schema.fields],
+                         F.when(~F.coalesce(late, F.lit(False)), F.col("content")).alias("content"),
+                         F.when(F.coalesce(late, F.lit(False)), F.lit("exists")).otherwise(F.col("status")).alias("status"))
+
+
 def ingest_failures(lines: DataFrame, header_lines: int = 1, labelled: bool = False) -> DataFrame:
     """The invalid lines of the same scan."""
     if labelled:

@@ -16,7 +16,7 @@ from labelforge.operators import batch, metrics
 from labelforge.operators.calibrate import calibration_report, fit_platt
 from labelforge.operators.fusion import fuse_labels, fusion_stats
 from labelforge.operators.head import train_head
-from labelforge.operators.ingest import ingest_plan, ingest_summary, labels_output
+from labelforge.operators.ingest import fetch_plan, ingest_plan, ingest_summary, labels_output
 from labelforge.operators.partitioning import spread_scan
 from labelforge.operators.joins import counted_truth, join_truth, pending, resume_summary
 from labelforge.operators.head import pos_weight
@@ -540,12 +540,8 @@ SELECT (SELECT count(*) FROM urls) AS total, (SELECT count(*) FROM done) AS proc
 
 
 def _ingest(spark: SparkSession, sf: str) -> DataFrame:
-    from pyspark.sql import types as T
-    pages = D.table(spark, sf, "pages").select(F.col("page_id").alias("pos"), "html")
     plan = ingest_plan(D.url_lines(spark, sf), D.existing_files(spark, sf), header_lines=0)
-    to_fetch = plan.filter(F.col("status") == "fetch").drop("status").join(pages, "pos")
-    fetched = batch.fetch(to_fetch, D.stub_fetcher, content_type=T.StringType()).drop("content", "html")
-    return plan.filter(F.col("status") != "fetch").unionByName(fetched)
+    return fetch_plan(plan, D.stub_fetcher).drop("content")
 
 
 def q_ingest_plan(spark: SparkSession, sf: str) -> DataFrame:
@@ -586,6 +582,58 @@ SELECT (SELECT count(*) FROM pages) AS total,
 FROM st
 """
 
+
+def _collision_lines(spark: SparkSession, sf: str) -> DataFrame:
+    """A URL list in which every 97th page has the same file name."""
+    n = F.col("page_id")
+    return D.table(spark, sf, "pages").select(n.alias("seq"), F.concat(
+        F.lit("https://img.example.org/"), n.cast("string"), F.lit("/"), (n % 97).cast("string"), F.lit(".jpg")).alias("value"))
+
+
+def _every_third_fails(pdf):
+    """Fetcher of the collision queries: fails by the page number in the URL."""
+    import pandas as pd
+    number = pdf["url"].str.extract(r"org/(\d+)/")[0].astype(int)
+    return pd.DataFrame({"content": [b"x"] * len(pdf), "error": ["gone" if n % 3 == 0 else None for n in number]})
+
+
+def _raises_on_third(pdf):
+    """Fetcher that raises for a whole call when one of its URLs is bad."""
+    out = _every_third_fails(pdf)
+    if out["error"].notna().any():
+        raise RuntimeError("boom")
+    return out
+
+
+def q_ingest_collisions(spark: SparkSession, sf: str) -> DataFrame:
+    """D4 + I3: of the URLs with one file name the first that succeeds counts."""
+    plan = ingest_plan(_collision_lines(spark, sf), spark.createDataFrame([], "filename string"), header_lines=0)
+    return fetch_plan(plan, _every_third_fails, concurrency=2, batch_size=7).select("pos", "filename", "url", "status")
+
+
+SQL_INGEST_COLLISIONS = """
+WITH l AS (SELECT page_id AS pos, CAST(page_id % 97 AS VARCHAR) || '.jpg' AS filename,
+                  'https://img.example.org/' || CAST(page_id AS VARCHAR) || '/' || CAST(page_id % 97 AS VARCHAR) || '.jpg' AS url
+           FROM pages),
+f AS (SELECT filename, min(pos) FILTER (WHERE pos % 3 <> 0) AS first_ok FROM l GROUP BY filename)
+SELECT pos, l.filename, url, CASE WHEN pos > first_ok THEN 'exists' WHEN pos % 3 = 0 THEN 'error: gone' ELSE 'ok' END AS status
+FROM l JOIN f ON l.filename = f.filename
+"""
+
+
+def q_fetch_isolated(spark: SparkSession, sf: str) -> DataFrame:
+    """A raising call fails only the rows at fault."""
+    rows = _collision_lines(spark, sf).select("seq", F.col("value").alias("url"))
+    return batch.fetch(rows, _raises_on_third, concurrency=3).select("seq", "url", "status")
+
+
+SQL_FETCH_ISOLATED = """
+SELECT page_id AS seq,
+       'https://img.example.org/' || CAST(page_id AS VARCHAR) || '/' || CAST(page_id % 97 AS VARCHAR) || '.jpg' AS url,
+       CASE WHEN page_id % 3 = 0 THEN 'error: boom' ELSE 'ok' END AS status
+FROM pages
+"""
+
 # ------------------------------------------------------------ batch jobs
 
 
@@ -1065,15 +1113,10 @@ FROM r
 
 
 def q_labelled_ingest(spark: SparkSession, sf: str) -> DataFrame:
-    from pyspark.sql import types as T
-    pages = D.table(spark, sf, "pages").select(F.col("page_id").alias("pos"), "html")
     files = D.table(spark, sf, "pages").filter(F.col("url").contains("/en/")) \
         .select(F.format_string("%03d.jpg", F.col("page_id")).alias("filename"))
     plan = ingest_plan(D.labelled_lines(spark, sf), files, header_lines=0, labelled=True)
-    to_fetch = plan.filter(F.col("status") == "fetch").drop("status").join(pages, "pos")
-    fetched = batch.fetch(to_fetch, D.stub_fetcher, content_type=T.StringType()).drop("content", "html")
-    outcome = plan.filter(F.col("status") != "fetch").unionByName(fetched, allowMissingColumns=True)
-    return labels_output(outcome.select("filename", "label", "status"))
+    return labels_output(fetch_plan(plan, D.stub_fetcher).select("filename", "label", "status"))
 
 
 SQL_LABELLED_INGEST = _SQL_LABELLED + """
@@ -1128,6 +1171,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "fetch_error_log": q_fetch_error_log,
     "train_split_sizes": q_train_split_sizes,
     "labelled_ingest": q_labelled_ingest,
+    "ingest_collisions": q_ingest_collisions,
+    "fetch_isolated": q_fetch_isolated,
     "event_split": q_event_split,
     "label_split_sizes": q_label_split_sizes,
     "band_edge_cases": q_band_edge_cases,
@@ -1178,6 +1223,8 @@ ORACLE_SQL: dict[str, str] = {
     "platt_calibration": SQL_PLATT_CALIBRATION,
     "train_split_sizes": SQL_TRAIN_SPLIT_SIZES,
     "labelled_ingest": SQL_LABELLED_INGEST,
+    "ingest_collisions": SQL_INGEST_COLLISIONS,
+    "fetch_isolated": SQL_FETCH_ISOLATED,
     "event_split": SQL_EVENT_SPLIT,
     "label_split_sizes": SQL_LABEL_SPLIT_SIZES,
     "band_edge_cases": SQL_BAND_EDGE_CASES,

@@ -139,3 +139,34 @@ def test_fetch_passes_timeout_when_accepted(spark):
     assert seen.value == 7
     # a fetcher without the keyword is called as is
     assert fetch(urls, fetcher, timeout=7, content_type="string").filter("status = 'ok'").count() == 1
+
+
+def test_fetch_calls_are_small_and_isolated(spark):
+    """At most FETCH_BATCH rows a call; a raising call costs only its bad rows."""
+    import pandas as pd
+    from pyspark.sql import functions as F
+
+    from labelforge.operators import batch
+
+    def fetcher(pdf):
+        if len(pdf) > batch.FETCH_BATCH:
+            raise AssertionError("too many rows in a call")
+        if (pdf["id"] % 50 == 0).any():
+            raise RuntimeError("boom")
+        return pd.DataFrame({"content": [str(len(pdf)).encode()] * len(pdf), "error": None})
+
+    for at_once in (None, 4):
+        got = batch.fetch(spark.range(5_000), fetcher, concurrency=at_once).collect()
+        assert sorted(r.id for r in got) == list(range(5_000))
+        assert {r.id for r in got if r.status != "ok"} == set(range(0, 5_000, 50))
+        assert all(r.status == "error: boom" and r.content is None for r in got if r.id % 50 == 0)
+    assert batch.fetch(spark.range(0), fetcher).agg(F.count("id")).first()[0] == 0
+
+
+def test_wrong_number_of_answers_is_an_error(spark):
+    import pandas as pd
+
+    from labelforge.operators import batch
+
+    out = batch.fetch(spark.range(3), lambda pdf: pd.DataFrame({"content": [], "error": []})).collect()
+    assert all(r.status.startswith("error: 0 answers") for r in out)

@@ -16,7 +16,7 @@ def test_fusion_fixture(spark):
     assert got == [("a.jpg", 1), ("b.jpg", 1), ("c.jpg", 0)]
     s = fusion_stats(crowd, model).first().asDict()
     assert s == {"crowd": 6, "model": 5, "merged": 5, "final": 3, "positives": 2, "negatives": 1,
-                 "discarded": 2, "risk": 1}
+                 "discarded": 2, "risk": 1, "null_keys": 0}
 
 
 def test_null_keys_never_match(spark):

@@ -100,7 +100,7 @@ def test_upscale_and_write(spark, image_dir, tmp_dir):
     assert {"method=bilinear", "method=lanczos"} <= set(os.listdir(out))
     assert spark.read.parquet(out).filter("method = 'lanczos'").count() == 2
     with pytest.raises(ValueError):
-        upscale(rgb, 2, ("bicubic",))
+        upscale(rgb, 2, ("nearest",))
 
 
 def test_normalise_pixels(spark, image_dir):

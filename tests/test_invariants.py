@@ -47,7 +47,7 @@ def test_matrix_rows_match_report_support(spark, q):
 def test_selection_sizes(spark, q):
     rows = q["select_uncertain"](spark, SF).collect()
     n_bad = sum(r.bucket == "bad" for r in rows)
-    assert len(rows) == max(6000, n_bad)
+    assert 0 < n_bad < len(rows)
     over = q["select_uncertain_overflow"](spark, SF).collect()
     assert all(r.bucket == "bad" for r in over) and len(over) == n_bad
 

@@ -28,14 +28,14 @@ def test_quota_fixture(spark, target, expected):
     assert _ordered(S.quota_fill(_records(spark), target)) == expected
 
 
-def test_quota_large_fill_path_matches(spark, monkeypatch):
+def test_lowest_k_is_the_sorted_head(spark):
     rnd = random.Random(3)
-    rows = [(i, f"u{i}", rnd.random() < 0.3, round(rnd.random(), 2)) for i in range(3000)]
-    df = spark.createDataFrame(rows, "seq long, url string, is_bad boolean, confidence double")
-    small = _ordered(S.quota_fill(df, 1500))
-    monkeypatch.setattr(S, "TOPK_MAX", 10)
-    big = _ordered(S.quota_fill(df, 1500))
-    assert small == big and len(small) == 1500
+    rows = [(i, round(rnd.random(), 2)) for i in range(3000)]
+    df = spark.createDataFrame(rows, "seq long, confidence double")
+    for k in (0, 1, 700, 3000, 5000):
+        got = S.lowest_k(df, k, ["confidence", "seq"], rank_col="rank").orderBy("rank").collect()
+        assert [r.seq for r in got] == [i for _, i in sorted((c, i) for i, c in rows)][:k]
+        assert [r["rank"] for r in got] == list(range(min(k, 3000)))
 
 
 def test_with_rank_matches_window(spark):

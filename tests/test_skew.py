@@ -45,3 +45,28 @@ def test_anti_join_keeps_duplicate_hot_urls(spark):
                                     .otherwise(F.concat(F.lit("u"), F.col("id").cast("string"))).alias("url"))
     done = spark.createDataFrame([("u1",), ("u2",)], "url string")
     assert pending(urls, done).filter("url = 'u-hot'").count() == 3000
+
+
+def test_a_key_hot_on_both_sides_is_expanded_in_chunks(spark):
+    """50,000 x 50,000 rows of one key: counted, and cut into chunks of bounded
+    size, without a row that holds them all."""
+    from pyspark.sql import functions as F
+
+    from labelforge.operators import fusion
+
+    side = spark.range(50_000).select(F.lit("k").alias("filename"), F.lit(1).alias("label"))
+    s = fusion.fusion_stats(side, side).first()
+    assert s.merged == s.positives == 2_500_000_000
+    small = spark.range(600).select(F.lit("k").alias("filename"), F.lit(1).alias("label"))
+    assert fusion.fuse_labels(small, small).count() == 360_000 > fusion.EXPAND_ROWS
+
+
+def test_reports_of_a_hot_key_do_not_pair_its_rows(spark):
+    from pyspark.sql import functions as F
+
+    from labelforge.operators.metrics import binary_report
+
+    preds = spark.range(40_000).select(F.lit("k").alias("filename"), F.when(F.col("id") % 2 == 0, "TRUE").otherwise("?").alias("prediction"))
+    truth = spark.range(40_000).select(F.lit("k").alias("filename"), (F.col("id") % 4 == 0).cast("int").alias("label"))
+    r = binary_report(preds, truth).first()
+    assert (r.total, r.confident_total, r.tp, r.fp) == (1_600_000_000, 800_000_000, 200_000_000, 600_000_000)

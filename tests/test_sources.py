@@ -111,3 +111,20 @@ def test_tsv_drop_last_across_splits(spark, tmp_dir):
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
     assert got == list(range(4997))
+
+
+def test_csv_columns_are_found_by_name(spark, tmp_dir):
+    import os
+
+    import pytest
+
+    from labelforge.sources.tables import read_labels
+
+    path = os.path.join(tmp_dir, "labels.csv")
+    with open(path, "w") as f:
+        f.write("id,label,filename\n7,1,a.jpg\n8,0,b.jpg\n")
+    assert [(r.filename, int(float(r.label))) for r in read_labels(spark, path).orderBy("filename").collect()] == [("a.jpg", 1), ("b.jpg", 0)]
+    with open(path, "w") as f:
+        f.write("name,label\na.jpg,1\n")
+    with pytest.raises(ValueError, match="filename"):
+        read_labels(spark, path)
