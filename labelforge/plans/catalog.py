@@ -13,20 +13,25 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from labelforge.functions.labels import binary_to_band, label_from_text, sigmoid, uncertainty_band
 from labelforge.functions.text import has_image_extension, path_basename, positional_name, url_basename
 from labelforge.operators import batch, metrics
-from labelforge.operators.calibrate import calibration_report, fit_platt
+from labelforge.operators.calibrate import calibration_report, fit_platt, load_calibrator, save_calibrator
 from labelforge.operators.fusion import fuse_labels, fusion_stats
 from labelforge.operators.head import train_head
 from labelforge.operators.ingest import fetch_plan, ingest_plan, ingest_summary, labels_output
 from labelforge.operators.partitioning import spread_scan
-from labelforge.operators.joins import counted_truth, join_truth, pending, resume_summary
+from labelforge.operators.images import (
+    channel_stats, image_channel_stats, normalise_pixels, to_rgb, upscale, write_image_table,
+)
+from labelforge.operators.joins import attach_images, counted_truth, join_truth, pending, resume_summary
 from labelforge.operators.head import pos_weight
 from labelforge.operators.metrics import confident_only, uncertain_only
-from labelforge.operators.select import bounded_error_log, quota_fill
+from labelforge.operators.select import bounded_error_log, head, quota_fill, sorted_listing
 from labelforge.operators.split import EVAL_FRACTIONS, TRAIN_FRACTIONS, restrict_to_split, stratified_split
 from labelforge.plans import derived as D
-from labelforge.session import materialize
-from labelforge.sources.annotations import parse_annotation_lines, processed_urls_from_lines
-from labelforge.sources.text import parse_gt_tokens, parse_http_lines, parse_labelled_lines
+from labelforge.session import materialize, scratch_path
+from labelforge.sinks.files import write_csv, write_jsonl, write_uncertain
+from labelforge.sources.annotations import parse_annotation_lines, processed_urls_from_lines, read_annotations
+from labelforge.sources.tables import read_table_csv
+from labelforge.sources.text import parse_gt_tokens, parse_http_lines, parse_labelled_lines, read_tsv
 from labelforge.functions.verdict import coerce_class_id, fill_confidence, is_bad, label_text, with_verdict
 
 THRESHOLD = 0.25
@@ -285,7 +290,34 @@ def q_train_head(spark: SparkSession, sf: str) -> DataFrame:
     emb = D.table(spark, sf, "embeddings").select(
         F.col("vec_id").cast("string").alias("filename"), "embedding",
         F.when(F.col("label") < 5, F.lit(1)).otherwise(F.lit(0)).alias("label"))
-    return train_head(emb, key="filename", features="embedding", label="label")
+    return _round_all(train_head(emb, key="filename", features="embedding", label="label"), ("val_accuracy", "test_accuracy"))
+
+
+# the same gradient steps over list arithmetic; x has a last element 1
+SQL_TRAIN_HEAD = _SQL_S + _sql_split("t", "1/5", "1/10") + """
+, x AS (SELECT sp.split, CAST(sp.label AS DOUBLE) AS y,
+               list_append(list_transform(embedding, lambda v: CAST(v AS DOUBLE)), 1.0) AS x
+        FROM embeddings JOIN sp ON sp.filename = CAST(vec_id AS VARCHAR)),
+fit AS (SELECT * FROM (
+  WITH RECURSIVE r(k, w) AS (
+    SELECT 0, (SELECT list_transform(any_value(x), lambda v: CAST(0.0 AS DOUBLE)) FROM x)
+    UNION ALL
+    SELECT k + 1, list_transform(list_zip(w, g), lambda z: z[1] - z[2])
+    FROM r, LATERAL (
+      SELECT list(gj ORDER BY j) AS g FROM (
+        SELECT j, sum((p - y) * x[j]) / count(*) AS gj
+        FROM (SELECT y, x, 1.0 / (1.0 + exp(-list_inner_product(x, r.w))) AS p FROM x WHERE split = 'train'), range(1, 66) AS t(j)
+        GROUP BY j))
+    WHERE k < 20)
+  SELECT k, w FROM r WHERE k IN (1, 2, 5, 10, 20))),
+acc AS (SELECT k, split, avg(CASE WHEN (CASE WHEN 1.0 / (1.0 + exp(-list_inner_product(x, w))) > 0.5 THEN 1 ELSE 0 END) = y
+                                  THEN 1.0 ELSE 0.0 END) AS a
+        FROM fit, x WHERE split <> 'train' GROUP BY k, split),
+best AS (SELECT arg_max(k, (a, -k)) AS k FROM acc WHERE split = 'val' AND a > 0)
+SELECT CAST(v.k AS INTEGER) AS epoch, round(v.a, 6) AS val_accuracy, v.k = best.k AS is_best,
+       CASE WHEN v.k = best.k THEN round(s.a, 6) END AS test_accuracy
+FROM acc v JOIN acc s ON v.k = s.k AND v.split = 'val' AND s.split = 'test', best
+"""
 
 
 # ------------------------------------------------------ V: verdict parsing
@@ -1128,6 +1160,198 @@ WHERE filename IN (SELECT printf('%03d.jpg', page_id) FROM pages WHERE url LIKE
 """
 
 
+# -------------------------------------------------- readers, sinks, listings
+
+
+def q_csv_by_name(spark: SparkSession, sf: str) -> DataFrame:
+    """K1 then A5: a CSV with other columns and another order, read by name."""
+    path = scratch_path(spark, "labels-csv")
+    rows = D.table(spark, sf, "labels").select(F.col("doc_id").cast("string").alias("filename"), F.col("quality").alias("label"),
+                                               F.col("toxic").alias("extra"))
+    write_csv(rows, path, ["extra", "label", "filename"])
+    return read_table_csv(spark, path, "filename string, label int")
+
+
+SQL_CSV_BY_NAME = "SELECT CAST(doc_id AS VARCHAR) AS filename, quality AS label FROM labels"
+
+
+def q_tsv_without_last_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """A TAB-separated file without its last three rows."""
+    path = scratch_path(spark, "orders-tsv")
+    rows = D.table(spark, sf, "labels").select("doc_id", "quality").repartitionByRange(4, "doc_id").sortWithinPartitions("doc_id")
+    rows.write.option("sep", "\t").option("header", True).csv(path)
+    return read_tsv(spark, path, "doc_id bigint, quality int", drop_last=3)
+
+
+SQL_TSV_WITHOUT_LAST_ROWS = """
+SELECT doc_id, quality FROM (SELECT *, row_number() OVER (ORDER BY doc_id DESC) AS back FROM labels) WHERE back > 3
+"""
+
+
+def q_jsonl_append(spark: SparkSession, sf: str) -> DataFrame:
+    """K2: two appends, read back as annotations."""
+    path = scratch_path(spark, "annotations-jsonl")
+    rows = D.table(spark, sf, "events").select(
+        F.concat(F.lit("http://x/"), F.col("event_id").cast("string")).alias("url"), (F.col("event_id") % 2).alias("turn"),
+        F.struct((F.col("event_id") % 3 + 1).cast("int").alias("class_id"), F.col("value").alias("confidence")).alias("prediction"))
+    for turn in (0, 1):
+        write_jsonl(rows.where(F.col("turn") == turn), path, mode="append", columns=["url", "prediction"])
+    records, _ = read_annotations(spark, path)
+    return records.select("url", "class_id", _r("confidence").alias("confidence"), "is_bad")
+
+
+SQL_JSONL_APPEND = """
+SELECT 'http://x/' || CAST(event_id AS VARCHAR) AS url, CAST(event_id % 3 + 1 AS INTEGER) AS class_id,
+       round(coalesce(value, 0.0), 6) AS confidence, event_id % 3 = 2 AS is_bad
+FROM events
+"""
+
+
+def q_uncertain_file(spark: SparkSession, sf: str) -> DataFrame:
+    """K3: the side file of unsure rows, read back."""
+    path = scratch_path(spark, "uncertain")
+    if not write_uncertain(_banded(spark, sf), path):
+        return _banded(spark, sf).select("filename", "prediction").limit(0)
+    return read_table_csv(spark, path, "filename string, prediction string, probability double").select(
+        "filename", "prediction", _r("probability").alias("probability"))
+
+
+SQL_UNCERTAIN_FILE = _SQL_S + "SELECT filename, prediction, round(probability, 6) AS probability FROM b WHERE prediction = '?'"
+
+
+def q_saved_calibrator(spark: SparkSession, sf: str) -> DataFrame:
+    """A calibrator saved, loaded and applied."""
+    path = scratch_path(spark, "calibrator")
+    j = materialize(D.scores(spark, sf).join(D.truth(spark, sf), "filename"))
+    save_calibrator(fit_platt(j, "logit", "label"), path)
+    rep = calibration_report(j, load_calibrator(path), "logit", "label")
+    return _round_all(rep, ("slope", "intercept", "brier_raw", "brier_cal", "acc_raw", "acc_cal"))
+
+
+def q_first_listed(spark: SparkSession, sf: str) -> DataFrame:
+    """the first five names of a sorted listing."""
+    names = D.table(spark, sf, "pages").select(F.concat(F.lit("/data/"), F.col("page_id").cast("string"), F.lit("_"), url_basename("url")).alias("path"))
+    return head(sorted_listing(names), 5, "path")
+
+
+SQL_FIRST_LISTED = """
+SELECT '/data/' || CAST(page_id AS VARCHAR) || '_' || string_split(regexp_replace(url, '/+$', ''), '/')[-1] AS path
+FROM pages ORDER BY path LIMIT 5
+"""
+
+
+def q_attach_images(spark: SparkSession, sf: str) -> DataFrame:
+    """Labels with the image of their name, or an error."""
+    labels = D.table(spark, sf, "labels").select(F.format_string("%06d.jpg", F.col("doc_id")).alias("filename"), F.col("quality").alias("label"))
+    images = D.table(spark, sf, "pages").select(F.concat(F.lit("/img/"), F.format_string("%06d.jpg", F.col("page_id"))).alias("path"))
+    return attach_images(labels, images).select("filename", "label", "path", "error")
+
+
+SQL_ATTACH_IMAGES = """
+SELECT printf('%06d.jpg', doc_id) AS filename, quality AS label,
+       CASE WHEN page_id IS NOT NULL THEN '/img/' || printf('%06d.jpg', page_id) END AS path,
+       CASE WHEN page_id IS NULL THEN 'image not found: ' || printf('%06d.jpg', doc_id) END AS error
+FROM labels LEFT JOIN pages ON page_id = doc_id
+"""
+
+# ------------------------------------------------------------------ images
+
+
+def _pixel_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """A grey 8 x 8 image of each embedding."""
+    value = lambda v: F.least(F.greatest(F.floor((v.cast("double") + 4) * 32), F.lit(0)), F.lit(255))
+    data = F.unhex(F.array_join(F.transform("embedding", lambda v: F.lpad(F.hex(value(v)), 2, "0")), ""))
+    rows = D.table(spark, sf, "embeddings").select(F.col("vec_id").cast("string").alias("path"), F.lit(8).alias("height"), F.lit(8).alias("width"),
+                                                   F.lit(1).alias("n_channels"), data.alias("data"))
+    return to_rgb(rows)
+
+
+# kernels of 8 input pixels as SQL: weight of input i for output o
+_SQL_SINC = "CASE WHEN {x} = 0 THEN 1.0 ELSE sin(pi() * ({x})) / (pi() * ({x})) END"
+_SQL_SHAPES = {
+    "bilinear": (1, "greatest(1 - abs({x}), 0)"),
+    "bicubic": (2, "CASE WHEN abs({x}) < 1 THEN (1.5 * abs({x}) - 2.5) * abs({x}) * abs({x}) + 1 "
+                   "WHEN abs({x}) < 2 THEN ((-0.5 * abs({x}) + 2.5) * abs({x}) - 4) * abs({x}) + 2 ELSE 0 END"),
+    "lanczos": (3, "CASE WHEN abs({x}) < 3 THEN (" + _SQL_SINC.replace("{x}", "({x})") + ") * (" + _SQL_SINC.replace("{x}", "({x} / 3)") + ") ELSE 0 END"),
+}
+
+
+def _sql_resized(size: int, method: str, name: str) -> str:
+    """CTEs ending in ``name`` (id, oy, ox, v): the grey images of _pixel_rows
+    resized to size x size whole values."""
+    scale = 8 / size
+    if method == "plain":
+        weight = f"greatest(1 - abs(i - greatest(least((o + 0.5) * {scale} - 0.5, 7), 0)), 0)"
+        first = "v"
+    else:
+        half, shape = _SQL_SHAPES[method]
+        wide = max(scale, 1.0)
+        centre = f"(o + 0.5) * {scale}"
+        weight = (f"CASE WHEN i >= greatest(floor({centre} - {half * wide} + 0.5), 0) AND i < least(floor({centre} + {half * wide} + 0.5), 8) THEN "
+                  + shape.format(x=f"((i + 0.5 - {centre}) / {wide})") + " ELSE 0 END")
+        first = "floor(least(greatest(v, 0), 255) + 0.5)"
+    return f"""
+{name}_k AS (SELECT o, i, w / sum(w) OVER (PARTITION BY o) AS w FROM (
+  SELECT o, i, CAST({weight} AS DOUBLE) AS w FROM range({size}) AS a(o), range(8) AS b(i))),
+{name}_x AS (SELECT id, y, o AS ox, {first} AS v FROM (SELECT id, y, o, sum(w * px.v) AS v FROM px JOIN {name}_k ON i = x GROUP BY ALL)),
+{name} AS (SELECT id, o AS oy, ox, floor(least(greatest(v, 0), 255) + 0.5) AS v FROM (
+  SELECT id, o, ox, sum(w * r.v) AS v FROM {name}_x r JOIN {name}_k ON i = y GROUP BY ALL))"""
+
+
+_SQL_PX = """
+WITH px AS (SELECT CAST(vec_id AS VARCHAR) AS id, (n - 1) // 8 AS y, (n - 1) % 8 AS x,
+                   least(greatest(floor((CAST(embedding[n] AS DOUBLE) + 4) * 32), 0), 255) AS v
+            FROM embeddings, range(1, 65) AS r(n)),"""
+
+
+def q_image_channel_stats(spark: SparkSession, sf: str) -> DataFrame:
+    """E10 on images: bicubic to 4 x 4."""
+    return channel_stats(image_channel_stats(_pixel_rows(spark, sf), 4))
+
+
+SQL_IMAGE_CHANNEL_STATS = _SQL_PX + _sql_resized(4, "bicubic", "z") + """,
+one AS (SELECT id, avg(v / 255) AS m, stddev_pop(v / 255) AS s FROM z GROUP BY id)
+SELECT round(avg(m), 3) AS mean_r, round(avg(m), 3) AS mean_g, round(avg(m), 3) AS mean_b,
+       round(avg(s), 3) AS std_r, round(avg(s), 3) AS std_g, round(avg(s), 3) AS std_b, count(*) AS n_images
+FROM one
+"""
+
+
+def q_normalised_pixels(spark: SparkSession, sf: str) -> DataFrame:
+    """Plain bilinear to 4 x 4, normalised per channel."""
+    px = normalise_pixels(_pixel_rows(spark, sf), size=4)
+    return px.select("path", F.posexplode("pixels").alias("n", "v")).groupBy("path").agg(
+        _r(F.sum(F.when(F.col("n") % 3 == 0, F.col("v").cast("double"))), 3).alias("red"),
+        _r(F.sum(F.when(F.col("n") == 28, F.col("v").cast("double"))), 3).alias("one"))
+
+
+SQL_NORMALISED_PIXELS = _SQL_PX + _sql_resized(4, "plain", "z") + """
+SELECT id AS path, round(sum((v / 255 - 0.273) / 0.131), 3) AS red,
+       round(sum(CASE WHEN oy * 4 + ox = 9 THEN (v / 255 - 0.337) / 0.124 END), 3) AS one
+FROM z GROUP BY id
+"""
+
+
+def q_upscaled_images(spark: SparkSession, sf: str) -> DataFrame:
+    """Both methods, written as an image table and read back."""
+    path = scratch_path(spark, "upscaled")
+    rows = _pixel_rows(spark, sf)
+    write_image_table(upscale(rows), path)
+    hexed = F.hex("data")
+    back = spark.read.parquet(path)
+    return back.select("filename", "method", "height", "width", F.aggregate(
+        F.sequence(F.lit(0), F.lit(16 * 16 - 1)), F.lit(0).cast("bigint"),
+        lambda acc, i: acc + (i % 13 + 1) * F.conv(F.substring(hexed, 6 * i + 1, F.lit(2)), 16, 10).cast("bigint")).alias("weighted"))
+
+
+SQL_UPSCALED_IMAGES = _SQL_PX + _sql_resized(16, "bilinear", "zb") + "," + _sql_resized(16, "lanczos", "zl") + """,
+every AS (SELECT 'bilinear' AS method, * FROM zb UNION ALL SELECT 'lanczos', * FROM zl)
+SELECT id AS filename, method, CAST(16 AS INTEGER) AS height, CAST(16 AS INTEGER) AS width,
+       CAST(sum(((oy * 16 + ox) % 13 + 1) * v) AS BIGINT) AS weighted
+FROM every GROUP BY id, method
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "label_fusion": q_label_fusion,
     "fusion_stats": q_fusion_stats,
@@ -1179,6 +1403,16 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "parse_verdicts_edge": q_parse_verdicts_edge,
     "numeric_predictions": q_numeric_predictions,
     "hot_key_report": q_hot_key_report,
+    "csv_by_name": q_csv_by_name,
+    "tsv_without_last_rows": q_tsv_without_last_rows,
+    "jsonl_append": q_jsonl_append,
+    "uncertain_file": q_uncertain_file,
+    "saved_calibrator": q_saved_calibrator,
+    "first_listed": q_first_listed,
+    "attach_images": q_attach_images,
+    "image_channel_stats": q_image_channel_stats,
+    "normalised_pixels": q_normalised_pixels,
+    "upscaled_images": q_upscaled_images,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -1221,6 +1455,7 @@ ORACLE_SQL: dict[str, str] = {
     "pos_weight": SQL_POS_WEIGHT,
     "fetch_error_log": SQL_FETCH_ERROR_LOG,
     "platt_calibration": SQL_PLATT_CALIBRATION,
+    "train_head": SQL_TRAIN_HEAD,
     "train_split_sizes": SQL_TRAIN_SPLIT_SIZES,
     "labelled_ingest": SQL_LABELLED_INGEST,
     "ingest_collisions": SQL_INGEST_COLLISIONS,
@@ -1231,4 +1466,14 @@ ORACLE_SQL: dict[str, str] = {
     "parse_verdicts_edge": SQL_PARSE_VERDICTS_EDGE,
     "numeric_predictions": SQL_NUMERIC_PREDICTIONS,
     "hot_key_report": SQL_HOT_KEY_REPORT,
+    "csv_by_name": SQL_CSV_BY_NAME,
+    "tsv_without_last_rows": SQL_TSV_WITHOUT_LAST_ROWS,
+    "jsonl_append": SQL_JSONL_APPEND,
+    "uncertain_file": SQL_UNCERTAIN_FILE,
+    "saved_calibrator": SQL_PLATT_CALIBRATION,
+    "first_listed": SQL_FIRST_LISTED,
+    "attach_images": SQL_ATTACH_IMAGES,
+    "image_channel_stats": SQL_IMAGE_CHANNEL_STATS,
+    "normalised_pixels": SQL_NORMALISED_PIXELS,
+    "upscaled_images": SQL_UPSCALED_IMAGES,
 }
