@@ -100,7 +100,46 @@ QUERIES = {
     "op10_substring_dedup": op10_substring_dedup,
 }
 
+_LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_PLAIN_WORDS = r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'"
+_SPACED_WORDS = r"'[^\x20\x09-\x0D]+'"
+
 ORACLE_SQL = {
+    "op1_decontaminate": f"""
+        WITH d AS (SELECT doc_id, regexp_extract_all({_LOWERED}, {_PLAIN_WORDS}) AS w FROM documents),
+        b AS (SELECT item_id, regexp_extract_all({_LOWERED}, {_PLAIN_WORDS}) AS w FROM benchmark),
+        item AS (SELECT item_id, least(10, len(w)) AS size, w, unnest(range(1, len(w) - least(10, len(w)) + 2)) AS k FROM b WHERE len(w) > 0),
+        win AS (SELECT DISTINCT item_id, size, array_to_string(w[k : k + size - 1], ' ') AS run FROM item),
+        place AS (SELECT doc_id, size, w, unnest(range(1, len(w) - size + 2)) AS k FROM d, (SELECT DISTINCT size FROM win) WHERE len(w) >= size),
+        spot AS (SELECT doc_id, size, k, array_to_string(w[k : k + size - 1], ' ') AS run FROM place),
+        hit AS (SELECT doc_id, item_id, k, spot.size AS size FROM spot JOIN win ON spot.run = win.run AND spot.size = win.size),
+        covered AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(k, k + size)) AS p FROM hit) GROUP BY doc_id),
+        named AS (SELECT doc_id, count(*) AS n_items, string_agg(i, ',' ORDER BY i) AS items
+                  FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS i FROM hit) GROUP BY doc_id)
+        SELECT d.doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+               sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+        FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN named USING (doc_id)""",
+    "op7_jaccard_join": f"""
+        WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all({_LOWERED}, {_SPACED_WORDS}) AS w FROM documents),
+        runs AS (SELECT doc_id, w, unnest(range(1, greatest(1, len(w) - 3) + 1)) AS k FROM d WHERE len(w) > 0),
+        sh AS (SELECT DISTINCT doc_id, md5(array_to_string(w[k : k + 3], ' ')) AS s FROM runs),
+        n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
+        pair AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM sh x JOIN sh y ON x.s = y.s GROUP BY ALL),
+        link AS (SELECT a, b FROM pair JOIN n p ON p.doc_id = a JOIN n q ON q.doc_id = b WHERE 100 * c >= 85 * (p.n + q.n - c)),
+        reach(a, b) AS (SELECT a, b FROM link UNION SELECT reach.a, link.b FROM reach JOIN link ON reach.b = link.a),
+        least_of AS (SELECT a, min(b) AS component_id FROM reach GROUP BY a)
+        SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(component_id, d.doc_id) AS component_id
+        FROM d LEFT JOIN n USING (doc_id) LEFT JOIN least_of ON least_of.a = d.doc_id""",
+    "op10_substring_dedup": f"""
+        WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), {_SPACED_WORDS}) AS w FROM documents),
+        starts AS (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS k FROM d WHERE len(w) >= 50),
+        win AS (SELECT doc_id, k, md5(array_to_string(w[k : k + 49], ' ')) AS run FROM starts),
+        first_of AS (SELECT run, min(doc_id) AS m FROM win GROUP BY run),
+        gone AS (SELECT DISTINCT doc_id, unnest(range(k, k + 50)) AS p FROM win JOIN first_of USING (run) WHERE m < doc_id),
+        word AS (SELECT doc_id, unnest(w) AS x, generate_subscripts(w, 1) AS p FROM d),
+        kept AS (SELECT doc_id, string_agg(x, ' ' ORDER BY p) AS t, count(*) AS c FROM word ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id)
+        SELECT d.doc_id, len(w) AS n_words, len(w) - coalesce(c, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+        FROM d LEFT JOIN kept USING (doc_id)""",
     "op6_warc": """
         WITH p AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
         d AS (SELECT page_id, CAST(octet_length(encode(body)) AS BIGINT) AS payload_bytes, sha256(body) AS payload_digest FROM p),
