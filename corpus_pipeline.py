@@ -42,9 +42,9 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest doc_id of each group of similar ones
-    (operator 7)."""
+    (operator 7 on shingles of five words at a similarity of 0.8)."""
     _ready(spark)
-    groups = jaccard_join.similar_groups(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    groups = jaccard_join.similar_groups(docs, shingle=5, percent=80).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
     rows = groups.groupBy(F.col("doc_id").alias("__id")).agg(F.count(F.lit(1)).alias("c"))
     kept = land(rows, "kept-documents")
     out = docs.join(kept.select("__id"), docs["doc_id"].eqNullSafe(kept["__id"]), "leftsemi")

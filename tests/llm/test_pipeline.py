@@ -31,7 +31,7 @@ def test_pipeline_against_brute_force(spark):
     assert sorted(rows(deduped)) == sorted((i, t) for i, t in cut if t.strip(" \t\n\r\x0b\x0c"))
     assert all(r["n_chars"] == len(r["text"]) for r in deduped.collect())
     alone = stages["jaccard_join"](spark, deduped, SF).cache()
-    assert sorted(i for i, _ in rows(alone)) == sorted(g["doc_id"] for g in groups(rows(deduped), 4, 85) if g["doc_id"] == g["component_id"])
+    assert sorted(i for i, _ in rows(alone)) == sorted(g["doc_id"] for g in groups(rows(deduped), 5, 80) if g["doc_id"] == g["component_id"])
     clean = stages["decontaminate"](spark, alone, SF).cache()
     assert sorted(i for i, _ in rows(clean)) == sorted(r["doc_id"] for r in contaminated(rows(alone), items, 10) if not r["n_hit"])
     bpe = byte_bpe.ByteBpe(P.path("byte_bpe_multi_50k.tiktoken"))
