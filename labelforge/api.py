@@ -24,12 +24,12 @@ from labelforge.operators.calibrate import (
 )
 from labelforge.operators.fusion import fuse_labels, fusion_stats
 from labelforge.operators.ingest import fetch_plan, ingest_plan, ingest_summary, labels_output
-from labelforge.operators.joins import resume_summary
+from labelforge.operators.joins import pending, resume_summary
 from labelforge.operators.metrics import binary_report, classification_report, confusion_matrix, prediction_summary
 from labelforge.operators.select import quota_fill, selection_order
 from labelforge.operators.split import EVAL_FRACTIONS, restrict_to_split, stratified_split
 from labelforge.schemas import PREDICTION_COLUMNS
-from labelforge.session import materialize
+from labelforge.session import materialize, scratch_path
 from labelforge.sinks.files import write_csv, write_jsonl, write_uncertain
 from labelforge.sources.annotations import read_annotations, read_processed_urls
 from labelforge.sources.tables import read_labels, read_predictions
@@ -42,6 +42,10 @@ from labelforge.fixed import (
 )
 
 
+#: Annotations of one append.
+COMMIT_ROWS = 100_000
+
+
 # ----------------------------------------------------------------- fusion
 
 def fuse(spark: SparkSession, crowd_path: str, model_path: str, output_path: str | None = None):
@@ -89,7 +93,7 @@ def evaluate(spark: SparkSession, predictions: str, labels: str, subset: str = "
              seed: int = SEED) -> DataFrame:
     """Evaluate a predictions CSV against a labels CSV (D1, H1/H2, E3).  The
     split is computed on the whole labels table before the join."""
-    preds = read_predictions(spark, predictions)
+    preds = read_predictions(spark, predictions, "filename", "prediction")
     truth = read_labels(spark, labels).select("filename", F.col("label").cast("double").cast("int").alias("label"))
     if subset != "all":
         split = stratified_split(truth, fractions=EVAL_FRACTIONS, seed=seed)
@@ -103,7 +107,7 @@ def evaluate(spark: SparkSession, predictions: str, labels: str, subset: str = "
 def calibrate(spark: SparkSession, predictions: str, labels: str, output: str) -> DataFrame:
     """Fit Platt scaling on logits (I6), save it (K5), report Brier and
     accuracy raw vs calibrated (E6, E7)."""
-    preds = read_predictions(spark, predictions).select("filename", "logit")
+    preds = read_predictions(spark, predictions, "filename", "logit")
     truth = read_labels(spark, labels).select("filename", F.col("label").cast("double").cast("int").alias("label"))
     joined = materialize(preds.join(truth, "filename"))
     model = fit_platt(joined)
@@ -121,18 +125,14 @@ def infer(spark: SparkSession, input_dir: str, output_csv: str, scorer,
     normalised H x W x 3 floats) and returns one logit per row.  An
     undecodable image is banded ``?`` with its error (never scored black)."""
     # the reference scans *.jpg and *.png (case-sensitive): a filter, no join
+    names = I.list_images(spark, input_dir, ("jpg", "png"), case_sensitive=True)
+    require_rows(names.select("path"), f"image folder {input_dir}")  # A11: no images -> typed error
     rgb = I.load_images(spark, input_dir).filter(F.col("path").rlike(r"\.(jpg|png)$"))
-    require_rows(rgb.select("path"), f"image folder {input_dir}")  # A11: no images -> typed error
-    pixels = I.normalise_pixels(rgb.filter(F.col("error").isNull()), size=img_size)
-    failed = rgb.filter(F.col("error").isNotNull()).select("path", "error")
+    pixels = I.normalise_pixels(rgb, size=img_size)
     calibrator = load_calibrator(calibrator_path) if use_calibrated and calibrator_path else None
-    scored = B.batch_score(pixels.select("path", "pixels"), scorer, ["pixels"], key="path",
-                           threshold=uncertainty_threshold, batch_size=batch_size, calibrator=calibrator)
-    scored = scored.withColumn("filename", F.element_at(F.split("filename", "/"), -1))
-    bad = failed.select(F.element_at(F.split("path", "/"), -1).alias("filename"), F.lit("?").alias("prediction"),
-                        F.lit(None).cast("double").alias("probability"), F.lit(None).cast("double").alias("logit"),
-                        "error")
-    results = materialize(scored.unionByName(bad))
+    scored = B.batch_score(pixels, scorer, ["pixels"], key="path", threshold=uncertainty_threshold,
+                           batch_size=batch_size, calibrator=calibrator, failed="error")
+    results = materialize(scored.withColumn("filename", F.element_at(F.split("filename", "/"), -1)))
     write_csv(results.orderBy("filename"), output_csv, PREDICTION_COLUMNS)
     write_uncertain(results, os.path.join(os.path.dirname(output_csv.rstrip("/")), "uncertain.csv"))
     return prediction_summary(results)
@@ -146,15 +146,27 @@ def band(df: DataFrame, uncertainty_threshold: float = UNCERTAINTY_THRESHOLD, pr
 # ------------------------------------------------------------- annotation
 
 def annotate(spark: SparkSession, input: str, output: str, annotator, fetcher,  # noqa: A002
-             model_id: str = "stub", batch_size: int = ANNOTATE_BATCH, concurrency: int | None = None) -> DataFrame:
+             model_id: str = "stub", batch_size: int = ANNOTATE_BATCH, concurrency: int | None = None,
+             retry_errors: bool = False, commit_rows: int = COMMIT_ROWS) -> DataFrame:
     """Resumable annotation (A4, A8, D3, E15, I2, K2 append).  Returns the
-    ``total / processed / to_do`` summary taken before the run."""
+    ``total / processed / to_do`` summary taken before the run.
+
+    Pending URLs are dealt into chunks of about ``commit_rows`` and each chunk
+    is one append, so a job that dies has kept all but one chunk of its answers.
+    ``retry_errors`` takes URLs whose records all have an error again."""
     urls = read_http_lines(spark, input)
-    done = materialize(read_processed_urls(spark, output))
+    done = materialize(read_processed_urls(spark, output, skip_errors=retry_errors))
     summary = materialize(resume_summary(urls, done))
-    out = B.annotate(urls, annotator, fetcher, done=done, model_id=model_id, batch_size=batch_size,
-                     concurrency=concurrency)
-    write_jsonl(out.select("url", "timestamp", "model", "error", "prediction"), output, mode="append")
+    chunks = max(1, -(-summary.first()["to_do"] // max(1, commit_rows)))
+    todo = scratch_path(spark, "pending-urls")
+    (pending(urls, done).withColumn("chunk", F.pmod(F.xxhash64("url"), F.lit(chunks)))
+     .write.partitionBy("chunk").parquet(todo))
+    columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in urls.schema.fields)
+    waiting = spark.read.schema(f"{columns}, chunk bigint").parquet(todo)
+    for chunk in range(chunks):
+        part = waiting.filter(F.col("chunk") == chunk).drop("chunk")
+        out = B.annotate(part, annotator, fetcher, model_id=model_id, batch_size=batch_size, concurrency=concurrency)
+        write_jsonl(out.select("url", "timestamp", "model", "error", "prediction"), output, mode="append")
     return summary
 
 

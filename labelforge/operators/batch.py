@@ -50,14 +50,20 @@ def _append_field(schema: T.StructType, *fields: T.StructField) -> T.StructType:
 
 
 def score_logits(df: DataFrame, scorer: Callable[[pd.DataFrame], object],
-                 input_cols: list[str], batch_size: int = SCORE_BATCH) -> DataFrame:
-    """I1 core: add ``logit`` (and ``error``) by calling ``scorer`` on
-    micro-batches of ``input_cols``; no shuffle."""
+                 input_cols: list[str], batch_size: int = SCORE_BATCH, failed: str | None = None) -> DataFrame:
+    """I1 core: add ``logit`` (and ``score_error``) by calling ``scorer`` on
+    micro-batches of ``input_cols``; no shuffle.  Rows with a text in the column
+    ``failed`` are not scored and keep that text as their error."""
     out_schema = _append_field(df.schema, T.StructField("logit", T.DoubleType()),
                                T.StructField("score_error", T.StringType()))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
+            if failed is not None:
+                out = pdf[failed].notna()
+                if out.any():
+                    yield pdf[out].assign(logit=float("nan"), score_error=pdf.loc[out, failed])
+                pdf = pdf[~out]
             for part in _chunks(pdf, batch_size):
                 part = part.copy()
                 try:
@@ -74,13 +80,13 @@ def score_logits(df: DataFrame, scorer: Callable[[pd.DataFrame], object],
 
 def batch_score(df: DataFrame, scorer, input_cols: list[str], key: str = "filename",
                 threshold: float = UNCERTAINTY_THRESHOLD, batch_size: int = SCORE_BATCH,
-                calibrator=None) -> DataFrame:
+                calibrator=None, failed: str | None = None) -> DataFrame:
     """``filename, prediction, probability, logit`` (+ ``error``).
 
     Probability is the calibrator's P(1) when one is given (I5), else the
     sigmoid; a row whose scoring failed is banded ``?`` and keeps its error
     (decision: never score a substitute black image silently)."""
-    scored = score_logits(df, scorer, input_cols, batch_size)
+    scored = score_logits(df, scorer, input_cols, batch_size, failed)
     logit = F.when(F.col("score_error").isNull(), F.col("logit"))
     scored = scored.withColumn("logit", logit)
     if calibrator is not None:

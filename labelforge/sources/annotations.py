@@ -54,16 +54,19 @@ def read_annotations(spark: SparkSession, path: str):
     return parse_annotation_lines(read_lines(spark, path))
 
 
-def processed_urls_from_lines(lines: DataFrame) -> DataFrame:
+def processed_urls_from_lines(lines: DataFrame, skip_errors: bool = False) -> DataFrame:
     """A8 on ``(seq, value)``: distinct URLs of lines that parse and carry a
-    text ``url`` (blank, broken and url-less lines are ignored)."""
+    text ``url`` (blank, broken and url-less lines are ignored; with
+    ``skip_errors`` so are records with an error)."""
     records = lines.select(parse_strict(strip_ws("value")).alias("record"))
+    if skip_errors:
+        records = records.filter(F.try_variant_get("record", "$.error", "string").isNull())
     return (records.select(F.try_variant_get("record", "$.url", "string").alias("url"))
             .filter(F.col("url").isNotNull()).distinct())
 
 
-def read_processed_urls(spark: SparkSession, path: str) -> DataFrame:
+def read_processed_urls(spark: SparkSession, path: str, skip_errors: bool = False) -> DataFrame:
     """A8 from the annotation output; an absent output is an empty set."""
     if not path_exists(spark, path):
         return spark.createDataFrame([], "url string")
-    return processed_urls_from_lines(spark.read.text(path).withColumn("seq", F.lit(0).cast("long")))
+    return processed_urls_from_lines(spark.read.text(path).withColumn("seq", F.lit(0).cast("long")), skip_errors)

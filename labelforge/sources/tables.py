@@ -24,5 +24,8 @@ def read_labels(spark: SparkSession, path: str) -> DataFrame:
     return read_table_csv(spark, path, schemas.LABELS)
 
 
-def read_predictions(spark: SparkSession, path: str) -> DataFrame:
-    return read_table_csv(spark, path, schemas.PREDICTIONS)
+def read_predictions(spark: SparkSession, path: str, *columns: str) -> DataFrame:
+    """A predictions file, or only the named columns of it (the others may be
+    missing then)."""
+    fields = [f for f in schemas.PREDICTIONS.fields if not columns or f.name in columns]
+    return read_table_csv(spark, path, T.StructType(fields))

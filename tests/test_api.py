@@ -1,5 +1,6 @@
 import json
 import os
+import time
 
 import numpy as np
 import pandas as pd
@@ -148,3 +149,30 @@ def test_infer_with_calibrator(spark, tmp_dir):
     with pytest.warns(UserWarning):
         api.infer(spark, d, os.path.join(tmp_dir, "pred3", "p.csv"), scorer, img_size=8, use_calibrated=True,
                   calibrator_path=os.path.join(tmp_dir, "nope"))
+
+
+def test_annotate_commits_in_chunks_and_retries_errors(spark, tmp_dir):
+    inp = _write(os.path.join(tmp_dir, "urls.txt"), "".join(f"http://x/{i}\n" for i in range(200)))
+    out = os.path.join(tmp_dir, "ann")
+
+    def fails_on_third(pdf):
+        n = pdf["url"].str.rsplit("/", n=1).str[-1].astype(int)
+        return pd.DataFrame({"content": [b"/b"] * len(pdf), "error": ["gone" if i % 3 == 0 else None for i in n]})
+
+    s = api.annotate(spark, inp, out, verdicts, fails_on_third, commit_rows=40).first()
+    assert (s.total, s.to_do) == (200, 200) and len(_read_dir_lines(out)) == 200
+    records = [json.loads(x) for x in _read_dir_lines(out)]
+    assert sum(r.get("error") == "gone" for r in records) == 67
+    assert all(time.time() - 600 < r["timestamp"] <= time.time() for r in records)
+    assert len({r["timestamp"] for r in records}) > 1  # a time for each record, not for the run
+    assert api.annotate(spark, inp, out, verdicts, fetch_ok).first().to_do == 0
+    assert api.annotate(spark, inp, out, verdicts, fetch_ok, retry_errors=True).first().to_do == 67
+    assert api.annotate(spark, inp, out, verdicts, fetch_ok, retry_errors=True).first().to_do == 0
+    assert len(_read_dir_lines(out)) == 267
+
+
+def test_evaluate_reads_numeric_predictions(spark, tmp_dir):
+    preds = _write(os.path.join(tmp_dir, "p.csv"), "label,prediction,filename\nx,1,a\nx,0.0,b\nx,1.0,c\n")
+    truth = _write(os.path.join(tmp_dir, "t.csv"), "filename,label\na,1\nb,0\nc,0\n")
+    r = api.evaluate(spark, preds, truth).first()
+    assert (r.total, r.confident_total, r.tp, r.tn, r.fp) == (3, 3, 1, 1, 1)
