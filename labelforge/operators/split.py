@@ -20,11 +20,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from labelforge.operators.joins import restrict_to_keys
 from labelforge.operators.ordering import with_rank
-from labelforge.session import materialize
+from labelforge.session import scratch_path
 
 from labelforge.fixed import EVAL_FRACTIONS, SEED, TRAIN_FRACTIONS  # noqa: F401 - re-exported
 
@@ -63,12 +63,14 @@ def stratified_split(df: DataFrame, key: str = "filename", label: str = "label",
             expr = F.when(cond, F.lit(name)) if expr is None else expr.when(cond, F.lit(name))
         return df.withColumn(split_col, expr)
 
-    sizes = materialize(_part_sizes(df.groupBy(label).agg(F.count(F.lit(1)).alias("__lf_n")), label, fractions))
+    # written and read back, so that Spark knows its size and broadcasts it if small
+    path = scratch_path(df.sparkSession, "split-sizes")
+    _part_sizes(df.groupBy(label).agg(F.count(F.lit(1)).alias("__lf_n")), label, fractions).write.parquet(path)
+    part = df.sparkSession.read.parquet(path)
     # rows of one key are told apart by a number, so that a range can cut them
     salted = df.withColumn("__lf_h", h).withColumn("__lf_row", F.monotonically_increasing_id())
     ranked = with_rank(salted, ["__lf_h", key, "__lf_row"], group_by=[label], rank_col="__lf_rank")
     names = [name for name, _ in fractions]
-    part = sizes.select(F.col(label).alias("__lf_label"), *[f"__lf_to{i}" for i in range(len(names))])
     placed = ranked.join(part, ranked[label].eqNullSafe(part["__lf_label"]))
     expr = F.lit(names[-1])
     for i, name in reversed(list(enumerate(names[:-1]))):
@@ -76,37 +78,33 @@ def stratified_split(df: DataFrame, key: str = "filename", label: str = "label",
     return placed.withColumn(split_col, expr).select(*df.columns, split_col)
 
 
-def _share_up(n: int, share: float) -> int:
-    """``share`` of ``n`` rounded up to whole rows (free of float noise)."""
-    return min(n, -(-(n * int(round(share * PPM))) // PPM))
-
-
-def _proportional(sizes: DataFrame, label: str, rows: str, draw: int, out: str) -> DataFrame:
-    """Add ``out``: ``draw`` rows dealt to the strata in proportion to ``rows``,
-    by largest remainder."""
-    whole = sizes.agg(F.coalesce(F.sum(rows), F.lit(0))).first()[0]
-    scaled = F.col(rows).cast("decimal(38,0)") * F.lit(draw)
-    total = F.lit(max(1, whole))
-    floor = F.floor((scaled - scaled % total) / total).cast("long")
-    based = sizes.withColumn(out, floor).withColumn("__lf_rest", (scaled % total).cast("decimal(38,0)"))
-    missing = draw - based.agg(F.coalesce(F.sum(out), F.lit(0))).first()[0]
-    ranked = with_rank(based, [F.col("__lf_rest").desc(), F.col(label).asc_nulls_first()], rank_col="__lf_turn")
-    return ranked.withColumn(out, F.col(out) + (F.col("__lf_turn") < missing).cast("long")).drop("__lf_rest", "__lf_turn")
+def _share_up(n: F.Column, share: float) -> F.Column:
+    """``share`` of ``n`` rounded up to whole rows (in whole numbers)."""
+    return F.floor((n * F.lit(int(round(share * PPM))) + F.lit(PPM - 1)) / F.lit(PPM)).cast("long")
 
 
 def _part_sizes(sizes: DataFrame, label: str, fractions: Sequence[tuple[str, float]]) -> DataFrame:
-    """Cumulative part sizes ``__lf_to<i>`` of every stratum."""
-    sizes = materialize(sizes)
-    left, begun = "__lf_n", F.lit(0).cast("long")
-    n = sizes.agg(F.coalesce(F.sum(left), F.lit(0))).first()[0]
-    weight = sum(f for _, f in fractions)
+    """Cumulative part sizes ``__lf_to<i>`` of every stratum.
+
+    Windows over the strata, one narrow row for each: ranked in one task on
+    purpose (a stratum is only of use with several rows)."""
+    every = Window.partitionBy()
+    rows, weight = F.col("__lf_n"), sum(f for _, f in fractions)
+    n, begun = F.sum(rows).over(every), F.lit(0).cast("long")
     for i, (_, f) in enumerate(fractions[:-1]):
         held_out = _share_up(n, 1 - f / weight)
-        sizes = _proportional(sizes, label, left, n - held_out, f"__lf_part{i}")
+        sizes = sizes.select("*", rows.alias(f"__lf_r{i}"), n.alias(f"__lf_n{i}"), held_out.alias(f"__lf_h{i}"))
+        r, whole, draw = F.col(f"__lf_r{i}").cast("decimal(20,0)"), F.greatest(F.col(f"__lf_n{i}"), F.lit(1)), F.col(f"__lf_n{i}") - F.col(f"__lf_h{i}")
+        rest = (r * draw) % whole
+        sizes = sizes.select("*", ((r * draw - rest) / whole).cast("long").alias(f"__lf_low{i}"), rest.alias(f"__lf_rest{i}"), draw.alias(f"__lf_draw{i}"))
+        turn = F.row_number().over(Window.orderBy(F.col(f"__lf_rest{i}").desc(), F.col(label).asc_nulls_first()))
+        missing = F.col(f"__lf_draw{i}") - F.sum(f"__lf_low{i}").over(every)
+        part = F.col(f"__lf_low{i}") + (turn <= missing).cast("long")
+        sizes = sizes.withColumn(f"__lf_part{i}", part)
         begun = begun + F.col(f"__lf_part{i}")
-        sizes = sizes.withColumn(f"__lf_left{i}", F.col(left) - F.col(f"__lf_part{i}")).withColumn(f"__lf_to{i}", begun)
-        left, n, weight = f"__lf_left{i}", held_out, weight - f
-    return sizes.withColumn(f"__lf_to{len(fractions) - 1}", F.col("__lf_n"))
+        sizes = sizes.withColumn(f"__lf_to{i}", begun)
+        rows, n, weight = F.col(f"__lf_r{i}") - F.col(f"__lf_part{i}"), F.col(f"__lf_h{i}"), weight - f
+    return sizes.select(F.col(label).alias("__lf_label"), *[f"__lf_to{i}" for i in range(len(fractions) - 1)])
 
 
 def restrict_to_split(df: DataFrame, split_df: DataFrame, subset: str = "all",
