@@ -120,3 +120,31 @@ def test_only_nulls(spark):
     kept = substring_dedup.dedup_substrings(documents(spark, rows), 3, 2).collect()
     assert by_key(kept, "doc_id", "n_removed") == [(1, 0), (None, 0), (None, 0)]
     assert sorted(r["kept"] for r in kept) == ["", "", "a b c d e f"]
+
+
+def test_crowded_bitmaps_change_nothing(spark, monkeypatch):
+    """Bitmaps that let most keys through cost rows, not results."""
+    from labelforge.llm import sketch
+
+    monkeypatch.setattr(sketch, "MIN_BITS", 1 << 15)
+    monkeypatch.setattr(sketch, "MAX_BITS", 1 << 15)
+    got = substring_dedup.dedup_substrings(documents(spark)).collect()
+    keys = "doc_id", "n_words", "n_removed", "kept"
+    assert by_key(got, *keys) == by_key(cut(texts(), 50), *keys)
+    groups_got = jaccard_join.similar_groups(documents(spark)).collect()
+    keys = "doc_id", "n_shingles", "component_id"
+    assert by_key(groups_got, *keys) == by_key(groups(texts(), 4, 85), *keys)
+
+
+def test_bitmap_holds_its_keys(spark):
+    import numpy as np
+
+    from labelforge.llm import sketch
+
+    keys = np.random.default_rng(2).integers(-(2**63), 2**63 - 1, 3000)
+    df = spark.createDataFrame([(int(k),) for k in keys] + [(None,)], "k bigint")
+    bits = sketch.bitmap(df, "k").value
+    assert bits.test(keys.view(np.uint64)).all()
+    others = np.random.default_rng(3).integers(-(2**63), 2**63 - 1, 20_000).view(np.uint64)
+    assert bits.test(others).mean() < 0.02
+    assert not sketch.bitmap(df.where("k IS NULL"), "k").value.test(others).any()
