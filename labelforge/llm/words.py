@@ -31,7 +31,7 @@ _BASE = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 _POWERS: dict[int, np.ndarray] = {}
 
 #: Bytes of text worked on at once (a longer text makes a larger slice).
-SLICE_BYTES = 1 << 21
+SLICE_BYTES = 1 << 19
 
 
 def mix(x: np.ndarray) -> np.ndarray:
