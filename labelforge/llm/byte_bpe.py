@@ -14,17 +14,64 @@ import codecs
 import os
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from .common import per_batch
 from .pretokens import splitter
 from .token_counts import byte_characters
 
-#: Pieces whose ids a worker remembers (a memory bound only).
-REMEMBER = 300_000
+#: Pieces whose ids a worker remembers (a memory bound only); above it, those
+#: that were needed once go.
+REMEMBER = 500_000
+
+
+def ragged(start: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """Indices of the runs start[i] .. start[i] + length[i], one after another."""
+    ends = np.cumsum(length)
+    total = int(ends[-1]) if len(ends) else 0
+    return np.arange(total) + np.repeat(start - (ends - length), length)
+
+
+class Known:
+    """Ids of pieces: a number for each piece, and its run in one array."""
+
+    def __init__(self):
+        self.number: dict[str, int] = {}
+        self.ids = np.empty(1 << 16, np.int32)
+        self.used = 0
+        self.start = np.empty(1 << 15, np.int64)
+        self.length = np.empty(1 << 15, np.int64)
+        self.needed = np.zeros(1 << 15, np.int64)
+
+    def add(self, pieces: list[str], ids: list[list[int]]) -> None:
+        first, n = len(self.number), len(pieces)
+        length = np.fromiter(map(len, ids), np.int64, n)
+        total = int(length.sum())
+        for name in ("start", "length", "needed"):
+            while len(getattr(self, name)) < first + n:
+                setattr(self, name, np.concatenate([getattr(self, name), np.zeros_like(getattr(self, name))]))
+        while len(self.ids) < self.used + total:
+            self.ids = np.concatenate([self.ids, np.empty_like(self.ids)])
+        self.ids[self.used : self.used + total] = np.fromiter(chain.from_iterable(ids), np.int32, total)
+        self.start[first : first + n] = self.used + np.cumsum(length) - length
+        self.length[first : first + n] = length
+        self.needed[first : first + n] = 0
+        self.used += total
+        self.number.update(zip(pieces, range(first, first + n), strict=True))
+
+    def forget(self) -> None:
+        """Only pieces needed twice since the last time stay."""
+        keep = [p for p, i in self.number.items() if self.needed[i] > 1]
+        at = np.array([self.number[p] for p in keep], np.int64)
+        ids, ends = self.ids[ragged(self.start[at], self.length[at])], np.cumsum(self.length[at])
+        lists = [x.tolist() for x in np.split(ids, ends[:-1])] if keep else []
+        self.__init__()
+        self.add(keep, lists)
 
 
 class ByteBpe:
@@ -45,36 +92,45 @@ class ByteBpe:
         vocab = {name[raw]: i for raw, i in ranks.items()}
         self.model = Tokenizer(models.BPE(vocab=vocab, merges=merges, ignore_merges=True, cache_capacity=0))
         self.split = splitter()
-        self.known: dict[str, np.ndarray] = {}
+        self.known = Known()
         size = max(self.token_bytes) + 1
-        self.width = np.zeros(size, np.int32)
-        for i, raw in self.token_bytes.items():
-            self.width[i] = len(raw)
+        self.width = np.array([len(self.token_bytes.get(i, b"")) for i in range(size)], np.int64)
+        self.begin = np.cumsum(self.width) - self.width
+        self.table = np.frombuffer(b"".join(self.token_bytes.get(i, b"") for i in range(size)), np.uint8)
 
     def learn(self, pieces: list[str]) -> None:
         written = [p.encode().decode("latin-1").translate(self.to_char) for p in pieces]
-        for piece, done in zip(pieces, self.model.encode_batch_fast(written, add_special_tokens=False), strict=True):
-            self.known[piece] = np.array(done.ids, np.int32)
+        self.known.add(pieces, [x.ids for x in self.model.encode_batch_fast(written, add_special_tokens=False)])
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        if len(self.known) > REMEMBER:
-            self.known.clear()
+        """The ids of each text."""
+        known = self.known
+        if len(known.number) > REMEMBER:
+            known.forget()
         split = [self.split(t) for t in texts]
-        new: set[str] = set()
-        for pieces in split:
-            new.update(pieces)
-        self.learn([p for p in new if p not in self.known])
-        known = self.known.__getitem__
-        none = np.empty(0, np.int32)
-        return [np.concatenate([*map(known, pieces)]) if pieces else none for pieces in split]
+        pieces = list(chain.from_iterable(split))
+        if new := set(pieces).difference(known.number):
+            self.learn(list(new))
+        number = np.fromiter(map(known.number.__getitem__, pieces), np.int64, len(pieces))
+        known.needed += np.bincount(number, minlength=len(known.needed))
+        length = known.length[number]
+        ids = known.ids[ragged(known.start[number], length)]
+        per_text = np.concatenate([[0], np.cumsum(length)])[np.cumsum([len(p) for p in split])]
+        return np.split(ids, per_text[:-1]) if len(texts) else []
 
     def offsets(self, ids: np.ndarray) -> np.ndarray:
         """The first byte of each token in the UTF-8 text."""
         width = self.width[ids]
         return (np.cumsum(width) - width).astype(np.int32)
 
-    def decode(self, ids: list[int]) -> bytes:
-        return b"".join(map(self.token_bytes.__getitem__, ids))
+    def decode_all(self, ids: np.ndarray, counts: np.ndarray) -> pa.Array:
+        """The bytes of runs of ``counts`` ids, as a binary array."""
+        if len(ids) and (ids.min() < 0 or ids.max() >= len(self.width) or not self.width[ids].all()):
+            raise ValueError("an id is not in the rank file")
+        width = self.width[ids]
+        data = self.table[ragged(self.begin[ids], width)]
+        ends = np.concatenate([[0], np.cumsum(width)])[np.concatenate([[0], np.cumsum(counts)])]
+        return pa.Array.from_buffers(pa.large_binary(), len(counts), [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(data)]).cast(pa.binary())
 
 
 def tokens_as_text(raw_tokens: list[bytes]) -> list[str]:
@@ -135,11 +191,12 @@ def decode(df: DataFrame, ranks_path: str, ids_col: str = "ids", out_col: str =
         bpe = _bpe(ranks_path)
         for at in range(0, batch.num_rows, 256):
             part = batch.slice(at, 256)
-            lists = [x or [] for x in part.column(place).to_pylist()]
+            lists = part.column(place)
             if as_text:
-                out = pa.array([tokens_as_text([bpe.token_bytes[i] for i in x]) for x in lists], pa.list_(pa.string()))
+                out = pa.array([tokens_as_text([bpe.token_bytes[i] for i in x or []]) for x in lists.to_pylist()], pa.list_(pa.string()))
             else:
-                out = pa.array([bpe.decode(x) for x in lists], pa.binary())
+                counts = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+                out = bpe.decode_all(lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64), counts)
             yield pa.record_batch([*part.columns, out], names=[*names, out_col])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
