@@ -1,10 +1,17 @@
 """Line dedup by a log-template tree (operator 3).  DataFrame operations only.
 
 The tree has a fixed depth: lines are parsed by their number of tokens and
-their leading tokens (digits masked).  In a leaf that holds enough lines, a
-token that stands in enough of them at its place is constant; the other tokens
-are variable fields and become wildcards.  Lines of one template that recur in
-enough different documents are dropped, but for the first of them.
+their leading tokens (digits masked).  In a leaf that holds enough lines, the
+tokens that are constant at their places are kept and the others, the variable
+fields, become wildcards.  Lines of one template that recur in enough different
+documents are dropped, but for the first of them.
+
+What is constant follows the size of the leaf, so that a field of few values
+stays a field however many lines hold each of them.  A line takes the first of
+these levels at which enough of its tokens are constant: those without digits
+that stand in a half of the leaf's lines; in a quarter; in ``min_docs`` lines;
+and any token in ``min_docs`` lines.  Lines alike at one level are alike at
+those before it, so a more general template never splits a narrower one.
 """
 
 from __future__ import annotations
@@ -19,6 +26,8 @@ LEAD = 3
 #: Documents (of different texts) that a template must recur in, and lines
 #: that a token must stand in to be constant.
 MIN_DOCS = 10
+#: Shares of a leaf's lines, the most general level first.
+SHARES = (0.5, 0.25)
 #: Share of a template's tokens that must be constant.
 MIN_CONSTANT = 0.6
 
@@ -33,25 +42,37 @@ def _leaf(tokens: Column, lead: int) -> Column:
     return F.xxhash64(F.size(tokens), F.array_join(heads, " "))
 
 
+def _level() -> Column:
+    """The first level at which a token of ``c`` of the leaf's lines is constant."""
+    level = F.when(F.col("token").rlike("[0-9]"), len(SHARES) + 1)
+    for i, share in enumerate(SHARES):
+        level = level.when(F.col("c") >= share * F.col("held"), i)
+    return level.otherwise(len(SHARES))
+
+
 def line_templates(docs: DataFrame, lead: int = LEAD, min_docs: int = MIN_DOCS, min_constant: float = MIN_CONSTANT) -> DataFrame:
     """(doc, mark, line, template, docs, first): the lines whose template
     recurs; ``first`` marks the one that stays.  ``docs``: doc, mark, text."""
     lines = (docs.where("text IS NOT NULL").select("doc", "mark", F.posexplode(F.split("text", "\n", -1)).alias("line", "body"))
              .withColumn("tokens", tokens_of(F.col("body"))).where(F.size("tokens") > 0)
              .withColumn("leaf", _leaf(F.col("tokens"), lead)))
-    leaves = land(lines.groupBy("leaf").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") >= min_docs).select("leaf"), "line-leaves")
-    held = land(lines.join(leaves, "leaf", "leftsemi")
-                .select("doc", "mark", "line", "leaf", F.md5("body").alias("body"), "tokens"), "leaf-lines")
+    leaves = land(lines.groupBy("leaf").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") >= min_docs)
+                  .select("leaf", F.col("c").alias("held")), "line-leaves")
+    held = land(lines.join(leaves, "leaf")
+                .select("doc", "mark", "line", "leaf", "held", F.md5("body").alias("body"), "tokens"), "leaf-lines")
     # equal lines are one class, so a line of many documents is parsed once
-    classes = held.groupBy("leaf", "body").agg(F.count(F.lit(1)).alias("c"), F.min("tokens").alias("tokens"))
-    words = classes.select("leaf", "body", "c", F.posexplode("tokens").alias("place", "token"))
-    constant = (words.groupBy("leaf", "place", "token").agg(F.sum("c").alias("c")).where(F.col("c") >= min_docs)
-                .select("leaf", "place", "token", F.lit(1).alias("fixed")))
+    classes = held.groupBy("leaf", "body").agg(F.count(F.lit(1)).alias("c"), F.min("tokens").alias("tokens"), F.min("held").alias("held"))
+    words = classes.select("leaf", "body", "c", "held", F.posexplode("tokens").alias("place", "token"))
+    constant = (words.groupBy("leaf", "place", "token").agg(F.sum("c").alias("c"), F.min("held").alias("held")).where(F.col("c") >= min_docs)
+                .select("leaf", "place", "token", _level().alias("level")))
+    need = F.ceil(F.lit(min_constant) * F.col("size")).cast("int")
+    fixed = lambda x: F.coalesce(x["level"] <= F.col("level"), F.lit(False))
     parsed = (words.join(constant, ["leaf", "place", "token"], "left")
-              .groupBy("leaf", "body").agg(F.array_sort(F.collect_list(F.struct("place", F.when(F.col("fixed") == 1, F.col("token")).alias("t")))).alias("p"),
-                                           F.count("fixed").alias("fixed"), F.count(F.lit(1)).alias("size"))
-              .where(F.col("fixed") >= min_constant * F.col("size"))
-              .select("leaf", "body", F.array_join(F.transform("p", lambda x: F.coalesce(x["t"], F.lit("<*>"))), " ").alias("template")))
+              .groupBy("leaf", "body").agg(F.array_sort(F.collect_list(F.struct("place", "level", F.when(F.col("level").isNotNull(), F.col("token")).alias("t")))).alias("p"),
+                                           F.sort_array(F.collect_list("level")).alias("levels"), F.count(F.lit(1)).alias("size"))
+              # the level at which so many tokens are constant
+              .withColumn("level", F.when(need < 1, 0).otherwise(F.get("levels", need - 1))).where(F.col("level").isNotNull())
+              .select("leaf", "body", F.array_join(F.transform("p", lambda x: F.when(fixed(x), x["t"]).otherwise("<*>")), " ").alias("template")))
     found = land(held.select("doc", "mark", "line", "leaf", "body").join(parsed, ["leaf", "body"])
                  .select("doc", "mark", "line", "leaf", "template"), "templated-lines")
     # documents of equal text count once

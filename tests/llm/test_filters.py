@@ -272,3 +272,39 @@ def test_lines_against_brute_force(spark):
 
 def test_lines_of_nothing(spark):
     assert line_dedup.drop_lines(documents(spark, [])).collect() == []
+
+
+def dropped(spark, lines, **limits):
+    """How many lines go when each is a document of its own."""
+    out = line_dedup.drop_lines(documents(spark, list(enumerate(lines))), **limits)
+    return sum(r["n_dropped"] for r in out.select("n_dropped").collect())
+
+
+def stamped(rng, n):
+    return [f"Last updated on {rng.randint(1, 28)} / {rng.randint(1, 12)} at {rng.randint(0, 23)} : {rng.randint(0, 59)} by the editor "
+            f"user{rng.randint(1, 200)} for all our readers" for _ in range(n)]
+
+
+def test_a_template_is_one_at_every_size(spark):
+    """Fields of few values, however many lines hold each value."""
+    rng = random.Random(3)
+    for n in (50, 200, 3000):
+        lines = sorted(set(stamped(rng, n)))
+        assert dropped(spark, lines) == len(lines) - 1, n
+    days, places, moods = "Mon Tue Wed Thu Fri Sat Sun".split(), "Rome Oslo Bern Kyiv Lima".split(), "glad calm sad".split()
+    named = [f"Sent to you on a {rng.choice(days)} from our office in {rng.choice(places)} by a {rng.choice(moods)} person called n{i}" for i in range(2000)]
+    assert dropped(spark, named) == len(named) - 1
+
+
+def test_a_template_is_found_beside_others_of_its_leaf(spark):
+    """Templates that hold little of a leaf, with numbers as fields, and lines
+    that recur as they are; other lines of the leaf stay."""
+    rng = random.Random(6)
+    other = [f"Last updated on {' '.join(f'{chr(97 + k)}{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676)}' for k in range(15))}" for i in range(4000)]
+    same = [f"{'Last updated on ' + 'this very day by all of the many people that ever wrote here'} gone\nown{i}x" for i in range(40)]
+    lines = sorted(set(stamped(rng, 600)))
+    assert dropped(spark, other) == 0
+    assert dropped(spark, other + lines) == len(lines) - 1
+    assert dropped(spark, other + same) == len(same) - 1
+    numbers = [f"{i} | {i * 7} | {i * 13} | {i * 17}" for i in range(1000)]
+    assert dropped(spark, numbers) == 0
