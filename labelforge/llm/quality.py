@@ -3,9 +3,10 @@
 Base rules count words, symbols, repeated lines and repeated 8-word windows.
 On top of them a minimum-covariance-determinant (MCD) estimate is fitted per
 language and source on all rows that pass the base rules: from medians and
-median deviations, concentration steps keep the half (by default three
-quarters) of the group with the smallest Mahalanobis distances and estimate
-mean and covariance from them again.  A row whose transformed statistics lie
+median deviations, concentration steps keep the half of the group with the
+smallest Mahalanobis distances and estimate mean and covariance from them
+again, until the kept half stays the same; up to half of a group can be junk.
+A row whose transformed statistics lie
 beyond the cutoff of its group's estimate is rejected.
 
 Every step is one grouped aggregation over a narrow table (a hot source is
@@ -38,9 +39,9 @@ FLOORS = (0.35, 0.02, 0.08, 0.06)
 #: Steps of the grid on which statistics are counted.
 GRID = 10_000
 #: Share of a group that the estimate rests on.
-KEPT_SHARE = 0.75
-#: Concentration steps.
-STEPS = 3
+KEPT_SHARE = 0.5
+#: Concentration steps at most, should the kept rows never come to rest.
+STEPS = 50
 #: Squared distance beyond which a row is an outlier.
 CUTOFF = 60.0
 #: Smaller groups are judged with their language's other small groups, and
@@ -202,6 +203,7 @@ def fit_mcd(stats: DataFrame, floors: tuple[float, ...] = FLOORS, share: float =
     params = land(away.select("__group", *[(F.col(f"m{i}") / GRID).alias(f"m{i}") for i in k],
                               *[(1 / spread[i] if i == j else F.lit(0.0)).alias(f"p{i}{j}") for i in k for j in k if i <= j]),
                   "mcd-start")
+    last = None
     for _ in range(steps):
         far = F.floor(F.log2(_distance([F.col(s) for s in STATS]) + 1e-6) * 64).cast("int").alias("__far")
         near = stats.join(params, "__group").select("__group", *STATS, far)
@@ -213,14 +215,17 @@ def fit_mcd(stats: DataFrame, floors: tuple[float, ...] = FLOORS, share: float =
             f"percentile(__far, {share}, n)").alias("__cut"))
         inner = binned.join(cut, "__group").where(F.col("__far") <= F.ceil("__cut"))
         names = ["n", *[f"s{i}" for i in k], *[f"s{i}{j}" for i in k for j in k if i <= j]]
-        params = land(_solved(inner.groupBy("__group").agg(*[F.sum(c).cast(big).alias(c) for c in names]),
-                              floors, CONSISTENCY), "mcd-params")
+        sums = land(inner.groupBy("__group").agg(*[F.sum(c).cast(big).alias(c) for c in names]), "mcd-sums")
+        # equal sums give equal estimates, so nothing changes any more
+        if last is not None and sums.join(last, ["__group", *names], "leftanti").isEmpty():
+            break
+        params, last = land(_solved(sums, floors, CONSISTENCY), "mcd-params"), sums
     return params
 
 
-#: Brings the covariance of the inner three quarters to that of the whole
-#: (four normal statistics).
-CONSISTENCY = 1.5
+#: Brings the covariance of the inner half to that of the whole (four normal
+#: statistics).
+CONSISTENCY = 2.11
 
 
 def fit(counts: DataFrame, by: tuple[str, ...], min_group: int = MIN_GROUP) -> DataFrame:

@@ -72,6 +72,18 @@ def test_outliers_go_and_clean_documents_stay(spark):
     assert all(got[i] for i, _ in clean) and not any(got[i] for i, _ in junk)
 
 
+def test_junk_of_nearly_half_a_group_goes(spark):
+    """A bad source, and one junk text copied until it fills a third of its group."""
+    rng = random.Random(12)
+    junk = lambda: " ".join(w + "$$$%%%" for w in prose(rng, 80).split())
+    copied = junk()
+    rows = [(i, prose(rng, rng.randint(25, 400)), "bad") for i in range(150)] + [(1000 + i, junk(), "bad") for i in range(100)]
+    rows += [(2000 + i, prose(rng, rng.randint(25, 400)), "copies") for i in range(150)] + [(3000 + i, copied, "copies") for i in range(75)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string").selectExpr("doc_id", "text", "'en' lang", "source")
+    got = {r["doc_id"]: r["kept"] for r in quality.judge(docs).collect()}
+    assert got == {i: i // 1000 % 2 == 0 for i, _, _ in rows}
+
+
 def test_text_can_be_kept(spark):
     docs = documents(spark, extra=False)
     a = quality.judge(docs).select("doc_id", "kept", "n_words")
