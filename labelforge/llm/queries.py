@@ -7,7 +7,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, decontaminate, jaccard_join, licenses, line_dedup, quality, substring_dedup, token_counts, url_templates, warc
+from . import (
+    alignment, byte_bpe, decontaminate, exact_dedup, jaccard_join, licenses, line_dedup, quality, substring_dedup, token_counts,
+    url_templates, warc, whitening,
+)
 from .common import table
 
 
@@ -87,6 +90,26 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of equal texts, and the document of each that stays."""
+    return exact_dedup.mark_copies(table(spark, sf_dir, "documents"))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every usable embedding on the first 16 components."""
+    out = whitening.whiten(table(spark, sf_dir, "embeddings"))
+    entry = F.posexplode(F.arrays_zip("whitened", "explained")).alias("k", "e")
+    return out.select("vec_id", "n", F.expr("try_cast(deviation AS bigint)").alias("deviation"), "identity_error", entry).select(
+        "vec_id", (F.col("k") + 1).alias("component"), "n", "deviation", F.col("e.whitened").alias("whitened"),
+        F.col("e.explained").alias("explained"), "identity_error")
+
+
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's tokens by two tokenizers, aligned."""
+    return alignment.score_links(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"),
+                                 public_tokenizers.path("piece_bpe_32k.model"))
+
+
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
     "op2_url_templates": op2_url_templates,
@@ -98,6 +121,9 @@ QUERIES = {
     "op8_licenses": op8_licenses,
     "op9_quality": op9_quality,
     "op10_substring_dedup": op10_substring_dedup,
+    "op11_exact_dedup": op11_exact_dedup,
+    "op12_whitening": op12_whitening,
+    "op13_alignment": op13_alignment,
 }
 
 _LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -148,4 +174,8 @@ ORACLE_SQL = {
                CASE WHEN d.page_id > f.first_id THEN 'revisit' ELSE 'response' END AS record_type,
                CASE WHEN d.page_id > f.first_id THEN f.first_id END AS refers_to
         FROM d LEFT JOIN f USING (payload_digest)""",
+    "op11_exact_dedup": r"""
+        WITH d AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256 FROM documents),
+        g AS (SELECT text_sha256, min(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY text_sha256)
+        SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM d JOIN g USING (text_sha256)""",
 }

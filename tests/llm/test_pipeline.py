@@ -61,5 +61,5 @@ def test_one_row_stays_of_repeated_ones(spark):
 
 def test_every_operator_has_one_query():
     names = [q for q in E.queries() if q.startswith("op")]
-    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 14))
     assert "pipeline" in E.queries() and set(queries.ORACLE_SQL) <= set(queries.QUERIES)
