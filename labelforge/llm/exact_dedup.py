@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import land
-from .hot import join_groups
+from .hot import join_groups, in_bitmap
 
 #: Cells for each row: one lone row in so many is looked at again.
 CELLS_PER_ROW = 64
@@ -26,8 +26,6 @@ MIN_CELLS = 1 << 20
 #: joined on the cell.
 BROADCAST_CELLS = 1 << 29
 
-_BLOCK = 1 << 15  # cells of one row of bitmap_construct_agg
-
 
 def text_digest(text: Column) -> Column:
     """SHA-256 (binary) of a text with every run of white space as one space;
@@ -49,24 +47,12 @@ def _cell(cells: int) -> Column:
     return F.xxhash64("__sha").bitwiseAND(F.lit(cells - 1))
 
 
-def _bit(packed: Column, position: Column) -> Column:
-    """Whether a bit is set in a binary column of bitmap_construct_agg."""
-    byte = F.conv(F.hex(F.substring(packed, F.shiftright(position, 3).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    return F.call_function("shiftright", byte, position.bitwiseAND(F.lit(7)).cast("int")).bitwiseAND(F.lit(1)) == 1
-
-
 def mark_possible(rows: DataFrame, repeated: DataFrame, cells: int, n_rows: int,
                   broadcast_cells: int = BROADCAST_CELLS) -> DataFrame:
     """Second pass: ``rows`` (with ``__sha``) and ``__maybe``, false for rows
     whose text is certainly alone."""
     if cells <= broadcast_cells:
-        at = F.col("__cell") + 1
-        blocks = repeated.groupBy(F.bitmap_bucket_number(at).alias("__block")).agg(
-            F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("__bits"))
-        here = _cell(cells)
-        tested = rows.withColumn("__block", F.bitmap_bucket_number(here + 1)).join(F.broadcast(land(blocks, "repeat-filter")), "__block", "left")
-        maybe = F.coalesce(_bit(F.col("__bits"), here.bitwiseAND(F.lit(_BLOCK - 1))), F.lit(False))
-        return tested.withColumn("__maybe", maybe).drop("__block", "__bits")
+        return in_bitmap(rows, _cell(cells), repeated, "__maybe")
     tested = join_groups(rows.withColumn("__cell", _cell(cells)), repeated, "__cell", "__times", n_rows, "left")
     return tested.withColumn("__maybe", F.col("__times").isNotNull()).drop("__cell", "__times")
 

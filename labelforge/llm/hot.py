@@ -3,9 +3,15 @@ hold most of the rows."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import land
+
+#: Bits of the largest bitmap that is broadcast (64 MB), and for each key.
+BITMAP_BITS = 1 << 29
+BITS_PER_KEY = 64
+_BLOCK = 1 << 15  # bits of one row of bitmap_construct_agg
 #: Groups that are broadcast at most.
 BROADCAST_GROUPS = 100_000
 
@@ -28,3 +34,35 @@ def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, n_rows:
     found = rows.join(F.broadcast(hot), key)
     others = rows.join(F.broadcast(hot.select(key)), key, "leftanti")
     return found.unionByName(others.join(groups.where(F.col(size) < least), key, how))
+
+
+def bit_of(packed: Column, position: Column) -> Column:
+    """Whether a bit is set in a binary column of bitmap_construct_agg."""
+    byte = F.conv(F.hex(F.substring(packed, F.shiftright(position, 3).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    return F.call_function("shiftright", byte, position.bitwiseAND(F.lit(7)).cast("int")).bitwiseAND(F.lit(1)) == 1
+
+
+def in_bitmap(rows: DataFrame, cell: Column, cells: DataFrame, name: str) -> DataFrame:
+    """``rows`` and the boolean ``name``: whether the number ``cell`` is among
+    those of ``cells`` (column ``__cell``, not negative), by a broadcast bitmap.
+    The caller bounds the numbers, and so the size of the bitmap."""
+    at = F.col("__cell") + 1
+    blocks = cells.groupBy(F.bitmap_bucket_number(at).alias("__block")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("__bits"))
+    tested = rows.withColumn("__block", F.bitmap_bucket_number(cell + 1)).join(F.broadcast(land(blocks, "bitmap")), "__block", "left")
+    found = F.coalesce(bit_of(F.col("__bits"), cell.bitwiseAND(F.lit(_BLOCK - 1))), F.lit(False))
+    return tested.withColumn(name, found).drop("__block", "__bits")
+
+
+def without_keys(rows: DataFrame, keys: DataFrame, names: list[str]) -> DataFrame:
+    """``rows`` whose ``names`` are not a row of ``keys`` (no nulls in either).
+
+    A bitmap of the keys lets most rows pass in place; the others are
+    anti-joined.  With more keys than the bitmap has room for more rows are
+    shuffled; the result is the same.
+    """
+    bits = 1 << max(20, min(BITMAP_BITS, max(1, keys.count()) * BITS_PER_KEY).bit_length() - 1)
+    cell = F.xxhash64(*names).bitwiseAND(F.lit(bits - 1))
+    tested = in_bitmap(rows, cell, keys.select(cell.alias("__cell")), "__maybe")
+    checked = tested.where("__maybe").join(keys, names, "leftanti").select(*tested.columns)
+    return tested.where("NOT __maybe").unionByName(checked).drop("__maybe")

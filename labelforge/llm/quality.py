@@ -2,16 +2,17 @@
 
 Base rules count words, symbols, repeated lines and repeated 8-word windows.
 On top of them a minimum-covariance-determinant (MCD) estimate is fitted per
-language and source on all rows that pass the base rules: from medians and
-median deviations, concentration steps keep the half of the group with the
-smallest Mahalanobis distances and estimate mean and covariance from them
-again, until the kept half stays the same; up to half of a group can be junk.
-A row whose transformed statistics lie
-beyond the cutoff of its group's estimate is rejected.
-
-Every step is one grouped aggregation over a narrow table (a hot source is
-summed map-side); statistics are whole numbers on a fixed grid, so sums do not
-depend on the order of rows.
+language and source on all rows that pass the base rules, and a row whose
+transformed statistics lie beyond the cutoff of its group's estimate is
+rejected.  The estimate rests on the half of a group whose covariance has the
+least determinant, so up to half of a group can be junk.
+
+One pass sums the rows of a group into cells a quarter of its spread wide:
+counts, sums and products, exact and summed map-side, so a hot source arrives
+as cells.  A group has at most CELLS_PER_SIDE ** 4 of them, however many rows it has.  Concentration steps
+then run on the cells of one group: the half with the smallest distances gives
+the next mean and covariance, which cannot have a larger determinant, until it
+no longer falls.  Of several starts the least determinant wins.
 """
 
 from __future__ import annotations
@@ -24,6 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import land, per_batch
+from .hot import join_groups, without_keys
 from .words import SPACED, Words, slices, window_hashes
 
 #: Symbols counted, and the base rules' limits.
@@ -40,8 +42,12 @@ FLOORS = (0.35, 0.02, 0.08, 0.06)
 GRID = 10_000
 #: Share of a group that the estimate rests on.
 KEPT_SHARE = 0.5
-#: Concentration steps at most, should the kept rows never come to rest.
-STEPS = 50
+#: Width of a cell as a share of the statistic's spread, and cells on one side
+#: of the median; what lies farther out is in the last one.
+CELL, SIDE = 0.25, 12
+CELLS_PER_SIDE = 2 * SIDE + 1
+#: Mean word lengths above count as this.
+LONGEST = 64
 #: Squared distance beyond which a row is an outlier.
 CUTOFF = 60.0
 #: Smaller groups are judged with their language's other small groups, and
@@ -122,7 +128,7 @@ def _statistics() -> list[Column]:
     """The transformed statistics on the grid, as whole numbers."""
     c = F.col
     shares = (
-        (c("word_chars") + 250) / (c("n_words") + 50),
+        F.least((c("word_chars") + 250) / (c("n_words") + 50), F.lit(float(LONGEST))),
         F.sqrt(c("n_symbols") / (c("word_chars") + 250)),
         F.sqrt(c("n_dup_lines") / (c("n_lines") + 10)),
         F.sqrt(c("n_repeat_words") / (c("n_words") + 200)),
@@ -130,18 +136,20 @@ def _statistics() -> list[Column]:
     return [F.round(x * GRID).cast("long").alias(name) for x, name in zip(shares, STATS, strict=True)]
 
 
-def _groups(counts: DataFrame, by: tuple[str, ...], min_group: int) -> DataFrame:
-    """(by columns, n, __group): the group each (language, source) is judged
-    in.  One row per pair of values; null values make groups of their own."""
-    own = counts.groupBy(*by).agg(F.count(F.lit(1)).alias("__n"))
-    first = by[0]
-    small = own.where(F.col("__n") < min_group)
-    pooled = small.groupBy(F.col(first).alias("__f")).agg(F.sum("__n").alias("__m"))
-    named = F.to_json(F.struct(*[F.col(b).cast("string").alias(f"k{i}") for i, b in enumerate(by)]))
-    return (own.join(pooled, own[first].eqNullSafe(pooled["__f"]), "left")
-            .select(*by, F.when(F.col("__n") >= min_group, F.concat(F.lit("own "), named))
-                    .when(F.col("__m") >= min_group, F.concat(F.lit("first "), F.coalesce(F.col(first).cast("string"), F.lit("\0"))))
-                    .otherwise(F.lit("rest")).alias("__group")))
+def _keys(by: tuple[str, ...]) -> list[Column]:
+    """One text for the values of ``by`` (``__key``) and one for the first
+    (``__first``); null values are values of their own."""
+    value = lambda b: F.to_json(F.struct(F.col(b).cast("string").alias("v")))
+    return [F.concat_ws(",", *map(value, by)).alias("__key"), value(by[0]).alias("__first")]
+
+
+def _groups(passed: DataFrame, min_group: int) -> DataFrame:
+    """(__key, __group): the group each language and source is judged in."""
+    own = passed.groupBy("__key", "__first").agg(F.count(F.lit(1)).alias("__n"))
+    pooled = own.where(F.col("__n") < min_group).groupBy("__first").agg(F.sum("__n").alias("__m"))
+    return (own.join(pooled, "__first", "left")
+            .select("__key", "__n", F.when(F.col("__n") >= min_group, F.concat(F.lit("own "), "__key"))
+                    .when(F.col("__m") >= min_group, F.concat(F.lit("first "), "__first")).otherwise(F.lit("rest")).alias("__group")))
 
 
 def _distance(stats: list[Column]) -> Column:
@@ -156,71 +164,103 @@ def _distance(stats: list[Column]) -> Column:
     return total
 
 
-def _param_schema() -> str:
-    k = range(len(STATS))
-    return ", ".join(["`__group` string", *[f"m{i} double" for i in k], *[f"p{i}{j} double" for i in k for j in k if i <= j]])
-
-
-def _solved(sums: DataFrame, floors: tuple[float, ...], scale: float) -> DataFrame:
-    """Mean and inverse covariance of each group from exact sums."""
-    k = len(STATS)
-
-    def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        rows = []
-        for r in batch.to_pylist():
-            n = int(r["n"])
-            s = [int(r[f"s{i}"]) for i in range(k)]
-            mean = np.array([x / n for x in s]) / GRID
-            cov = np.empty((k, k))
-            for i in range(k):
-                for j in range(i, k):
-                    exact = n * int(r[f"s{i}{j}"]) - s[i] * s[j]  # whole numbers: no cancellation
-                    cov[i, j] = cov[j, i] = exact / (n * n) / GRID**2
-            inverse = np.linalg.inv(cov * scale + np.diag(np.square(floors)))
-            rows.append({"__group": r["__group"]} | {f"m{i}": float(mean[i]) for i in range(k)}
-                        | {f"p{i}{j}": float(inverse[i, j]) for i in range(k) for j in range(i, k)})
-        yield pa.RecordBatch.from_pylist(rows, schema=_arrow_params())
-
-    return per_batch(sums, run, _param_schema())
-
-
-def _arrow_params() -> pa.Schema:
-    k = range(len(STATS))
-    return pa.schema([("__group", pa.string()), *[(f"m{i}", pa.float64()) for i in k],
-                      *[(f"p{i}{j}", pa.float64()) for i in k for j in k if i <= j]])
+def _pairs() -> list[tuple[int, int]]:
+    return [(i, j) for i in range(len(STATS)) for j in range(i, len(STATS))]
 
 
-def fit_mcd(stats: DataFrame, floors: tuple[float, ...] = FLOORS, share: float = KEPT_SHARE,
-            steps: int = STEPS) -> DataFrame:
-    """(__group, m*, p*) from the table (__group, STATS) of all rows to fit."""
+def cells(stats: DataFrame, n_rows: int, floors: tuple[float, ...] = FLOORS) -> DataFrame:
+    """The rows of (__group, STATS) summed into cells: (__group, m*, w*, cell,
+    n, s*, q**), where m is the group's median (a whole number of the grid), w
+    its spread, and s and q are sums and products of what is over the median."""
     k = range(len(STATS))
     big = "decimal(38,0)"
-    middle = land(stats.groupBy("__group").agg(*[F.percentile(s, 0.5).alias(f"m{i}") for i, s in enumerate(STATS)]), "mcd-medians")
-    away = (stats.join(middle, "__group")
-            .groupBy("__group").agg(*[F.first(f"m{i}").alias(f"m{i}") for i in k],
-                                    *[F.percentile(F.abs(F.col(s) - F.col(f"m{i}")), 0.5).alias(f"w{i}") for i, s in enumerate(STATS)]))
-    spread = [F.pow(F.col(f"w{i}") * 1.4826 / GRID, 2) + floors[i] ** 2 for i in k]
-    params = land(away.select("__group", *[(F.col(f"m{i}") / GRID).alias(f"m{i}") for i in k],
-                              *[(1 / spread[i] if i == j else F.lit(0.0)).alias(f"p{i}{j}") for i in k for j in k if i <= j]),
-                  "mcd-start")
-    last = None
-    for _ in range(steps):
-        far = F.floor(F.log2(_distance([F.col(s) for s in STATS]) + 1e-6) * 64).cast("int").alias("__far")
-        near = stats.join(params, "__group").select("__group", *STATS, far)
-        binned = land(near.groupBy("__group", "__far").agg(
-            F.count(F.lit(1)).alias("n"), *[F.sum(F.col(s).cast(big)).cast(big).alias(f"s{i}") for i, s in enumerate(STATS)],
-            *[F.sum((F.col(STATS[i]) * F.col(STATS[j])).cast(big)).cast(big).alias(f"s{i}{j}") for i in k for j in k if i <= j]),
-            "mcd-bins")
-        cut = binned.groupBy("__group").agg(F.sum("n").alias("__all"), F.expr(
-            f"percentile(__far, {share}, n)").alias("__cut"))
-        inner = binned.join(cut, "__group").where(F.col("__far") <= F.ceil("__cut"))
-        names = ["n", *[f"s{i}" for i in k], *[f"s{i}{j}" for i in k for j in k if i <= j]]
-        sums = land(inner.groupBy("__group").agg(*[F.sum(c).cast(big).alias(c) for c in names]), "mcd-sums")
-        # equal sums give equal estimates, so nothing changes any more
-        if last is not None and sums.join(last, ["__group", *names], "leftanti").isEmpty():
-            break
-        params, last = land(_solved(sums, floors, CONSISTENCY), "mcd-params"), sums
-    return params
+    sizes = [F.count(F.lit(1)).alias("__size")]
+    middle = land(stats.groupBy("__group").agg(
+        *sizes, *[F.floor(F.percentile(s, 0.5)).alias(f"m{i}") for i, s in enumerate(STATS)]), "mcd-medians")
+    over = [F.col(s) - F.col(f"m{i}") for i, s in enumerate(STATS)]
+    spread = [F.greatest(F.percentile(F.abs(d), 0.5) * 1.4826 / GRID, F.lit(floors[i])).alias(f"w{i}") for i, d in enumerate(over)]
+    keep = [F.first(f"m{i}").alias(f"m{i}") for i in k]
+    scale = land(join_groups(stats, middle, "__group", "__size", n_rows).groupBy("__group").agg(*sizes, *keep, *spread), "mcd-spreads")
+    level = [F.least(F.greatest(F.round(d / GRID / (CELL * F.col(f"w{i}"))), F.lit(-float(SIDE))), F.lit(float(SIDE))).cast("int") + SIDE
+             for i, d in enumerate(over)]
+    cell = level[0]
+    for x in level[1:]:
+        cell = cell * CELLS_PER_SIDE + x
+    placed = join_groups(stats, scale, "__group", "__size", n_rows).select(
+        "__group", cell.alias("cell"), *[d.alias(f"d{i}") for i, d in enumerate(over)])
+    total = lambda c: F.sum(c.cast("decimal(20,0)")).cast(big).cast("double")
+    summed = placed.groupBy("__group", "cell").agg(
+        F.count(F.lit(1)).cast("double").alias("n"), *[total(F.col(f"d{i}")).alias(f"s{i}") for i in k],
+        *[total(F.col(f"d{i}") * F.col(f"d{j}")).alias(f"q{i}{j}") for i, j in _pairs()])
+    return land(summed, "mcd-cells").join(scale.drop("__size"), "__group")
+
+
+def concentrate(n: np.ndarray, s: np.ndarray, q: np.ndarray, mean: np.ndarray, cov: np.ndarray,
+                floors: tuple[float, ...], share: float) -> tuple[float, np.ndarray, np.ndarray, int]:
+    """(log determinant, mean, covariance, steps) at rest, from cells of n rows
+    with sums s and products q, and a first mean and covariance.
+
+    A step takes the ``share`` of rows with the smallest distances, by the mean
+    squared distance of a cell and the border cell in part.  The weights make
+    the summed distance the least there is, so the determinant cannot rise; it
+    takes finitely many values, and the steps end when it does not fall.
+    """
+    size = share * n.sum()
+    floor = np.diag(np.square(floors))
+    best, steps = np.inf, 0
+    while True:
+        inverse = np.linalg.inv(cov)
+        far = np.einsum("cij,ij->c", q, inverse) / n - 2 * (s @ (inverse @ mean)) / n + mean @ inverse @ mean
+        order = np.argsort(far, kind="stable")
+        before = np.cumsum(n[order]) - n[order]
+        weight = np.empty(len(n))
+        weight[order] = np.clip((size - before) / n[order], 0, 1)
+        next_mean = weight @ s / size
+        scatter = np.tensordot(weight, q, 1) / size - np.outer(next_mean, next_mean)
+        next_cov = CONSISTENCY * scatter + floor
+        log_det = float(np.linalg.slogdet(next_cov)[1])
+        steps += 1
+        if log_det >= best - 1e-9:
+            return best, mean, cov, steps
+        best, mean, cov = log_det, next_mean, next_cov
+
+
+def least_determinant(n: np.ndarray, s: np.ndarray, q: np.ndarray, spread: np.ndarray,
+                      floors: tuple[float, ...], share: float) -> tuple[float, np.ndarray, np.ndarray, int]:
+    """The best of three starts: medians and spreads, the fullest cell and
+    spreads, mean and covariance of the whole group."""
+    mean = s.sum(0) / n.sum()
+    whole = q.sum(0) / n.sum() - np.outer(mean, mean) + np.diag(np.square(floors))
+    own = np.diag(np.square(spread))
+    fullest = int(np.argmax(n))
+    starts = [(np.zeros(len(STATS)), own), (s[fullest] / n[fullest], own), (mean, whole)]
+    return min((concentrate(n, s, q, m, c, floors, share) for m, c in starts), key=lambda found: found[0])
+
+
+def fit_mcd(stats: DataFrame, n_rows: int, floors: tuple[float, ...] = FLOORS, share: float = KEPT_SHARE) -> DataFrame:
+    """(__group, m*, p*, log_det, steps) from the table (__group, STATS) of
+    ``n_rows`` rows: mean and inverse covariance of each group."""
+    k = range(len(STATS))
+
+    def run(group: pa.Table) -> pa.Table:
+        column = {c: group.column(c).to_numpy() for c in group.column_names if c != "__group"}
+        order = np.argsort(column["cell"])
+        n = column["n"][order]
+        s = np.stack([column[f"s{i}"][order] for i in k], 1) / GRID
+        q = np.empty((len(n), len(STATS), len(STATS)))
+        for i, j in _pairs():
+            q[:, i, j] = q[:, j, i] = column[f"q{i}{j}"][order] / GRID**2
+        spread = np.array([column[f"w{i}"][0] for i in k])
+        log_det, mean, cov, steps = least_determinant(n, s, q, spread, floors, share)
+        inverse = np.linalg.inv(cov)
+        row = {"__group": group.column("__group")[0].as_py(), **{f"m{i}": column[f"m{i}"][0] / GRID + mean[i] for i in k},
+               **{f"p{i}{j}": inverse[i, j] for i, j in _pairs()}, "log_det": log_det, "steps": steps}
+        return pa.Table.from_pylist([row], schema=pa.schema([(c, pa.int32() if c == "steps" else pa.string() if c == "__group" else pa.float64())
+                                                             for c in row]))
+
+    numbers = [*[f"m{i}" for i in k], *[f"p{i}{j}" for i, j in _pairs()], "log_det"]
+    schema = ", ".join(["`__group` string", *[f"{c} double" for c in numbers], "steps int"])
+    return cells(stats, n_rows, floors).groupBy("__group").applyInArrow(run, schema)
 
 
 #: Brings the covariance of the inner half to that of the whole (four normal
@@ -228,14 +268,14 @@ def fit_mcd(stats: DataFrame, floors: tuple[float, ...] = FLOORS, share: float =
 CONSISTENCY = 2.11
 
 
-def fit(counts: DataFrame, by: tuple[str, ...], min_group: int = MIN_GROUP) -> DataFrame:
-    """(by columns, m*, p*): the estimate that the rows of each pair of values
-    are judged by, from a table of counts."""
+def fit(counts: DataFrame, min_group: int = MIN_GROUP) -> DataFrame:
+    """(__key, __n, m*, p*, log_det, steps): the estimate that the rows of each
+    key are judged by, from a written table of counts."""
     passed = counts.where(~F.col("base_failed"))
-    groups = land(_groups(passed, by, min_group), "quality-groups")
-    on = [F.col(f"c.{b}").eqNullSafe(F.col(f"g.{b}")) for b in by]
-    fitted = passed.alias("c").join(groups.alias("g"), on).select("g.__group", *_statistics())
-    return land(groups.join(fit_mcd(land(fitted, "quality-statistics")), "__group").drop("__group"), "quality-model")
+    groups = land(_groups(passed, min_group), "quality-groups")
+    n_rows = groups.agg(F.sum("__n")).first()[0] or 0
+    stats = land(join_groups(passed.select("__key", *_statistics()), groups, "__key", "__n", n_rows).select("__group", *STATS), "quality-statistics")
+    return land(groups.join(fit_mcd(stats, n_rows), "__group").drop("__group"), "quality-model")
 
 
 def judge(df: DataFrame, keep: tuple[str, ...] = ("doc_id",), by: tuple[str, ...] = ("lang", "source"),
@@ -250,15 +290,34 @@ def judge(df: DataFrame, keep: tuple[str, ...] = ("doc_id",), by: tuple[str, ...
     """
     bys = tuple(f"__by{i}" for i in range(len(by)))
     source = df.select(*[F.col(c) for c in keep], *[F.col(b).alias(f"__by{i}") for i, b in enumerate(by)], F.col(text_col).alias("__t"))
+    keyed = lambda counts: counts.select("*", *_keys(bys)).drop(*bys)
     if text_col in keep:
-        counts = count_rules(source, (*keep, *bys), "__t")
-        model = fit(land(count_rules(source, bys, "__t"), "quality-counts"), bys, min_group)
+        counts = keyed(count_rules(source, (*keep, *bys), "__t"))
+        model = fit(land(keyed(count_rules(source, bys, "__t")), "quality-counts"), min_group)
+        judged = counts.join(model, "__key", "left")
     else:
-        counts = land(count_rules(source, (*keep, *bys), "__t"), "quality-counts")
-        model = fit(counts, bys, min_group)
-    on = [F.col(f"c.{b}").eqNullSafe(F.col(f"g.{b}")) for b in bys]
-    judged = counts.alias("c").join(model.alias("g"), on, "left")
+        counts = land(keyed(count_rules(source, (*keep, *bys), "__t")), "quality-counts")
+        model = fit(counts, min_group)
+        judged = join_groups(counts, model, "__key", "__n", counts.count(), "left")
     distance = F.when(~F.col("base_failed"), _distance(_statistics()))
-    names = [F.col(f"c.{c}") for c in (*keep, *COUNTS, "base_failed")]
-    return (judged.select(*names, distance.alias("distance"))
+    return (judged.select(*keep, *COUNTS, "base_failed", distance.alias("distance"))
             .withColumn("kept", ~F.col("base_failed") & (F.coalesce("distance", F.lit(0.0)) <= cutoff)))
+
+
+def drop_rejected(df: DataFrame, by: tuple[str, ...] = ("lang", "source"), text_col: str = "text",
+                  cutoff: float = CUTOFF, min_group: int = MIN_GROUP) -> DataFrame:
+    """``df`` without the rows that ``judge`` does not keep, all columns as
+    they are, whatever their names.
+
+    A verdict rests on the text and the ``by`` columns alone, so rejected ones
+    are known by 128 bits of their hash; texts are read by Python once and
+    never written, and rows that a filter shows not to be among the rejected
+    are not shuffled.  Null, empty and very long texts, repeated rows and empty
+    tables as in ``judge``.
+    """
+    parts = [x for c in (text_col, *by) for x in (df[c], df[c].isNull())]
+    hashes = [F.xxhash64(F.lit(lane), *parts) for lane in (0, 1)]
+    source = df.select(hashes[0].alias("__h0"), hashes[1].alias("__h1"), *[df[b].alias(f"__g{i}") for i, b in enumerate(by)], df[text_col].alias("__text_in"))
+    judged = judge(source, ("__h0", "__h1"), tuple(f"__g{i}" for i in range(len(by))), "__text_in", cutoff, min_group)
+    rejected = land(judged.where("NOT kept").select("__h0", "__h1").distinct(), "rejected")
+    return without_keys(df.withColumns({"__h0": hashes[0], "__h1": hashes[1]}), rejected, ["__h0", "__h1"]).drop("__h0", "__h1")

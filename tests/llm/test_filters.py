@@ -33,35 +33,97 @@ def test_base_rules_against_brute_force(spark):
     assert all(not r["kept"] for r in got if r["base_failed"])
 
 
-def mcd(points, share, steps):
-    """The same estimate of one group, by numpy on whole numbers of the grid."""
+def mcd(points, share):
+    """Squared distances of one group by the same rule, row by row: the kept
+    half is chosen by cells of rows, of three starts the least determinant wins."""
     x = np.array(points, np.int64)
     floors = np.array(quality.FLOORS)
-    m = np.median(x, 0)
-    spread = (np.median(np.abs(x - m), 0) * 1.4826 / quality.GRID) ** 2 + floors**2
-    mean, inverse = m / quality.GRID, np.diag(1 / spread)
-    for _ in range(steps):
-        d = x / quality.GRID - mean
-        far = np.floor(np.log2(np.einsum("ni,ij,nj->n", d, inverse, d) + 1e-6) * 64)
-        inner = x[far <= np.ceil(np.quantile(far, share))] / quality.GRID
-        mean = inner.mean(0)
-        inverse = np.linalg.inv(np.cov(inner.T, bias=True) * quality.CONSISTENCY + np.diag(floors**2))
-    d = x / quality.GRID - mean
-    return np.einsum("ni,ij,nj->n", d, inverse, d)
+    m = np.floor(np.median(x, 0))
+    d = (x - m) / quality.GRID
+    spread = np.maximum(np.median(np.abs(x - m), 0) * 1.4826 / quality.GRID, floors)
+    cell = [tuple(r) for r in np.clip(np.floor(np.abs(d / (0.25 * spread)) + 0.5) * np.sign(d), -12, 12).astype(int)]
+    members = {c: [i for i, own in enumerate(cell) if own == c] for c in sorted(set(cell))}
+    regular = lambda w: 2.11 * np.cov(d.T, aweights=w, ddof=0) + np.diag(floors**2)
+    fullest = max(members, key=lambda c: (len(members[c]), [-v for v in c]))
+    found = []
+    for mean, cov in ((np.zeros(4), np.diag(spread**2)), (d[members[fullest]].mean(0), np.diag(spread**2)),
+                      (d.mean(0), np.cov(d.T, ddof=0) + np.diag(floors**2))):
+        best = np.inf
+        while True:
+            far = np.einsum("ni,ij,nj->n", d - mean, np.linalg.inv(cov), d - mean)
+            ranked = sorted(members, key=lambda c: (far[members[c]].mean(), c))
+            left, weight = share * len(x), np.zeros(len(x))
+            for c in ranked:
+                weight[members[c]] = max(0.0, min(1.0, left / len(members[c])))
+                left -= len(members[c])
+            next_cov = regular(weight)
+            log_det = np.linalg.slogdet(next_cov)[1]
+            if log_det >= best - 1e-9:
+                break
+            best, mean, cov = log_det, weight @ d / weight.sum(), next_cov
+        found.append((best, mean, cov))
+    _, mean, cov = min(found, key=lambda f: f[0])
+    return np.einsum("ni,ij,nj->n", d - mean, np.linalg.inv(cov), d - mean)
+
+
+def grid_of(r):
+    g = [min((r["word_chars"] + 250) / (r["n_words"] + 50), 64), (r["n_symbols"] / (r["word_chars"] + 250)) ** 0.5,
+         (r["n_dup_lines"] / (r["n_lines"] + 10)) ** 0.5, (r["n_repeat_words"] / (r["n_words"] + 200)) ** 0.5]
+    return [int(np.floor(v * quality.GRID + 0.5)) for v in g]
 
 
 def test_distances_against_numpy(spark):
+    """Every group by its own estimate, small ones pooled by language, and
+    those that are still too few all together."""
     rng = random.Random(4)
-    rows = [(i, prose(rng, rng.randint(20, 200)) + (" ### $$$ %%%" * (i % 4 == 0))) for i in range(120)]
-    docs = documents(spark, rows, extra=False).selectExpr("doc_id", "text", "'en' lang", "'s' source")
-    got = quality.judge(docs, keep=("doc_id",)).orderBy("doc_id").collect()
-    grid = []
+    groups = {("en", "big"): 120, ("en", "a"): 20, ("en", None): 35, ("fr", "a"): 10, (None, "a"): 15, ("de", "x"): 60, (None, None): 2}
+    rows = []
+    for (lang, source), n in groups.items():
+        for _ in range(n):
+            text = prose(rng, rng.randint(20, 200)) + " ### $$$ %%%" * (rng.random() < 0.3) + "\none line\none line" * (rng.random() < 0.3)
+            rows.append((len(rows), text + " " + "w" * 30_000 if len(rows) == 7 else text, lang, source))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string").repartition(4)
+    got = quality.judge(docs, keep=("doc_id", "lang", "source")).collect()
+    pooled = {}
     for r in got:
-        g = [(r["word_chars"] + 250) / (r["n_words"] + 50), (r["n_symbols"] / (r["word_chars"] + 250)) ** 0.5,
-             (r["n_dup_lines"] / (r["n_lines"] + 10)) ** 0.5, (r["n_repeat_words"] / (r["n_words"] + 200)) ** 0.5]
-        grid.append([int(np.floor(v * quality.GRID + 0.5)) for v in g])
-    want = mcd(grid, quality.KEPT_SHARE, quality.STEPS)
-    assert np.allclose([r["distance"] for r in got], want, rtol=1e-6)
+        n = groups[r["lang"], r["source"]]
+        small = sum(m for (lang, _), m in groups.items() if lang == r["lang"] and m < quality.MIN_GROUP)
+        name = (r["lang"], r["source"]) if n >= quality.MIN_GROUP else ("language", r["lang"]) if small >= quality.MIN_GROUP else "rest"
+        pooled.setdefault(name, []).append(r)
+    assert set(pooled) == {("en", "big"), ("language", "en"), ("de", "x"), "rest"}
+    for members in pooled.values():
+        want = mcd([grid_of(r) for r in members], quality.KEPT_SHARE)
+        assert np.allclose([r["distance"] for r in members], want, rtol=1e-6)
+        assert [r["kept"] for r in members] == [w <= quality.CUTOFF for w in want]
+
+
+def test_determinants_fall_and_the_least_wins():
+    """Concentration steps on cells of many shapes come to rest."""
+    rng = np.random.default_rng(3)
+    for trial in range(40):
+        n = rng.integers(1, 1000 if trial % 2 else 3, 400).astype(float)
+        at = np.concatenate([rng.normal(0, 1, (200, 4)), rng.normal(rng.normal(0, 4, 4), 0.3, (200, 4))])
+        s, q = at * n[:, None], np.einsum("ci,cj->cij", at, at) * n[:, None, None]
+        spread = np.maximum(np.abs(at).mean(0), quality.FLOORS)
+        least = quality.least_determinant(n, s, q, spread, quality.FLOORS, 0.5)
+        for mean, cov in ((np.zeros(4), np.diag(spread**2)), (at[7], np.eye(4) * 0.01), (at.mean(0), np.eye(4) * 50)):
+            log_det, _, _, steps = quality.concentrate(n, s, q, mean, cov, quality.FLOORS, 0.5)
+            assert np.isfinite(log_det) and steps < 400
+        assert least[0] <= quality.concentrate(n, s, q, np.zeros(4), np.diag(spread**2), quality.FLOORS, 0.5)[0]
+
+
+def test_rejected_rows_go_and_columns_stay(spark):
+    """Whatever the columns are called, texts, nulls and repeated rows stay as they are."""
+    from pyspark.sql import functions as F
+
+    names = ("kept", "distance", "n_words", "n_lines", "n_dropped", "base_failed", "__key", "__text", "__h", "cell", "n", "word_chars")
+    docs = documents(spark, extra=False).withColumns({c: F.lit("own") for c in names})
+    out = quality.drop_rejected(docs)
+    assert out.columns == docs.columns
+    verdicts = {(r["text"], r["lang"], r["source"]): r["kept"] for r in quality.judge(docs.drop(*names), keep=("text", "lang", "source")).collect()}
+    want = [r for r in docs.collect() if verdicts[r["text"], r["lang"], r["source"]]]
+    assert sorted(map(str, out.collect())) == sorted(map(str, want)) and 0 < len(want) < docs.count()
+    assert quality.drop_rejected(docs.limit(0)).collect() == []
 
 
 def test_outliers_go_and_clean_documents_stay(spark):
