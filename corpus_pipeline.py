@@ -24,25 +24,32 @@ def _ready(spark: SparkSession) -> None:
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rules and are no outliers of their
-    language and source (operator 9)."""
+    language and source (operator 9).  Null and empty texts fail the base
+    rules; rows of one text, language and source are kept or dropped together;
+    long texts are judged whole; an empty table stays empty."""
     _ready(spark)
-    columns = docs.columns
-    return quality.judge(docs, keep=tuple(columns)).where("kept").select(*columns)
+    return quality.drop_rejected(docs)
 
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without recurring template lines (operator 3); one of which
-    nothing but white space is left goes, ``n_chars`` follows the text."""
+    nothing but white space is left goes, ``n_chars`` follows the text.  Rows
+    that lose no line stay as they are, null and empty texts included; repeated
+    rows count as one document of their text; an empty table stays empty."""
     _ready(spark)
-    out = line_dedup.drop_lines(docs)
+    # the operator adds columns: others go through it under names of their own
+    inner = {c: c if c in ("doc_id", "text") else f"__c{i}" for i, c in enumerate(docs.columns)}
+    out = line_dedup.drop_lines(docs.select(*[F.col(f"`{c}`").alias(n) for c, n in inner.items()]))
     left = (F.col("n_dropped") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]")
-    sized = {c: F.length("text").cast(docs.schema[c].dataType) for c in docs.columns if c == "n_chars"}
-    return out.where(left).withColumns(sized).select(*docs.columns) if sized else out.where(left).select(*docs.columns)
+    sized = F.length("text").cast(docs.schema["n_chars"].dataType) if "n_chars" in docs.columns else None
+    return out.where(left).select(*[(sized if c == "n_chars" else F.col(n)).alias(c) for c, n in inner.items()])
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest doc_id of each group of similar ones
-    (operator 7 on shingles of five words at a similarity of 0.8)."""
+    (operator 7 on shingles of five words at a similarity of 0.8).  Documents
+    without words stay; of repeated rows (id and text) one stays; long texts are
+    compared whole; an empty table stays empty."""
     _ready(spark)
     groups = jaccard_join.similar_groups(docs, shingle=5, percent=80).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
     rows = groups.groupBy(F.col("doc_id").alias("__id")).agg(F.count(F.lit(1)).alias("c"))
@@ -53,7 +60,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without passages of the benchmark (operator 1)."""
+    """Documents without passages of the benchmark (operator 1).  Null and
+    empty texts hold none and stay; rows of one id go together; long texts are
+    searched whole; with an empty table or benchmark nothing changes."""
     _ready(spark)
     found = decontaminate.contamination(docs, table(spark, sf_dir, "benchmark"))
     bad = land(found.where("n_hit > 0").select(F.col("doc_id").alias("__id")).distinct(), "contaminated")
@@ -62,7 +71,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each document and the digest of what they decode to
-    (operator 5)."""
+    (operator 5).  Null and empty texts have no ids; repeated rows stay."""
     _ready(spark)
     ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     ids = byte_bpe.encode(docs, ranks, keep=("doc_id", "lang", "source"))

@@ -30,3 +30,17 @@ def test_bench_prints_one_json_line():
     assert result["unit"] == "sec" and result["sf"] == 0.001
     assert set(result["queries"]) == {"label_encoding", "url_names"}
     assert abs(result["value"] - sum(result["queries"].values())) < 0.01
+
+
+def test_text_queries_are_left_out_without_their_libraries():
+    """The other queries do not depend on libraries that only the text operators need."""
+    import os
+    import subprocess
+    import sys
+
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    want = sorted(set(E.queries()) - set(E.LLM_QUERIES))
+    for name in ("regex", "public_tokenizers", "tokenizers", "labelforge.llm", "corpus_pipeline"):
+        code = f"import sys; sys.modules[{name!r}] = None; import __spark_entry__ as E; print(*sorted(E.queries()))"
+        out = subprocess.run([sys.executable, "-c", code], cwd=root, capture_output=True, text=True, timeout=120, check=True).stdout
+        assert set(out.split()) >= set(want), name
