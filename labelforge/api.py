@@ -11,6 +11,7 @@ second action never calls the outside world again for the same rows.
 from __future__ import annotations
 
 import os
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -30,7 +31,8 @@ from labelforge.operators.select import quota_fill, selection_order
 from labelforge.operators.split import EVAL_FRACTIONS, restrict_to_split, stratified_split
 from labelforge.schemas import PREDICTION_COLUMNS
 from labelforge.session import materialize, scratch_path
-from labelforge.sinks.files import write_csv, write_jsonl, write_uncertain
+from labelforge.sinks.files import to_jsonl, write_csv, write_jsonl, write_uncertain
+from labelforge.sinks.line_log import Journal, append_lines, forget, unfinished
 from labelforge.sources.annotations import read_annotations, read_processed_urls
 from labelforge.sources.tables import read_labels, read_predictions
 from labelforge.sources.text import read_gt_tokens, read_http_lines, read_lines
@@ -42,8 +44,9 @@ from labelforge.fixed import (
 )
 
 
-#: Annotations of one append.
-COMMIT_ROWS = 100_000
+#: Annotations that a task makes before it saves them, and rows of a task.
+FLUSH_ROWS = 64
+TASK_ROWS = 20_000
 
 
 # ----------------------------------------------------------------- fusion
@@ -147,26 +150,33 @@ def band(df: DataFrame, uncertainty_threshold: float = UNCERTAINTY_THRESHOLD, pr
 
 def annotate(spark: SparkSession, input: str, output: str, annotator, fetcher,  # noqa: A002
              model_id: str = "stub", batch_size: int = ANNOTATE_BATCH, concurrency: int | None = None,
-             retry_errors: bool = False, commit_rows: int = COMMIT_ROWS) -> DataFrame:
+             retry_errors: bool = False, flush_rows: int = FLUSH_ROWS) -> DataFrame:
     """Resumable annotation (A4, A8, D3, E15, I2, K2 append).  Returns the
     ``total / processed / to_do`` summary taken before the run.
 
-    Pending URLs are dealt into chunks of about ``commit_rows`` and each chunk
-    is one append, so a job that dies has kept all but one chunk of its answers.
-    ``retry_errors`` takes URLs whose records all have an error again."""
+    One Spark job; every task saves its answers after each ``flush_rows`` of
+    them (``sinks.line_log``), so a task that is tried again, or the next run
+    after a job that died, asks only for what came after.  ``retry_errors``
+    takes URLs whose records all have an error again."""
     urls = read_http_lines(spark, input)
     done = materialize(read_processed_urls(spark, output, skip_errors=retry_errors))
     summary = materialize(resume_summary(urls, done))
-    chunks = max(1, -(-summary.first()["to_do"] // max(1, commit_rows)))
-    todo = scratch_path(spark, "pending-urls")
-    (pending(urls, done).withColumn("chunk", F.pmod(F.xxhash64("url"), F.lit(chunks)))
-     .write.partitionBy("chunk").parquet(todo))
-    columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in urls.schema.fields)
-    waiting = spark.read.schema(f"{columns}, chunk bigint").parquet(todo)
-    for chunk in range(chunks):
-        part = waiting.filter(F.col("chunk") == chunk).drop("chunk")
-        out = B.annotate(part, annotator, fetcher, model_id=model_id, batch_size=batch_size, concurrency=concurrency)
-        write_jsonl(out.select("url", "timestamp", "model", "error", "prediction"), output, mode="append")
+    todo = pending(urls, done)
+    kinds = "url string, status string, model_text string, error string, answered_at double"
+    folders = unfinished(output)
+    answers = spark.read.schema(kinds).json(folders) if folders else spark.createDataFrame([], kinds)
+    if retry_errors:
+        answers = answers.filter(F.col("error").isNull())
+    # written, so that a task that is tried again gets the same rows
+    path = scratch_path(spark, "pending-urls")
+    todo.join(answers.dropDuplicates(["url"]), "url", "left").write.parquet(path)
+    tasks = max(spark.sparkContext.defaultParallelism, -(-summary.first()["to_do"] // TASK_ROWS))
+    job = uuid.uuid4().hex
+    waiting = spark.read.schema(f"seq bigint, {kinds}").parquet(path).select(todo.columns + list(B.ANSWER)).repartition(tasks)
+    out = B.annotate(waiting, annotator, fetcher, model_id=model_id, batch_size=batch_size, concurrency=concurrency,
+                     journal=lambda: Journal(output, job, flush_rows), saved=True)
+    append_lines(to_jsonl(out, ("url", "timestamp", "model", "error", "prediction")), output, job)
+    forget(output)
     return summary
 
 

@@ -33,6 +33,7 @@ from labelforge.functions.verdict import (
     coerce_class_id, fetch_error_verdict, fill_confidence, label_text, with_verdict,
 )
 from labelforge.operators.joins import pending
+from labelforge.sinks.line_log import Journal
 
 from labelforge.fixed import ANNOTATE_BATCH, ANNOTATE_TIMEOUT, SCORE_BATCH, UNCERTAINTY_THRESHOLD
 
@@ -172,6 +173,71 @@ def fetch(df: DataFrame, fetcher: Callable[[pd.DataFrame], pd.DataFrame], concur
     return df.mapInPandas(run, fetched_schema(df, content_type))
 
 
+#: What ``answer`` makes of a row, besides its key.
+ANSWER = ("status", "model_text", "error", "answered_at")
+
+
+def answer(df: DataFrame, annotator, fetcher, key: str = "url", batch_size: int = ANNOTATE_BATCH,
+           concurrency: int | None = None, timeout: float | None = ANNOTATE_TIMEOUT,
+           journal: Callable[[], Journal] | None = None, saved: bool = False) -> DataFrame:
+    """I3 + I2 in one Python stage: ``key`` and ANSWER of every row.  Contents
+    are fetched, given to the annotator and let go in the task; they never
+    reach the JVM.
+
+    A fetch that fails passes with its error; a micro-batch whose annotator
+    raises marks its rows.  With a ``journal`` answers are saved as they come,
+    and rows whose key an earlier attempt has answered take that answer; with
+    ``saved`` rows whose column ``status`` is not null hold one already."""
+    call, at_once = timed(fetcher, timeout), max(1, concurrency or 1)
+    names = [f.name for f in df.schema.fields if f.name not in (ANSWER if saved else ())]
+    out = [key, *ANSWER]
+
+    def annotated(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.reset_index(drop=True)
+        ok = part["status"] == "ok"
+        part["model_text"] = None
+        part["error"] = part["status"].where(~ok).str.replace(r"^error: ", "", regex=True)
+        todo = part[ok]
+        if len(todo):
+            try:
+                texts = list(annotator(todo[[*names, "content", "status"]]))
+                part.loc[todo.index, "model_text"] = pd.Series(texts, index=todo.index, dtype="object")
+            except Exception as exc:  # noqa: BLE001 - a failed batch is data
+                part.loc[todo.index, "error"] = f"inference: {exc}"
+        part["answered_at"] = time.time()
+        return part[out].astype({"model_text": object, "error": object}).where(lambda x: x.notna(), None)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        book = journal() if journal else None
+        before = {a[key]: a for a in book.saved()} if book else {}
+        with ThreadPoolExecutor(at_once) as pool:
+            for pdf in batches:
+                if saved:
+                    has = pdf["status"].notna()
+                    if has.any():
+                        yield pdf.loc[has, out]
+                    pdf = pdf.loc[~has, names]
+                if before:
+                    has = pdf[key].isin(before)
+                    if has.any():
+                        yield pd.DataFrame([before[k] for k in pdf.loc[has, key]], columns=out)
+                    pdf = pdf[~has]
+                for fetched in in_order(pool, lambda part: fetch_part(call, part), _chunks(pdf, FETCH_BATCH), at_once):
+                    # failed fetches take no place in a micro-batch
+                    good = fetched["status"] == "ok"
+                    for part in (fetched[~good], *_chunks(fetched[good], batch_size)):
+                        if len(part):
+                            done = annotated(part)
+                            if book:
+                                book.add(done.to_dict("records"))
+                            yield done
+        if book:
+            book.flush()
+
+    kinds = {key: df.schema[key].dataType.simpleString(), "answered_at": "double"}
+    return df.mapInPandas(run, ", ".join(f"`{c}` {kinds.get(c, 'string')}" for c in out))
+
+
 def call_annotator(df: DataFrame, annotator: Callable[[pd.DataFrame], object],
                    batch_size: int = ANNOTATE_BATCH, status: str | None = None) -> DataFrame:
     """Add ``model_text``, ``error`` and ``answered_at`` (B15: the time of each
@@ -220,18 +286,20 @@ def _typed(records: DataFrame) -> DataFrame:
 
 def annotate(urls: DataFrame, annotator, fetcher, done: DataFrame | None = None,
              key: str = "url", model_id: str = "stub", batch_size: int = ANNOTATE_BATCH,
-             concurrency: int | None = None, content_type: str = "binary",
-             timeout: float | None = ANNOTATE_TIMEOUT) -> DataFrame:
-    """I2 (lazy): pending rows (D3) -> fetch (I3) -> error routing (B16) ->
-    annotator -> strict parse (B12) -> lineage (B15).
+             concurrency: int | None = None, content_type: str | None = None,
+             timeout: float | None = ANNOTATE_TIMEOUT,
+             journal: Callable[[], Journal] | None = None, saved: bool = False) -> DataFrame:
+    """I2 (lazy): pending rows (D3) -> fetch (I3), annotator and error routing
+    (B16) in one stage -> strict parse (B12) -> lineage (B15).
 
     Columns: url, timestamp, model, error, prediction (VARIANT), parsed,
     class_id, label, confidence.  ``done`` is the already-written output's
     URL set (A8); a URL whose fetch failed before is in it too, so it is
-    not retried (pass a ``done`` without error rows to retry them)."""
+    not retried (pass a ``done`` without error rows to retry them).
+    ``content_type`` is not needed any more: contents do not leave the task.
+    ``journal`` and ``saved``: see ``answer``."""
     todo = urls if done is None else pending(urls, done, key)
-    fetched = fetch(todo, fetcher, concurrency, content_type, timeout)
-    answered = call_annotator(fetched, annotator, batch_size, status="status")
+    answered = answer(todo, annotator, fetcher, key, batch_size, concurrency, timeout, journal, saved)
     answered = with_verdict(answered, "model_text", "__lf_pred", "__lf_parsed")
     annotated_ok = (F.col("status") == "ok") & F.col("error").isNull()
     out = answered.select(

@@ -6,10 +6,12 @@ Floating results are rounded to 6 decimals in both engines; percentages to 1.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from labelforge import api
 from labelforge.functions.labels import binary_to_band, label_from_text, sigmoid, uncertainty_band
 from labelforge.functions.text import has_image_extension, path_basename, positional_name, url_basename
 from labelforge.operators import batch, metrics
@@ -678,7 +680,7 @@ def q_batch_score(spark: SparkSession, sf: str) -> DataFrame:
 def _annotate(spark: SparkSession, sf: str) -> DataFrame:
     pages = spread_scan(D.table(spark, sf, "pages")).select("url", "html")
     done = processed_urls_from_lines(D.processed_lines(spark, sf))
-    return batch.annotate(pages, _content_annotator, _html_fetcher, done=done, content_type="string")
+    return batch.annotate(pages, _content_annotator, _html_fetcher, done=done)
 
 
 def _html_fetcher(pdf):
@@ -720,6 +722,55 @@ SELECT url, error, parsed, class_id, label, confidence FROM (SELECT url, error,
 """
 
 
+class _WorkerLost(BaseException):
+    """Ends the Python worker; not an answer of the annotator."""
+
+
+def _annotator_of_urls(pdf):
+    """The stub annotator on the URL's text."""
+    return D.stub_annotator(pdf.assign(content=pdf["url"]))
+
+
+def _annotator_that_dies(pdf):
+    """The same, in a worker that is lost now and then."""
+    if zlib.crc32(pdf["url"].iloc[0].encode()) % 5 == 0:
+        raise _WorkerLost
+    return _annotator_of_urls(pdf)
+
+
+def q_annotate_resumed(spark: SparkSession, sf: str) -> DataFrame:
+    """An annotation job over files whose workers die, then the
+    job that goes on where it stopped; every record once, with its model."""
+    base = scratch_path(spark, "annotate-resumed")
+    urls, output = f"{base}/urls", f"{base}/out"
+    D.table(spark, sf, "pages").select("url").write.text(urls)
+    D.processed_lines(spark, sf).select("value").write.text(output)
+    try:
+        api.annotate(spark, urls, output, _annotator_that_dies, D.stub_fetcher, model_id="first", flush_rows=8)
+    except Exception as lost:  # noqa: BLE001 - the job is aborted; what its tasks saved stays
+        if "_WorkerLost" not in str(lost):
+            raise
+    api.annotate(spark, urls, output, _annotator_of_urls, D.stub_fetcher, model_id="second")
+    records, _ = parse_annotation_lines(spark.read.text(output).withColumn("seq", F.lit(0).cast("long")))
+    model = F.try_variant_get("record", "$.model", "string")
+    made = records.filter(model.isin("first", "second"))
+    return made.select("url", "error", model.isNotNull().alias("has_model"), F.try_variant_get("record", "$.timestamp", "double").isNotNull().alias("has_time"),
+                       "class_id", "label", "confidence")
+
+
+def _sql_annotate_resumed() -> str:
+    return _SQL_DONE + """
+, todo AS (SELECT url AS html, url FROM pages WHERE url LIKE '%http%' AND NOT EXISTS (SELECT 1 FROM done WHERE done.url = pages.url)),
+a0 AS (SELECT url, html, """ + _SQL_ANNOTATE_CORE + """ FROM todo),
+b AS (
+  SELECT url, CASE WHEN url LIKE '%#top' THEN 'unreachable' END AS error,
+         CASE WHEN url LIKE '%#top' THEN '{"class_id": 3, "label": "bad"}'
+              ELSE coalesce(j0, '{"class_id": 3, "label": "bad_parse"}') END AS j
+  FROM a0)
+SELECT url, error, true AS has_model, true AS has_time, class_id, label, confidence FROM (SELECT url, error, """ + _SQL_TYPED + """ FROM b)
+"""
+
+
 def q_validate_annotator(spark: SparkSession, sf: str) -> DataFrame:
     gt = D.gt_pages(spark, sf)
     out = batch.validate_annotator(gt, _content_annotator, _html_fetcher)
@@ -1375,6 +1426,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "ingest_summary": q_ingest_summary,
     "batch_score": q_batch_score,
     "batch_annotate": q_batch_annotate,
+    "annotate_resumed": q_annotate_resumed,
     "validate_annotator": q_validate_annotator,
     "validate_matrix": q_validate_matrix,
     "epoch_metrics": q_epoch_metrics,
@@ -1438,6 +1490,7 @@ ORACLE_SQL: dict[str, str] = {
     "ingest_summary": SQL_INGEST_SUMMARY,
     "batch_score": SQL_BAND_PREDICTIONS,
     "batch_annotate": _sql_batch_annotate(),
+    "annotate_resumed": _sql_annotate_resumed(),
     "validate_annotator": _sql_validate_annotator(),
     "validate_matrix": _sql_validate_matrix(),
     "epoch_metrics": SQL_EPOCH_METRICS,

@@ -151,7 +151,7 @@ def test_infer_with_calibrator(spark, tmp_dir):
                   calibrator_path=os.path.join(tmp_dir, "nope"))
 
 
-def test_annotate_commits_in_chunks_and_retries_errors(spark, tmp_dir):
+def test_annotate_saves_pieces_and_retries_errors(spark, tmp_dir):
     inp = _write(os.path.join(tmp_dir, "urls.txt"), "".join(f"http://x/{i}\n" for i in range(200)))
     out = os.path.join(tmp_dir, "ann")
 
@@ -159,7 +159,7 @@ def test_annotate_commits_in_chunks_and_retries_errors(spark, tmp_dir):
         n = pdf["url"].str.rsplit("/", n=1).str[-1].astype(int)
         return pd.DataFrame({"content": [b"/b"] * len(pdf), "error": ["gone" if i % 3 == 0 else None for i in n]})
 
-    s = api.annotate(spark, inp, out, verdicts, fails_on_third, commit_rows=40).first()
+    s = api.annotate(spark, inp, out, verdicts, fails_on_third, flush_rows=16).first()
     assert (s.total, s.to_do) == (200, 200) and len(_read_dir_lines(out)) == 200
     records = [json.loads(x) for x in _read_dir_lines(out)]
     assert sum(r.get("error") == "gone" for r in records) == 67
