@@ -18,9 +18,9 @@ from __future__ import annotations
 import hashlib
 import json
 import os
+import re
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -78,20 +78,31 @@ def byte_table(token_bytes: dict[int, bytes]) -> tuple[np.ndarray, np.ndarray, n
     return width, np.cumsum(width) - width, np.frombuffer(b"".join(parts), np.uint8)
 
 
-class Pieces:
-    """A sentencepiece model and the bytes of its pieces."""
+class Pieces(ByteBpe):
+    """A sentencepiece model that adds a leading space, and the bytes of its
+    pieces.
+
+    Where no piece holds a space behind another character, no merge crosses the
+    place before a space, so a text's runs of spaces and what follows them are
+    encoded on their own, different ones once.
+    """
 
     def __init__(self, path: str):
         import sentencepiece
 
-        self.model = sentencepiece.SentencePieceProcessor(model_file=path)
-        m = self.model
+        self.model = m = sentencepiece.SentencePieceProcessor(model_file=path)
         names = [m.id_to_piece(i) for i in range(m.get_piece_size())]
+        usual = [name for i, name in enumerate(names) if not (m.is_byte(i) or m.is_control(i) or m.is_unknown(i))]
+        apart = all(SPACE_MARK not in name.lstrip(SPACE_MARK) for name in usual) and SPACE_MARK in usual
+        self.split = re.compile(" +[^ ]*").findall if apart else lambda text: [text]
+        self.known = Known()
         self.width, self.begin, self.table = byte_table({
             i: bytes([int(name[3:-1], 16)]) if m.is_byte(i) else name.replace(SPACE_MARK, " ").encode() for i, name in enumerate(names)})
 
-    def encode(self, texts: list[str]) -> list[list[int]]:
-        return self.model.encode(texts, num_threads=1)
+    def learn(self, pieces: list[str]) -> None:
+        # the model adds the first space, but none to an empty text
+        ids = self.model.encode([p[1:] for p in pieces], num_threads=1)
+        self.known.add(pieces, [[self.model.piece_to_id(SPACE_MARK)] if p == " " else x for p, x in zip(pieces, ids, strict=True)])
 
 
 def gallop(targets: np.ndarray, low: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -175,12 +186,11 @@ class Aligner:
     def tokens(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(A ids, tokens a text, B ids, tokens a text); a text that is empty
         or does not come back from both has none."""
-        a_lists = self.a.encode([" " + t for t in texts])
-        b_lists = self.b.encode(texts)
-        n_a, n_b = (np.fromiter(map(len, x), np.int64, len(x)) for x in (a_lists, b_lists))
-        a = np.concatenate(a_lists).astype(np.int64) if a_lists else np.zeros(0, np.int64)
-        b = np.fromiter(chain.from_iterable(b_lists), np.int64, int(n_b.sum()))
-        raw = [b" " + t.encode() for t in texts]
+        spaced = [" " + t for t in texts]
+        lists = self.a.encode(spaced), self.b.encode(spaced)
+        n_a, n_b = (np.fromiter(map(len, x), np.int64, len(x)) for x in lists)
+        a, b = (np.concatenate([np.zeros(0, np.int64), *x]) for x in lists)
+        raw = [t.encode() for t in spaced]
         size = np.fromiter(map(len, raw), np.int64, len(raw))
         data = np.frombuffer(b"".join(raw), np.uint8)
         good = (size > 1) & self._same(self.a, a, n_a, data, size) & self._same(self.b, b, n_b, data, size)
