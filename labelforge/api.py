@@ -32,6 +32,7 @@ from labelforge.operators.split import EVAL_FRACTIONS, restrict_to_split, strati
 from labelforge.schemas import PREDICTION_COLUMNS
 from labelforge.session import materialize, scratch_path
 from labelforge.sinks.files import to_jsonl, write_csv, write_jsonl, write_uncertain
+from labelforge.sinks.image_store import append, read_store, replace
 from labelforge.sinks.line_log import Journal, append_lines, forget, unfinished
 from labelforge.sources.annotations import read_annotations, read_processed_urls
 from labelforge.sources.tables import read_labels, read_predictions
@@ -69,21 +70,25 @@ def ingest(spark: SparkSession, input_path: str, image_store: str, fetcher, type
 
     ``type`` is ``markup`` (TSV of label + URL, names ``%03d.jpg``) or
     ``no_markup`` (URL per line, names from the URL or ``%06d.jpg``).  Names
-    already in ``image_store`` are skipped unless ``overwrite``; fetched
-    images are appended to it; in markup mode the labels of existing and
+    already in ``image_store`` are skipped unless ``overwrite``; fetched images
+    are added to it, and with ``overwrite`` take the place of those with their
+    names (a fetch that fails leaves the old one); in markup mode the labels of existing and
     fetched rows go to ``labels_path``.  Returns the one-row summary."""
     if type not in ("markup", "no_markup"):
         raise ValueError(f"unknown ingest type: {type!r}")
     labelled = type == "markup"
     lines = read_lines(spark, input_path)
-    files = (spark.read.parquet(image_store).select("filename") if path_exists(spark, image_store)
+    files = (read_store(spark, image_store).select("filename") if path_exists(spark, image_store)
              else spark.createDataFrame([], "filename string"))
     # landed before anything is appended to the store, so the existing-file
     # test can never see this run's own downloads
     plan = materialize(ingest_plan(lines, files, overwrite=overwrite, labelled=labelled))
     fetched = fetch_plan(plan, fetcher, concurrency, "binary", timeout)
-    fetched.filter(F.col("status") == "ok").select("filename", "content") \
-        .write.mode("append").parquet(image_store)
+    images = fetched.filter(F.col("status") == "ok").select("filename", "content")
+    if overwrite:
+        replace(images, image_store)
+    else:
+        append(images, image_store)
     outcome = fetched.drop("content")
     if labelled and labels_path:
         write_csv(labels_output(outcome), labels_path, ["filename", "label"])

@@ -19,6 +19,12 @@ def open_folder(path: str) -> tuple[pafs.FileSystem, str]:
     return pafs.LocalFileSystem(), os.path.abspath(path)
 
 
+def full_path(like: str, inner: str) -> str:
+    """``inner``, a path on the filesystem of ``like``, as Spark writes it."""
+    scheme = "file:" if "://" not in like or like.startswith("file:") else like.split("://")[0] + "://"
+    return scheme + inner
+
+
 def listed(store: pafs.FileSystem, folder: str, recursive: bool = False) -> list[pafs.FileInfo]:
     """What is in ``folder``, by name; nothing if it does not exist."""
     found = store.get_file_info(pafs.FileSelector(folder, allow_not_found=True, recursive=recursive))

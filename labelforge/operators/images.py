@@ -18,7 +18,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from labelforge.errors import require_path
+from labelforge.files import full_path, open_folder, write_whole
 from labelforge.functions.text import has_image_extension, path_basename
+from labelforge.session import scratch_path
+from labelforge.sources.files import list_files, with_content
 
 from labelforge.fixed import IMAGE_EXTENSIONS, IMG_SIZE, NORM_MEAN, NORM_STD, UPSCALE_FACTOR, UPSCALE_METHODS
 
@@ -29,22 +32,43 @@ def list_images(spark: SparkSession, folder: str, extensions: Sequence[str] = IM
                 case_sensitive: bool = False, recursive: bool = False) -> DataFrame:
     """``path, filename, length`` of image files (content never read)."""
     require_path(spark, folder)
-    reader = spark.read.format("binaryFile")
-    if recursive:
-        reader = reader.option("recursiveFileLookup", True)
-    files = reader.load(folder).select("path", "length")
+    files = list_files(spark, folder, recursive)
     if case_sensitive:
         alternatives = "|".join(e.lstrip(".") for e in extensions)
-        files = files.filter(F.col("path").rlike(rf"\.({alternatives})$"))
-    else:
-        files = files.filter(has_image_extension("path", extensions))
-    return files.withColumn("filename", path_basename("path"))
+        return files.filter(F.col("path").rlike(rf"\.({alternatives})$")).select("path", "length", "filename")
+    return files.filter(has_image_extension("path", extensions)).select("path", "length", "filename")
 
 
 def count_files(spark: SparkSession, folder: str) -> int:
     """Regular files directly in ``folder``."""
     require_path(spark, folder)
-    return spark.read.format("binaryFile").load(folder).select("path").count()
+    return list_files(spark, folder).count()
+
+
+def _unseen(spark: SparkSession, folder: str) -> DataFrame | None:
+    """Images whose names Spark's image source leaves out, decoded by it from
+    copies with other names in the shared folder; ``path`` is the image's own."""
+    hidden = list_images(spark, folder).filter(F.col("filename").rlike(r"^[_.]"))
+    if hidden.isEmpty():
+        return None
+    target = scratch_path(spark, "unseen-images")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            store, root = open_folder(target)
+            for name, content in zip(pdf["filename"], pdf["content"], strict=True):
+                write_whole(store, f"{root}/seen{name}", [content or b""])
+            yield pdf[["filename"]]
+
+    with_content(hidden).mapInPandas(run, "filename string").count()
+    name = F.substr(path_basename("path"), F.lit(len("seen") + 1))
+    return _decoded(spark, target).withColumn("path", F.concat(F.lit(full_path(folder, open_folder(folder)[1]) + "/"), name))
+
+
+def _decoded(spark: SparkSession, folder: str) -> DataFrame:
+    raw = spark.read.format("image").option("dropInvalid", False).load(folder)
+    return raw.select(F.col("image.origin").alias("path"), F.col("image.height").alias("height"), F.col("image.width").alias("width"),
+                      F.col("image.nChannels").alias("n_channels"), F.col("image.data").alias("data"))
 
 
 def load_images(spark: SparkSession, folder: str) -> DataFrame:
@@ -53,12 +77,11 @@ def load_images(spark: SparkSession, folder: str) -> DataFrame:
 
     Grey images are expanded to three channels and alpha is dropped; an
     undecodable file keeps its row with ``error`` set (decision: never a
-    silent black substitute)."""
+    silent black substitute).  Images whose names begin with ``_`` or ``.`` are
+    loaded too."""
     require_path(spark, folder)
-    raw = spark.read.format("image").option("dropInvalid", False).load(folder)
-    return to_rgb(raw.select(F.col("image.origin").alias("path"), F.col("image.height").alias("height"),
-                             F.col("image.width").alias("width"), F.col("image.nChannels").alias("n_channels"),
-                             F.col("image.data").alias("data")))
+    seen, unseen = _decoded(spark, folder), _unseen(spark, folder)
+    return to_rgb(seen if unseen is None else seen.unionByName(unseen))
 
 
 _RGB_SCHEMA = T.StructType([

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from labelforge.operators.batch import FETCH_BATCH, fetch_part, fetched_schema, in_order, timed
 from labelforge.operators.joins import skip_existing
-from labelforge.session import materialize
+from labelforge.session import materialize, scratch_path
 from labelforge.sources.text import parse_labelled_lines, parse_url_lines
 
 
@@ -34,9 +34,11 @@ def fetch_plan(plan: DataFrame, fetcher, concurrency: int | None = None, content
 
     Of rows with one name the first that succeeds is kept; those after it are
     ``exists``, and one is tried only when all before it failed.  Rows are laid
-    out in ranges of (name, position): a task goes through its names in order,
-    and where a range border cuts a name, the join with the first success puts
-    the later part right.  The result is landed: no URL is fetched twice."""
+    out in ranges of (name, position) before anything is fetched, and a task
+    goes through its names in order.  The answers are written where they were
+    fetched and read back: no URL is fetched twice, and no shuffle carries a
+    content.  A range border can cut a name, one name a border; the first
+    success of such a name is found without contents and broadcast."""
     call, at_once = timed(fetcher, timeout), max(1, concurrency or 1)
     laid = plan.repartitionByRange(name, pos).sortWithinPartitions(name, pos)
 
@@ -66,14 +68,17 @@ def fetch_plan(plan: DataFrame, fetcher, concurrency: int | None = None, content
                 done &= set(pdf[name].iloc[-1:])
 
     schema = fetched_schema(plan.drop("status"), content_type)
-    fetched = materialize(laid.mapInPandas(lambda it: (x[[f.name for f in schema.fields]] for x in run(it)), schema))
-    first = (fetched.where(F.col("status") == "ok").groupBy(F.col(name).alias("__lf_name"))
-             .agg(F.min(pos).alias("__lf_first")))
-    joined = fetched.join(first, fetched[name] == first["__lf_name"], "left")
-    late = F.col("__lf_first").isNotNull() & (F.col(pos) > F.col("__lf_first"))
-    return joined.select(*[f.name for f in plan.drop("status").schema.fields],
-                         F.when(~F.coalesce(late, F.lit(False)), F.col("content")).alias("content"),
-                         F.when(F.coalesce(late, F.lit(False)), F.lit("exists")).otherwise(F.col("status")).alias("status"))
+    spark, path = plan.sparkSession, scratch_path(plan.sparkSession, "fetched")
+    laid.mapInPandas(lambda it: (x[[f.name for f in schema.fields]] for x in run(it)), schema).write.parquet(path)
+    fetched = spark.read.schema(schema).parquet(path)
+    place, tried = F.col(pos), F.col("status") != "exists"
+    cut = materialize(fetched.select(name, pos, "status").groupBy(F.col(name).alias("__lf_name"))
+                      .agg(F.min(F.when(F.col("status") == "ok", place)).alias("__lf_first"), F.max(F.when(tried, place)).alias("__lf_last"))
+                      .where("__lf_first < __lf_last").drop("__lf_last"))
+    joined = fetched.join(F.broadcast(cut), fetched[name] == cut["__lf_name"], "left")
+    late = F.coalesce(place > F.col("__lf_first"), F.lit(False))
+    return joined.select(*[f.name for f in plan.drop("status").schema.fields], F.when(~late, F.col("content")).alias("content"),
+                         F.when(late, F.lit("exists")).otherwise(F.col("status")).alias("status"))
 
 
 def ingest_failures(lines: DataFrame, header_lines: int = 1, labelled: bool = False) -> DataFrame:

@@ -21,7 +21,7 @@ from labelforge.operators.head import train_head
 from labelforge.operators.ingest import fetch_plan, ingest_plan, ingest_summary, labels_output
 from labelforge.operators.partitioning import spread_scan
 from labelforge.operators.images import (
-    channel_stats, image_channel_stats, normalise_pixels, to_rgb, upscale, write_image_table,
+    channel_stats, count_files, image_channel_stats, list_images, load_images, normalise_pixels, to_rgb, upscale, write_image_table,
 )
 from labelforge.operators.joins import attach_images, counted_truth, join_truth, pending, resume_summary
 from labelforge.operators.head import pos_weight
@@ -30,7 +30,9 @@ from labelforge.operators.select import bounded_error_log, head, quota_fill, sor
 from labelforge.operators.split import EVAL_FRACTIONS, TRAIN_FRACTIONS, restrict_to_split, stratified_split
 from labelforge.plans import derived as D
 from labelforge.session import materialize, scratch_path
+from labelforge.sinks.image_store import read_store
 from labelforge.sinks.files import write_csv, write_jsonl, write_uncertain
+from labelforge.sources.files import with_content
 from labelforge.sources.annotations import parse_annotation_lines, processed_urls_from_lines, read_annotations
 from labelforge.sources.tables import read_table_csv
 from labelforge.sources.text import parse_gt_tokens, parse_http_lines, parse_labelled_lines, read_tsv
@@ -1305,6 +1307,83 @@ SELECT printf('%06d.jpg', doc_id) AS filename, quality AS label,
 FROM labels LEFT JOIN pages ON page_id = doc_id
 """
 
+
+
+def _page_files(spark: SparkSession, sf: str) -> str:
+    """A folder with a file for each page: its html, under names that begin
+    with a letter, ``_`` or ``.``; every fifth is no image by its name."""
+    n = F.col("page_id")
+    lead = F.when(n % 3 == 0, "_").when(n % 3 == 1, ".").otherwise("p")
+    pages = D.table(spark, sf, "pages").select(F.concat(lead, n.cast("string"), F.when(n % 5 == 0, ".txt").otherwise(".png")).alias("name"), "html")
+    return D.write_files(pages, scratch_path(spark, "page-files"))
+
+
+def q_listed_files(spark: SparkSession, sf: str) -> DataFrame:
+    """The images of a folder with names of all kinds, and the number
+    of its files."""
+    folder = _page_files(spark, sf)
+    return list_images(spark, folder).select("filename", "length", F.lit(count_files(spark, folder)).cast("long").alias("n_files"))
+
+
+_SQL_PAGE_FILES = """
+WITH f AS (SELECT CASE page_id % 3 WHEN 0 THEN '_' WHEN 1 THEN '.' ELSE 'p' END || CAST(page_id AS VARCHAR)
+                  || CASE WHEN page_id % 5 = 0 THEN '.txt' ELSE '.png' END AS filename, coalesce(html, '') AS html, page_id FROM pages)
+"""
+
+SQL_LISTED_FILES = _SQL_PAGE_FILES + """
+SELECT filename, CAST(octet_length(encode(html)) AS BIGINT) AS length, (SELECT count(*) FROM f) AS n_files FROM f WHERE filename LIKE '%.png'
+"""
+
+
+def q_attached_contents(spark: SparkSession, sf: str) -> DataFrame:
+    """Labels with the file of their name, whose bytes are read in the task
+    that digests them; one without a file has an error."""
+    folder = _page_files(spark, sf)
+    n = F.col("doc_id")
+    name = F.concat(F.when(n % 3 == 0, "_").when(n % 3 == 1, ".").otherwise("p"), n.cast("string"), F.lit(".png"))
+    labels = D.table(spark, sf, "labels").select(name.alias("filename"), F.col("quality").alias("label"))
+    found = with_content(attach_images(labels, list_images(spark, folder).select("path")))
+    return found.select("filename", "label", F.sha2("content", 256).alias("sha256"), "error")
+
+
+SQL_ATTACHED_CONTENTS = _SQL_PAGE_FILES + """
+, l AS (SELECT CASE doc_id % 3 WHEN 0 THEN '_' WHEN 1 THEN '.' ELSE 'p' END || CAST(doc_id AS VARCHAR) || '.png' AS filename, quality AS label FROM labels)
+SELECT l.filename, label, sha256(html) AS sha256, CASE WHEN f.filename IS NULL THEN 'image not found: ' || l.filename END AS error
+FROM l LEFT JOIN f USING (filename)
+"""
+
+
+def _first_version(pdf):
+    """Fetcher of the first run: the content names the URL; ``#top`` fails."""
+    return _version(pdf, "one ", pdf["url"].str.endswith("#top"))
+
+
+def _second_version(pdf):
+    """Fetcher of the second run: French pages fail."""
+    return _version(pdf, "two ", pdf["url"].str.contains("/fr/"))
+
+
+def _version(pdf, word, fails):
+    import pandas as pd
+    return pd.DataFrame({"content": [(word + u).encode() for u in pdf["url"]], "error": ["gone" if f else None for f in fails]})
+
+
+def q_ingest_overwrite(spark: SparkSession, sf: str) -> DataFrame:
+    """Images fetched into a store, and again with ``overwrite``:
+    one row a name, the old one where the second fetch failed."""
+    base = scratch_path(spark, "ingest-overwrite")
+    lines, store = f"{base}/urls", f"{base}/store"
+    D.table(spark, sf, "pages").orderBy("page_id").select("url").write.text(lines)
+    api.ingest(spark, lines, store, _first_version, type="no_markup")
+    api.ingest(spark, lines, store, _second_version, type="no_markup", overwrite=True)
+    return read_store(spark, store).select("filename", F.col("content").cast("string").alias("content"))
+
+
+SQL_INGEST_OVERWRITE = _SQL_INGEST.replace("FROM pages WHERE trim(url) <> ''", "FROM pages WHERE trim(url) <> '' AND page_id > (SELECT min(page_id) FROM pages)") + """
+SELECT filename, CASE WHEN url NOT LIKE '%/fr/%' THEN 'two ' ELSE 'one ' END || url AS content
+FROM named WHERE url LIKE 'http%' AND (url NOT LIKE '%/fr/%' OR url NOT LIKE '%#top')
+"""
+
 # ------------------------------------------------------------------ images
 
 
@@ -1462,6 +1541,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "saved_calibrator": q_saved_calibrator,
     "first_listed": q_first_listed,
     "attach_images": q_attach_images,
+    "listed_files": q_listed_files,
+    "attached_contents": q_attached_contents,
+    "ingest_overwrite": q_ingest_overwrite,
     "image_channel_stats": q_image_channel_stats,
     "normalised_pixels": q_normalised_pixels,
     "upscaled_images": q_upscaled_images,
@@ -1526,6 +1608,9 @@ ORACLE_SQL: dict[str, str] = {
     "saved_calibrator": SQL_PLATT_CALIBRATION,
     "first_listed": SQL_FIRST_LISTED,
     "attach_images": SQL_ATTACH_IMAGES,
+    "listed_files": SQL_LISTED_FILES,
+    "attached_contents": SQL_ATTACHED_CONTENTS,
+    "ingest_overwrite": SQL_INGEST_OVERWRITE,
     "image_channel_stats": SQL_IMAGE_CHANNEL_STATS,
     "normalised_pixels": SQL_NORMALISED_PIXELS,
     "upscaled_images": SQL_UPSCALED_IMAGES,

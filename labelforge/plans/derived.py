@@ -27,6 +27,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from labelforge.files import open_folder, write_whole
 from labelforge.operators.partitioning import spread_scan
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
@@ -215,3 +216,20 @@ def http_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
              .when(F.col("url").contains("/de/"), F.lit(""))
              .otherwise(F.concat(F.lit("  "), F.col("url"), F.lit(" "))))
     return pages.select(F.col("page_id").alias("seq"), value.alias("value"))
+
+
+# ------------------------------------------------------------------- files
+
+def write_files(rows: DataFrame, folder: str) -> str:
+    """A file in ``folder`` for each row (name, content), written by its task."""
+    name, content = rows.columns
+
+    def run(batches):
+        for pdf in batches:
+            store, root = open_folder(folder)
+            for n, c in zip(pdf[name], pdf[content], strict=True):
+                write_whole(store, f"{root}/{n}", [c.encode() if isinstance(c, str) else c or b""])
+            yield pdf[[name]]
+
+    rows.mapInPandas(run, f"{name} string").count()
+    return folder
