@@ -32,14 +32,20 @@ def uncertain_only(df: DataFrame, prediction: str = "prediction") -> DataFrame:
     return df.filter(F.col(prediction) == BAND_UNSURE)
 
 
-def confusion_binary(df: DataFrame, pred_num: str = "pred_num", label: str = "label") -> DataFrame:
-    """TP, FP, FN, TN over confident rows (``pred_num`` not null)."""
+def confusion_binary(df: DataFrame, pred_num: str = "pred_num", label: str = "label", weight: str | None = None) -> DataFrame:
+    """TP, FP, FN, TN over confident rows (``pred_num`` not null).
+    ``weight`` names a column that says how many rows a row stands for."""
     p, y = F.col(pred_num), F.col(label)
+    rows = F.lit(1) if weight is None else F.col(weight)
+
+    def total(cond):
+        return F.coalesce(F.sum(F.when(cond, rows)), F.lit(0)).cast("long")
+
     return df.agg(
-        F.count_if((p == 1) & (y == 1)).alias("tp"),
-        F.count_if((p == 1) & (y == 0)).alias("fp"),
-        F.count_if((p == 0) & (y == 1)).alias("fn"),
-        F.count_if((p == 0) & (y == 0)).alias("tn"),
+        total((p == 1) & (y == 1)).alias("tp"),
+        total((p == 1) & (y == 0)).alias("fp"),
+        total((p == 0) & (y == 1)).alias("fn"),
+        total((p == 0) & (y == 0)).alias("tn"),
     )
 
 

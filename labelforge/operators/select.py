@@ -1,18 +1,97 @@
 """Ordering, quota and set operators.
 
 ``quota_fill`` keeps every bad record and fills up to the target with the
-least-confident candidates (ties keep file order).  The fill size needs one
-count action; the candidates are cut by their exact distributed rank, so no
-task ever holds more than its own share of rows.
+least-confident candidates (ties keep file order).  The border of the fill is
+found by histograms of what is left between two bounds (``kth_value``): counts
+of bins are shuffled, not candidates, and only the chosen rows are ranked.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from labelforge.fixed import SELECT_TARGET
 from labelforge.operators.ordering import with_rank
-from labelforge.session import materialize
+from labelforge.session import scratch_path
+
+#: Bins of one histogram pass.
+BINS = 4096
+
+
+def kth_value(df: DataFrame, k: int, value: str):
+    """The ``k``-th smallest (from 1) of a numeric column, and how many rows are
+    smaller; (None, 0) for a null, which is the smallest.  There must be ``k``
+    rows.  NaN is the largest, as in Spark's order.
+
+    Each pass counts the rows between two bounds in BINS bins of equal width
+    and goes on in the bin that holds the k-th: about four passes for whole
+    numbers of any size, six at most for doubles, each one map-side count."""
+    v = F.col(value)
+    infinite = F.lit(float("inf"))
+    d = v.cast("double")
+    kind = F.when(v.isNull(), 0).when(d == -infinite, 1).when(F.isnan(d), 4).when(d == infinite, 3).otherwise(2)
+    below = 0
+    for r in df.groupBy(kind.alias("kind")).agg(F.count(F.lit(1)).alias("n"), F.min(v).alias("low"), F.max(v).alias("high")).orderBy("kind").collect():
+        if k <= below + r["n"]:
+            break
+        below += r["n"]
+    if r["kind"] != 2:
+        return r["low"], below
+    low, high = r["low"], r["high"]
+    whole = isinstance(low, int)
+    while low != high:
+        if whole:
+            step = -(-(high - low + 1) // BINS)
+            at = F.floor((v.cast("decimal(38,0)") - F.lit(low).cast("decimal(38,0)")) / F.lit(step).cast("decimal(38,0)"))
+        else:
+            # halved, so that no width overflows
+            at = F.floor((d / 2 - low / 2) / F.lit(max((high / 2 - low / 2) / BINS, 5e-324)))
+        bins = (df.where((v >= F.lit(low)) & (v <= F.lit(high))).groupBy(at.alias("bin"))
+                .agg(F.count(F.lit(1)).alias("n"), F.min(v).alias("low"), F.max(v).alias("high")).orderBy("bin").collect())
+        for r in bins:
+            if k <= below + r["n"]:
+                break
+            below += r["n"]
+        if len(bins) == 1:  # neighbouring doubles, too close for a width
+            exact = df.where((v >= F.lit(low)) & (v <= F.lit(high))).groupBy(v.alias("low")).agg(F.count(F.lit(1)).alias("n")).orderBy("low").collect()
+            for r in exact:
+                if k <= below + r["n"]:
+                    break
+                below += r["n"]
+            return r["low"], below
+        low, high = r["low"], r["high"]
+    return low, below
+
+
+def _equals(v: Column, bound) -> Column:
+    """Null-safe, and by ``isnan`` for NaN, which statistics of files leave out."""
+    if bound is None:
+        return v.isNull()
+    return F.isnan(v) if bound != bound else v == F.lit(bound)
+
+
+def not_above(value: str, bound, position: str, last) -> Column:
+    """Rows before the one with ``bound`` and ``last`` in the order of
+    (value, position), nulls first, and that one."""
+    v, p = F.col(value), F.col(position)
+    tie = _equals(v, bound) & (p <= F.lit(last))
+    if bound is None:
+        return tie
+    return tie | v.isNull() | (~F.isnan(v) if bound != bound else v < F.lit(bound))
+
+
+def first_k(df: DataFrame, k: int, value: str, position: str) -> DataFrame:
+    """The ``k`` first rows by (value, position), nulls first; rows equal in
+    both at the border all stay."""
+    if k <= 0:
+        return df.limit(0)
+    narrow = df.select(value, position)
+    if narrow.count() <= k:
+        return df
+    bound, before = kth_value(narrow, k, value)
+    last, _ = kth_value(narrow.where(_equals(F.col(value), bound)), k - before, position)
+    return df.where(not_above(value, bound, position, last))
+
 
 def sort_by_confidence(df: DataFrame, confidence: str = "confidence", seq: str = "seq") -> DataFrame:
     """ascending confidence, stable (file position breaks ties)."""
@@ -39,15 +118,16 @@ def quota_fill(records: DataFrame, target: int = SELECT_TARGET, bad: str = "is_b
     Adds ``bucket`` (``bad`` / ``candidate``) and ``cand_rank`` (0-based rank
     of a selected candidate, null for bad rows).  Output order: bad rows in
     file order, then candidates by rank (``selection_order`` when writing).
-    The input is checkpointed to the shared folder first, so the upstream
-    parse runs once and a lost executor cannot change what was counted."""
-    # land the (parsed) input once: the count and both branches read it back
-    records = materialize(records)
+    The input is written to the shared folder first, so the upstream parse runs
+    once, a lost executor cannot change what was counted, and a pass reads two
+    columns."""
+    spark, path = records.sparkSession, scratch_path(records.sparkSession, "quota")
+    records.write.parquet(path)
+    records = spark.read.schema(records.schema).parquet(path)
     bad_rows = records.filter(F.col(bad))
     candidates = records.filter(~F.col(bad))
-    n_bad = bad_rows.count()
-    need = max(0, int(target) - n_bad)
-    chosen = lowest_k(candidates, need, [F.col(confidence).asc(), F.col(seq).asc()], rank_col="cand_rank")
+    need = max(0, int(target) - bad_rows.count())
+    chosen = lowest_k(first_k(candidates, need, confidence, seq), need, [F.col(confidence).asc(), F.col(seq).asc()], rank_col="cand_rank")
     return (bad_rows.withColumn("cand_rank", F.lit(None).cast("long")).withColumn("bucket", F.lit("bad"))
             .unionByName(chosen.withColumn("bucket", F.lit("candidate"))))
 

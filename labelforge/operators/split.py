@@ -20,10 +20,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from labelforge.operators.joins import restrict_to_keys
 from labelforge.operators.ordering import with_rank
+from labelforge.operators.select import kth_value
 from labelforge.session import scratch_path
 
 from labelforge.fixed import EVAL_FRACTIONS, SEED, TRAIN_FRACTIONS  # noqa: F401 - re-exported
@@ -63,10 +64,10 @@ def stratified_split(df: DataFrame, key: str = "filename", label: str = "label",
             expr = F.when(cond, F.lit(name)) if expr is None else expr.when(cond, F.lit(name))
         return df.withColumn(split_col, expr)
 
-    # written and read back, so that Spark knows its size and broadcasts it if small
-    path = scratch_path(df.sparkSession, "split-sizes")
-    _part_sizes(df.groupBy(label).agg(F.count(F.lit(1)).alias("__lf_n")), label, fractions).write.parquet(path)
-    part = df.sparkSession.read.parquet(path)
+    # written and read back: one pass over the rows, and Spark knows its size
+    path = scratch_path(df.sparkSession, "strata")
+    df.groupBy(label).agg(F.count(F.lit(1)).alias("__lf_n")).write.parquet(path)
+    part = part_sizes(df.sparkSession.read.parquet(path), label, fractions)
     # rows of one key are told apart by a number, so that a range can cut them
     salted = df.withColumn("__lf_h", h).withColumn("__lf_row", F.monotonically_increasing_id())
     ranked = with_rank(salted, ["__lf_h", key, "__lf_row"], group_by=[label], rank_col="__lf_rank")
@@ -78,33 +79,40 @@ def stratified_split(df: DataFrame, key: str = "filename", label: str = "label",
     return placed.withColumn(split_col, expr).select(*df.columns, split_col)
 
 
-def _share_up(n: F.Column, share: float) -> F.Column:
-    """``share`` of ``n`` rounded up to whole rows (in whole numbers)."""
-    return F.floor((n * F.lit(int(round(share * PPM))) + F.lit(PPM - 1)) / F.lit(PPM)).cast("long")
+def _share_up(n: int, share: float) -> int:
+    """``share`` of ``n`` rounded up to whole rows."""
+    return (n * int(round(share * PPM)) + PPM - 1) // PPM
 
 
-def _part_sizes(sizes: DataFrame, label: str, fractions: Sequence[tuple[str, float]]) -> DataFrame:
-    """Cumulative part sizes ``__lf_to<i>`` of every stratum.
+def part_sizes(sizes: DataFrame, label: str, fractions: Sequence[tuple[str, float]]) -> DataFrame:
+    """Cumulative part sizes ``__lf_to<i>`` of every stratum, from a written
+    table of one row (label, __lf_n) a stratum.
 
-    Windows over the strata, one narrow row for each: ranked in one task on
-    purpose (a stratum is only of use with several rows)."""
-    every = Window.partitionBy()
-    rows, weight = F.col("__lf_n"), sum(f for _, f in fractions)
-    n, begun = F.sum(rows).over(every), F.lit(0).cast("long")
+    The rows missing in a stage go to the strata with the largest remainders;
+    the border among them is found by counts (``select.kth_value``), and only
+    strata equal at the border are ranked by their label, so that a million
+    strata are work for all tasks."""
+    n, weight = sizes.agg(F.sum("__lf_n")).first()[0] or 0, sum(f for _, f in fractions)
+    rows, begun, out = F.col("__lf_n"), F.lit(0).cast("long"), []
     for i, (_, f) in enumerate(fractions[:-1]):
         held_out = _share_up(n, 1 - f / weight)
-        sizes = sizes.select("*", rows.alias(f"__lf_r{i}"), n.alias(f"__lf_n{i}"), held_out.alias(f"__lf_h{i}"))
-        r, whole, draw = F.col(f"__lf_r{i}").cast("decimal(20,0)"), F.greatest(F.col(f"__lf_n{i}"), F.lit(1)), F.col(f"__lf_n{i}") - F.col(f"__lf_h{i}")
-        rest = (r * draw) % whole
-        sizes = sizes.select("*", ((r * draw - rest) / whole).cast("long").alias(f"__lf_low{i}"), rest.alias(f"__lf_rest{i}"), draw.alias(f"__lf_draw{i}"))
-        turn = F.row_number().over(Window.orderBy(F.col(f"__lf_rest{i}").desc(), F.col(label).asc_nulls_first()))
-        missing = F.col(f"__lf_draw{i}") - F.sum(f"__lf_low{i}").over(every)
-        part = F.col(f"__lf_low{i}") + (turn <= missing).cast("long")
-        sizes = sizes.withColumn(f"__lf_part{i}", part)
-        begun = begun + F.col(f"__lf_part{i}")
-        sizes = sizes.withColumn(f"__lf_to{i}", begun)
-        rows, n, weight = F.col(f"__lf_r{i}") - F.col(f"__lf_part{i}"), F.col(f"__lf_h{i}"), weight - f
-    return sizes.select(F.col(label).alias("__lf_label"), *[f"__lf_to{i}" for i in range(len(fractions) - 1)])
+        share = rows.cast("decimal(38,0)") * F.lit(n - held_out).cast("decimal(19,0)")
+        whole = F.lit(max(n, 1)).cast("decimal(19,0)")
+        rest = (share % whole).cast("long")
+        low = ((share - share % whole) / whole).cast("long")
+        staged = sizes.select(F.col(label), low.alias("low"), (-rest).alias("short"))
+        missing = n - held_out - (staged.agg(F.sum("low")).first()[0] or 0)
+        part = low
+        if missing > 0:
+            bound, before = kth_value(staged, missing, "short")
+            ties = staged.where(F.col("short") == F.lit(bound)).select(label)
+            last = with_rank(ties, [F.col(label).asc_nulls_first()], rank_col="turn").where(F.col("turn") == missing - before - 1).first()[0]
+            first = F.col(label).isNull() if last is None else F.col(label).isNull() | (F.col(label) <= F.lit(last))
+            part = low + ((-rest < F.lit(bound)) | ((-rest == F.lit(bound)) & first)).cast("long")
+        begun = begun + part
+        out.append(begun.alias(f"__lf_to{i}"))
+        rows, n, weight = rows - part, held_out, weight - f
+    return sizes.select(F.col(label).alias("__lf_label"), *out)
 
 
 def restrict_to_split(df: DataFrame, split_df: DataFrame, subset: str = "all",

@@ -178,7 +178,7 @@ SQL_BINARY_REPORT = _SQL_S + """, j AS (SELECT b.prediction, t.label FROM b JOIN
 
 
 def q_confusion_binary(spark: SparkSession, sf: str) -> DataFrame:
-    return metrics.confusion_binary(confident_only(join_truth(_banded(spark, sf), D.truth(spark, sf))))
+    return metrics.confusion_binary(confident_only(counted_truth(_banded(spark, sf), D.truth(spark, sf))), weight="n_rows")
 
 
 SQL_CONFUSION_BINARY = _SQL_S + """
@@ -1379,7 +1379,10 @@ def q_ingest_overwrite(spark: SparkSession, sf: str) -> DataFrame:
     return read_store(spark, store).select("filename", F.col("content").cast("string").alias("content"))
 
 
-SQL_INGEST_OVERWRITE = _SQL_INGEST.replace("FROM pages WHERE trim(url) <> ''", "FROM pages WHERE trim(url) <> '' AND page_id > (SELECT min(page_id) FROM pages)") + """
+# the first line is a header; positions count from the line after it
+SQL_INGEST_OVERWRITE = _SQL_INGEST.replace(
+    "SELECT page_id AS pos, trim(url) AS url FROM pages WHERE trim(url) <> ''",
+    "SELECT page_id - 1 AS pos, trim(url) AS url FROM pages WHERE trim(url) <> '' AND page_id > 0") + """
 SELECT filename, CASE WHEN url NOT LIKE '%/fr/%' THEN 'two ' ELSE 'one ' END || url AS content
 FROM named WHERE url LIKE 'http%' AND (url NOT LIKE '%/fr/%' OR url NOT LIKE '%#top')
 """
