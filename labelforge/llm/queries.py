@@ -49,8 +49,7 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every document by byte_bpe_multi_50k.tiktoken, and back."""
     ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    ids = byte_bpe.encode(table(spark, sf_dir, "documents"), ranks)
-    return byte_bpe.decode(ids, ranks).select(
+    return byte_bpe.encode(table(spark, sf_dir, "documents"), ranks, decoded=True).select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"))
@@ -130,7 +129,55 @@ _LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefg
 _PLAIN_WORDS = r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'"
 _SPACED_WORDS = r"'[^\x20\x09-\x0D]+'"
 
+
+
+def _sql_op2() -> str:
+    """The rules and the template tree in SQL, one pair of expressions a level."""
+    t = url_templates
+    rule = verdict = "NULL"
+    for kind, h, p in sorted(t.RULES, key=lambda r: len(r[1]) + len(r[2])):
+        fits = f"(host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}')"
+        rule = f"CASE WHEN {fits} THEN '{h}{p}' ELSE {rule} END"
+        verdict = f"CASE WHEN {fits} THEN '{kind}' ELSE {verdict} END"
+    d = t.DEPTH
+    levels = []
+    for i in range(d):
+        levels.append(f"""
+        child{i} AS (SELECT host, template, segments[{i + 1}] AS seg, sum(n) AS n, sum(labelled) AS labelled, sum(bad) AS bad
+                     FROM tree{i} WHERE len(segments) > {i} GROUP BY ALL),
+        node{i} AS (SELECT host, template, count(*) AS branches, sum(n) AS all_n, sum(labelled) AS all_labelled, sum(bad) AS all_bad
+                    FROM child{i} GROUP BY ALL),
+        stat{i} AS (SELECT *, all_bad / nullif(all_labelled, 0) AS pooled, all_labelled - labelled AS others FROM child{i} JOIN node{i} USING (host, template)),
+        named{i} AS (SELECT host, template, seg, CASE WHEN branches > 1 AND ((branches >= {t.WIDE} AND n * branches < all_n)
+                     OR labelled = 0 OR others = 0 OR pooled = 0 OR pooled = 1
+                     OR abs(bad / nullif(labelled, 0) - (all_bad - bad) / nullif(others, 0))
+                        <= {t.Z_MERGE} * sqrt(pooled * (1 - pooled) * (1 / nullif(labelled, 0) + 1 / nullif(others, 0)))) THEN '<*>' ELSE seg END AS part
+                     FROM stat{i}),
+        tree{i + 1} AS (SELECT t.host, segments, t.template || coalesce('/' || part, '') AS template, n, labelled, bad
+                        FROM tree{i} t LEFT JOIN named{i} k ON t.host = k.host AND t.template = k.template AND seg = segments[{i + 1}])""")
+    return rf"""
+        WITH u AS (SELECT page_id, translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), ''), '{t._UPPER}', '{t._LOWER}') AS host,
+                          coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
+        r AS (SELECT *, {rule} AS rule, {verdict} AS by_rule, string_split(regexp_replace(path, '^/', ''), '/') AS parts FROM u),
+        s AS (SELECT page_id, host, path, rule, by_rule,
+                     [regexp_replace(regexp_replace(x, '[0-9a-fA-F-]*[0-9][0-9a-fA-F-]*', '<*>', 'g'), '(?:<\*>[^.<]*)*<\*>', '<*>', 'g')
+                      FOR x IN CASE WHEN len(parts) > {d} THEN list_concat(parts[1:{d - 1}], [array_to_string(parts[{d}:], '/')]) ELSE parts END] AS segments
+              FROM r),
+        l AS (SELECT page_id, max(greatest(toxic, 1 - quality)) AS bad FROM (SELECT page_id, regexp_extract(path, '/([0-9]{{1,18}})[^/0-9]*/?$', 1) AS number FROM u) k
+              JOIN labels ON number <> '' AND doc_id = TRY_CAST(number AS BIGINT) WHERE greatest(toxic, 1 - quality) IS NOT NULL GROUP BY page_id),
+        tree0 AS (SELECT host, segments, '' AS template, count(*) AS n, count(bad) AS labelled, coalesce(sum(bad), 0) AS bad
+                  FROM s LEFT JOIN l USING (page_id) WHERE by_rule IS NULL GROUP BY ALL),{",".join(levels)},
+        prior AS (SELECT coalesce(sum(bad) / nullif(sum(labelled), 0), 0) AS p FROM tree{d}),
+        hosts AS (SELECT host, (sum(bad) + {t.SMOOTH} * (SELECT p FROM prior)) / (sum(labelled) + {t.SMOOTH}) AS host_share FROM tree{d} GROUP BY host),
+        leaf AS (SELECT host, template, (sum(bad) + {t.SMOOTH} * any_value(host_share)) / (sum(labelled) + {t.SMOOTH}) AS share
+                 FROM tree{d} JOIN hosts USING (host) GROUP BY ALL)
+        SELECT page_id, host, path, rule, CASE WHEN by_rule IS NULL THEN template END AS template,
+               coalesce(by_rule, CASE WHEN share > {t.REJECT} THEN 'block' ELSE 'allow' END) AS verdict
+        FROM s LEFT JOIN (SELECT host, segments, template, share FROM tree{d} JOIN leaf USING (host, template)) k USING (host, segments)"""
+
+
 ORACLE_SQL = {
+    "op2_url_templates": _sql_op2(),
     "op1_decontaminate": f"""
         WITH d AS (SELECT doc_id, regexp_extract_all({_LOWERED}, {_PLAIN_WORDS}) AS w FROM documents),
         b AS (SELECT item_id, regexp_extract_all({_LOWERED}, {_PLAIN_WORDS}) AS w FROM benchmark),

@@ -6,7 +6,8 @@ under its parent) or where its branch is statistically like its siblings (a
 two-proportion test of the labelled bad share does not tell them apart).  The
 leaves are templates; a template is rejected when the bad share of its labelled
 pages, smoothed towards the host's and that towards the whole, passes a limit.
-Fixed rules on hosts and paths come first.
+Fixed rules on hosts and paths come first; pages that one fits are no part of
+the tree, so its purity rests on labels alone.
 
 The tree is built on the distinct masked paths with their counts, so a host
 with a third of all pages is summed map-side first.
@@ -94,24 +95,24 @@ def judge_urls(pages: DataFrame, labels: DataFrame, rules: Sequence[tuple[str, s
                smooth: float = SMOOTH, reject: float = REJECT) -> DataFrame:
     """(page_id, host, path, rule, template, bad_share, verdict) of every page.
 
-    ``labels``: (page_id, bad), bad 0 or 1, of some pages; pages that a rule
-    fits count as labelled by it.  Null urls and urls without :// have an empty
+    ``labels``: (page_id, bad), bad 0 or 1, of some pages.  A page that a rule
+    fits has the rule's verdict, no template and no share.  Null urls and urls without :// have an empty
     host and path and are judged like a host of their own; pages with equal or
     null ids are separate rows (a null id has no label); no labels at all
-    rejects nothing.
+    rejects nothing; very long urls are parsed whole (what lies deeper than
+    ``depth`` is one segment).
     """
     host, path = host_of(F.col("url")), path_of(F.col("url"))
     rows = pages.select("page_id", host.alias("host"), path.alias("path"))
     name, verdict = first_rule(F.col("host"), F.col("path"), rules)
     rows = land(rows.withColumn("segments", masked_segments(F.col("path"), depth))
                 .withColumn("rule", name).withColumn("by_rule", verdict), "urls")
-    by_rule = rows.where("by_rule IS NOT NULL").select("host", "segments", F.lit(0).alias("n"), F.lit(1).alias("labelled"),
-                                                       (F.col("by_rule") == "block").cast("int").alias("bad"))
+    free = rows.where("by_rule IS NULL")
     given = labels.where("page_id IS NOT NULL AND bad IS NOT NULL").groupBy("page_id").agg(F.max("bad").alias("bad"))
-    by_label = (rows.where("by_rule IS NULL").join(given, "page_id")
+    labelled = (free.join(given, "page_id")
                 .select("host", "segments", F.lit(0).alias("n"), F.lit(1).alias("labelled"), F.col("bad").cast("int").alias("bad")))
-    counted = rows.select("host", "segments", F.lit(1).alias("n"), F.lit(0).alias("labelled"), F.lit(0).alias("bad"))
-    paths = land(counted.unionByName(by_rule).unionByName(by_label).groupBy("host", "segments")
+    counted = free.select("host", "segments", F.lit(1).alias("n"), F.lit(0).alias("labelled"), F.lit(0).alias("bad"))
+    paths = land(counted.unionByName(labelled).groupBy("host", "segments")
                  .agg(*[F.sum(c).alias(c) for c in ("n", "labelled", "bad")]).withColumn("template", F.lit("")), "url-paths")
     for level in range(depth):
         paths = land(_level(paths, level), "url-tree")
@@ -122,6 +123,8 @@ def judge_urls(pages: DataFrame, labels: DataFrame, rules: Sequence[tuple[str, s
     share = ((F.col("bad") + smooth * F.col("host_share")) / (F.col("labelled") + smooth)).alias("bad_share")
     judged = leaf.join(of_host, "host").select("host", "template", share)
     known = paths.select("host", "segments", "template").join(judged, ["host", "template"])
+    own = F.col("by_rule").isNull()
     return (rows.join(known, ["host", "segments"], "left")
-            .select("page_id", "host", "path", "rule", "template", "bad_share",
+            .select("page_id", "host", "path", "rule", F.when(own, F.col("template")).alias("template"),
+                    F.when(own, F.col("bad_share")).alias("bad_share"),
                     F.coalesce("by_rule", F.when(F.col("bad_share") > reject, "block").otherwise("allow")).alias("verdict")))

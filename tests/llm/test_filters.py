@@ -294,6 +294,39 @@ def test_bad_templates_are_rejected(spark):
     assert len({r["template"] for r in got}) <= 6
 
 
+def test_rules_do_not_speak_for_labels(spark):
+    """Pages that rules block lie beside labelled ones: only templates whose own
+    labelled pages are bad are rejected."""
+    rng = random.Random(21)
+    rows, labels = [], []
+    for i in range(600):
+        lang = rng.choice(["es", "fr", "en", "de", "bad"])
+        rows.append((i, f"http://m.site.net/{lang}/{i}"))
+        share = {"en": 0.3, "de": 0.1, "bad": 0.95}.get(lang, 0.0)
+        if rng.random() < 0.7:
+            labels.append((i, int(rng.random() < share)))
+    bad = dict(labels)
+    got = url_templates.judge_urls(pages_table(spark, rows), spark.createDataFrame(labels, "page_id bigint, bad int")).collect()
+    assert all((r["rule"] is not None, r["template"], r["bad_share"]) == (True, None, None) for r in got if r["path"][:4] in ("/es/", "/fr/"))
+    free = [r for r in got if r["rule"] is None]
+    whole = [bad[r["page_id"]] for r in free if r["page_id"] in bad]
+    prior = sum(whole) / len(whole)
+    host = (sum(whole) + url_templates.SMOOTH * prior) / (len(whole) + url_templates.SMOOTH)
+    for template in {r["template"] for r in free}:
+        own = [r for r in free if r["template"] == template]
+        known = [bad[r["page_id"]] for r in own if r["page_id"] in bad]
+        share = (sum(known) + url_templates.SMOOTH * host) / (len(known) + url_templates.SMOOTH)
+        assert all(abs(r["bad_share"] - share) < 1e-12 and r["verdict"] == ("block" if share > url_templates.REJECT else "allow") for r in own)
+    assert {r["path"].split("/")[1] for r in free if r["verdict"] == "block"} == {"bad"}
+
+
+def test_very_long_urls(spark):
+    rows = [(1, "http://a.org/" + "x/" * 20_000 + "7"), (2, "http://" + "h" * 50_000 + "/p"), (3, "://" * 9_000), (4, "a" * 70_000)]
+    got = {r["page_id"]: r for r in url_templates.judge_urls(pages_table(spark, rows), spark.createDataFrame([], "page_id bigint, bad int")).collect()}
+    assert {i: r["verdict"] for i, r in got.items()} == dict.fromkeys(range(1, 5), "allow")
+    assert got[1]["path"] == "/" + "x/" * 20_000 + "7" and got[2]["host"] == "h" * 50_000 and got[4]["host"] == ""
+
+
 def test_many_rare_branches_become_one_template(spark):
     rows = [(i, f"http://b.org/user/{'abcdefghij'[i % 10]}{'klmnopqrst'[i // 10 % 10]}/home") for i in range(200)] + [(900 + i, "http://b.org/user/admin/home") for i in range(60)]
     got = url_templates.judge_urls(pages_table(spark, rows), spark.createDataFrame([(3, 1)], "page_id bigint, bad int")).collect()
