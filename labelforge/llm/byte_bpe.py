@@ -27,7 +27,7 @@ from .token_counts import byte_characters
 
 #: Pieces whose ids a worker remembers (a memory bound only); above it, those
 #: that were needed once go.
-REMEMBER = 500_000
+REMEMBER = 250_000
 
 
 def ragged(start: np.ndarray, length: np.ndarray) -> np.ndarray:
@@ -155,11 +155,12 @@ def _lists(parts: list[np.ndarray]) -> pa.Array:
 
 
 def encode(df: DataFrame, ranks_path: str, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",),
-           offsets: bool = False) -> DataFrame:
+           offsets: bool = False, decoded: bool = False) -> DataFrame:
     """The ``keep`` columns, ``ids`` and (if asked for) ``offsets``, the first
-    byte of each token.  A null or empty text has no ids; repeated rows stay;
+    byte of each token, and ``decoded``, the bytes that ``decode`` makes of the
+    ids, without a second worker a task.  A null or empty text has no ids; repeated rows stay;
     an output name that clashes with a kept column is an error."""
-    made = ["ids", *["offsets"] * offsets]
+    made = ["ids", *["offsets"] * offsets, *["decoded"] * decoded]
     if clash := set(keep) & set(made):
         raise ValueError(f"columns {sorted(clash)} would be overwritten")
 
@@ -171,9 +172,11 @@ def encode(df: DataFrame, ranks_path: str, text_col: str = "text", keep: tuple[s
             columns = {c: part.column(i) for i, c in enumerate(keep)} | {"ids": _lists(ids)}
             if offsets:
                 columns["offsets"] = _lists([bpe.offsets(x) for x in ids])
+            if decoded:
+                columns["decoded"] = bpe.decode_all(np.concatenate(ids).astype(np.int64), np.fromiter(map(len, ids), np.int64, len(ids)))
             yield pa.record_batch(columns)
 
-    schema = ", ".join([f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep] + [f"{m} array<int>" for m in made])
+    schema = ", ".join([f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep] + [f"{m} {'binary' if m == 'decoded' else 'array<int>'}" for m in made])
     return per_batch(df.select(*keep, df[text_col].alias("__text")), run, schema)
 
 

@@ -2,16 +2,25 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
 from ..session import scratch_path
 
 
+def hand_back() -> None:
+    """Return freed memory to the system (where the C library can)."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
@@ -25,15 +34,17 @@ def land(df: DataFrame, name: str) -> DataFrame:
 
 
 def per_batch(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
-    """``fn`` over every Arrow batch of ``df``, one batch in memory at a time."""
+    """``fn`` over every Arrow batch of ``df``, one batch in memory at a time.
+    Python workers outlive their tasks: what the allocators hold at the end of
+    one is handed back."""
 
     def run(batches):
-        for batch in batches:
-            if batch.num_rows:
-                yield from fn(batch)
+        try:
+            for batch in batches:
+                if batch.num_rows:
+                    yield from fn(batch)
+        finally:
+            hand_back()
 
     return df.mapInArrow(run, schema)
 
-
-def sha256_hex(col: Column) -> Column:
-    return F.sha2(col, 256)

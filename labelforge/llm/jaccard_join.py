@@ -31,7 +31,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import land, per_batch
+from .common import hand_back, land, per_batch
 from .components import components
 from .sketch import bitmap, signed
 from .words import SPACED, Words, mix, slices, window_hashes
@@ -101,6 +101,8 @@ def corpus_counts(docs: DataFrame, shingle: int) -> Broadcast:
         if seen:
             chunks = [zlib.compress(cells[a : a + _CHUNK].tobytes(), 1) for a in range(0, CELLS, _CHUNK)]
             yield pa.record_batch({"chunk": pa.array(range(len(chunks)), pa.int32()), "cells": pa.array(chunks, pa.binary())})
+        del cells
+        hand_back()
 
     def add(batches):
         total: dict[int, np.ndarray] = {}

@@ -46,6 +46,16 @@ def test_ids_are_those_of_the_library_and_come_back(spark):
         assert r["offsets"] == [sum(width[:k]) for k in range(len(ids))] if len(ids) < 500 else True
 
 
+def test_decoding_beside_encoding_is_decoding(spark):
+    rows = texts() + [(1000 + i, t) for i, t in enumerate(odd_texts())] + [(None, None)]
+    docs = documents(spark, rows)
+    one = byte_bpe.encode(docs, RANKS, offsets=True, decoded=True)
+    two = byte_bpe.decode(byte_bpe.encode(docs, RANKS, offsets=True), RANKS)
+    assert one.columns == two.columns
+    assert sorted(map(str, one.collect())) == sorted(map(str, two.collect()))
+    assert byte_bpe.encode(docs.limit(0), RANKS, decoded=True).collect() == []
+
+
 def test_characters_cut_by_token_borders():
     assert byte_bpe.tokens_as_text(["é".encode()[:1], "é".encode()[1:] + b"x"]) == ["", "éx"]
     assert byte_bpe.tokens_as_text([b"a", b"\xf0\x9f"]) == ["a", "�"]
