@@ -74,9 +74,9 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     (operator 5).  Null and empty texts have no ids; repeated rows stay."""
     _ready(spark)
     ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    ids = byte_bpe.encode(docs, ranks, keep=("doc_id", "lang", "source"))
-    return byte_bpe.decode(ids, ranks).select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids",
-                                              F.sha2("decoded", 256).alias("decoded_sha256"))
+    out = byte_bpe.encode(docs, ranks, keep=("doc_id", "lang", "source"), decoded=True)
+    return out.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids",
+                      F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 STAGES = [("quality_rules", quality_rules), ("line_dedup", line_dedup_stage), ("jaccard_join", near_duplicates),
