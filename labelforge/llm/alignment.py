@@ -17,20 +17,19 @@ from __future__ import annotations
 
 import hashlib
 import json
-import os
-import re
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .byte_bpe import ByteBpe, Known, ragged
+from .byte_bpe import ragged
 from .common import land, per_batch
 from .hot import join_groups
-from .pretokens import splitter
+from .pretokens import PATTERN
 from .token_counts import byte_characters
 
 #: Bytes of text aligned at once (a longer text makes a larger slice).
@@ -46,29 +45,32 @@ SPACE_MARK = "▁"
 COUNTS = ("n_a", "n_b", "n_groups", "n_links")
 
 
-class JsonBpe(ByteBpe):
-    """The byte-level BPE of a tokenizers JSON file; strings of special tokens
-    are plain text."""
+class BytePieces:
+    """The byte-level BPE of a tokenizers JSON file and the bytes of its tokens;
+    strings of special tokens are plain text.
+
+    Its merges must make the tokens in the order of their ids.  A merge is then
+    known by the token it makes, and the file is a table of ranks."""
 
     def __init__(self, path: str):
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer, models
+        import tiktoken
 
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        model = spec["model"]
+        model, special = spec["model"], {t["content"] for t in spec.get("added_tokens") or []}
+        to_byte = {c: b for b, c in enumerate(byte_characters())}
+        names = {name: i for name, i in model["vocab"].items() if name not in special}
+        made = [names["".join(m.split(" ") if isinstance(m, str) else m)] for m in model["merges"]]
         if spec.get("normalizer") or model.get("ignore_merges") or spec["pre_tokenizer"].get("add_prefix_space"):
             raise ValueError("this tokenizer file asks for more than byte-level BPE")
-        merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
-        characters = byte_characters()
-        self.to_char = {b: ord(c) for b, c in enumerate(characters)}
-        to_byte = {c: b for b, c in enumerate(characters)}
-        self.token_bytes = {i: bytes(to_byte[c] for c in name) for name, i in model["vocab"].items()
-                            if all(c in to_byte for c in name)}
-        self.model = Tokenizer(models.BPE(vocab=model["vocab"], merges=merges, cache_capacity=0))
-        self.split = splitter()
-        self.known = Known()
-        self.width, self.begin, self.table = byte_table(self.token_bytes)
+        if made != list(range(len(to_byte), len(names))):
+            raise ValueError("the merges of this tokenizer file are not in the order of its tokens")
+        raw = {i: bytes(to_byte[c] for c in name) for name, i in names.items()}
+        self.model = tiktoken.Encoding("byte pieces", pat_str=PATTERN, mergeable_ranks={t: i for i, t in raw.items()}, special_tokens={})
+        self.width, self.begin, self.table = byte_table(raw)
+
+    def encode(self, texts: list[str]) -> list[list[int]]:
+        return [self.model.encode_ordinary(t) for t in texts]
 
 
 def byte_table(token_bytes: dict[int, bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -78,31 +80,20 @@ def byte_table(token_bytes: dict[int, bytes]) -> tuple[np.ndarray, np.ndarray, n
     return width, np.cumsum(width) - width, np.frombuffer(b"".join(parts), np.uint8)
 
 
-class Pieces(ByteBpe):
+class Pieces:
     """A sentencepiece model that adds a leading space, and the bytes of its
-    pieces.
-
-    Where no piece holds a space behind another character, no merge crosses the
-    place before a space, so a text's runs of spaces and what follows them are
-    encoded on their own, different ones once.
-    """
+    pieces."""
 
     def __init__(self, path: str):
         import sentencepiece
 
         self.model = m = sentencepiece.SentencePieceProcessor(model_file=path)
         names = [m.id_to_piece(i) for i in range(m.get_piece_size())]
-        usual = [name for i, name in enumerate(names) if not (m.is_byte(i) or m.is_control(i) or m.is_unknown(i))]
-        apart = all(SPACE_MARK not in name.lstrip(SPACE_MARK) for name in usual) and SPACE_MARK in usual
-        self.split = re.compile(" +[^ ]*").findall if apart else lambda text: [text]
-        self.known = Known()
         self.width, self.begin, self.table = byte_table({
             i: bytes([int(name[3:-1], 16)]) if m.is_byte(i) else name.replace(SPACE_MARK, " ").encode() for i, name in enumerate(names)})
 
-    def learn(self, pieces: list[str]) -> None:
-        # the model adds the first space, but none to an empty text
-        ids = self.model.encode([p[1:] for p in pieces], num_threads=1)
-        self.known.add(pieces, [[self.model.piece_to_id(SPACE_MARK)] if p == " " else x for p, x in zip(pieces, ids, strict=True)])
+    def encode(self, texts: list[str]) -> list[list[int]]:
+        return self.model.encode(texts, num_threads=1)
 
 
 def gallop(targets: np.ndarray, low: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -179,7 +170,7 @@ def _digits(n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 class Aligner:
     def __init__(self, byte_path: str, piece_path: str):
-        self.a, self.b = JsonBpe(byte_path), Pieces(piece_path)
+        self.a, self.b = BytePieces(byte_path), Pieces(piece_path)
         self.n_b = len(self.b.width)
         self.numbers = _digits(max(len(self.a.width), self.n_b))
 
@@ -187,9 +178,9 @@ class Aligner:
         """(A ids, tokens a text, B ids, tokens a text); a text that is empty
         or does not come back from both has none."""
         spaced = [" " + t for t in texts]
-        lists = self.a.encode(spaced), self.b.encode(spaced)
+        lists = self.a.encode(spaced), self.b.encode(texts)
         n_a, n_b = (np.fromiter(map(len, x), np.int64, len(x)) for x in lists)
-        a, b = (np.concatenate([np.zeros(0, np.int64), *x]) for x in lists)
+        a, b = (np.fromiter(chain.from_iterable(x), np.int64, int(n.sum())) for x, n in zip(lists, (n_a, n_b), strict=True))
         raw = [t.encode() for t in spaced]
         size = np.fromiter(map(len, raw), np.int64, len(raw))
         data = np.frombuffer(b"".join(raw), np.uint8)

@@ -84,6 +84,18 @@ def test_groups_are_written_whole(spark, libraries):
         assert r["groups"] == brute(r["text"], libraries)[2]
 
 
+def test_tokens_are_those_of_the_libraries(libraries):
+    """Odd strings, whether or not they come back from both."""
+    import random
+
+    rng = random.Random(3)
+    letters = list("ab 'stre\n1é中!▁<>|") + ["՘", "\U00010940", "<|endoftext|>", "\x85", "‍", "<0x0A>", "  ", " don't", "日本", "\x00", "🙂"]
+    texts_ = ["".join(rng.choices(letters, k=rng.randint(1, 60))) for _ in range(1500)] + ["aaaaaaaaaa aaaaaaa", "'s'll I'm don't", "a b", "\u2028x"]
+    a_lib, b_lib, _ = libraries
+    assert alignment.BytePieces(JSON).encode([" " + t for t in texts_]) == [e.ids for e in a_lib.encode_batch([" " + t for t in texts_], add_special_tokens=False)]
+    assert alignment.Pieces(PIECES).encode(texts_) == [b_lib.encode(t) for t in texts_]
+
+
 def test_galloping_finds_what_bisection_finds():
     rng = np.random.default_rng(4)
     for _ in range(50):
