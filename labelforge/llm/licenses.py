@@ -3,21 +3,28 @@
 Texts are written as their lower-cased words with single blanks.  A notice
 that stands in a text with at most k edits contains one of its k+1 parts
 without an edit (pigeonhole), so exact hits of the parts locate all
-candidates.  Around each hit the regex library matches the notice with at most
-k edits and reports the best span.  Exact phrases are searched the same way
-with no edits.
+candidates.  The ranges around them are cut into pieces twice as long as the
+notice that overlap by its length, so a notice is whole in one of them, and a
+piece that holds too few of the notice's pairs of characters for k edits is
+passed over.  In a piece the regex library matches the notice with at most k
+edits, best first, then left and right of each hit; of hits that overlap the
+one with fewest edits stays, so neighbouring notices are all found.  Exact
+phrases are searched the same way with no edits.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator, Mapping
 from functools import lru_cache
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .common import per_batch
 from .words import PLAIN, Words, slices
@@ -25,18 +32,35 @@ from .words import PLAIN, Words, slices
 #: The base phrases and their labels.
 PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
 
-#: Short notices searched with edits, by label.
+#: Short notices searched with edits, by label.
 NOTICES = {
     "released under the mit license": "mit",
     "permission is hereby granted free of charge to any person obtaining a copy": "mit",
+    "the software is provided as is without warranty of any kind express or implied": "mit",
     "licensed under the apache license version 2 0": "apache",
+    "you may not use this file except in compliance with the license": "apache",
+    "you may obtain a copy of the license at http www apache org licenses license 2 0": "apache",
     "this work is licensed under the gnu general public license version 3": "gpl",
+    "it under the terms of the gnu general public license as published by the free software foundation": "gpl",
+    "you should have received a copy of the gnu general public license along with this program": "gpl",
     "under the terms of the gnu lesser general public license": "lgpl",
+    "under the terms of the gnu library general public license": "lgpl",
+    "under the terms of the gnu affero general public license": "agpl",
+    "under the terms of the gnu free documentation license": "gfdl",
     "redistribution and use in source and binary forms with or without modification": "bsd",
+    "neither the name of the copyright holder nor the names of its contributors": "bsd",
     "this source code form is subject to the terms of the mozilla public license": "mpl",
+    "this program and the accompanying materials are made available under the terms of the eclipse public license": "epl",
     "this work is licensed under a creative commons attribution": "cc",
+    "this is free and unencumbered software released into the public domain": "unlicense",
+    "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted": "isc",
+    "distributed under the boost software license version 1 0": "bsl",
+    "this software is provided as is without any express or implied warranty": "zlib",
+    "this font software is licensed under the sil open font license": "ofl",
     "all rights reserved": "reserved",
 }
+#: Notices that a table may hold: they go to every task.
+MOST_NOTICES = 10_000
 #: One edit is allowed for each so many characters of a notice.
 CHARS_PER_EDIT = 12
 
@@ -52,6 +76,33 @@ class Notice:
         ends = [len(text) * i // (self.edits + 1) for i in range(self.edits + 2)]
         self.parts = [(a, text[a:b].encode()) for a, b in zip(ends, ends[1:], strict=False)]
         self.pattern = regex.compile(f"(?:{regex.escape(text)}){{e<={self.edits}}}", regex.BESTMATCH)
+        self.pairs = Counter(map("".join, pairwise(text)))
+        # an edit changes two pairs of neighbouring characters at most
+        self.least = len(text) - 1 - 2 * self.edits
+
+    def possible(self, piece: str) -> bool:
+        """Whether ``piece`` holds enough of the notice's pairs of characters."""
+        have = Counter(map("".join, pairwise(piece)))
+        return sum(min(n, have[p]) for p, n in self.pairs.items()) >= self.least
+
+    def hits(self, text: str) -> list[tuple[int, int, int]]:
+        """(begin, end, edits) of the notice's places in ``text``, none of which
+        overlap; of those that would, the one with fewest edits, then the first."""
+        size = len(self.text) + self.edits + 1
+        found: set[tuple[int, int, int]] = set()
+        for at in range(0, max(1, len(text) - size), size):
+            todo = [(at, min(len(text), at + 2 * size))]
+            while todo:
+                a, b = todo.pop()
+                if not self.possible(text[a:b]) or not (hit := self.pattern.search(text, a, b)):
+                    continue
+                found.add((hit.start(), hit.end(), sum(hit.fuzzy_counts)))
+                todo += [(a, hit.start()), (hit.end(), b)]
+        chosen: list[tuple[int, int, int]] = []
+        for hit in sorted(found, key=lambda h: (h[2], h[0], h[1])):
+            if all(hit[1] <= c[0] or hit[0] >= c[1] for c in chosen):
+                chosen.append(hit)
+        return sorted(chosen)
 
 
 class Plain:
@@ -131,22 +182,33 @@ def find_spans(plain: Plain, notices: list[Notice], exact: list) -> list[list[di
     for notice in notices:
         for a, b in _near(raw, notice):
             piece = raw[a:b].decode()
-            for hit in notice.pattern.finditer(piece):
-                begin = a + len(piece[: hit.start()].encode())
-                end = a + len(piece[: hit.end()].encode())
-                edits = sum(hit.fuzzy_counts)
+            for start, stop, edits in notice.hits(piece):
+                begin, end = a + len(piece[:start].encode()), a + len(piece[:stop].encode())
                 first, last = plain.word(min(begin, len(raw) - 1)), plain.word(max(begin, end - 1))
                 add(first, last, notice.label, False, edits, 1.0 - edits / len(notice.text))
     return found
 
 
-def scan(df: DataFrame, notices: Mapping[str, str] = NOTICES, phrases: Mapping[str, str] = PHRASES,
+def notice_table(table: DataFrame, text_col: str = "text", label_col: str = "label") -> dict[str, str]:
+    """The notices of a table, as lower-cased words with single blanks; at most
+    MOST_NOTICES, since they go to every task.  Rows without words are left out."""
+    rows = table.select(text_col, label_col).where(F.col(text_col).isNotNull() & F.col(label_col).isNotNull()).limit(MOST_NOTICES + 1).collect()
+    if len(rows) > MOST_NOTICES:
+        raise ValueError(f"more than {MOST_NOTICES} notices")
+    words = [(" ".join(re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]+", lambda m: m[0].lower(), text))), label) for text, label in rows]
+    return {text: label for text, label in words if text}
+
+
+def scan(df: DataFrame, notices: Mapping[str, str] | DataFrame = NOTICES, phrases: Mapping[str, str] = PHRASES,
          per_edit: int = CHARS_PER_EDIT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_words, spans): every phrase and notice with its words' places.
+    ``notices`` is a mapping of words to labels, or a table (text, label).
 
     Null and empty texts have no words and no spans; repeated rows are scanned
-    each; only the two named columns are read.
+    each; long texts are scanned whole; only the two named columns are read.
     """
+    if isinstance(notices, DataFrame):
+        notices = notice_table(notices)
     fixed = tuple(notices.items()), tuple(phrases.items()), per_edit
     span = pa.list_(pa.struct([("label", pa.string()), ("base", pa.bool_()), ("first_word", pa.int64()),
                                ("last_word", pa.int64()), ("edits", pa.int32()), ("score", pa.float64())]))

@@ -211,6 +211,77 @@ def test_fuzzy_search_misses_nothing():
         assert bool(found) == bool(alone.search(plain.raw.decode().strip("\n"))), text
 
 
+def spans_of(text, notice):
+    _, data, begins = next(slices(pa.array([text])))
+    return licenses.find_spans(licenses.Plain(data, begins), [notice], [])[0]
+
+
+def distance(x, y):
+    """Edits between two strings."""
+    row = list(range(len(y) + 1))
+    for i, c in enumerate(x, 1):
+        last, row[0] = row[0], i
+        for j, d in enumerate(y, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (c != d))
+    return row[-1]
+
+
+def test_neighbouring_notices_are_all_found():
+    """The better of two does not hide the other, whichever comes first."""
+    notice = licenses.Notice("released under the mit license", "mit", 12)
+    for text, n in (("releazed undr the mit license released under the mit license end", 2), ("released under the mit license releazed undr the mit license", 2),
+                    ("releazed undr the mit license released under the mit license releaseed under the mit licens", 3),
+                    (" ".join(["released under the mit license"] * 40), 40), ("released under the mit " * 3 + "license", 1)):
+        spans = spans_of(text, notice)
+        assert len(spans) == n, text
+        assert all(a["last_word"] < b["first_word"] for a, b in zip(spans, spans[1:], strict=False))
+
+
+def test_spans_and_edits_of_planted_notices(spark):
+    """Each planted notice has one span, around its words, with no more edits
+    than were made, and its label and score."""
+    rng = random.Random(17)
+    notices = {"alpha beta gamma delta epsilon zeta eta theta": "greek", "permission is hereby granted free of charge": "mit"}
+    rows, want = [], {}
+    for i in range(150):
+        words, planted = prose(rng, rng.randint(0, 8)).split(), []
+        for _ in range(rng.randint(0, 4)):
+            text = rng.choice(list(notices))
+            raw = list(text)
+            edits = rng.randint(0, len(text) // 12)
+            for _ in range(edits):
+                at = rng.randrange(1, len(raw) - 1)
+                raw[at] = rng.choice(["", "q", raw[at] + "q"]) if raw[at] != " " else " "
+            new = "".join(raw).split()
+            planted.append((notices[text], len(words), len(words) + len(new) - 1, distance("".join(raw), text), len(text)))
+            words += new + prose(rng, rng.randint(3, 9)).split()
+        rows.append((i, " ".join(words)))
+        want[i] = planted
+    table = spark.createDataFrame([(t.upper().replace(" ", ", "), label) for t, label in notices.items()] + [(None, "x"), ("?!", "y"), ("z", None)], "text string, label string")
+    got = {r["doc_id"]: [s for s in r["spans"] if not s["base"]] for r in licenses.scan(documents(spark, rows), table).collect()}
+    for i, planted in want.items():
+        assert len(got[i]) == len(planted), rows[i]
+        for label, _, _, edits, size in planted:
+            assert any(s["label"] == label and s["edits"] <= edits and s["score"] == 1 - s["edits"] / size for s in got[i])
+
+
+def test_repeats_of_a_part_take_no_time():
+    import time
+
+    notice = licenses.Notice("permission is hereby granted free of charge to any person obtaining a copy", "mit", 12)
+    begun = time.time()
+    assert spans_of("granted free of charge " * 4000, notice) == []
+    found = spans_of("granted free of charge " * 2000 + notice.text + " granted free of charge" * 2000, notice)
+    assert [(s["first_word"], s["edits"]) for s in found] == [(8000, 0)]
+    assert time.time() - begun < 5
+
+
+def test_too_many_notices(spark, monkeypatch):
+    monkeypatch.setattr(licenses, "MOST_NOTICES", 1)
+    with pytest.raises(ValueError, match="more than 1"):
+        licenses.scan(documents(spark), spark.createDataFrame([("a b", "x"), ("c d", "y")], "text string, label string"))
+
+
 def contaminated(rows, items, window):
     runs = {}
     for i, t in items:
