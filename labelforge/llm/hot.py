@@ -54,15 +54,29 @@ def in_bitmap(rows: DataFrame, cell: Column, cells: DataFrame, name: str) -> Dat
     return tested.withColumn(name, found).drop("__block", "__bits")
 
 
-def without_keys(rows: DataFrame, keys: DataFrame, names: list[str]) -> DataFrame:
-    """``rows`` whose ``names`` are not a row of ``keys`` (no nulls in either).
-
-    A bitmap of the keys lets most rows pass in place; the others are
-    anti-joined.  With more keys than the bitmap has room for more rows are
-    shuffled; the result is the same.
-    """
+def _may_hold(rows: DataFrame, keys: DataFrame, names: list[str]) -> DataFrame:
+    """``rows`` and ``__maybe``, false where ``names`` are certainly no row of
+    ``keys``.  With more keys than the bitmap has room for, more rows may be."""
     bits = 1 << max(20, min(BITMAP_BITS, max(1, keys.count()) * BITS_PER_KEY).bit_length() - 1)
     cell = F.xxhash64(*names).bitwiseAND(F.lit(bits - 1))
-    tested = in_bitmap(rows, cell, keys.select(cell.alias("__cell")), "__maybe")
+    return in_bitmap(rows, cell, keys.select(cell.alias("__cell")), "__maybe")
+
+
+def without_keys(rows: DataFrame, keys: DataFrame, names: list[str]) -> DataFrame:
+    """``rows`` whose ``names`` are not a row of ``keys`` (no nulls in either).
+    Rows that a bitmap of the keys lets pass stay in place; the others are
+    anti-joined."""
+    tested = _may_hold(rows, keys, names)
     checked = tested.where("__maybe").join(keys, names, "leftanti").select(*tested.columns)
     return tested.where("NOT __maybe").unionByName(checked).drop("__maybe")
+
+
+def with_few(rows: DataFrame, few: DataFrame, names: list[str]) -> DataFrame:
+    """``rows`` left-joined to ``few`` (one row a key ``names``, other columns
+    new), where most rows find nothing: those that a bitmap of the keys lets
+    pass stay in place, with nulls, and only the others are shuffled."""
+    tested = _may_hold(rows, few, names)
+    added = [f for f in few.schema.fields if f.name not in names]
+    found = tested.where("__maybe").drop("__maybe").join(few, names, "left").select(*rows.columns, *[f.name for f in added])
+    others = tested.where("NOT __maybe").select(*rows.columns, *[F.lit(None).cast(f.dataType).alias(f.name) for f in added])
+    return others.unionByName(found)

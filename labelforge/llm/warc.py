@@ -4,7 +4,9 @@ Each task writes its rows to one archive, a gzip member per record, and
 returns the archive's name; names of lost attempts are never read.  The reader
 opens an archive as a stream, inflates it member by member, frames every block
 by its Content-Length and verifies the digests.  Equal payloads are kept once:
-later records of the same payload are revisits of the first.
+later records of the same payload are revisits of the first, and a revisit is
+only as good as the record it names: one of this digest and length must have
+been read.
 """
 
 from __future__ import annotations
@@ -22,9 +24,12 @@ from pyspark.sql.types import StructType
 
 from ..session import scratch_path
 from .common import land
+from .hot import with_few
 
 #: Bytes read, inflated or written at once.
 CHUNK = 1 << 18
+#: Pages that a writer holds as Python objects.
+ROWS = 64
 #: Payloads below this size are always stored (a revisit would save nothing).
 MIN_REVISIT = 100
 #: gzip level of the records.
@@ -125,8 +130,9 @@ def records(read) -> Iterator[tuple[dict[str, str], bytes]]:
 
 def with_first(pages: DataFrame, min_bytes: int = MIN_REVISIT) -> DataFrame:
     """(page_id, url, payload, digest, refers_to) of each row.  Only digests
-    and ids are grouped; payloads are joined by page, so that a payload of
-    many pages does not meet in one task.  Rows that share their page_id and
+    and ids are grouped; payloads of pages that a bitmap shows to be no revisits
+    are not shuffled, the others by page, so that a payload of many pages does
+    not meet in one task.  Rows that share their page_id and
     payload have the same role; a null page_id is never a revisit."""
     sized = pages.select("page_id", "url", F.coalesce("html", F.lit("")).cast("binary").alias("payload"))
     hashed = sized.withColumn("digest", F.sha2("payload", 256))
@@ -135,7 +141,7 @@ def with_first(pages: DataFrame, min_bytes: int = MIN_REVISIT) -> DataFrame:
     first = known.groupBy("d").agg(F.min("page_id").alias("refers_to"), F.max("page_id").alias("last")).where("refers_to < last")
     again = (known.join(first.drop("last"), "d").where("page_id > refers_to").distinct()
              .select("page_id", F.lower(F.hex("d")).alias("digest"), "refers_to"))
-    return hashed.join(again, ["page_id", "digest"], "left")
+    return with_few(hashed, land(again, "warc-revisits"), ["page_id", "digest"])
 
 
 def write_archives(rows: DataFrame, folder: str, level: int = LEVEL) -> DataFrame:
@@ -147,7 +153,7 @@ def write_archives(rows: DataFrame, folder: str, level: int = LEVEL) -> DataFram
         name, out, n = f"{uuid.uuid4().hex}.warc.gz", None, 0
         try:
             for batch in batches:
-                for r in batch.to_pylist():
+                for r in (r for at in range(0, batch.num_rows, ROWS) for r in batch.slice(at, ROWS).to_pylist()):
                     if out is None:
                         where.create_dir(base, recursive=True)
                         out = where.open_output_stream(f"{base}/{name}", compression=None)
@@ -205,9 +211,36 @@ def read_archives(names: DataFrame, payloads: bool = True) -> DataFrame:
     return names.repartition(max(1, names.count())).mapInArrow(run, schema)
 
 
+def check_revisits(records: DataFrame) -> None:
+    """Stop if a revisit names no response that was read, or one of another
+    digest or length.  Each record that revisits name is looked up once, by id,
+    digest and length."""
+    named = (records.where("record_type = 'revisit'").groupBy("refers_to", "payload_digest", "payload_bytes")
+             .agg(F.min("page_id").alias("by")))
+    kept = records.where("record_type = 'response'").select(F.col("page_id").alias("refers_to"), "payload_digest", F.col("block_bytes").alias("payload_bytes"))
+    if lost := named.join(kept, ["refers_to", "payload_digest", "payload_bytes"], "leftanti").orderBy("by").limit(1).collect():
+        raise ValueError(f"record {lost[0]['refers_to']} of digest {lost[0]['payload_digest']}, which {lost[0]['by']} revisits, was not read")
+
+
+def with_payloads(records: DataFrame) -> DataFrame:
+    """``records`` read with payloads, revisits with that of their response."""
+    named = records.where("record_type = 'revisit'").select(F.col("refers_to").alias("page_id"), "payload_digest").distinct()
+    origin = (records.where("record_type = 'response'").join(named, ["page_id", "payload_digest"], "leftsemi")
+              .select(F.col("page_id").alias("refers_to"), "payload_digest", F.col("payload").alias("__own"))
+              .dropDuplicates(["refers_to", "payload_digest"]))
+    filled = records.where("record_type = 'revisit'").join(origin, ["refers_to", "payload_digest"])
+    names = records.columns
+    return (records.where("record_type = 'response'")
+            .unionByName(filled.select(*[F.col("__own").alias(c) if c == "payload" else F.col(c) for c in names])))
+
+
 def round_trip(spark: SparkSession, pages: DataFrame, folder: str | None = None, payloads: bool = False) -> DataFrame:
     """Write ``pages`` (page_id, url, html) to archives in the shared folder
-    (or ``folder``) and read them back.  A null html is an empty payload; an
-    empty table makes no archive and no rows."""
+    (or ``folder``), read them back and check the revisits; with ``payloads``
+    every record has its payload, revisits too.  A null html is an empty
+    payload; a long page is one long record; an empty table makes no archive
+    and no rows."""
     folder = folder or scratch_path(spark, "warc")
-    return read_archives(write_archives(with_first(pages), folder), payloads)
+    records = land(read_archives(write_archives(with_first(pages), folder), payloads), "warc-records")
+    check_revisits(records)
+    return with_payloads(records) if payloads else records

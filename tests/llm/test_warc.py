@@ -25,7 +25,7 @@ def want():
             first[b] = min(first.get(b, i), i)
     for i, u, b in sized:
         again = i is not None and len(b) >= 100 and first[b] < i
-        yield i, u, len(b), hashlib.sha256(b).hexdigest(), "revisit" if again else "response", first[b] if again else None, b"" if again else b
+        yield i, u, len(b), hashlib.sha256(b).hexdigest(), "revisit" if again else "response", first[b] if again else None, b
 
 
 def test_round_trip(spark):
@@ -34,6 +34,23 @@ def test_round_trip(spark):
     assert sorted(got, key=str) == sorted(want(), key=str)
 
 
+def test_revisits_of_a_lost_or_other_record_are_found(spark):
+    kept = warc.with_first(pages(spark, ROWS))
+    folder = warc.scratch_path(spark, "warc-test")
+    records = warc.read_archives(warc.write_archives(kept, folder)).cache()
+    warc.check_revisits(records)
+    lost = records.where("NOT (page_id = 1 AND record_type = 'response')")
+    with pytest.raises(ValueError, match="which 2 revisits, was not read"):
+        warc.check_revisits(lost)
+    other = records.withColumn("payload_digest", F.when(F.expr("page_id = 0 AND record_type = 'response'"), "0" * 64).otherwise(F.col("payload_digest")))
+    with pytest.raises(ValueError, match="record 0 of digest"):
+        warc.check_revisits(other)
+    longer = records.withColumn("payload_bytes", F.when(F.expr("page_id = 8"), F.lit(5)).otherwise(F.col("payload_bytes")))
+    with pytest.raises(ValueError, match="which 8 revisits"):
+        warc.check_revisits(longer)
+    records.unpersist()
+
+
 def test_empty_table(spark):
     assert warc.round_trip(spark, pages(spark, []).limit(0)).collect() == []
 
