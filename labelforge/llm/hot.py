@@ -16,10 +16,10 @@ _BLOCK = 1 << 15  # bits of one row of bitmap_construct_agg
 BROADCAST_GROUPS = 100_000
 
 
-def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, n_rows: int, how: str = "inner",
+def join_groups(rows: DataFrame, groups: DataFrame, key: str | list[str], size: str, n_rows: int, how: str = "inner",
                 limit: int | None = None) -> DataFrame:
     """``rows`` with the columns of ``groups``, which has one row for each
-    ``key`` and in ``size`` the number of rows that hold it (``n_rows`` in all).
+    ``key`` (a column or several) and in ``size`` the number of rows that hold it (``n_rows`` in all).
 
     Keys held by at least ``n_rows / limit`` rows, of which there can be only
     ``limit``, are broadcast; the others are joined by a shuffle, in which no
@@ -32,7 +32,7 @@ def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, n_rows:
         return rows.join(F.broadcast(groups), key, how)
     hot = groups.where(F.col(size) >= least)
     found = rows.join(F.broadcast(hot), key)
-    others = rows.join(F.broadcast(hot.select(key)), key, "leftanti")
+    others = rows.join(F.broadcast(hot.select(key)), key, "leftanti").select(*rows.columns)
     return found.unionByName(others.join(groups.where(F.col(size) < least), key, how))
 
 
@@ -54,10 +54,15 @@ def in_bitmap(rows: DataFrame, cell: Column, cells: DataFrame, name: str) -> Dat
     return tested.withColumn(name, found).drop("__block", "__bits")
 
 
+def bitmap_bits(n_keys: int) -> int:
+    """Size of a bitmap for so many keys, a power of two."""
+    return 1 << max(20, min(BITMAP_BITS, max(1, n_keys) * BITS_PER_KEY).bit_length() - 1)
+
+
 def _may_hold(rows: DataFrame, keys: DataFrame, names: list[str]) -> DataFrame:
     """``rows`` and ``__maybe``, false where ``names`` are certainly no row of
     ``keys``.  With more keys than the bitmap has room for, more rows may be."""
-    bits = 1 << max(20, min(BITMAP_BITS, max(1, keys.count()) * BITS_PER_KEY).bit_length() - 1)
+    bits = bitmap_bits(keys.count())
     cell = F.xxhash64(*names).bitwiseAND(F.lit(bits - 1))
     return in_bitmap(rows, cell, keys.select(cell.alias("__cell")), "__maybe")
 

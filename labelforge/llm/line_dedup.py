@@ -12,6 +12,12 @@ these levels at which enough of its tokens are constant: those without digits
 that stand in a half of the leaf's lines; in a quarter; in ``min_docs`` lines;
 and any token in ``min_docs`` lines.  Lines alike at one level are alike at
 those before it, so a more general template never splits a narrower one.
+
+How many documents a template must recur in falls with its length: a line of
+LONG or more tokens without digits is hardly written twice by chance, and recurs
+with its second document, digits apart.  The first document of a template is
+the same at both levels, so a line that one keeps for its template the other
+does not drop for its own.
 """
 
 from __future__ import annotations
@@ -20,12 +26,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import land
+from .hot import bitmap_bits, in_bitmap, join_groups, with_few
 
 #: Leading tokens that the tree branches on.
 LEAD = 3
 #: Documents (of different texts) that a template must recur in, and lines
 #: that a token must stand in to be constant.
 MIN_DOCS = 10
+#: Tokens without digits from which a line recurs in LONG_DOCS documents.
+LONG, LONG_DOCS = 20, 2
 #: Shares of a leaf's lines, the most general level first.
 SHARES = (0.5, 0.25)
 #: Share of a template's tokens that must be constant.
@@ -53,13 +62,29 @@ def _level() -> Column:
 def line_templates(docs: DataFrame, lead: int = LEAD, min_docs: int = MIN_DOCS, min_constant: float = MIN_CONSTANT) -> DataFrame:
     """(doc, mark, line, template, docs, first): the lines whose template
     recurs; ``first`` marks the one that stays.  ``docs``: doc, mark, text."""
+    masked = F.regexp_replace(F.array_join("tokens", " "), "[0-9]+", "#")
     lines = (docs.where("text IS NOT NULL").select("doc", "mark", F.posexplode(F.split("text", "\n", -1)).alias("line", "body"))
              .withColumn("tokens", tokens_of(F.col("body"))).where(F.size("tokens") > 0)
-             .withColumn("leaf", _leaf(F.col("tokens"), lead)))
-    leaves = land(lines.groupBy("leaf").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") >= min_docs)
-                  .select("leaf", F.col("c").alias("held")), "line-leaves")
-    held = land(lines.join(leaves, "leaf")
-                .select("doc", "mark", "line", "leaf", "held", F.md5("body").alias("body"), "tokens"), "leaf-lines")
+             .withColumn("leaf", _leaf(F.col("tokens"), lead))
+             .withColumn("long", F.when(F.size("tokens") >= LONG, F.xxhash64(masked))))
+    keys = lines.select(F.explode(F.array(F.struct(F.lit(False).alias("long"), F.col("leaf").alias("key")),
+                                          F.struct(F.lit(True).alias("long"), F.col("long").alias("key")))).alias("k")).select("k.*")
+    counted = land(keys.where("key IS NOT NULL").groupBy("long", "key").agg(F.count(F.lit(1)).alias("held"))
+                   .where(F.col("held") >= F.when(F.col("long"), LONG_DOCS).otherwise(min_docs)), "line-counts")
+    leaves = counted.where("NOT long").select(F.col("key").alias("leaf"), "held")
+    # a bitmap lets some lines through that do not recur; they are counted again
+    again = counted.where("long").select(F.col("key").alias("long"))
+    bits = bitmap_bits(again.count())
+    cell = F.col("long").bitwiseAND(F.lit(bits - 1))
+    tested = in_bitmap(lines, cell, again.select(cell.alias("__cell")), "again").join(leaves, "leaf", "left").where("held IS NOT NULL OR again")
+    plain = F.size(F.filter("tokens", lambda t: ~t.rlike("[0-9]")))
+    kept = land(tested.select("doc", "mark", "line", "leaf", "held", F.when(F.col("held").isNotNull(), F.md5("body")).alias("body"),
+                              F.when(F.col("held").isNotNull(), F.col("tokens")).alias("tokens"),
+                              F.when(F.col("again") & (plain >= LONG), F.col("long")).alias("long"),
+                              F.when(F.col("again"), F.hex(F.xxhash64(F.lit(1), masked))).alias("rest")), "leaf-lines")
+    held = kept.where("held IS NOT NULL")
+    recurring = kept.where("long IS NOT NULL").select("doc", "mark", "line", F.col("long").alias("leaf"), F.concat(F.lit("\n"), "rest").alias("template"),
+                                                      F.lit(LONG_DOCS).alias("need"))
     # equal lines are one class, so a line of many documents is parsed once
     classes = held.groupBy("leaf", "body").agg(F.count(F.lit(1)).alias("c"), F.min("tokens").alias("tokens"), F.min("held").alias("held"))
     words = classes.select("leaf", "body", "c", "held", F.posexplode("tokens").alias("place", "token"))
@@ -73,14 +98,17 @@ def line_templates(docs: DataFrame, lead: int = LEAD, min_docs: int = MIN_DOCS,
               # the level at which so many tokens are constant
               .withColumn("level", F.when(need < 1, 0).otherwise(F.get("levels", need - 1))).where(F.col("level").isNotNull())
               .select("leaf", "body", F.array_join(F.transform("p", lambda x: F.when(fixed(x), x["t"]).otherwise("<*>")), " ").alias("template")))
-    found = land(held.select("doc", "mark", "line", "leaf", "body").join(parsed, ["leaf", "body"])
-                 .select("doc", "mark", "line", "leaf", "template"), "templated-lines")
+    templated = (held.select("doc", "mark", "line", "leaf", "body").join(parsed, ["leaf", "body"])
+                 .select("doc", "mark", "line", "leaf", "template", F.lit(min_docs).alias("need")))
+    found = land(templated.unionByName(recurring), "templated-lines")
     # documents of equal text count once
-    spread = (found.groupBy("leaf", "template", "mark").agg(F.min(F.struct(F.col("doc").isNull().alias("z"), "doc", "mark", "line")).alias("f"))
-              .groupBy("leaf", "template").agg(F.count(F.lit(1)).alias("docs"), F.min("f").alias("f"))
-              .where(F.col("docs") >= min_docs))
+    spread = (found.groupBy("leaf", "template", "mark").agg(F.min(F.struct(F.col("doc").isNull().alias("z"), "doc", "mark", "line")).alias("f"),
+                                                            F.count(F.lit(1)).alias("rows"), F.min("need").alias("need"))
+              .groupBy("leaf", "template").agg(F.count(F.lit(1)).alias("docs"), F.min("f").alias("f"), F.sum("rows").alias("rows"), F.min("need").alias("need"))
+              .where(F.col("docs") >= F.col("need")).drop("need"))
     first = F.col("doc").eqNullSafe(F.col("f.doc")) & (F.col("mark") == F.col("f.mark")) & (F.col("line") == F.col("f.line"))
-    return found.join(spread, ["leaf", "template"]).select("doc", "mark", "line", "template", "docs", first.alias("first"))
+    placed = join_groups(found.drop("need"), land(spread, "recurring-templates"), ["leaf", "template"], "rows", found.count())
+    return placed.select("doc", "mark", "line", "template", "docs", first.alias("first"))
 
 
 def drop_lines(df: DataFrame, lead: int = LEAD, min_docs: int = MIN_DOCS, min_constant: float = MIN_CONSTANT,
@@ -89,21 +117,23 @@ def drop_lines(df: DataFrame, lead: int = LEAD, min_docs: int = MIN_DOCS, min_co
     n_dropped) with the text less its recurring lines, n_lines and n_dropped.
 
     Null texts stay null with no lines; an empty text is one empty line; empty
-    lines are never dropped; rows of equal id and text lose the same lines, and
+    lines are never dropped; long lines are parsed whole; rows of equal id and text lose the same lines, and
     rows of equal text count as one document; a null id comes after all others
     when the first line of a template is chosen.
     """
     marked = df.withColumn("__mark", F.xxhash64(F.col(text_col)))
     docs = marked.select(F.col(id_col).alias("doc"), F.col("__mark").alias("mark"), F.col(text_col).alias("text"))
     gone = (line_templates(docs, lead, min_docs, min_constant).where(~F.col("first"))
-            .groupBy(F.col("doc").alias("__doc"), F.col("mark").alias("__m")).agg(F.collect_set("line").alias("__drop")))
-    on = marked[id_col].eqNullSafe(gone["__doc"]) & (marked["__mark"] == gone["__m"])
+            .groupBy("doc", F.col("mark").alias("__mark")).agg(F.collect_set("line").alias("__drop")))
+    named = {"__none": lambda i: i.isNull(), "__id": lambda i: F.coalesce(i.cast("string"), F.lit(""))}
+    gone = land(gone.select(*[f(F.col("doc")).alias(c) for c, f in named.items()], "__mark", "__drop"), "lines-to-drop")
+    # documents that lose no line stay in place
+    out = with_few(marked.withColumns({c: f(marked[id_col]) for c, f in named.items()}), gone, [*named, "__mark"])
     lines = F.split(F.col(text_col), "\n", -1)
     total = F.coalesce(F.size(lines), F.lit(0))
     stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("__drop"))
     # lines are looked up by number, the numbers left out through a hash set
     text = F.when(F.col("__drop").isNull(), F.col(text_col)).otherwise(F.array_join(F.transform(stay, lambda i: F.get(lines, i)), "\n"))
-    out = marked.join(gone, on, "left")
     return out.select(*[text.alias(c) if c == text_col else out[c] for c in df.columns],
                       F.when(F.col(text_col).isNull(), 0).otherwise(total).cast("long").alias("n_lines"),
                       F.coalesce(F.when(F.col("__drop").isNotNull(), F.size("__drop")), F.lit(0)).cast("long").alias("n_dropped"))

@@ -409,23 +409,35 @@ def templates(rows, min_docs):
     """Lines to drop, by the documented rules in plain Python."""
     lines = [(i, t, n, SPACED.findall(x)) for i, t in rows if t is not None for n, x in enumerate(t.split("\n"))]
     lines = [x for x in lines if x[3]]
-    leaf = lambda w: (len(w), tuple(re.sub("[0-9]+", "#", x) for x in w[:3]))
+    mask = lambda x: re.sub("[0-9]+", "#", x)
+    leaf = lambda w: (len(w), tuple(map(mask, w[:3])))
     held = Counter(leaf(x[3]) for x in lines)
-    lines = [x for x in lines if held[leaf(x[3])] >= min_docs]
     tokens = Counter((leaf(w), k, t) for _, _, _, w in lines for k, t in enumerate(w))
+
+    def level(w, k):
+        """The first level at which a token is constant, if any."""
+        c, n = tokens[leaf(w), k, w[k]], held[leaf(w)]
+        if c < min_docs:
+            return None
+        return 3 if re.search("[0-9]", w[k]) else 0 if c >= 0.5 * n else 1 if c >= 0.25 * n else 2
+
     named = []
     for i, t, n, w in lines:
-        parts = [x if tokens[leaf(w), k, x] >= min_docs else "<*>" for k, x in enumerate(w)]
-        if sum(p != "<*>" for p in parts) >= 0.6 * len(w):
-            named.append((i, t, n, (leaf(w), tuple(parts))))
-    spread = {}
-    for i, t, n, key in named:
+        if held[leaf(w)] >= min_docs:
+            levels = [level(w, k) for k in range(len(w))]
+            known = sorted(x for x in levels if x is not None)
+            need = -(-len(w) * 6 // 10)
+            if len(known) >= need:
+                parts = tuple(x if own is not None and own <= known[need - 1] else "<*>" for x, own in zip(w, levels, strict=True))
+                named.append((i, t, n, (leaf(w), parts), min_docs))
+        if sum(not re.search("[0-9]", x) for x in w) >= 20:
+            named.append((i, t, n, tuple(map(mask, w)), 2))
+    spread, first = {}, {}
+    for i, t, n, key, _ in named:
         spread.setdefault(key, set()).add(t)
-    first = {}
-    for i, t, n, key in named:
         at = (i is None, i or 0, n)
         first[key] = min(first.get(key, at), at)
-    return {(i, t, n) for i, t, n, key in named if len(spread[key]) >= min_docs and first[key] != (i is None, i or 0, n)}
+    return {(i, t, n) for i, t, n, key, need in named if len(spread[key]) >= need and first[key] != (i is None, i or 0, n)}
 
 
 def test_lines_against_brute_force(spark):
@@ -435,7 +447,16 @@ def test_lines_against_brute_force(spark):
         rows.append((800 + i, "\n".join([prose(rng, 6), "Click here to read more", f"Posted on day {i} by user{i % 9} in news", "", prose(rng, 3),
                                          *(["Click here to read more"] if i % 5 == 0 else []), f"random {i} words", "   "])))
     rows += [(850, rows[-1][1]), (800, rows[len(texts())][1])]
+    # fields of few values, and a line that holds little of its leaf
+    rows += [(1000 + i, "\n".join(stamped(rng, 2) + [f"Last updated on {prose(rng, 19)}"])) for i in range(60)]
+    # long lines that recur in two documents, with other numbers, or in one only
+    for i in range(8):
+        passage = prose(rng, 30)
+        rows += [(1100 + 4 * i + k, f"{prose(rng, 4)}\n{re.sub('[0-9]+', lambda m: str(rng.randint(0, 9)), passage)}\n{prose(rng, 25)}") for k in range(1 + i % 3)]
+    long = " ".join(f"word{'abcdefghijklmnopqrstuvwxyz'[k]}" for k in range(21))
+    rows += [(1200, long), (1201, f"x\n{long}"), (1202, long + " one more"), (1203, long[:-12]), (1204, f"y\n{long[:-12]}"), (None, f"z\n{long}")]
     gone = templates(rows, 10)
+    assert {(1201, 1), (None, 1)} <= {(i, n) for i, _, n in gone} and not any(i in (1200, 1202, 1203, 1204) for i, _, _ in gone)
     want = []
     for i, t in rows:
         kept = None if t is None else "\n".join(x for n, x in enumerate(t.split("\n")) if (i, t, n) not in gone)
