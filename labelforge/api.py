@@ -135,11 +135,11 @@ def infer(spark: SparkSession, input_dir: str, output_csv: str, scorer,
     # the reference scans *.jpg and *.png (case-sensitive): a filter, no join
     names = I.list_images(spark, input_dir, ("jpg", "png"), case_sensitive=True)
     require_rows(names.select("path"), f"image folder {input_dir}")  # A11: no images -> typed error
-    rgb = I.load_images(spark, input_dir).filter(F.col("path").rlike(r"\.(jpg|png)$"))
-    pixels = I.normalise_pixels(rgb, size=img_size)
+    images = I.decoded_images(spark, input_dir).filter(F.col("path").rlike(r"\.(jpg|png)$"))
     calibrator = load_calibrator(calibrator_path) if use_calibrated and calibrator_path else None
-    scored = B.batch_score(pixels, scorer, ["pixels"], key="path", threshold=uncertainty_threshold,
-                           batch_size=batch_size, calibrator=calibrator, failed="error")
+    # pixels are made and scored in one Python stage
+    scored = B.batch_score(images, scorer, ["pixels"], key="path", threshold=uncertainty_threshold, batch_size=batch_size,
+                           calibrator=calibrator, failed="error", prepare=I.with_pixels(img_size))
     results = materialize(scored.withColumn("filename", F.element_at(F.split("filename", "/"), -1)))
     write_csv(results.orderBy("filename"), output_csv, PREDICTION_COLUMNS)
     write_uncertain(results, os.path.join(os.path.dirname(output_csv.rstrip("/")), "uncertain.csv"))
@@ -233,13 +233,13 @@ def select(spark: SparkSession, input: str, output: str, target: int = SELECT_TA
 
 def image_statistics(spark: SparkSession, folder: str, img_size: int = IMG_SIZE) -> DataFrame:
     """Channel mean / std of a folder of images."""
-    return I.channel_stats(I.image_channel_stats(I.load_images(spark, folder), img_size))
+    return I.channel_stats(I.image_channel_stats(I.decoded_images(spark, folder), img_size))
 
 
 def upscale_directory(spark: SparkSession, input_dir: str, output_dir: str, scale: int = UPSCALE_FACTOR,
                       methods=UPSCALE_METHODS) -> DataFrame:
     """Upscale every image with every method into a table partitioned by
     method (I8, K4); returns the failures (reported, skipped)."""
-    up = materialize(I.upscale(I.load_images(spark, input_dir), scale, methods))
+    up = materialize(I.upscale(I.decoded_images(spark, input_dir), scale, methods))
     I.write_image_table(up, output_dir)
     return up.filter(F.col("error").isNotNull()).select("method", "filename", "error")

@@ -20,9 +20,11 @@ from __future__ import annotations
 
 import inspect
 import time
-from collections import deque
+import uuid
+from collections import OrderedDict, deque
 from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass, field
 
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F, types as T
@@ -50,44 +52,84 @@ def _append_field(schema: T.StructType, *fields: T.StructField) -> T.StructType:
     return T.StructType(list(schema.fields) + list(fields))
 
 
-def score_logits(df: DataFrame, scorer: Callable[[pd.DataFrame], object],
-                 input_cols: list[str], batch_size: int = SCORE_BATCH, failed: str | None = None) -> DataFrame:
+#: Batch functions that this worker has set up, by the model's key.
+_MADE: OrderedDict[str, Callable] = OrderedDict()
+#: Models that a worker keeps.
+_KEPT = 4
+
+
+@dataclass(frozen=True)
+class Model:
+    """A batch function with a set-up.  ``make(weights)`` is called once in
+    each Python worker, not in each task or batch, and returns the function;
+    ``weights`` is a broadcast that Spark sends to each executor once, or None.
+    Takes the place of any scorer, annotator or fetcher.  A set-up that raises
+    fails the task."""
+
+    make: Callable[[object], Callable]
+    weights: object = None
+    key: str = field(default_factory=lambda: uuid.uuid4().hex)
+
+
+def ready(fn: Callable | Model) -> Callable:
+    """The batch function to call in this worker."""
+    if not isinstance(fn, Model):
+        return fn
+    if fn.key not in _MADE:
+        _MADE[fn.key] = fn.make(None if fn.weights is None else fn.weights.value)
+        while len(_MADE) > _KEPT:
+            _MADE.popitem(last=False)
+    _MADE.move_to_end(fn.key)
+    return _MADE[fn.key]
+
+
+def score_logits(df: DataFrame, scorer: Callable[[pd.DataFrame], object] | Model,
+                 input_cols: list[str], batch_size: int = SCORE_BATCH, failed: str | None = None,
+                 prepare: Callable[[pd.DataFrame], pd.DataFrame] | None = None, keep: list[str] | None = None) -> DataFrame:
     """I1 core: add ``logit`` (and ``score_error``) by calling ``scorer`` on
     micro-batches of ``input_cols``; no shuffle.  Rows with a text in the column
-    ``failed`` are not scored and keep that text as their error."""
-    out_schema = _append_field(df.schema, T.StructField("logit", T.DoubleType()),
+    ``failed`` are not scored and keep that text as their error.  ``prepare``
+    makes input columns (and errors) in the same Python stage; ``keep`` names
+    the columns that go back to the JVM (all of ``df`` if None)."""
+    keep = df.columns if keep is None else keep
+    out_schema = _append_field(T.StructType([df.schema[c] for c in keep]), T.StructField("logit", T.DoubleType()),
                                T.StructField("score_error", T.StringType()))
+    out_cols = [*keep, "logit", "score_error"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        call = ready(scorer)
         for pdf in batches:
+            pdf = prepare(pdf) if prepare else pdf
             if failed is not None:
                 out = pdf[failed].notna()
                 if out.any():
-                    yield pdf[out].assign(logit=float("nan"), score_error=pdf.loc[out, failed])
+                    yield pdf[out].assign(logit=float("nan"), score_error=pdf.loc[out, failed])[out_cols]
                 pdf = pdf[~out]
             for part in _chunks(pdf, batch_size):
                 part = part.copy()
                 try:
-                    logits = pd.Series(list(scorer(part[input_cols])), index=part.index, dtype="float64")
+                    logits = pd.Series(list(call(part[input_cols])), index=part.index, dtype="float64")
                     part["logit"] = logits
                     part["score_error"] = None
                 except Exception as exc:  # noqa: BLE001 - a failed batch is data
                     part["logit"] = float("nan")
                     part["score_error"] = f"score: {exc}"
-                yield part
+                yield part[out_cols]
 
     return df.mapInPandas(run, out_schema)
 
 
 def batch_score(df: DataFrame, scorer, input_cols: list[str], key: str = "filename",
                 threshold: float = UNCERTAINTY_THRESHOLD, batch_size: int = SCORE_BATCH,
-                calibrator=None, failed: str | None = None) -> DataFrame:
+                calibrator=None, failed: str | None = None,
+                prepare: Callable[[pd.DataFrame], pd.DataFrame] | None = None) -> DataFrame:
     """``filename, prediction, probability, logit`` (+ ``error``).
 
     Probability is the calibrator's P(1) when one is given (I5), else the
     sigmoid; a row whose scoring failed is banded ``?`` and keeps its error
-    (decision: never score a substitute black image silently)."""
-    scored = score_logits(df, scorer, input_cols, batch_size, failed)
+    (decision: never score a substitute black image silently).  ``prepare``:
+    see ``score_logits``."""
+    scored = score_logits(df, scorer, input_cols, batch_size, failed, prepare, [key])
     logit = F.when(F.col("score_error").isNull(), F.col("logit"))
     scored = scored.withColumn("logit", logit)
     if calibrator is not None:
@@ -110,6 +152,7 @@ def _accepts_timeout(fn) -> bool:
 
 def timed(fetcher, timeout: float | None):
     """The fetcher, with the seconds allowed for each URL if it takes them."""
+    fetcher = ready(fetcher)
     if timeout is None or not _accepts_timeout(fetcher):
         return fetcher
     return lambda pdf: fetcher(pdf, timeout=timeout)
@@ -163,9 +206,10 @@ def fetch(df: DataFrame, fetcher: Callable[[pd.DataFrame], pd.DataFrame], concur
     calls that a task makes at the same time (the fetcher runs in threads then);
     ``timeout`` (seconds for each URL) is passed to a fetcher that takes a
     ``timeout`` keyword.  A failed row is not tried again."""
-    call, at_once = timed(fetcher, timeout), max(1, concurrency or 1)
+    at_once = max(1, concurrency or 1)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        call = timed(fetcher, timeout)
         parts = (part for pdf in batches for part in _chunks(pdf, batch_size))
         with ThreadPoolExecutor(at_once) as pool:
             yield from in_order(pool, lambda part: fetch_part(call, part), parts, at_once)
@@ -188,11 +232,11 @@ def answer(df: DataFrame, annotator, fetcher, key: str = "url", batch_size: int
     raises marks its rows.  With a ``journal`` answers are saved as they come,
     and rows whose key an earlier attempt has answered take that answer; with
     ``saved`` rows whose column ``status`` is not null hold one already."""
-    call, at_once = timed(fetcher, timeout), max(1, concurrency or 1)
+    at_once = max(1, concurrency or 1)
     names = [f.name for f in df.schema.fields if f.name not in (ANSWER if saved else ())]
     out = [key, *ANSWER]
 
-    def annotated(part: pd.DataFrame) -> pd.DataFrame:
+    def annotated(part: pd.DataFrame, ask: Callable) -> pd.DataFrame:
         part = part.reset_index(drop=True)
         ok = part["status"] == "ok"
         part["model_text"] = None
@@ -200,7 +244,7 @@ def answer(df: DataFrame, annotator, fetcher, key: str = "url", batch_size: int
         todo = part[ok]
         if len(todo):
             try:
-                texts = list(annotator(todo[[*names, "content", "status"]]))
+                texts = list(ask(todo[[*names, "content", "status"]]))
                 part.loc[todo.index, "model_text"] = pd.Series(texts, index=todo.index, dtype="object")
             except Exception as exc:  # noqa: BLE001 - a failed batch is data
                 part.loc[todo.index, "error"] = f"inference: {exc}"
@@ -208,6 +252,7 @@ def answer(df: DataFrame, annotator, fetcher, key: str = "url", batch_size: int
         return part[out].astype({"model_text": object, "error": object}).where(lambda x: x.notna(), None)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        call, ask = timed(fetcher, timeout), ready(annotator)
         book = journal() if journal else None
         before = {a[key]: a for a in book.saved()} if book else {}
         with ThreadPoolExecutor(at_once) as pool:
@@ -227,7 +272,7 @@ def answer(df: DataFrame, annotator, fetcher, key: str = "url", batch_size: int
                     good = fetched["status"] == "ok"
                     for part in (fetched[~good], *_chunks(fetched[good], batch_size)):
                         if len(part):
-                            done = annotated(part)
+                            done = annotated(part, ask)
                             if book:
                                 book.add(done.to_dict("records"))
                             yield done
@@ -252,6 +297,7 @@ def call_annotator(df: DataFrame, annotator: Callable[[pd.DataFrame], object],
     cols = [f.name for f in df.schema.fields]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ask = ready(annotator)
         for pdf in batches:
             pdf = pdf[cols].copy()
             pdf["model_text"] = None
@@ -265,7 +311,7 @@ def call_annotator(df: DataFrame, annotator: Callable[[pd.DataFrame], object],
                 todo = pdf
             for part in _chunks(todo, batch_size):
                 try:
-                    texts = list(annotator(part[cols]))
+                    texts = list(ask(part[cols]))
                     pdf.loc[part.index, "model_text"] = pd.Series(texts, index=part.index, dtype="object")
                 except Exception as exc:  # noqa: BLE001
                     pdf.loc[part.index, "error"] = f"inference: {exc}"

@@ -3,9 +3,11 @@ the channel statistics.
 
 Spark's ``image`` source decodes files into ``struct<origin, height, width,
 nChannels, mode, data>`` with BGR byte order; undecodable files arrive with
-``height = -1`` when ``dropInvalid`` is off.  Pixel work (resize, per-image
-statistics, upscaling) runs in ``mapInPandas`` with numpy over Arrow batches;
-the averages across images are native aggregates.
+``height = -1`` when ``dropInvalid`` is off.  ``decoded_images`` keeps them so,
+without a Python stage; every kernel (resize, statistics, upscaling, pixels)
+takes such rows or those of ``load_images`` and brings them to RGB itself, so
+bytes go to Python once.  Images of one size are one 4-D array.  The averages
+across images are native aggregates.
 """
 
 from __future__ import annotations
@@ -71,17 +73,32 @@ def _decoded(spark: SparkSession, folder: str) -> DataFrame:
                       F.col("image.nChannels").alias("n_channels"), F.col("image.data").alias("data"))
 
 
+def decoded_images(spark: SparkSession, folder: str) -> DataFrame:
+    """A10 as Spark decodes it: ``path, filename, height, width, n_channels,
+    data, error, bgr``; images whose names begin with ``_`` or ``.`` too.  An
+    undecodable file keeps its row with ``error`` set (decision: never a silent
+    black substitute)."""
+    require_path(spark, folder)
+    seen, unseen = _decoded(spark, folder), _unseen(spark, folder)
+    return as_bgr(seen if unseen is None else seen.unionByName(unseen))
+
+
+def as_bgr(images: DataFrame) -> DataFrame:
+    """Rows of the image source (``path, height, width, n_channels, data``) with
+    the columns that kernels take."""
+    ok = F.coalesce(F.col("height") > 0, F.lit(False))
+    shape = [F.when(ok, F.col(c)).alias(c) for c in ("height", "width", "n_channels", "data")]
+    return images.select("path", path_basename(F.regexp_replace("path", "/+$", "")).alias("filename"), *shape,
+                         F.when(~ok, F.lit("undecodable image")).alias("error"), F.lit(True).alias("bgr"))
+
+
 def load_images(spark: SparkSession, folder: str) -> DataFrame:
     """A10: decoded images as ``path, filename, height, width, n_channels,
     data (RGB bytes, row-major H x W x 3), error``.
 
     Grey images are expanded to three channels and alpha is dropped; an
-    undecodable file keeps its row with ``error`` set (decision: never a
-    silent black substitute).  Images whose names begin with ``_`` or ``.`` are
-    loaded too."""
-    require_path(spark, folder)
-    seen, unseen = _decoded(spark, folder), _unseen(spark, folder)
-    return to_rgb(seen if unseen is None else seen.unionByName(unseen))
+    undecodable file keeps its row with ``error`` set."""
+    return to_rgb(decoded_images(spark, folder))
 
 
 _RGB_SCHEMA = T.StructType([
@@ -92,29 +109,53 @@ _RGB_SCHEMA = T.StructType([
 ])
 
 
-def _to_rgb_array(row) -> np.ndarray:
-    h, w, c = int(row["height"]), int(row["width"]), int(row["n_channels"])
-    arr = np.frombuffer(row["data"], dtype=np.uint8).reshape(h, w, c)
-    if c == 1:
-        return np.repeat(arr, 3, axis=2)
-    return arr[:, :, :3][:, :, ::-1]  # BGR(A) -> RGB, alpha dropped
+#: Pixels of input that a kernel works on at once (one image at least).
+STACK_PIXELS = 1 << 20
+
+
+def stacks(pdf: pd.DataFrame) -> tuple[list[str | None], Iterator[tuple[np.ndarray, np.ndarray]]]:
+    """(errors, stacks) of a batch of images: an error or none for each row, and
+    (rows, N x H x W x 3 RGB array) for runs of images of one size."""
+    errors: list[str | None] = [None if e is None or e != e else str(e) for e in pdf["error"]]
+    bgr = bool(pdf["bgr"].iloc[0]) if "bgr" in pdf.columns and len(pdf) else False
+    groups: dict[tuple[int, int, int], list[int]] = {}
+    for i, (h, w, c, data) in enumerate(zip(pdf["height"], pdf["width"], pdf["n_channels"], pdf["data"], strict=True)):
+        if errors[i] is None:
+            if data is None or len(data) != int(h) * int(w) * int(c):
+                errors[i] = f"decode: {0 if data is None else len(data)} bytes for {h} x {w} x {c}"
+            else:
+                groups.setdefault((int(h), int(w), int(c)), []).append(i)
+    datas = pdf["data"].to_numpy()
+
+    def each() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for (h, w, c), rows in groups.items():
+            step = max(1, STACK_PIXELS // max(1, h * w))
+            for at in range(0, len(rows), step):
+                part = rows[at : at + step]
+                stack = np.frombuffer(b"".join(datas[part]), np.uint8).reshape(len(part), h, w, c)
+                if c == 1:
+                    stack = np.repeat(stack, 3, axis=3)
+                elif bgr:
+                    stack = stack[..., :3][..., ::-1]  # BGR(A) -> RGB, alpha dropped
+                yield np.array(part), stack
+
+    return errors, each()
 
 
 def to_rgb(images: DataFrame) -> DataFrame:
+    """Rows of the image source, or of ``decoded_images``, as RGB rows."""
+    images = images if "bgr" in images.columns else as_bgr(images)
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            out = []
-            for row in pdf.to_dict("records"):
-                name = str(row["path"]).rstrip("/").rsplit("/", 1)[-1]
-                if row["height"] is None or int(row["height"]) <= 0:
-                    out.append((row["path"], name, None, None, None, None, "undecodable image"))
-                    continue
-                try:
-                    rgb = _to_rgb_array(row)
-                    out.append((row["path"], name, rgb.shape[0], rgb.shape[1], 3, rgb.tobytes(), None))
-                except Exception as exc:  # noqa: BLE001
-                    out.append((row["path"], name, None, None, None, None, f"decode: {exc}"))
-            yield pd.DataFrame(out, columns=[f.name for f in _RGB_SCHEMA.fields])
+            errors, found = stacks(pdf)
+            out = pdf[["path", "filename"]].assign(height=None, width=None, n_channels=None, data=None).astype(object)
+            for rows, stack in found:
+                out.loc[out.index[rows], ["height", "width", "n_channels"]] = [stack.shape[1], stack.shape[2], 3]
+                datas = out["data"].to_numpy(copy=True)
+                datas[rows] = [x.tobytes() for x in stack]
+                out["data"] = datas
+            yield out.assign(error=errors)[[f.name for f in _RGB_SCHEMA.fields]]
 
     return images.mapInPandas(run, _RGB_SCHEMA)
 
@@ -164,7 +205,7 @@ def _along(x: np.ndarray, n_out: int, method: str) -> np.ndarray:
     index, weight = taps(x.shape[0], n_out, method)
     out = np.zeros((n_out, *x.shape[1:]))
     for k in range(index.shape[1]):
-        out += weight[:, k, None, None] * x[index[:, k]]
+        out += weight[:, k].reshape(-1, *[1] * (x.ndim - 1)) * x[index[:, k]]
     return out
 
 
@@ -173,12 +214,14 @@ def _whole(x: np.ndarray) -> np.ndarray:
 
 
 def resize_array(rgb: np.ndarray, height: int, width: int, method: str = "bilinear") -> np.ndarray:
-    """Separable resampling of an H x W x C array to whole values 0..255 (as
-    float64).  The filters work on the rows first and keep whole values between
-    the two passes, as 8-bit image libraries do; ``plain`` rounds once."""
-    x = rgb.astype(np.float64)
-    across = _along(x.transpose(1, 0, 2), width, method).transpose(1, 0, 2)
-    return _whole(_along(across if method == "plain" else _whole(across), height, method))
+    """Separable resampling of an H x W x C array, or of a stack of them, to
+    whole values 0..255 (as float64).  The filters work on the rows first and
+    keep whole values between the two passes, as 8-bit image libraries do;
+    ``plain`` rounds once."""
+    high, wide = rgb.ndim - 3, rgb.ndim - 2
+    across = np.moveaxis(_along(np.moveaxis(rgb.astype(np.float64), wide, 0), width, method), 0, wide)
+    across = across if method == "plain" else _whole(across)
+    return _whole(np.moveaxis(_along(np.moveaxis(across, high, 0), height, method), 0, high))
 
 
 # ------------------------------------------------------------ statistics
@@ -191,20 +234,24 @@ _STATS_SCHEMA = T.StructType([
 ])
 
 
+def _listed(rows: np.ndarray) -> np.ndarray:
+    """The rows of a 2-D array as objects."""
+    out = np.empty(len(rows), object)
+    out[:] = list(rows)
+    return out
+
+
 def image_channel_stats(rgb_images: DataFrame, size: int = IMG_SIZE) -> DataFrame:
     """Per image (I9 + E10 step): bicubic resize to ``size`` x ``size`` whole
     values, scale /255, per-channel mean and population std."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            out = []
-            for row in pdf.to_dict("records"):
-                if row["error"] is not None and not (isinstance(row["error"], float) and pd.isna(row["error"])):
-                    out.append((row["path"], None, None, row["error"]))
-                    continue
-                arr = np.frombuffer(row["data"], dtype=np.uint8).reshape(int(row["height"]), int(row["width"]), 3)
-                small = resize_array(arr, size, size, "bicubic") / 255.0
-                out.append((row["path"], small.mean(axis=(0, 1)).tolist(), small.std(axis=(0, 1)).tolist(), None))
-            yield pd.DataFrame(out, columns=["path", "mean", "std", "error"])
+            errors, found = stacks(pdf)
+            mean, std = np.empty(len(pdf), object), np.empty(len(pdf), object)
+            for rows, stack in found:
+                small = resize_array(stack, size, size, "bicubic") / 255.0
+                mean[rows], std[rows] = _listed(small.mean(axis=(1, 2))), _listed(small.std(axis=(1, 2)))
+            yield pd.DataFrame({"path": pdf["path"].to_numpy(), "mean": mean, "std": std, "error": errors})
 
     return rgb_images.mapInPandas(run, _STATS_SCHEMA)
 
@@ -241,27 +288,34 @@ def normalise_pixels(rgb_images: DataFrame, size: int = IMG_SIZE, mean: Sequence
                      std: Sequence[float] = NORM_STD) -> DataFrame:
     """Plain bilinear resize (no widening), /255, then (x - mean) / std
     per channel; the tensor is returned as a flat ``array<float>`` in H x W x C order."""
-    m = np.asarray(mean, dtype=np.float64)
-    s = np.asarray(std, dtype=np.float64)
     schema = T.StructType([T.StructField("path", T.StringType()),
                            T.StructField("pixels", T.ArrayType(T.FloatType())),
                            T.StructField("error", T.StringType())])
+    fill = with_pixels(size, mean, std)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            out = []
-            for row in pdf.to_dict("records"):
-                if row["data"] is None:
-                    out.append((row["path"], None, row["error"]))
-                    continue
-                arr = np.frombuffer(row["data"], dtype=np.uint8).reshape(int(row["height"]), int(row["width"]), 3)
-                x = (resize_array(arr, size, size, "plain") / 255.0 - m) / s
-                out.append((row["path"], x.astype(np.float32).ravel(), None))
-            yield pd.DataFrame(out, columns=["path", "pixels", "error"])
+            yield fill(pdf)[["path", "pixels", "error"]]
 
     return rgb_images.mapInPandas(run, schema)
 
 
+def with_pixels(size: int = IMG_SIZE, mean: Sequence[float] = NORM_MEAN, std: Sequence[float] = NORM_STD):
+    """B20 as a function of a batch of images, for use inside another Python
+    stage: the batch with ``pixels`` (and ``error`` where there are none)."""
+    m, s = np.asarray(mean, dtype=np.float64), np.asarray(std, dtype=np.float64)
+
+    def fill(pdf: pd.DataFrame) -> pd.DataFrame:
+        errors, found = stacks(pdf)
+        pixels = np.empty(len(pdf), object)
+        for rows, stack in found:
+            x = (resize_array(stack, size, size, "plain") / 255.0 - m) / s
+            pixels[rows] = _listed(x.astype(np.float32).reshape(len(rows), -1))
+        return pdf.assign(pixels=pixels, error=errors)
+
+    return fill
+
+
 # -------------------------------------------------------------- upscaling
 
 _UPSCALED = T.StructType([
@@ -279,25 +333,22 @@ def upscale(rgb_images: DataFrame, scale: int = UPSCALE_FACTOR,
     for m in methods:
         if m not in METHODS:
             raise ValueError(f"no resampling method {m!r}; there are {', '.join(METHODS)}")
-    # one row per (image, method): the method list is expanded in place, no join
-    pairs = rgb_images.filter(F.col("error").isNull()).withColumn(
-        "method", F.explode(F.array(*[F.lit(m) for m in methods])))
+    readable = rgb_images.filter(F.col("error").isNull())
+    columns = [f.name for f in _UPSCALED.fields]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            out = []
-            for row in pdf.to_dict("records"):
-                try:
-                    arr = np.frombuffer(row["data"], dtype=np.uint8).reshape(int(row["height"]),
-                                                                             int(row["width"]), 3)
-                    big = resize_array(arr, arr.shape[0] * scale, arr.shape[1] * scale, row["method"])
-                    data = np.rint(big).astype(np.uint8)
-                    out.append((row["method"], row["filename"], data.shape[0], data.shape[1], data.tobytes(), None))
-                except Exception as exc:  # noqa: BLE001
-                    out.append((row["method"], row["filename"], None, None, None, f"upscale: {exc}"))
-            yield pd.DataFrame(out, columns=[f.name for f in _UPSCALED.fields])
-
-    return pairs.mapInPandas(run, _UPSCALED)
+            errors, found = stacks(pdf)
+            names = pdf["filename"].to_numpy()
+            bad = [i for i, e in enumerate(errors) if e is not None]
+            for m in methods if bad else ():
+                yield pd.DataFrame([(m, names[i], None, None, None, f"upscale: {errors[i]}") for i in bad], columns=columns)
+            for rows, stack in found:
+                for m in methods:
+                    big = np.rint(resize_array(stack, stack.shape[1] * scale, stack.shape[2] * scale, m)).astype(np.uint8)
+                    yield pd.DataFrame([(m, n, big.shape[1], big.shape[2], x.tobytes(), None) for n, x in zip(names[rows], big, strict=True)], columns=columns)
+
+    return readable.mapInPandas(run, _UPSCALED)
 
 
 def write_image_table(upscaled: DataFrame, path: str) -> None:

@@ -39,10 +39,11 @@ def fetch_plan(plan: DataFrame, fetcher, concurrency: int | None = None, content
     fetched and read back: no URL is fetched twice, and no shuffle carries a
     content.  A range border can cut a name, one name a border; the first
     success of such a name is found without contents and broadcast."""
-    call, at_once = timed(fetcher, timeout), max(1, concurrency or 1)
+    at_once = max(1, concurrency or 1)
     laid = plan.repartitionByRange(name, pos).sortWithinPartitions(name, pos)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        call = timed(fetcher, timeout)
         done: set = set()  # of the current name only: names come in order
 
         def passed(rows: pd.DataFrame) -> pd.DataFrame:

@@ -20,8 +20,9 @@ from labelforge.operators.fusion import fuse_labels, fusion_stats
 from labelforge.operators.head import train_head
 from labelforge.operators.ingest import fetch_plan, ingest_plan, ingest_summary, labels_output
 from labelforge.operators.partitioning import spread_scan
+from labelforge.fixed import NORM_MEAN, NORM_STD
 from labelforge.operators.images import (
-    channel_stats, count_files, image_channel_stats, list_images, load_images, normalise_pixels, to_rgb, upscale, write_image_table,
+    as_bgr, channel_stats, count_files, image_channel_stats, list_images, load_images, normalise_pixels, to_rgb, upscale, write_image_table,
 )
 from labelforge.operators.joins import attach_images, counted_truth, join_truth, pending, resume_summary
 from labelforge.operators.head import pos_weight
@@ -1485,6 +1486,90 @@ FROM every GROUP BY id, method
 """
 
 
+# the same images in colour (D.coloured_images); each channel is an image of its own in SQL
+_SQL_COLOURED = _SQL_PX.replace("WITH px AS", "WITH grey AS") + """
+px AS (SELECT id || '|0' AS id, y, x, v FROM grey UNION ALL SELECT id || '|1', y, x, 255 - v FROM grey UNION ALL SELECT id || '|2', y, x, floor(v / 3) FROM grey),"""
+_SQL_CHANNEL = "split_part(id, '|', 1) AS {name}, CAST(split_part(id, '|', 2) AS INTEGER) AS channel"
+
+
+def q_coloured_pixels(spark: SparkSession, sf: str) -> DataFrame:
+    """B20 on images in colour: each channel by its own mean and deviation."""
+    px = normalise_pixels(as_bgr(D.coloured_images(spark, sf)), size=4).select("path", F.posexplode("pixels").alias("n", "v"))
+    place = F.floor(F.col("n") / 3).cast("int")
+    return px.groupBy("path", (F.col("n") % 3).alias("channel")).agg(_r(F.sum((place % 5 + 1) * F.col("v").cast("double")), 3).alias("weighted"))
+
+
+SQL_COLOURED_PIXELS = _SQL_COLOURED + _sql_resized(4, "plain", "z") + f"""
+SELECT path, channel, round(sum(((oy * 4 + ox) % 5 + 1) * CAST(CAST((v / 255 - [{', '.join(map(str, NORM_MEAN))}][channel + 1])
+       / [{', '.join(map(str, NORM_STD))}][channel + 1] AS FLOAT) AS DOUBLE)), 3) AS weighted
+FROM (SELECT {_SQL_CHANNEL.format(name='path')}, oy, ox, v FROM z) GROUP BY path, channel
+"""
+
+
+def q_coloured_upscaled(spark: SparkSession, sf: str) -> DataFrame:
+    """I8 on images in colour: every byte of every channel."""
+    up = upscale(as_bgr(D.coloured_images(spark, sf)), methods=("bilinear",))
+    hexed = F.hex("data")
+
+    def total(channel):
+        return F.aggregate(F.sequence(F.lit(0), F.lit(16 * 16 - 1)), F.lit(0).cast("bigint"), lambda acc, i: acc + (i % 13 + 1) * F.conv(
+            F.substring(hexed, 6 * i + 2 * channel + 1, F.lit(2)), 16, 10).cast("bigint"))
+
+    return up.select("filename", F.posexplode(F.array(*[total(c) for c in range(3)])).alias("channel", "weighted"))
+
+
+SQL_COLOURED_UPSCALED = _SQL_COLOURED + _sql_resized(16, "bilinear", "z") + f"""
+SELECT filename, channel, CAST(sum(((oy * 16 + ox) % 13 + 1) * v) AS BIGINT) AS weighted
+FROM (SELECT {_SQL_CHANNEL.format(name='filename')}, oy, ox, v FROM z) GROUP BY filename, channel
+"""
+
+
+def q_loaded_images(spark: SparkSession, sf: str) -> DataFrame:
+    """Image files with names of all kinds, some cut short, decoded."""
+    folder = D.image_files(spark, sf, scratch_path(spark, "image-files"))
+    hexed = F.hex("data")
+
+    def total(channel):
+        return F.aggregate(F.sequence(F.lit(0), F.lit(63)), F.lit(0).cast("bigint"), lambda acc, i: acc + (i + 1) * F.conv(
+            F.substring(hexed, 6 * i + 2 * channel + 1, F.lit(2)), 16, 10).cast("bigint"))
+
+    return load_images(spark, folder).select("filename", "height", "width", *[total(i).alias(c) for i, c in enumerate(("red", "green", "blue"))],
+                                             F.col("error").isNotNull().alias("failed"))
+
+
+SQL_LOADED_IMAGES = _SQL_COLOURED.rstrip().rstrip(",") + """,
+s AS (SELECT split_part(id, '|', 1) AS vec, CAST(sum((y * 8 + x + 1) * v) FILTER (WHERE id LIKE '%|0') AS BIGINT) AS red,
+             CAST(sum((y * 8 + x + 1) * v) FILTER (WHERE id LIKE '%|1') AS BIGINT) AS green,
+             CAST(sum((y * 8 + x + 1) * v) FILTER (WHERE id LIKE '%|2') AS BIGINT) AS blue FROM px GROUP BY ALL),
+f AS (SELECT *, CAST(vec AS BIGINT) AS n, CAST(vec AS BIGINT) % 7 = 0 AS failed FROM s)
+SELECT CASE n % 3 WHEN 0 THEN '_' WHEN 1 THEN '.' ELSE 'p' END || vec || '.png' AS filename,
+       CAST(CASE WHEN NOT failed THEN 8 END AS INTEGER) AS height, CAST(CASE WHEN NOT failed THEN 8 END AS INTEGER) AS width,
+       CASE WHEN NOT failed THEN red END AS red, CASE WHEN NOT failed THEN green END AS green, CASE WHEN NOT failed THEN blue END AS blue, failed FROM f
+"""
+
+
+def _scorer_of_weights(weights):
+    """Set-up of a scorer: its weights, spread over as many elements as it meets."""
+    import numpy as np
+
+    def score(pdf):
+        x = np.stack(pdf["embedding"].to_numpy()).astype("float32").astype("float64")
+        return x @ weights[: x.shape[1]]
+
+    return score
+
+
+def q_batch_score_model(spark: SparkSession, sf: str) -> DataFrame:
+    """A scorer that each worker sets up once, its weights from a broadcast."""
+    import numpy as np
+
+    i = np.arange(4096)
+    weights = spark.sparkContext.broadcast(np.where(i % 2 == 0, 8.0, -8.0) / (i // 2 + 1))
+    emb = D.table(spark, sf, "embeddings").select(F.col("vec_id").cast("string").alias("filename"), "embedding")
+    out = batch.batch_score(emb, batch.Model(_scorer_of_weights, weights), ["embedding"], key="filename", threshold=THRESHOLD)
+    return out.select("filename", "prediction", _r("probability").alias("probability"), _r("logit").alias("logit"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "label_fusion": q_label_fusion,
     "fusion_stats": q_fusion_stats,
@@ -1550,6 +1635,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "image_channel_stats": q_image_channel_stats,
     "normalised_pixels": q_normalised_pixels,
     "upscaled_images": q_upscaled_images,
+    "coloured_pixels": q_coloured_pixels,
+    "coloured_upscaled": q_coloured_upscaled,
+    "loaded_images": q_loaded_images,
+    "batch_score_model": q_batch_score_model,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -1612,6 +1701,10 @@ ORACLE_SQL: dict[str, str] = {
     "first_listed": SQL_FIRST_LISTED,
     "attach_images": SQL_ATTACH_IMAGES,
     "listed_files": SQL_LISTED_FILES,
+    "coloured_pixels": SQL_COLOURED_PIXELS,
+    "coloured_upscaled": SQL_COLOURED_UPSCALED,
+    "loaded_images": SQL_LOADED_IMAGES,
+    "batch_score_model": SQL_BAND_PREDICTIONS,
     "attached_contents": SQL_ATTACHED_CONTENTS,
     "ingest_overwrite": SQL_INGEST_OVERWRITE,
     "image_channel_stats": SQL_IMAGE_CHANNEL_STATS,

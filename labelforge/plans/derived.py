@@ -23,6 +23,9 @@ Each derivation has a DuckDB twin in ``plans.catalog``.
 
 from __future__ import annotations
 
+import struct
+import zlib
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -233,3 +236,39 @@ def write_files(rows: DataFrame, folder: str) -> str:
 
     rows.mapInPandas(run, f"{name} string").count()
     return folder
+
+
+def png(rgb: np.ndarray) -> bytes:
+    """An H x W x 3 array as a PNG file."""
+    def chunk(tag: bytes, data: bytes) -> bytes:
+        return struct.pack(">I", len(data)) + tag + data + struct.pack(">I", zlib.crc32(tag + data))
+
+    lines = b"".join(b"\0" + line.tobytes() for line in np.ascontiguousarray(rgb, np.uint8))
+    head = struct.pack(">IIBBBBB", rgb.shape[1], rgb.shape[0], 8, 2, 0, 0, 0)
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", head) + chunk(b"IDAT", zlib.compress(lines)) + chunk(b"IEND", b"")
+
+
+def coloured_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of the image source: an 8 x 8 image of each embedding, whose red is
+    the element's value, green its complement and blue a third of it."""
+    def value(v):
+        return F.least(F.greatest(F.floor((v.cast("double") + 4) * 32), F.lit(0)), F.lit(255))
+
+    def pixel(v):
+        return F.concat(*[F.lpad(F.hex(c), 2, "0") for c in (F.floor(value(v) / 3), 255 - value(v), value(v))])  # BGR
+
+    data = F.unhex(F.array_join(F.transform("embedding", pixel), ""))
+    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("string").alias("path"), F.lit(8).alias("height"), F.lit(8).alias("width"),
+                                                     F.lit(3).alias("n_channels"), data.alias("data"))
+
+
+def image_files(spark: SparkSession, sf_dir: str, folder: str) -> str:
+    """The coloured images as PNG files, under names that begin with a letter,
+    ``_`` or ``.``; every seventh file is cut short."""
+    def run(batches):
+        for pdf in batches:
+            number = pdf["path"].astype(int)
+            files = [png(np.frombuffer(d, np.uint8).reshape(8, 8, 3)[..., ::-1]) for d in pdf["data"]]
+            yield pd.DataFrame({"name": [f"{'_.p'[n % 3]}{n}.png" for n in number], "content": [f[:40] if n % 7 == 0 else f for f, n in zip(files, number, strict=True)]})
+
+    return write_files(coloured_images(spark, sf_dir).mapInPandas(run, "name string, content binary"), folder)

@@ -170,3 +170,28 @@ def test_wrong_number_of_answers_is_an_error(spark):
 
     out = batch.fetch(spark.range(3), lambda pdf: pd.DataFrame({"content": [], "error": []})).collect()
     assert all(r.status.startswith("error: 0 answers") for r in out)
+
+
+def _made_once(weights):
+    """Set-up that leaves a mark for each call."""
+    folder, value = weights
+    with open(os.path.join(folder, str(os.getpid())), "a", encoding="utf-8") as f:
+        f.write("made\n")
+    return lambda pdf: [value * x for x in pdf["x"]]
+
+
+def test_a_model_is_set_up_once_in_a_worker(spark, tmp_dir):
+    from labelforge.operators.batch import Model, answer, batch_score
+
+    df = spark.range(4000, numPartitions=16).selectExpr("cast(id AS string) filename", "cast(id AS double) x")
+    model = Model(_made_once, spark.sparkContext.broadcast((tmp_dir, 2.0)))
+    for _ in range(3):  # several jobs, and many batches a task
+        got = {r.filename: r.logit for r in batch_score(df, model, ["x"], batch_size=10).collect()}
+        assert got == {str(i): 2.0 * i for i in range(4000)}
+    marks = [open(os.path.join(tmp_dir, n), encoding="utf-8").read().count("made") for n in os.listdir(tmp_dir)]
+    assert marks and set(marks) == {1}
+    # annotators and fetchers are models as well as functions
+    fetcher = Model(lambda _: lambda pdf: pd.DataFrame({"content": pdf["url"], "error": None}))
+    asks = Model(lambda w: lambda pdf: [w + c for c in pdf["content"]], spark.sparkContext.broadcast("said "))
+    urls = spark.createDataFrame([("a",), ("b",)], "url string")
+    assert {r.url: r.model_text for r in answer(urls, asks, fetcher).collect()} == {"a": "said a", "b": "said b"}

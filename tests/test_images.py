@@ -124,3 +124,42 @@ def test_attach_images(spark, image_dir):
     assert got["red.png"] is None and got["gone.jpg"] == "image not found: gone.jpg"
     with pytest.raises(Exception):
         attach_images(labels, images, strict=True).collect()
+
+
+def test_stacks_of_sizes_give_what_single_images_give():
+    """Images of several sizes and channels in one batch, and broken rows."""
+    import pandas as pd
+
+    from labelforge.operators.images import resize_array, stacks
+
+    rng = np.random.default_rng(1)
+    rows, want = [], {}
+    for i in range(40):
+        h, w, c = ((5, 7, 3), (4, 4, 1), (5, 7, 4), (9, 2, 3))[i % 4]
+        x = rng.integers(0, 256, (h, w, c), dtype=np.uint8)
+        rows.append((f"p{i}", h, w, c, x.tobytes(), None, True))
+        want[i] = np.repeat(x, 3, 2) if c == 1 else x[..., 2::-1]
+    rows += [("cut", 4, 4, 3, b"123", None, True), ("none", None, None, None, None, "undecodable image", True)]
+    pdf = pd.DataFrame(rows, columns=["path", "height", "width", "n_channels", "data", "error", "bgr"])
+    errors, found = stacks(pdf)
+    got = {}
+    for at, stack in found:
+        for method in ("bilinear", "bicubic", "lanczos", "plain"):
+            big = resize_array(stack, 6, 8, method)
+            for i, x in zip(at, big, strict=True):
+                assert np.array_equal(x, resize_array(want[i], 6, 8, method))
+        got |= dict(zip(at.tolist(), stack, strict=True))
+    assert sorted(got) == list(range(40)) and all(np.array_equal(got[i], want[i]) for i in got)
+    assert errors[:40] == [None] * 40 and errors[40].startswith("decode: 3 bytes") and errors[41] == "undecodable image"
+
+
+def test_inference_has_one_python_stage(spark, image_dir):
+    from labelforge.operators.batch import batch_score
+    from labelforge.operators.images import decoded_images, with_pixels
+
+    scored = batch_score(decoded_images(spark, image_dir), lambda pdf: [float(p[0]) for p in pdf["pixels"]], ["pixels"], key="path",
+                         failed="error", prepare=with_pixels(8))
+    plan = scored._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInPandas") == 1 and "MapInArrow" not in plan and "EvalPython" not in plan
+    got = {r.filename.rsplit("/", 1)[1]: (r.logit, r.error) for r in scored.collect()}
+    assert got["red.png"][0] == pytest.approx((1.0 - 0.273) / 0.131, rel=1e-5) and got["broken.jpg"] == (None, "undecodable image")
