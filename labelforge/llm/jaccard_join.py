@@ -2,10 +2,12 @@
 
 A document is the set of its distinct word shingles.  Two sets of sizes x and y
 with similarity t or more share at least T = t (x + y) / (1 + t) shingles.  In
-the inverted lists of a set's shingles a partner therefore occurs T times, and
-as DivideSkip has it, the x - T + 1 rarest (short) lists are merged, where it
-must occur at least once, and the long lists are not merged but probed: the
-partner's sorted shingles are searched by bisection.
+the inverted lists of a set's shingles a partner therefore occurs T times.  As
+DivideSkip has it, the L = T - MEET most common (long) lists are not merged but
+probed: a partner must occur at least T - L = MEET times in the others, the
+x - T + MEET rarest (short) lists (T times if T is smaller).  Those are merged
+and the meetings of each pair counted; only pairs that reach the count are
+probed, by bisection in the partner's sorted shingles.
 
 Short lists: shingles are ordered by a table of corpus counts (ties by hash).
 Spark's sort merge on the shingle is the merge of the lists; the sizes and the
@@ -38,10 +40,12 @@ from .words import SPACED, Words, mix, slices, window_hashes
 
 #: Words of a shingle, and the similarity in percent.
 SHINGLE, PERCENT = 4, 85
-#: Cells of the table of corpus counts (16 MB), which only orders shingles:
-#: any order gives the same links.
-CELLS = 1 << 22
-_CHUNK = 1 << 15
+#: Cells of the table of corpus counts, a byte each (16 MB).  It only orders
+#: shingles: any order gives the same links, a finer one shorter lists.
+CELLS = 1 << 24
+_CHUNK = 1 << 17
+#: How often a pair must meet in the short lists.
+MEET = 2
 #: Smallest hashes of a set that it shares with its possible hubs.
 HUB_KEYS = 3
 _SEEDS = np.array([0x8CB92BA72F3D8DD7, 0x2D358DCCAA6C78A5, 0xD9B4F4F2C0E1A3B5], np.uint64)
@@ -89,14 +93,16 @@ def _marks(ids: pa.Array, data: np.ndarray, begins: np.ndarray) -> list[int]:
 
 
 def corpus_counts(docs: DataFrame, shingle: int) -> Broadcast:
-    """How often the shingles of each cell occur in the corpus."""
+    """How often the shingles of each cell occur in the corpus, as 16 times the
+    logarithm (a task counts up to 255 of a cell)."""
 
     def count(batches):
-        cells = np.zeros(CELLS, np.int64)
+        cells = np.zeros(CELLS, np.uint8)
         seen = False
         for batch in batches:
             for _, data, begins in slices(batch.column(1)):
-                np.add.at(cells, (Sets(data, begins, shingle).value & np.uint64(CELLS - 1)).astype(np.int64), 1)
+                found, times = np.unique((Sets(data, begins, shingle).value & np.uint64(CELLS - 1)).astype(np.int64), return_counts=True)
+                cells[found] = np.minimum(cells[found] + times, 255)
                 seen = True
         if seen:
             chunks = [zlib.compress(cells[a : a + _CHUNK].tobytes(), 1) for a in range(0, CELLS, _CHUNK)]
@@ -108,17 +114,20 @@ def corpus_counts(docs: DataFrame, shingle: int) -> Broadcast:
         total: dict[int, np.ndarray] = {}
         for batch in batches:
             for chunk, cells in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                part = np.frombuffer(zlib.decompress(cells), np.int64)
-                total[chunk] = total[chunk] + part if chunk in total else part
+                part = np.frombuffer(zlib.decompress(cells), np.uint8)
+                if chunk not in total:
+                    total[chunk] = np.zeros(_CHUNK, np.int64)
+                total[chunk] += part
         if total:
+            scaled = [np.minimum(np.rint(16 * np.log2(1 + x)), 255).astype(np.uint8) for x in total.values()]
             yield pa.record_batch({"chunk": pa.array(list(total), pa.int32()),
-                                   "cells": pa.array([zlib.compress(x.tobytes(), 1) for x in total.values()], pa.binary())})
+                                   "cells": pa.array([zlib.compress(x.tobytes(), 1) for x in scaled], pa.binary())})
 
     schema = "chunk int, cells binary"
-    table = np.zeros(CELLS, np.int64)
+    table = np.zeros(CELLS, np.uint8)
     for r in docs.mapInArrow(count, schema).repartition("chunk").mapInArrow(add, schema).toLocalIterator():
-        table[r["chunk"] * _CHUNK : (r["chunk"] + 1) * _CHUNK] = np.frombuffer(zlib.decompress(bytes(r["cells"])), np.int64)
-    return docs.sparkSession.sparkContext.broadcast(np.minimum(table, np.iinfo(np.int32).max).astype(np.int32))
+        table[r["chunk"] * _CHUNK : (r["chunk"] + 1) * _CHUNK] = np.frombuffer(zlib.decompress(bytes(r["cells"])), np.uint8)
+    return docs.sparkSession.sparkContext.broadcast(table)
 
 
 def _parity(value: np.ndarray) -> bytes:
@@ -154,12 +163,12 @@ def profiles(docs: DataFrame, shingle: int, percent: int, counts: Broadcast) ->
             seen = counts.value[(sets.value & np.uint64(CELLS - 1)).astype(np.int64)]
             order = np.lexsort((sets.value, seen, sets.text))
             ranked = sets.value[order]
-            short = np.where(n > 0, n - (percent * n + 99) // 100 + 1, 0)
+            short = np.where(n > 0, np.minimum(n, n - (percent * n + 99) // 100 + MEET), 0)
             ends = np.concatenate([[0], np.cumsum(short)])
             place = np.arange(ends[-1]) - np.repeat(ends[:-1], short) + np.repeat(sets.first[:-1], short)
             keys = np.stack([sets.per_text(np.minimum, mix(sets.value ^ s)) + np.uint64(i) for i, s in enumerate(_SEEDS[:HUB_KEYS])], 1)
             rarest = np.zeros(len(n), np.int64)
-            rarest[n > 0] = seen[order][sets.first[:-1][n > 0]]
+            rarest[n > 0] = seen[order][sets.first[:-1][n > 0]].astype(np.int64)
             ids = batch.column(0).slice(row, len(n))
             width = pa.array(np.arange(len(n) + 1) * HUB_KEYS, pa.int32())
             yield pa.record_batch({
@@ -241,10 +250,14 @@ def hub_pairs(nodes: DataFrame, percent: int) -> DataFrame:
 
 
 def list_pairs(nodes: DataFrame, percent: int) -> DataFrame:
-    """(a, b): nodes of two components that meet in a short list and may reach
-    the overlap from there.  ``nodes`` has the column ``part``, the node's
-    component."""
-    listed = land(nodes.select("node", "n", "part", F.posexplode("short").alias("place", "item"))
+    """(a, b): nodes of two components that meet in the short lists as often as
+    they must.  ``nodes`` has the column ``part``, the node's component.
+
+    Lists within one component are not merged.  The i-th meeting of a pair that
+    reaches the overlap leaves room for all but i - 1 of it behind its places,
+    so meetings with too little room are not counted."""
+    # 40 bits of an item: another with the same ones lets more lists through
+    listed = land(nodes.select("part", F.explode("short").alias("item")).select("part", F.col("item").bitwiseAND(F.lit((1 << 40) - 1)).alias("item"))
                   .groupBy("item").agg(F.min("part").alias("low"), F.max("part").alias("high"))
                   .where("low < high").select("item"), "merged-lists")
     passing = bitmap(listed, "item")
@@ -263,10 +276,12 @@ def list_pairs(nodes: DataFrame, percent: int) -> DataFrame:
     lists = per_batch(nodes.select("node", "part", "n", "short"), run, "item bigint, node bigint, part bigint, n bigint, place bigint")
     a, b = lists, lists.select("item", *[F.col(c).alias(f"{c}_b") for c in ("node", "part", "n", "place")])
     need = F.expr(f"({percent} * (n + n_b) + {100 + percent - 1}) div {100 + percent}")
+    room = need - (MEET - 1)
     return (a.join(b, "item")
             .where("part <> part_b AND (n > n_b OR (n = n_b AND node > node_b))").where(f"100 * n_b >= {percent} * n")
-            .where((F.col("n") - F.col("place") >= need) & (F.col("n_b") - F.col("place_b") >= need))
-            .select(F.col("node").alias("a"), F.col("node_b").alias("b")).distinct())
+            .where((F.col("n") - F.col("place") >= room) & (F.col("n_b") - F.col("place_b") >= room))
+            .groupBy(F.col("node").alias("a"), F.col("node_b").alias("b")).agg(F.count(F.lit(1)).alias("met"), F.min(need).alias("need"))
+            .where(F.col("met") >= F.least("need", F.lit(MEET))).select("a", "b"))
 
 
 def similar_groups(df: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, id_col: str = "doc_id",
