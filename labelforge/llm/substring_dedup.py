@@ -26,7 +26,7 @@ from .sketch import bitmap, signed
 from .words import SPACED, Words, slices, window_hashes
 
 #: Words of a window, and of the runs of the first level.
-WINDOW, START = 50, 25
+WINDOW, START = 50, 13
 
 SPAN = "struct<first_word:int,last_word:int>"
 
