@@ -36,7 +36,7 @@ from labelforge.sinks.image_store import append, read_store, replace
 from labelforge.sinks.line_log import Journal, append_lines, forget, unfinished
 from labelforge.sources.annotations import read_annotations, read_processed_urls
 from labelforge.sources.tables import read_labels, read_predictions
-from labelforge.sources.text import read_gt_tokens, read_http_lines, read_lines
+from labelforge.sources.text import parse_labelled_lines, read_gt_tokens, read_http_lines, read_lines, unknown_label_texts
 
 from labelforge.fixed import (
     ANNOTATE_BATCH, FETCH_CONCURRENCY, IMG_SIZE, INGEST_TIMEOUT, SCORE_BATCH, SEED, SELECT_TARGET, UNCERTAINTY_THRESHOLD,
@@ -73,7 +73,9 @@ def ingest(spark: SparkSession, input_path: str, image_store: str, fetcher, type
     already in ``image_store`` are skipped unless ``overwrite``; fetched images
     are added to it, and with ``overwrite`` take the place of those with their
     names (a fetch that fails leaves the old one); in markup mode the labels of existing and
-    fetched rows go to ``labels_path``.  Returns the one-row summary."""
+    fetched rows go to ``labels_path``.  Returns the one-row summary; in markup
+    mode with ``unknown_labels``, the rows whose label text is neither TRUE nor
+    FALSE (they count as 0, ``sources.text.unknown_label_texts``)."""
     if type not in ("markup", "no_markup"):
         raise ValueError(f"unknown ingest type: {type!r}")
     labelled = type == "markup"
@@ -92,7 +94,12 @@ def ingest(spark: SparkSession, input_path: str, image_store: str, fetcher, type
     outcome = fetched.drop("content")
     if labelled and labels_path:
         write_csv(labels_output(outcome), labels_path, ["filename", "label"])
-    return ingest_summary(lines, outcome, labelled=labelled)
+    summary = ingest_summary(lines, outcome, labelled=labelled)
+    if not labelled:
+        return summary
+    rows, _ = parse_labelled_lines(lines)
+    unknown = unknown_label_texts(rows).agg(F.coalesce(F.sum("n"), F.lit(0)).cast("long")).first()[0]
+    return summary.withColumn("unknown_labels", F.lit(unknown).cast("long"))
 
 
 # ------------------------------------------------------------- evaluation

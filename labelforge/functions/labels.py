@@ -30,9 +30,10 @@ def to_int_label(col, name: str = "label") -> Column:
     """``1.0`` / ``1`` / ``"1"`` -> 1 (truncating); a missing value or a
     non-numeric text fails the job, as the integer conversion it mirrors."""
     c = as_col(col)
-    return F.when(
-        c.isNull(), F.raise_error(F.lit(f"missing value in integer column {name}"))
-    ).otherwise(c.cast("double").cast("int"))
+    number = c.cast("string").try_cast("double")
+    return (F.when(c.isNull(), F.raise_error(F.lit(f"missing value in integer column {name}")))
+            .when(number.isNull() | F.isnan(number), F.raise_error(F.concat(F.lit(f"no integer in column {name}: "), c.cast("string"))))
+            .otherwise(number.cast("int")))
 
 
 def sigmoid(col) -> Column:

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from labelforge.operators.batch import FETCH_BATCH, fetch_part, fetched_schema, in_order, timed
 from labelforge.operators.joins import skip_existing
+from labelforge.operators.select import union_all
 from labelforge.session import materialize, scratch_path
 from labelforge.sources.text import parse_labelled_lines, parse_url_lines
 
@@ -101,9 +102,7 @@ def ingest_summary(lines: DataFrame, outcome: DataFrame, header_lines: int = 1,
     body = lines.filter(F.col("seq") >= header_lines)
     invalid = ingest_failures(lines, header_lines, labelled)
     s = F.col("status")
-    tagged = (body.select(F.lit("line").alias("status"))
-              .unionByName(invalid.select(F.lit("failed").alias("status")))
-              .unionByName(outcome.select("status")))
+    tagged = union_all(body.select(F.lit("line").alias("status")), invalid.select(F.lit("failed").alias("status")), outcome.select("status"))
     return tagged.agg(
         F.count_if(s == "line").alias("total"),
         F.count_if(s == "ok").alias("downloaded"),

@@ -36,7 +36,7 @@ from labelforge.sinks.files import write_csv, write_jsonl, write_uncertain
 from labelforge.sources.files import with_content
 from labelforge.sources.annotations import parse_annotation_lines, processed_urls_from_lines, read_annotations
 from labelforge.sources.tables import read_table_csv
-from labelforge.sources.text import parse_gt_tokens, parse_http_lines, parse_labelled_lines, read_tsv
+from labelforge.sources.text import parse_gt_tokens, parse_http_lines, parse_labelled_lines, read_tsv, unknown_label_texts
 from labelforge.functions.verdict import coerce_class_id, fill_confidence, is_bad, label_text, with_verdict
 
 THRESHOLD = 0.25
@@ -924,6 +924,12 @@ def q_labelled_urls(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("pos", "filename", "label", "url")
 
 
+def q_unknown_labels(spark: SparkSession, sf: str) -> DataFrame:
+    """A1: label texts that are neither TRUE nor FALSE, with their number."""
+    rows, _ = parse_labelled_lines(D.labelled_lines(spark, sf), header_lines=0)
+    return unknown_label_texts(rows)
+
+
 def q_labelled_rejects(spark: SparkSession, sf: str) -> DataFrame:
     _, rejects = parse_labelled_lines(D.labelled_lines(spark, sf), header_lines=0)
     return rejects
@@ -1205,6 +1211,10 @@ def q_labelled_ingest(spark: SparkSession, sf: str) -> DataFrame:
     return labels_output(fetch_plan(plan, D.stub_fetcher).select("filename", "label", "status"))
 
 
+SQL_UNKNOWN_LABELS = _SQL_LABELLED + """
+SELECT parts[1] AS label_text, count(*) AS n FROM p WHERE len(parts) = 2 AND parts[1] NOT IN ('TRUE', 'FALSE') GROUP BY 1
+"""
+
 SQL_LABELLED_INGEST = _SQL_LABELLED + """
 , ok AS (SELECT pos, printf('%03d.jpg', pos) AS filename, CASE WHEN parts[1] = 'TRUE' THEN 1 ELSE 0 END AS label,
                 parts[2] AS url
@@ -1606,6 +1616,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "incremental_annotate": q_incremental_annotate,
     "labelled_urls": q_labelled_urls,
     "labelled_rejects": q_labelled_rejects,
+    "unknown_labels": q_unknown_labels,
     "gt_tokens": q_gt_tokens,
     "http_lines": q_http_lines,
     "uncertain_predictions": q_uncertain_predictions,
@@ -1700,6 +1711,7 @@ ORACLE_SQL: dict[str, str] = {
     "saved_calibrator": SQL_PLATT_CALIBRATION,
     "first_listed": SQL_FIRST_LISTED,
     "attach_images": SQL_ATTACH_IMAGES,
+    "unknown_labels": SQL_UNKNOWN_LABELS,
     "listed_files": SQL_LISTED_FILES,
     "coloured_pixels": SQL_COLOURED_PIXELS,
     "coloured_upscaled": SQL_COLOURED_UPSCALED,

@@ -15,6 +15,7 @@ from labelforge.functions.text import is_blank, strip_ws
 from labelforge.functions.verdict import (
     coerce_class_id, fill_confidence, is_bad, is_object, label_text, parse_strict,
 )
+from labelforge.operators.select import distinct_keys
 from labelforge.sources.text import read_lines
 
 
@@ -61,8 +62,7 @@ def processed_urls_from_lines(lines: DataFrame, skip_errors: bool = False) -> Da
     records = lines.select(parse_strict(strip_ws("value")).alias("record"))
     if skip_errors:
         records = records.filter(F.try_variant_get("record", "$.error", "string").isNull())
-    return (records.select(F.try_variant_get("record", "$.url", "string").alias("url"))
-            .filter(F.col("url").isNotNull()).distinct())
+    return distinct_keys(records.select(F.try_variant_get("record", "$.url", "string").alias("url")), "url")
 
 
 def read_processed_urls(spark: SparkSession, path: str, skip_errors: bool = False) -> DataFrame:

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from labelforge.errors import require_path
-from labelforge.fixed import HEADER_MARKERS, LABELLED_NAME_WIDTH, URL_NAME_WIDTH
+from labelforge.fixed import BAND_FALSE, BAND_TRUE, HEADER_MARKERS, LABELLED_NAME_WIDTH, URL_NAME_WIDTH
 from labelforge.functions.labels import label_from_text
 from labelforge.functions.text import contains_http, is_blank, positional_name, starts_with_http, strip_ws
 from labelforge.operators.ordering import with_line_position
@@ -94,6 +94,13 @@ def parse_http_lines(lines: DataFrame) -> DataFrame:
     return lines.select("seq", v.alias("url")).filter((F.col("url") != "") & contains_http("url"))
 
 
+def unknown_label_texts(rows: DataFrame) -> DataFrame:
+    """A1: ``label_text, n`` of the label texts other than TRUE and FALSE, all
+    of which count as label 0 (summed map-side, a row a text)."""
+    return (rows.filter(~F.col("label_text").isin(BAND_TRUE, BAND_FALSE)).groupBy("label_text")
+            .agg(F.count(F.lit(1)).alias("n")))
+
+
 def read_labelled_urls(spark: SparkSession, path: str, header_lines: int = 1):
     """A1 from a TSV file."""
     return parse_labelled_lines(read_lines(spark, path), header_lines)

@@ -100,7 +100,9 @@ def test_ingest_no_markup_and_markup(spark, tmp_dir):
                  "is_conifer\tdownloadUrl\nTRUE\thttp://x/1\nFALSE\thttp://x/2\nTRUE http://x/3\n")
     labels = os.path.join(tmp_dir, "labels")
     s = api.ingest(spark, tsv, os.path.join(tmp_dir, "store2"), fetch_ok, type="markup", labels_path=labels).first()
-    assert (s.total, s.downloaded, s.failed, s.kept) == (3, 2, 1, 2)
+    assert (s.total, s.downloaded, s.failed, s.kept, s.unknown_labels) == (3, 2, 1, 2, 0)
+    odd = _write(os.path.join(tmp_dir, "odd.tsv"), "is_conifer\tdownloadUrl\nTRUE\thttp://x/1\ntrue\thttp://x/2\n?\thttp://x/3\n?\thttp://x/4\n")
+    assert api.ingest(spark, odd, os.path.join(tmp_dir, "store3"), fetch_ok, type="markup").first().unknown_labels == 3
     got = sorted(tuple(r) for r in spark.read.option("header", True).csv(labels).collect())
     assert got == [("000.jpg", "1"), ("001.jpg", "0")]
 

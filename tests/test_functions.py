@@ -77,3 +77,22 @@ def test_text_functions(spark):
     assert _one(spark, positional_name("n", 6), [(3,)], "n int") == ["000003.jpg"]
     exts = [("a.JPG",), ("b.jpeg",), ("c.png",), ("d.gif",), ("e.jpg.txt",)]
     assert _one(spark, has_image_extension("p"), exts, "p string") == [True, True, True, False, False]
+
+
+def test_int_labels_fail_whatever_the_cast_rules(spark):
+    import pytest
+    from pyspark.sql import functions as F
+
+    from labelforge.functions.labels import to_int_label
+
+    df = spark.createDataFrame([("1.0",), ("0",), ("-2.9",)], "t string")
+    before = spark.conf.get("spark.sql.ansi.enabled")
+    for ansi in ("true", "false"):
+        spark.conf.set("spark.sql.ansi.enabled", ansi)
+        try:
+            assert [r[0] for r in df.select(to_int_label("t")).collect()] == [1, 0, -2]
+            for bad in ("x", "", "NaN", None):
+                with pytest.raises(Exception, match="integer column|no integer"):
+                    spark.createDataFrame([(bad,)], "t string").select(to_int_label(F.col("t"))).collect()
+        finally:
+            spark.conf.set("spark.sql.ansi.enabled", before)
