@@ -70,8 +70,6 @@ def annotate_incremental(spark: SparkSession, url_dir: str, output: str, annotat
     ``seed_outputs`` are earlier outputs whose URLs also count as done.
     ``content_type`` is not needed any more: contents do not leave the task."""
     checkpoint = checkpoint or scratch_path(spark, "annotate-stream")
-    for name, value in STATE_CONF.items():
-        spark.conf.set(name, value)
     lines = spark.readStream.text(url_dir)
     urls = lines.select(strip_ws("value").alias("url")).filter((F.col("url") != "") & contains_http("url"))
 
@@ -95,7 +93,14 @@ def annotate_incremental(spark: SparkSession, url_dir: str, output: str, annotat
 
     writer = urls.dropDuplicates(["url"]).writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint)
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="30 seconds")
-    query = writer.start()
+    before = {name: spark.conf.get(name, None) for name in STATE_CONF}
+    try:  # a stream keeps the settings it is started with
+        for name, value in STATE_CONF.items():
+            spark.conf.set(name, value)
+        query = writer.start()
+    finally:
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
     if available_now:
         query.awaitTermination()
     return query

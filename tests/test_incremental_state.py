@@ -47,6 +47,8 @@ def test_bytes_read_do_not_grow_with_the_batches(tmp_path):
     run = subprocess.run([sys.executable, script, base, str(batches)], env=env, capture_output=True, text=True, timeout=600)
     assert run.returncode == 0, run.stderr[-3000:]
     assert int(run.stdout.split()[-1]) == batches * 300 + 100 - 40
+    state = [f for _, _, files in os.walk(os.path.join(base, "ckpt", "state")) for f in files]
+    assert any(f.endswith(".changelog") for f in state)  # changes of the keyed state, not copies of it
     batch_of, read = {}, {}
     (log,) = [os.path.join(base, "log", x) for x in os.listdir(os.path.join(base, "log"))]
     with open(log, encoding="utf-8") as f:
