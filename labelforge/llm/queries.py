@@ -176,7 +176,37 @@ def _sql_op2() -> str:
         FROM s LEFT JOIN (SELECT host, segments, template, share FROM tree{d} JOIN leaf USING (host, template)) k USING (host, segments)"""
 
 
+def _sql_op3() -> str:
+    t = line_dedup
+    shares = " ".join(f"WHEN c >= {share} * held THEN {i}" for i, share in enumerate(t.SHARES))
+    return rf"""
+        WITH l AS (SELECT doc_id, text, unnest(string_split(text, chr(10))) AS body, generate_subscripts(string_split(text, chr(10)), 1) AS n
+                   FROM documents WHERE text IS NOT NULL),
+        w AS (SELECT *, regexp_extract_all(body, {_SPACED_WORDS}) AS w FROM l),
+        t AS (SELECT *, len(w) || ' ' || array_to_string([regexp_replace(x, '[0-9]+', '#', 'g') FOR x IN w[1:{t.LEAD}]], ' ') AS leaf FROM w WHERE len(w) > 0),
+        h AS (SELECT *, count(*) OVER (PARTITION BY leaf) AS held FROM t),
+        k AS (SELECT doc_id, n, leaf, held, unnest(w) AS token, generate_subscripts(w, 1) AS place FROM h WHERE held >= {t.MIN_DOCS}),
+        c AS (SELECT *, count(*) OVER (PARTITION BY leaf, place, token) AS c FROM k),
+        v AS (SELECT *, CASE WHEN c < {t.MIN_DOCS} THEN NULL WHEN regexp_matches(token, '[0-9]') THEN {len(t.SHARES) + 1} {shares} ELSE {len(t.SHARES)} END AS level FROM c),
+        p AS (SELECT doc_id, n, leaf, list(token ORDER BY place) AS tokens, list(level ORDER BY place) AS levels,
+                     list_sort(list(level) FILTER (WHERE level IS NOT NULL)) AS known, CAST(ceil(CAST({t.MIN_CONSTANT} AS DOUBLE) * count(*)) AS BIGINT) AS need
+              FROM v GROUP BY doc_id, n, leaf),
+        named AS (SELECT doc_id, n, leaf || chr(10) || array_to_string([CASE WHEN coalesce(levels[i] <= known[need], false) THEN tokens[i] ELSE '<*>' END
+                         FOR i IN range(1, len(tokens) + 1)], ' ') AS key, {t.MIN_DOCS} AS docs_needed FROM p WHERE len(known) >= need
+                  UNION ALL
+                  SELECT doc_id, n, chr(10) || chr(10) || regexp_replace(array_to_string(w, ' '), '[0-9]+', '#', 'g'), {t.LONG_DOCS} FROM t
+                  WHERE len([x FOR x IN w IF NOT regexp_matches(x, '[0-9]')]) >= {t.LONG}),
+        seen AS (SELECT key, docs_needed, min((doc_id, n)) AS first_of, count(DISTINCT text) AS docs FROM named JOIN documents USING (doc_id) GROUP BY ALL),
+        gone AS (SELECT DISTINCT doc_id, n FROM named JOIN seen USING (key, docs_needed) WHERE docs >= docs_needed AND (doc_id, n) <> first_of),
+        kept AS (SELECT doc_id, string_agg(body, chr(10) ORDER BY n) AS t, count(*) AS c FROM l ANTI JOIN gone USING (doc_id, n) GROUP BY doc_id),
+        total AS (SELECT doc_id, count(*) AS c FROM l GROUP BY doc_id)
+        SELECT documents.doc_id, coalesce(total.c, 0) AS n_lines, coalesce(total.c, 0) - coalesce(kept.c, 0) AS n_dropped,
+               CASE WHEN text IS NOT NULL THEN sha256(coalesce(t, '')) END AS text_sha256
+        FROM documents LEFT JOIN total USING (doc_id) LEFT JOIN kept USING (doc_id)"""
+
+
 ORACLE_SQL = {
+    "op3_line_dedup": _sql_op3(),
     "op2_url_templates": _sql_op2(),
     "op1_decontaminate": f"""
         WITH d AS (SELECT doc_id, regexp_extract_all({_LOWERED}, {_PLAIN_WORDS}) AS w FROM documents),
