@@ -3,9 +3,9 @@
 A document is the set of its distinct word shingles.  Two sets of sizes x and y
 with similarity t or more share at least T = t (x + y) / (1 + t) shingles.  In
 the inverted lists of a set's shingles a partner therefore occurs T times.  As
-DivideSkip has it, the L = T - MEET most common (long) lists are not merged but
-probed: a partner must occur at least T - L = MEET times in the others, the
-x - T + MEET rarest (short) lists (T times if T is smaller).  Those are merged
+DivideSkip has it, the L = T - m most common (long) lists are not merged but
+probed: a partner must occur at least T - L = m times in the others, the
+x - T + m rarest (short) lists (T times if T is smaller).  Those are merged
 and the meetings of each pair counted; only pairs that reach the count are
 probed, by bisection in the partner's sorted shingles.
 
@@ -151,7 +151,7 @@ def max_overlap(x: bytes, nx: int, y: bytes, ny: int) -> int:
     return (nx + ny - int(np.bitwise_count(a ^ b).sum())) // 2
 
 
-def profiles(docs: DataFrame, shingle: int, percent: int, counts: Broadcast) -> DataFrame:
+def profiles(docs: DataFrame, shingle: int, percent: int, counts: Broadcast, meet: int = MEET) -> DataFrame:
     """A row for each document: its set's size and 128-bit signature, the
     shingles of its short lists (rarest first), hub keys, bitmap and the count
     of its rarest shingle."""
@@ -163,7 +163,7 @@ def profiles(docs: DataFrame, shingle: int, percent: int, counts: Broadcast) ->
             seen = counts.value[(sets.value & np.uint64(CELLS - 1)).astype(np.int64)]
             order = np.lexsort((sets.value, seen, sets.text))
             ranked = sets.value[order]
-            short = np.where(n > 0, np.minimum(n, n - (percent * n + 99) // 100 + MEET), 0)
+            short = np.where(n > 0, np.minimum(n, n - (percent * n + 99) // 100 + meet), 0)
             ends = np.concatenate([[0], np.cumsum(short)])
             place = np.arange(ends[-1]) - np.repeat(ends[:-1], short) + np.repeat(sets.first[:-1], short)
             keys = np.stack([sets.per_text(np.minimum, mix(sets.value ^ s)) + np.uint64(i) for i, s in enumerate(_SEEDS[:HUB_KEYS])], 1)
@@ -249,7 +249,7 @@ def hub_pairs(nodes: DataFrame, percent: int) -> DataFrame:
             .where((100 * F.least("n", "nb") >= percent * F.greatest("n", "nb"))).select(F.col("node").alias("a"), "b").distinct())
 
 
-def list_pairs(nodes: DataFrame, percent: int) -> DataFrame:
+def list_pairs(nodes: DataFrame, percent: int, meet: int = MEET) -> DataFrame:
     """(a, b): nodes of two components that meet in the short lists as often as
     they must.  ``nodes`` has the column ``part``, the node's component.
 
@@ -276,18 +276,19 @@ def list_pairs(nodes: DataFrame, percent: int) -> DataFrame:
     lists = per_batch(nodes.select("node", "part", "n", "short"), run, "item bigint, node bigint, part bigint, n bigint, place bigint")
     a, b = lists, lists.select("item", *[F.col(c).alias(f"{c}_b") for c in ("node", "part", "n", "place")])
     need = F.expr(f"({percent} * (n + n_b) + {100 + percent - 1}) div {100 + percent}")
-    room = need - (MEET - 1)
+    room = need - (meet - 1)
     return (a.join(b, "item")
             .where("part <> part_b AND (n > n_b OR (n = n_b AND node > node_b))").where(f"100 * n_b >= {percent} * n")
             .where((F.col("n") - F.col("place") >= room) & (F.col("n_b") - F.col("place_b") >= room))
             .groupBy(F.col("node").alias("a"), F.col("node_b").alias("b")).agg(F.count(F.lit(1)).alias("met"), F.min(need).alias("need"))
-            .where(F.col("met") >= F.least("need", F.lit(MEET))).select("a", "b"))
+            .where(F.col("met") >= F.least("need", F.lit(meet))).select("a", "b"))
 
 
 def similar_groups(df: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, id_col: str = "doc_id",
-                   text_col: str = "text") -> DataFrame:
+                   text_col: str = "text", meet: int = MEET) -> DataFrame:
     """(id, n_shingles, node, component_id) of every row; ``node`` is the class
-    of equal sets.
+    of equal sets.  ``meet`` is how often a pair must meet in the short lists:
+    more means longer short lists and fewer pairs to probe, the same links.
 
     Null and empty texts have an empty set and are linked with nothing (their
     component is their own id); a text of fewer words than a shingle is one
@@ -295,7 +296,7 @@ def similar_groups(df: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT
     texts say; a null id is never a component's name unless alone.
     """
     docs = df.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text"))
-    rows = land(profiles(docs, shingle, percent, corpus_counts(docs, shingle)), "set-profiles")
+    rows = land(profiles(docs, shingle, percent, corpus_counts(docs, shingle), meet), "set-profiles")
     wide = rows.where("n > 0")
     nodes = land(wide.groupBy("node").agg(
         F.min(F.struct("check", "n")).alias("lo"), F.max(F.struct("check", "n")).alias("hi"),
@@ -306,7 +307,7 @@ def similar_groups(df: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT
     hubs = verified(hub_pairs(nodes, percent), nodes, docs, shingle, percent)
     parts = components(hubs).select("node", F.col("component").alias("part"))
     placed = land(nodes.drop("lo", "hi").join(parts, "node", "left").withColumn("part", F.coalesce("part", "node")), "placed-nodes")
-    links = verified(list_pairs(placed, percent), placed, docs, shingle, percent)
+    links = verified(list_pairs(placed, percent, meet), placed, docs, shingle, percent)
     part = placed.select("node", "part")
     joined = (links.join(part.select(F.col("node").alias("a"), F.col("part").alias("pa")), "a")
               .join(part.select(F.col("node").alias("b"), F.col("part").alias("pb")), "b").select(F.col("pa").alias("a"), F.col("pb").alias("b")))

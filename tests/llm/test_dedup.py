@@ -1,5 +1,6 @@
 from collections import defaultdict
 
+import pytest
 from edge import SPACED, by_key, documents, lower, texts
 
 from labelforge.llm import jaccard_join, substring_dedup
@@ -79,6 +80,12 @@ def test_jaccard_groups_against_brute_force(spark):
         assert by_key(got.collect(), *keys) == by_key(groups(texts(), k, percent), *keys), (k, percent)
 
 
+@pytest.mark.parametrize("meet", [1, 3])
+def test_any_number_of_meetings_gives_the_same_links(spark, meet):
+    keys = "doc_id", "n_shingles", "component_id"
+    assert by_key(jaccard_join.similar_groups(documents(spark), meet=meet).collect(), *keys) == by_key(groups(texts(), 4, 85), *keys)
+
+
 def test_chains_of_links_are_one_group(spark):
     """Each document is like the next one only."""
     w = [f"w{i}" for i in range(160)]
