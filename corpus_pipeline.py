@@ -51,7 +51,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     without words stay; of repeated rows (id and text) one stays; long texts are
     compared whole; an empty table stays empty."""
     _ready(spark)
-    groups = jaccard_join.similar_groups(docs, shingle=5, percent=80).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    groups = jaccard_join.similar_groups(docs, shingle=5, percent=80, meet=1).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
     rows = groups.groupBy(F.col("doc_id").alias("__id")).agg(F.count(F.lit(1)).alias("c"))
     kept = land(rows, "kept-documents")
     out = docs.join(kept.select("__id"), docs["doc_id"].eqNullSafe(kept["__id"]), "leftsemi")
