@@ -71,12 +71,15 @@ def line_templates(docs: DataFrame, lead: int = LEAD, min_docs: int = MIN_DOCS,
                                           F.struct(F.lit(True).alias("long"), F.col("long").alias("key")))).alias("k")).select("k.*")
     counted = land(keys.where("key IS NOT NULL").groupBy("long", "key").agg(F.count(F.lit(1)).alias("held"))
                    .where(F.col("held") >= F.when(F.col("long"), LONG_DOCS).otherwise(min_docs)), "line-counts")
-    leaves = counted.where("NOT long").select(F.col("key").alias("leaf"), "held")
-    # a bitmap lets some lines through that do not recur; they are counted again
-    again = counted.where("long").select(F.col("key").alias("long"))
-    bits = bitmap_bits(again.count())
-    cell = F.col("long").bitwiseAND(F.lit(bits - 1))
-    tested = in_bitmap(lines, cell, again.select(cell.alias("__cell")), "again").join(leaves, "leaf", "left").where("held IS NOT NULL OR again")
+    leaves = land(counted.where("NOT long").select(F.col("key").alias("leaf"), "held"), "line-leaves")
+    again = land(counted.where("long").select(F.col("key").alias("long")), "line-repeats")
+    # bitmaps let some lines through that are in no such leaf or do not recur;
+    # the join and a second count settle those
+    tested = lines
+    for key, keys, name in (("leaf", leaves, "known"), ("long", again, "again")):
+        cell = F.col(key).bitwiseAND(F.lit(bitmap_bits(keys.count()) - 1))
+        tested = in_bitmap(tested, cell, keys.select(cell.alias("__cell")), name)
+    tested = tested.where("known OR again").join(leaves, "leaf", "left").where("held IS NOT NULL OR again")
     plain = F.size(F.filter("tokens", lambda t: ~t.rlike("[0-9]")))
     kept = land(tested.select("doc", "mark", "line", "leaf", "held", F.when(F.col("held").isNotNull(), F.md5("body")).alias("body"),
                               F.when(F.col("held").isNotNull(), F.col("tokens")).alias("tokens"),
