@@ -65,28 +65,25 @@ def line_templates(docs: DataFrame, lead: int = LEAD, min_docs: int = MIN_DOCS,
     masked = F.regexp_replace(F.array_join("tokens", " "), "[0-9]+", "#")
     lines = (docs.where("text IS NOT NULL").select("doc", "mark", F.posexplode(F.split("text", "\n", -1)).alias("line", "body"))
              .withColumn("tokens", tokens_of(F.col("body"))).where(F.size("tokens") > 0)
-             .withColumn("leaf", _leaf(F.col("tokens"), lead))
-             .withColumn("long", F.when(F.size("tokens") >= LONG, F.xxhash64(masked))))
-    keys = lines.select(F.explode(F.array(F.struct(F.lit(False).alias("long"), F.col("leaf").alias("key")),
-                                          F.struct(F.lit(True).alias("long"), F.col("long").alias("key")))).alias("k")).select("k.*")
-    counted = land(keys.where("key IS NOT NULL").groupBy("long", "key").agg(F.count(F.lit(1)).alias("held"))
-                   .where(F.col("held") >= F.when(F.col("long"), LONG_DOCS).otherwise(min_docs)), "line-counts")
-    leaves = land(counted.where("NOT long").select(F.col("key").alias("leaf"), "held"), "line-leaves")
-    again = land(counted.where("long").select(F.col("key").alias("long")), "line-repeats")
-    # bitmaps let some lines through that are in no such leaf or do not recur;
-    # the join and a second count settle those
+             .withColumn("leaf", _leaf(F.col("tokens"), lead)))
+    wide = F.size("tokens") >= LONG
+    counted = land(lines.groupBy("leaf").agg(F.count(F.lit(1)).alias("held"), F.max(wide).alias("wide"))
+                   .where(F.col("held") >= F.when(F.col("wide"), LONG_DOCS).otherwise(min_docs)), "line-counts")
+    leaves = land(counted.where(F.col("held") >= min_docs).select("leaf", "held"), "line-leaves")
+    # a line that recurs shares its leaf: only those are masked.  Bitmaps let
+    # some more through, which the join and a second count settle
+    again = land(counted.where("wide").select("leaf"), "line-repeats")
     tested = lines
-    for key, keys, name in (("leaf", leaves, "known"), ("long", again, "again")):
-        cell = F.col(key).bitwiseAND(F.lit(bitmap_bits(keys.count()) - 1))
+    for keys, name in ((leaves, "known"), (again, "again")):
+        cell = F.col("leaf").bitwiseAND(F.lit(bitmap_bits(keys.count()) - 1))
         tested = in_bitmap(tested, cell, keys.select(cell.alias("__cell")), name)
+    tested = tested.withColumn("again", F.col("again") & wide & (F.size(F.filter("tokens", lambda t: ~t.rlike("[0-9]"))) >= LONG))
     tested = tested.where("known OR again").join(leaves, "leaf", "left").where("held IS NOT NULL OR again")
-    plain = F.size(F.filter("tokens", lambda t: ~t.rlike("[0-9]")))
     kept = land(tested.select("doc", "mark", "line", "leaf", "held", F.when(F.col("held").isNotNull(), F.md5("body")).alias("body"),
                               F.when(F.col("held").isNotNull(), F.col("tokens")).alias("tokens"),
-                              F.when(F.col("again") & (plain >= LONG), F.col("long")).alias("long"),
-                              F.when(F.col("again"), F.hex(F.xxhash64(F.lit(1), masked))).alias("rest")), "leaf-lines")
+                              F.when(F.col("again"), F.md5(masked)).alias("long")), "leaf-lines")
     held = kept.where("held IS NOT NULL")
-    recurring = kept.where("long IS NOT NULL").select("doc", "mark", "line", F.col("long").alias("leaf"), F.concat(F.lit("\n"), "rest").alias("template"),
+    recurring = kept.where("long IS NOT NULL").select("doc", "mark", "line", "leaf", F.concat(F.lit("\n"), "long").alias("template"),
                                                       F.lit(LONG_DOCS).alias("need"))
     # equal lines are one class, so a line of many documents is parsed once
     classes = held.groupBy("leaf", "body").agg(F.count(F.lit(1)).alias("c"), F.min("tokens").alias("tokens"), F.min("held").alias("held"))
