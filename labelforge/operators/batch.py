@@ -359,6 +359,58 @@ def annotate(urls: DataFrame, annotator, fetcher, done: DataFrame | None = None,
     return _typed(out)
 
 
+def _answered(gt: DataFrame, annotator, fetcher, key: str, batch_size: int, content_type: str, timeout: float | None) -> DataFrame:
+    """``key``, gt_label and ANSWER of every row, in one Python stage: contents
+    are fetched, given to the annotator (as bytes or text, by ``content_type``)
+    and let go in the task, and no wide column returns to the JVM."""
+    out = [key, "gt_label", *ANSWER]
+    kinds = {key: gt.schema[key].dataType, "gt_label": gt.schema["gt_label"].dataType, "answered_at": T.DoubleType()}
+
+    def typed(content):
+        if content_type == "binary" and isinstance(content, str):
+            return content.encode()
+        return bytes(content).decode() if content_type == "string" and isinstance(content, (bytes, bytearray)) else content
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        call, ask = timed(fetcher, timeout), ready(annotator)
+        for pdf in batches:
+            pdf = pdf.reset_index(drop=True)
+            status, texts, errors = ([None] * len(pdf) for _ in range(3))
+            times = [time.time()] * len(pdf)
+
+            def asked(part: pd.DataFrame) -> None:
+                for group in _chunks(part, batch_size):
+                    try:
+                        given = pd.Series(list(ask(group)), index=group.index, dtype="object")
+                        for i, text in given.items():
+                            texts[i] = None if pd.isna(text) else text
+                    except Exception as exc:  # noqa: BLE001 - a failed batch is data
+                        for i in group.index:
+                            errors[i] = f"inference: {exc}"
+                    for i in group.index:
+                        times[i] = time.time()
+
+            held, n_held = [], 0  # fetched rows that do not fill a micro-batch yet
+            for part in _chunks(pdf, FETCH_BATCH):
+                fetched = fetch_part(call, part)
+                fetched["content"] = pd.Series([typed(c) for c in fetched["content"]], index=fetched.index, dtype="object")
+                for i, s in fetched["status"].items():
+                    status[i] = s
+                    errors[i] = None if s == "ok" else s.removeprefix("error: ")
+                good = fetched[fetched["status"] == "ok"]
+                held.append(good)
+                n_held += len(good)
+                if n_held >= batch_size:
+                    whole, n_held = pd.concat(held), n_held % max(1, batch_size)
+                    asked(whole.iloc[: len(whole) - n_held])
+                    held = [whole.iloc[len(whole) - n_held :]]
+            asked(pd.concat(held) if held else pdf)
+            yield pdf[[key, "gt_label"]].assign(status=status, model_text=pd.Series(texts, dtype="object"),
+                                                error=pd.Series(errors, dtype="object"), answered_at=times)[out]
+
+    return gt.mapInPandas(run, T.StructType([T.StructField(c, kinds.get(c, T.StringType())) for c in out]))
+
+
 def validate_annotator(gt: DataFrame, annotator, fetcher, key: str = "url",
                        batch_size: int = ANNOTATE_BATCH, content_type: str = "string",
                        timeout: float | None = ANNOTATE_TIMEOUT) -> DataFrame:
@@ -366,9 +418,9 @@ def validate_annotator(gt: DataFrame, annotator, fetcher, key: str = "url",
 
     Fetch, inference and parse failures all count as class 3.  ``written``
     is false for rows whose inference failed: they count in the metrics but
-    the reference writes no record for them."""
-    fetched = fetch(gt, fetcher, content_type=content_type, timeout=timeout)
-    answered = call_annotator(fetched, annotator, batch_size, status="status")
+    the reference writes no record for them.  A task holds the contents of one
+    call of the fetcher and of one micro-batch."""
+    answered = _answered(gt, annotator, fetcher, key, batch_size, content_type, timeout)
     answered = with_verdict(answered, "model_text", "__lf_pred", "__lf_parsed")
     fetched_ok = F.col("status") == "ok"
     inferred = fetched_ok & F.col("error").isNull()
