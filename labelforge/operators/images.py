@@ -47,12 +47,19 @@ def count_files(spark: SparkSession, folder: str) -> int:
     return list_files(spark, folder).count()
 
 
-def _unseen(spark: SparkSession, folder: str) -> DataFrame | None:
-    """Images whose names Spark's image source leaves out, decoded by it from
-    copies with other names in the shared folder; ``path`` is the image's own."""
-    hidden = list_images(spark, folder).filter(F.col("filename").rlike(r"^[_.]"))
-    if hidden.isEmpty():
-        return None
+#: Files and bytes that a task decodes, where there are more.
+TASK_FILES, TASK_BYTES = 2000, 128 << 20
+
+
+def _tasks(spark: SparkSession, n_files: int, n_bytes: int) -> int:
+    """Tasks for so many files: of TASK_FILES or TASK_BYTES, and no fewer than cores."""
+    return max(spark.sparkContext.defaultParallelism, -(-n_files // TASK_FILES), -(-n_bytes // TASK_BYTES))
+
+
+def _unseen(spark: SparkSession, folder: str, hidden: DataFrame, tasks: int) -> DataFrame:
+    """The images ``hidden``, whose names Spark's image source leaves out,
+    decoded by it from copies with other names in the shared folder; ``path``
+    is the image's own.  ``tasks`` tasks copy, and so many decode."""
     target = scratch_path(spark, "unseen-images")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -62,13 +69,15 @@ def _unseen(spark: SparkSession, folder: str) -> DataFrame | None:
                 write_whole(store, f"{root}/seen{name}", [content or b""])
             yield pdf[["filename"]]
 
-    with_content(hidden).mapInPandas(run, "filename string").count()
+    # a folder is listed by one task; the files are dealt to all
+    with_content(hidden.repartition(tasks)).mapInPandas(run, "filename string").count()
     name = F.substr(path_basename("path"), F.lit(len("seen") + 1))
-    return _decoded(spark, target).withColumn("path", F.concat(F.lit(full_path(folder, open_folder(folder)[1]) + "/"), name))
+    return _decoded(spark, target, tasks).withColumn("path", F.concat(F.lit(full_path(folder, open_folder(folder)[1]) + "/"), name))
 
 
-def _decoded(spark: SparkSession, folder: str) -> DataFrame:
-    raw = spark.read.format("image").option("dropInvalid", False).load(folder)
+def _decoded(spark: SparkSession, folder: str, tasks: int) -> DataFrame:
+    # the source plans a task for every few dozen files, however small they are
+    raw = spark.read.format("image").option("dropInvalid", False).load(folder).coalesce(tasks)
     return raw.select(F.col("image.origin").alias("path"), F.col("image.height").alias("height"), F.col("image.width").alias("width"),
                       F.col("image.nChannels").alias("n_channels"), F.col("image.data").alias("data"))
 
@@ -79,8 +88,15 @@ def decoded_images(spark: SparkSession, folder: str) -> DataFrame:
     undecodable file keeps its row with ``error`` set (decision: never a silent
     black substitute)."""
     require_path(spark, folder)
-    seen, unseen = _decoded(spark, folder), _unseen(spark, folder)
-    return as_bgr(seen if unseen is None else seen.unionByName(unseen))
+    listing = scratch_path(spark, "image-listing")
+    list_files(spark, folder).write.parquet(listing)
+    files = spark.read.schema("path string, filename string, length bigint").parquet(listing)
+    hides = F.col("filename").rlike(r"^[_.]")
+    hidden = files.filter(hides & has_image_extension("path", IMAGE_EXTENSIONS))
+    known = {r["h"]: (r["n"], r["b"]) for r in files.filter(~hides).withColumn("h", F.lit(False)).unionByName(hidden.withColumn("h", F.lit(True)))
+             .groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.sum("length").alias("b")).collect()}
+    seen = _decoded(spark, folder, _tasks(spark, *known.get(False, (0, 0))))
+    return as_bgr(seen.unionByName(_unseen(spark, folder, hidden, _tasks(spark, *known[True]))) if True in known else seen)
 
 
 def as_bgr(images: DataFrame) -> DataFrame:

@@ -1476,16 +1476,21 @@ FROM z GROUP BY id
 """
 
 
+def _channel_sum(data: str, pixels: int, channel: int, weight: Callable):
+    """Sum of one channel over the first ``pixels`` RGB pixels, pixel i by
+    ``weight(i)``; the bytes are taken apart once, as Latin-1 characters."""
+    chars = F.slice(F.split(F.decode(data, "ISO-8859-1"), ""), 1, 3 * pixels)
+    parts = F.transform(chars, lambda c, i: F.when(i % 3 == channel, weight(F.floor(i / 3)) * F.ascii(c)).otherwise(0).cast("bigint"))
+    return F.aggregate(parts, F.lit(0).cast("bigint"), lambda acc, x: acc + x)
+
+
 def q_upscaled_images(spark: SparkSession, sf: str) -> DataFrame:
     """Both methods, written as an image table and read back."""
     path = scratch_path(spark, "upscaled")
     rows = _pixel_rows(spark, sf)
     write_image_table(upscale(rows), path)
-    hexed = F.hex("data")
     back = spark.read.parquet(path)
-    return back.select("filename", "method", "height", "width", F.aggregate(
-        F.sequence(F.lit(0), F.lit(16 * 16 - 1)), F.lit(0).cast("bigint"),
-        lambda acc, i: acc + (i % 13 + 1) * F.conv(F.substring(hexed, 6 * i + 1, F.lit(2)), 16, 10).cast("bigint")).alias("weighted"))
+    return back.select("filename", "method", "height", "width", _channel_sum("data", 16 * 16, 0, lambda i: i % 13 + 1).alias("weighted"))
 
 
 SQL_UPSCALED_IMAGES = _SQL_PX + _sql_resized(16, "bilinear", "zb") + "," + _sql_resized(16, "lanczos", "zl") + """,
@@ -1519,13 +1524,8 @@ FROM (SELECT {_SQL_CHANNEL.format(name='path')}, oy, ox, v FROM z) GROUP BY path
 def q_coloured_upscaled(spark: SparkSession, sf: str) -> DataFrame:
     """I8 on images in colour: every byte of every channel."""
     up = upscale(as_bgr(D.coloured_images(spark, sf)), methods=("bilinear",))
-    hexed = F.hex("data")
-
-    def total(channel):
-        return F.aggregate(F.sequence(F.lit(0), F.lit(16 * 16 - 1)), F.lit(0).cast("bigint"), lambda acc, i: acc + (i % 13 + 1) * F.conv(
-            F.substring(hexed, 6 * i + 2 * channel + 1, F.lit(2)), 16, 10).cast("bigint"))
-
-    return up.select("filename", F.posexplode(F.array(*[total(c) for c in range(3)])).alias("channel", "weighted"))
+    totals = [_channel_sum("data", 16 * 16, c, lambda i: i % 13 + 1) for c in range(3)]
+    return up.select("filename", F.posexplode(F.array(*totals)).alias("channel", "weighted"))
 
 
 SQL_COLOURED_UPSCALED = _SQL_COLOURED + _sql_resized(16, "bilinear", "z") + f"""
@@ -1537,13 +1537,8 @@ FROM (SELECT {_SQL_CHANNEL.format(name='filename')}, oy, ox, v FROM z) GROUP BY
 def q_loaded_images(spark: SparkSession, sf: str) -> DataFrame:
     """Image files with names of all kinds, some cut short, decoded."""
     folder = D.image_files(spark, sf, scratch_path(spark, "image-files"))
-    hexed = F.hex("data")
-
-    def total(channel):
-        return F.aggregate(F.sequence(F.lit(0), F.lit(63)), F.lit(0).cast("bigint"), lambda acc, i: acc + (i + 1) * F.conv(
-            F.substring(hexed, 6 * i + 2 * channel + 1, F.lit(2)), 16, 10).cast("bigint"))
-
-    return load_images(spark, folder).select("filename", "height", "width", *[total(i).alias(c) for i, c in enumerate(("red", "green", "blue"))],
+    totals = [_channel_sum("data", 64, i, lambda i: i + 1).alias(c) for i, c in enumerate(("red", "green", "blue"))]
+    return load_images(spark, folder).select("filename", "height", "width", *totals,
                                              F.col("error").isNotNull().alias("failed"))
 
 

@@ -271,4 +271,4 @@ def image_files(spark: SparkSession, sf_dir: str, folder: str) -> str:
             files = [png(np.frombuffer(d, np.uint8).reshape(8, 8, 3)[..., ::-1]) for d in pdf["data"]]
             yield pd.DataFrame({"name": [f"{'_.p'[n % 3]}{n}.png" for n in number], "content": [f[:40] if n % 7 == 0 else f for f, n in zip(files, number, strict=True)]})
 
-    return write_files(coloured_images(spark, sf_dir).mapInPandas(run, "name string, content binary"), folder)
+    return write_files(spread_scan(coloured_images(spark, sf_dir)).mapInPandas(run, "name string, content binary"), folder)
