@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from labelforge.llm import byte_bpe, decontaminate, jaccard_join, line_dedup, quality
 from labelforge.llm.common import land, table
+from labelforge.llm.hot import without_keys
 from labelforge.session import ensure_checkpoint_dir, ship_package
 
 
@@ -22,6 +23,16 @@ def _ready(spark: SparkSession) -> None:
     ship_package(spark)
 
 
+def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """``docs`` less the rows whose doc_id, null too, is among ``ids``; texts
+    that certainly stay are not shuffled."""
+    inner = {c: f"__c{i}" for i, c in enumerate(docs.columns)}
+    named = {"__none": lambda i: i.isNull(), "__id": lambda i: F.coalesce(i.cast("string"), F.lit(""))}
+    gone = land(ids.select(*[f(F.col("doc_id")).alias(c) for c, f in named.items()]).distinct(), "documents-to-drop")
+    marked = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in inner.items()]).withColumns({c: f(F.col(inner["doc_id"])) for c, f in named.items()})
+    return without_keys(marked, gone, [*named]).select(*[F.col(n).alias(c) for c, n in inner.items()])
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rules and are no outliers of their
     language and source (operator 9).  Null and empty texts fail the base
@@ -51,12 +62,12 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     without words stay; of repeated rows (id and text) one stays; long texts are
     compared whole; an empty table stays empty."""
     _ready(spark)
-    groups = jaccard_join.similar_groups(docs, shingle=5, percent=80, meet=1).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    rows = groups.groupBy(F.col("doc_id").alias("__id")).agg(F.count(F.lit(1)).alias("c"))
-    kept = land(rows, "kept-documents")
-    out = docs.join(kept.select("__id"), docs["doc_id"].eqNullSafe(kept["__id"]), "leftsemi")
+    groups = (jaccard_join.similar_groups(docs, shingle=5, percent=80, meet=1)
+              .select("doc_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("first")))
+    rows = land(groups.groupBy("doc_id").agg(F.count_if("first").alias("c")), "documents-of-groups")
+    out = _without(docs, rows.where("c = 0").select("doc_id"))
     # rows of one id: of each text one
-    return out if not kept.where("c > 1").limit(1).count() else out.dropDuplicates(["doc_id", "text"])
+    return out if not rows.where("c > 1").limit(1).count() else out.dropDuplicates(["doc_id", "text"])
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -65,8 +76,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     searched whole; with an empty table or benchmark nothing changes."""
     _ready(spark)
     found = decontaminate.contamination(docs, table(spark, sf_dir, "benchmark"))
-    bad = land(found.where("n_hit > 0").select(F.col("doc_id").alias("__id")).distinct(), "contaminated")
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["__id"]), "leftanti")
+    return _without(docs, found.where("n_hit > 0").select("doc_id"))
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -36,10 +36,18 @@ def join_groups(rows: DataFrame, groups: DataFrame, key: str | list[str], size:
     return found.unionByName(others.join(groups.where(F.col(size) < least), key, how))
 
 
-def bit_of(packed: Column, position: Column) -> Column:
-    """Whether a bit is set in a binary column of bitmap_construct_agg."""
-    byte = F.conv(F.hex(F.substring(packed, F.shiftright(position, 3).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    return F.call_function("shiftright", byte, position.bitwiseAND(F.lit(7)).cast("int")).bitwiseAND(F.lit(1)) == 1
+def words_of(packed: Column) -> Column:
+    """A binary column of bitmap_construct_agg as an array of 32-bit numbers."""
+    at = lambda i: F.conv(F.substring(F.hex(packed), (8 * i + 1).cast("int"), F.lit(8)), 16, 10).cast("bigint")
+    return F.transform(F.sequence(F.lit(0), F.floor(F.octet_length(packed) / 4).cast("int") - 1),
+                       lambda i: (at(i) - F.when(at(i) >= 1 << 31, 1 << 32).otherwise(0)).cast("int"))
+
+
+def bit_of(words: Column, position: Column) -> Column:
+    """Whether a bit is set in a column of ``words_of``: bit 0 is the lowest of the first byte."""
+    place = position.cast("int")
+    inner = place.bitwiseXOR(F.lit(24)).bitwiseAND(F.lit(31))  # bytes come high ones first
+    return F.call_function("shiftright", F.get(words, F.call_function("shiftright", place, F.lit(5))), inner).bitwiseAND(F.lit(1)) == 1
 
 
 def in_bitmap(rows: DataFrame, cell: Column, cells: DataFrame, name: str) -> DataFrame:
@@ -48,7 +56,7 @@ def in_bitmap(rows: DataFrame, cell: Column, cells: DataFrame, name: str) -> Dat
     The caller bounds the numbers, and so the size of the bitmap."""
     at = F.col("__cell") + 1
     blocks = cells.groupBy(F.bitmap_bucket_number(at).alias("__block")).agg(
-        F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("__bits"))
+        F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("__bits")).withColumn("__bits", words_of(F.col("__bits")))
     tested = rows.withColumn("__block", F.bitmap_bucket_number(cell + 1)).join(F.broadcast(land(blocks, "bitmap")), "__block", "left")
     found = F.coalesce(bit_of(F.col("__bits"), cell.bitwiseAND(F.lit(_BLOCK - 1))), F.lit(False))
     return tested.withColumn(name, found).drop("__block", "__bits")
@@ -59,7 +67,7 @@ def bitmap_bits(n_keys: int) -> int:
     return 1 << max(20, min(BITMAP_BITS, max(1, n_keys) * BITS_PER_KEY).bit_length() - 1)
 
 
-def _may_hold(rows: DataFrame, keys: DataFrame, names: list[str]) -> DataFrame:
+def may_hold(rows: DataFrame, keys: DataFrame, names: list[str]) -> DataFrame:
     """``rows`` and ``__maybe``, false where ``names`` are certainly no row of
     ``keys``.  With more keys than the bitmap has room for, more rows may be."""
     bits = bitmap_bits(keys.count())
@@ -71,7 +79,7 @@ def without_keys(rows: DataFrame, keys: DataFrame, names: list[str]) -> DataFram
     """``rows`` whose ``names`` are not a row of ``keys`` (no nulls in either).
     Rows that a bitmap of the keys lets pass stay in place; the others are
     anti-joined."""
-    tested = _may_hold(rows, keys, names)
+    tested = may_hold(rows, keys, names)
     checked = tested.where("__maybe").join(keys, names, "leftanti").select(*tested.columns)
     return tested.where("NOT __maybe").unionByName(checked).drop("__maybe")
 
@@ -80,7 +88,7 @@ def with_few(rows: DataFrame, few: DataFrame, names: list[str]) -> DataFrame:
     """``rows`` left-joined to ``few`` (one row a key ``names``, other columns
     new), where most rows find nothing: those that a bitmap of the keys lets
     pass stay in place, with nulls, and only the others are shuffled."""
-    tested = _may_hold(rows, few, names)
+    tested = may_hold(rows, few, names)
     added = [f for f in few.schema.fields if f.name not in names]
     found = tested.where("__maybe").drop("__maybe").join(few, names, "left").select(*rows.columns, *[f.name for f in added])
     others = tested.where("NOT __maybe").select(*rows.columns, *[F.lit(None).cast(f.dataType).alias(f.name) for f in added])

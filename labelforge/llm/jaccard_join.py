@@ -35,6 +35,7 @@ from pyspark.sql import functions as F
 
 from .common import hand_back, land, per_batch
 from .components import components
+from .hot import may_hold
 from .sketch import bitmap, signed
 from .words import SPACED, Words, mix, slices, window_hashes
 
@@ -298,15 +299,19 @@ def similar_groups(df: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT
     docs = df.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text"))
     rows = land(profiles(docs, shingle, percent, corpus_counts(docs, shingle), meet), "set-profiles")
     wide = rows.where("n > 0")
-    nodes = land(wide.groupBy("node").agg(
-        F.min(F.struct("check", "n")).alias("lo"), F.max(F.struct("check", "n")).alias("hi"),
-        F.min_by(F.struct("mark", "short", "keys", "bits", "rarest"), F.col("mark")).alias("r"))
-        .select("node", "lo", "hi", F.col("lo.n").alias("n"), "r.*"), "nodes")
-    if nodes.where("lo <> hi").limit(1).count():
+    named = wide.groupBy("node").agg(F.min(F.struct("check", "n")).alias("lo"), F.max(F.struct("check", "n")).alias("hi"), F.count(F.lit(1)).alias("c"))
+    repeated = land(named.where("c > 1"), "repeated-nodes")
+    if repeated.where("lo <> hi").limit(1).count():
         raise RuntimeError("two different sets have the same 64-bit signature")
+    # a set that is certainly alone stays in place, with its lists
+    tested = may_hold(wide, repeated, ["node"])
+    columns = ["mark", "short", "keys", "bits", "rarest"]
+    one = (tested.where("__maybe").groupBy("node").agg(F.min("n").alias("n"), F.min_by(F.struct(*columns), F.col("mark")).alias("r"))
+           .select("node", "n", "r.*"))
+    nodes = land(tested.where("NOT __maybe").select("node", "n", *columns).unionByName(one), "nodes")
     hubs = verified(hub_pairs(nodes, percent), nodes, docs, shingle, percent)
     parts = components(hubs).select("node", F.col("component").alias("part"))
-    placed = land(nodes.drop("lo", "hi").join(parts, "node", "left").withColumn("part", F.coalesce("part", "node")), "placed-nodes")
+    placed = land(nodes.join(parts, "node", "left").withColumn("part", F.coalesce("part", "node")), "placed-nodes")
     links = verified(list_pairs(placed, percent, meet), placed, docs, shingle, percent)
     part = placed.select("node", "part")
     joined = (links.join(part.select(F.col("node").alias("a"), F.col("part").alias("pa")), "a")
