@@ -46,3 +46,12 @@ def test_sizes_of_bitmaps():
     assert hot.bitmap_bits(0) == 1 << 20 == hot.bitmap_bits(10)
     assert hot.bitmap_bits(10**6) <= 64 * 10**6 <= 2 * hot.bitmap_bits(10**6)
     assert hot.bitmap_bits(10**12) == hot.BITMAP_BITS
+
+
+def test_every_bit_of_a_word(spark):
+    from pyspark.sql import functions as F
+
+    df = spark.range(128).select(F.col("id").alias("c"))
+    for step in (1, 3, 31, 32):
+        got = hot.in_bitmap(df, F.col("c"), spark.range(0, 128, step).select(F.col("id").alias("__cell")), "hit").collect()
+        assert sorted(r["c"] for r in got if r["hit"]) == list(range(0, 128, step))

@@ -71,3 +71,18 @@ def test_every_operator_has_one_query():
     names = [q for q in E.queries() if q.startswith("op")]
     assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 14))
     assert "pipeline" in E.queries() and set(queries.ORACLE_SQL) <= set(queries.QUERIES)
+
+
+def test_texts_that_stay_are_not_shuffled(spark):
+    import corpus_pipeline
+
+    same = "one two three four five six seven eight nine ten"
+    docs = spark.createDataFrame([(1, same), (2, same), (3, "a b c d e f g"), (None, "h i j k l m n"), (4, None), (5, same)], "doc_id long, text string")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = corpus_pipeline.near_duplicates(spark, docs, "")
+        plan = out._jdf.queryExecution().optimizedPlan().toString()
+        assert "LeftSemi" not in plan and "LeftAnti" in plan
+        assert {r["doc_id"] for r in out.collect()} == {1, 3, 4, None}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")

@@ -195,3 +195,22 @@ def test_a_model_is_set_up_once_in_a_worker(spark, tmp_dir):
     asks = Model(lambda w: lambda pdf: [w + c for c in pdf["content"]], spark.sparkContext.broadcast("said "))
     urls = spark.createDataFrame([("a",), ("b",)], "url string")
     assert {r.url: r.model_text for r in answer(urls, asks, fetcher).collect()} == {"a": "said a", "b": "said b"}
+
+
+def test_validation_is_one_python_stage_with_full_micro_batches(spark):
+    """Micro-batches run over the fetcher's calls; contents do not leave the task."""
+    gt = spark.range(100).select(F.concat(F.lit("http://x/"), F.when(F.col("id") % 10 == 0, "dead").otherwise("ok"), "id").alias("url"),
+                                 F.lit(1).alias("gt_label")).coalesce(1)
+    out = validate_annotator(gt, lambda part: [f"{len(part)} {type(part['content'].iloc[0]).__name__}"] * len(part), fetcher, batch_size=40, content_type="binary")
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInPandas") == 1
+    got = out.collect()
+    assert sorted(r["error"] or "" for r in got) == [""] * 90 + ["404"] * 10 and all(r["written"] for r in got)
+
+    def few(part):
+        if len(part) != 40:
+            raise RuntimeError(f"{len(part)} {type(part['content'].iloc[0]).__name__}")
+        return ["x"] * 40
+
+    left = [r["error"] for r in validate_annotator(gt, few, fetcher, batch_size=40, content_type="binary").collect() if r["error"] not in (None, "404")]
+    assert left == ["inference: 10 bytes"] * 10

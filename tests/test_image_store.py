@@ -136,3 +136,15 @@ def test_contents_that_cannot_be_read(spark, tmp_path):
     df = spark.createDataFrame([("file:" + str(tmp_path / "none"), None), (None, "before")], "path string, error string")
     got = [(r["content"], r["error"]) for r in with_content(df).collect()]
     assert got == [(None, "read: FileNotFoundError"), (None, "before")]
+
+
+def test_many_small_images_are_few_tasks(spark, tmp_path):
+    from labelforge.operators.images import decoded_images
+
+    for i in range(300):
+        (tmp_path / f"p{i}.png").write_bytes(b"no")
+    for i in range(40):
+        (tmp_path / f"_p{i}.png").write_bytes(b"no")
+    found = decoded_images(spark, str(tmp_path))
+    assert found.rdd.getNumPartitions() <= 2 * spark.sparkContext.defaultParallelism
+    assert sorted(r["filename"] for r in found.collect()) == sorted([f"p{i}.png" for i in range(300)] + [f"_p{i}.png" for i in range(40)])
