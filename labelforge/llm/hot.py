@@ -38,7 +38,8 @@ def join_groups(rows: DataFrame, groups: DataFrame, key: str | list[str], size:
 
 def words_of(packed: Column) -> Column:
     """A binary column of bitmap_construct_agg as an array of 32-bit numbers."""
-    at = lambda i: F.conv(F.substring(F.hex(packed), (8 * i + 1).cast("int"), F.lit(8)), 16, 10).cast("bigint")
+    # four bytes are cut out before they are written as text, so a word costs the same wherever it stands
+    at = lambda i: F.conv(F.hex(F.substring(packed, (4 * i + 1).cast("int"), F.lit(4))), 16, 10).cast("bigint")
     return F.transform(F.sequence(F.lit(0), F.floor(F.octet_length(packed) / 4).cast("int") - 1),
                        lambda i: (at(i) - F.when(at(i) >= 1 << 31, 1 << 32).otherwise(0)).cast("int"))
 

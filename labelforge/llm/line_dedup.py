@@ -41,14 +41,22 @@ SHARES = (0.5, 0.25)
 MIN_CONSTANT = 0.6
 
 
+def spaced(text: Column) -> Column:
+    """``text`` with a space for every other ASCII white space but line feeds."""
+    other = r"[\x09\x0B-\x0D]"
+    return F.when(text.rlike(other), F.regexp_replace(text, other, " ")).otherwise(text)
+
+
 def tokens_of(line: Column) -> Column:
-    """Tokens between ASCII white space; none for an empty line."""
-    return F.filter(F.split(line, r"[\x20\x09-\x0D]+"), lambda t: t != "")
+    """Tokens of a ``spaced`` line; none for an empty one.  A separator of one
+    character needs no pattern, which would be compiled again for every line."""
+    return F.array_remove(F.split(line, " "), "")
 
 
 def _leaf(tokens: Column, lead: int) -> Column:
-    heads = F.transform(F.slice(tokens, 1, lead), lambda t: F.regexp_replace(t, "[0-9]+", "#"))
-    return F.xxhash64(F.size(tokens), F.array_join(heads, " "))
+    # tokens hold no spaces, so all heads are masked at once
+    heads = F.regexp_replace(F.array_join(F.slice(tokens, 1, lead), " "), "[0-9]+", "#")
+    return F.xxhash64(F.size(tokens), heads)
 
 
 def _level() -> Column:
@@ -63,8 +71,10 @@ def line_templates(docs: DataFrame, lead: int = LEAD, min_docs: int = MIN_DOCS,
     """(doc, mark, line, template, docs, first): the lines whose template
     recurs; ``first`` marks the one that stays.  ``docs``: doc, mark, text."""
     masked = F.regexp_replace(F.array_join("tokens", " "), "[0-9]+", "#")
-    lines = (docs.where("text IS NOT NULL").select("doc", "mark", F.posexplode(F.split("text", "\n", -1)).alias("line", "body"))
-             .withColumn("tokens", tokens_of(F.col("body"))).where(F.size("tokens") > 0)
+    lines = (docs.where("text IS NOT NULL").withColumn("text", spaced(F.col("text")))
+             .select("doc", "mark", F.posexplode(F.split("text", "\n", -1)).alias("line", "body"))
+             # asked of the line, not of its tokens, so that they are made once
+             .where(F.trim("body") != "").withColumn("tokens", tokens_of(F.col("body")))
              .withColumn("leaf", _leaf(F.col("tokens"), lead)))
     wide = F.size("tokens") >= LONG
     counted = land(lines.groupBy("leaf").agg(F.count(F.lit(1)).alias("held"), F.max(wide).alias("wide"))
@@ -77,7 +87,8 @@ def line_templates(docs: DataFrame, lead: int = LEAD, min_docs: int = MIN_DOCS,
     for keys, name in ((leaves, "known"), (again, "again")):
         cell = F.col("leaf").bitwiseAND(F.lit(bitmap_bits(keys.count()) - 1))
         tested = in_bitmap(tested, cell, keys.select(cell.alias("__cell")), name)
-    tested = tested.withColumn("again", F.col("again") & wide & (F.size(F.filter("tokens", lambda t: ~t.rlike("[0-9]"))) >= LONG))
+    digits = F.regexp_count("body", F.lit("[0-9][^ ]*"))  # tokens that hold one
+    tested = tested.withColumn("again", F.col("again") & wide & (F.size("tokens") - digits >= LONG))
     tested = tested.where("known OR again").join(leaves, "leaf", "left").where("held IS NOT NULL OR again")
     kept = land(tested.select("doc", "mark", "line", "leaf", "held", F.when(F.col("held").isNotNull(), F.md5("body")).alias("body"),
                               F.when(F.col("held").isNotNull(), F.col("tokens")).alias("tokens"),
@@ -131,9 +142,11 @@ def drop_lines(df: DataFrame, lead: int = LEAD, min_docs: int = MIN_DOCS, min_co
     out = with_few(marked.withColumns({c: f(marked[id_col]) for c, f in named.items()}), gone, [*named, "__mark"])
     lines = F.split(F.col(text_col), "\n", -1)
     total = F.coalesce(F.size(lines), F.lit(0))
+    # lines are looked up by number, the numbers left out through a hash set; a text is split once, not for each number
     stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("__drop"))
-    # lines are looked up by number, the numbers left out through a hash set
-    text = F.when(F.col("__drop").isNull(), F.col(text_col)).otherwise(F.array_join(F.transform(stay, lambda i: F.get(lines, i)), "\n"))
+    both = F.array(F.struct(lines.alias("lines"), stay.alias("stay")))
+    joined = F.transform(both, lambda b: F.array_join(F.transform(b["stay"], lambda i: F.get(b["lines"], i)), "\n"))
+    text = F.when(F.col("__drop").isNull(), F.col(text_col)).otherwise(F.get(joined, F.lit(0)))
     return out.select(*[text.alias(c) if c == text_col else out[c] for c in df.columns],
                       F.when(F.col(text_col).isNull(), 0).otherwise(total).cast("long").alias("n_lines"),
                       F.coalesce(F.when(F.col("__drop").isNotNull(), F.size("__drop")), F.lit(0)).cast("long").alias("n_dropped"))

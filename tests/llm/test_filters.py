@@ -1,5 +1,6 @@
 import random
 import re
+import time
 from collections import Counter
 
 import numpy as np
@@ -473,6 +474,24 @@ def test_lines_of_nothing(spark):
     assert line_dedup.drop_lines(documents(spark, [])).collect() == []
 
 
+def test_long_text_is_split_once(spark):
+    """Splitting the text again for every line that stays took minutes here."""
+    long = " ".join(f"word{'abcdefghijklmnopqrstuvwxyz'[k]}" for k in range(21))
+    lines = [f"own line {'x' * (i % 7)} {i}" for i in range(40_000)]
+    began = time.monotonic()
+    got = {r["doc_id"]: r for r in line_dedup.drop_lines(documents(spark, [(1, long), (2, "\n".join([*lines[:5], long, *lines[5:]]))]), min_docs=10**6).collect()}
+    assert time.monotonic() - began < 40
+    assert got[1]["text"] == long and got[2]["text"] == "\n".join(lines) and (got[2]["n_lines"], got[2]["n_dropped"]) == (40_001, 1)
+
+
+def test_white_space_of_lines(spark):
+    """Tokens stand between any ASCII white space; the text itself is not changed."""
+    long = " ".join(f"word{'abcdefghijklmnopqrstuvwxyz'[k]}" for k in range(21))
+    rows = [(1, long), (2, "a\tb\r\n" + long.replace(" ", "\t\x0b \x0c", 9) + "\r\n\x0b\n c\x1c"), (3, "\r" + long.replace(" ", "\xa0", 1) + "\t")]
+    got = {r["doc_id"]: (r["text"], r["n_lines"], r["n_dropped"]) for r in line_dedup.drop_lines(documents(spark, rows)).collect()}
+    assert got == {1: (long, 1, 0), 2: ("a\tb\r\n\x0b\n c\x1c", 4, 1), 3: (rows[2][1], 1, 0)}
+
+
 def dropped(spark, lines, **limits):
     """How many lines go when each is a document of its own."""
     out = line_dedup.drop_lines(documents(spark, list(enumerate(lines))), **limits)
