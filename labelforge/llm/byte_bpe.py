@@ -21,13 +21,18 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from .common import per_batch
+from .common import hand_back, per_batch
 from .pretokens import splitter
 from .token_counts import byte_characters
+from .words import slices
 
 #: Pieces whose ids a worker remembers (a memory bound only); above it, those
 #: that were needed once go.
-REMEMBER = 250_000
+REMEMBER = 120_000
+#: Pieces that the library encodes at once: its objects are far larger than their ids.
+LEARN = 2_048
+#: Bytes of text encoded and decoded at once (a longer text makes a larger slice).
+SLICE_BYTES = 1 << 18
 
 
 def ragged(start: np.ndarray, length: np.ndarray) -> np.ndarray:
@@ -99,8 +104,10 @@ class ByteBpe:
         self.table = np.frombuffer(b"".join(self.token_bytes.get(i, b"") for i in range(size)), np.uint8)
 
     def learn(self, pieces: list[str]) -> None:
-        written = [p.encode().decode("latin-1").translate(self.to_char) for p in pieces]
-        self.known.add(pieces, [x.ids for x in self.model.encode_batch_fast(written, add_special_tokens=False)])
+        for at in range(0, len(pieces), LEARN):
+            part = pieces[at : at + LEARN]
+            written = [p.encode().decode("latin-1").translate(self.to_char) for p in part]
+            self.known.add(part, [x.ids for x in self.model.encode_batch_fast(written, add_special_tokens=False)])
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text."""
@@ -145,7 +152,9 @@ def tokens_as_text(raw_tokens: list[bytes]) -> list[str]:
 
 @lru_cache(maxsize=2)
 def _bpe(path: str) -> ByteBpe:
-    return ByteBpe(path)
+    bpe = ByteBpe(path)
+    hand_back()  # what only the way to the model needed
+    return bpe
 
 
 def _lists(parts: list[np.ndarray]) -> pa.Array:
@@ -166,8 +175,8 @@ def encode(df: DataFrame, ranks_path: str, text_col: str = "text", keep: tuple[s
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         bpe = _bpe(ranks_path)
-        for at in range(0, batch.num_rows, 256):
-            part = batch.slice(at, 256)
+        for at, _, begins in slices(batch.column(len(keep)), SLICE_BYTES):
+            part = batch.slice(at, len(begins) - 1)
             ids = bpe.encode([t or "" for t in part.column(len(keep)).to_pylist()])
             columns = {c: part.column(i) for i, c in enumerate(keep)} | {"ids": _lists(ids)}
             if offsets:

@@ -2,9 +2,11 @@ import base64
 import random
 
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 import tiktoken
 from edge import documents, texts
+from pyspark.sql.types import LongType, StructField, StructType
 from tokenizers import Tokenizer
 
 from labelforge.llm import byte_bpe, token_counts
@@ -82,3 +84,47 @@ def test_memory_of_pretokens_is_bounded(monkeypatch):
     library = Tokenizer.from_file(JSON)
     for t in odd_texts()[:50]:
         assert counter.count([t]) == [len(library.encode(t, add_special_tokens=False).ids)]
+
+
+class Recorder:
+    """A tokenizers model that notes how many pieces come at once."""
+
+    def __init__(self, model):
+        self.model, self.most = model, 0
+
+    def encode_batch_fast(self, written, **options):
+        self.most = max(self.most, len(written))
+        return self.model.encode_batch_fast(written, **options)
+
+
+def test_memory_of_encoding_is_bounded(monkeypatch):
+    """Rows of any length are encoded and decoded by slices of about
+    SLICE_BYTES, their new pieces by LEARN at once."""
+    rng = random.Random(8)
+    rows = ["".join(rng.choices("abcdefghij klmno", k=20_000)) for _ in range(60)] + [None, "", "a b"]
+    bpe = byte_bpe.ByteBpe(RANKS)
+    bpe.model = recorder = Recorder(bpe.model)
+    size, most = bpe.encode, []
+    bpe.encode = lambda part: most.append(sum(map(len, part))) or size(part)
+    monkeypatch.setattr(byte_bpe, "_bpe", lambda path: bpe)
+    monkeypatch.setattr(byte_bpe, "per_batch", lambda df, run, schema: run)
+    batch = pa.record_batch({"doc_id": pa.array(range(len(rows))), "text": pa.array(rows)})
+    out = pa.Table.from_batches(byte_bpe.encode(Frame(), RANKS, decoded=True)(batch))
+    assert max(most) <= byte_bpe.SLICE_BYTES and len(most) > 3 and recorder.most == byte_bpe.LEARN
+    assert out["doc_id"].to_pylist() == list(range(len(rows)))
+    assert out["decoded"].to_pylist() == [(t or "").encode() for t in rows]
+
+
+class Frame:
+    """As much of a DataFrame as the plan of ``encode`` asks for."""
+
+    schema = StructType([StructField("doc_id", LongType())])
+
+    def select(self, *columns):
+        return self
+
+    def __getitem__(self, name):
+        return self
+
+    def alias(self, name):
+        return self
